@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_prefix, decontam, mixing, quality_ledger, resharding, url_reputation
+from . import chat_prefix, decontam, mixing, probminhash, quality_ledger, resharding, url_reputation
 from .common import read_table as table
 
 
+def op1_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     outcomes = url_reputation.labelled_outcomes(pages, table(spark, sf_dir, "labels"))
@@ -59,7 +63,7 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_url_reputation, op3_quality_ledger, op5_chat_prefix, op6_temperature_mixing, op9_flow_resharding, op10_template_decontamination)
+    for f in (op1_probminhash_dedup, op2_url_reputation, op3_quality_ledger, op5_chat_prefix, op6_temperature_mixing, op9_flow_resharding, op10_template_decontamination)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
