@@ -128,7 +128,9 @@ def anchors(symbols: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tu
     empty = (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),)
     if n < window:
         return empty
-    bits = np.uint64(max(1, int(n).bit_length()))
+    bits = np.uint64(24)  # positions of a chunk; the same in every chunk, so that choices agree
+    if n >> 24:
+        raise ValueError("a chunk has too many symbols")
     grams = Runs(symbols).sliding(k)
     packed = (mix(grams) >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
     chosen = (sliding_min(packed, window - k + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)

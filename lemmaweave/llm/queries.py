@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_prefix, decontam, mixing, probminhash, quality_ledger, resharding, url_reputation
+from . import chat_prefix, decontam, mixing, phrase_automata, probminhash, quality_ledger, resharding, suffix_dedup, url_reputation
 from .common import read_table as table
 
 
@@ -27,6 +27,10 @@ def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
 
 
+def op4_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_automata.cleaned(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op5_chat_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -52,6 +56,10 @@ def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, mixing.Mix(budget=budget)).select("doc_id", "source", "epoch", "block_rank", "slot")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cleaned(table(spark, sf_dir, "documents")).drop("spans", "kept")
+
+
 def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = resharding.resharded(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
@@ -63,7 +71,7 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_probminhash_dedup, op2_url_reputation, op3_quality_ledger, op5_chat_prefix, op6_temperature_mixing, op9_flow_resharding, op10_template_decontamination)
+    for f in (op1_probminhash_dedup, op2_url_reputation, op3_quality_ledger, op4_phrase_automata, op5_chat_prefix, op6_temperature_mixing, op7_suffix_dedup, op9_flow_resharding, op10_template_decontamination)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
