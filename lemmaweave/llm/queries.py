@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_prefix, decontam, mixing, phrase_automata, probminhash, quality_ledger, resharding, suffix_dedup, url_reputation
+from . import chat_prefix, decontam, license_scan, mixing, phrase_automata, probminhash, quality_ledger, resharding, suffix_dedup, url_reputation
 from .common import read_table as table
 
 
@@ -60,6 +60,17 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.cleaned(table(spark, sf_dir, "documents")).drop("spans", "kept")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: a document lies in source/lang/, and one of at most 60 words licenses that directory;
+    a source's directory is licensed by its documents of at most 20 words."""
+    docs = table(spark, sf_dir, "documents")
+    n = F.size(F.split(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+"))
+    inner = F.when(n <= 20, F.concat_ws("/", F.coalesce("source", F.lit("")), F.col("doc_id").cast("string")))
+    path = F.coalesce(inner, F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string")))
+    files = docs.select(F.col("doc_id").alias("file"), path.alias("path"), "text", (n <= 60).alias("is_license"))
+    return license_scan.licensed(files).withColumnRenamed("file", "doc_id")
+
+
 def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = resharding.resharded(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
@@ -71,7 +82,7 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_probminhash_dedup, op2_url_reputation, op3_quality_ledger, op4_phrase_automata, op5_chat_prefix, op6_temperature_mixing, op7_suffix_dedup, op9_flow_resharding, op10_template_decontamination)
+    for f in (op1_probminhash_dedup, op2_url_reputation, op3_quality_ledger, op4_phrase_automata, op5_chat_prefix, op6_temperature_mixing, op7_suffix_dedup, op8_license_scan, op9_flow_resharding, op10_template_decontamination)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -130,6 +141,56 @@ SELECT conv_id, n_turns, turns_sha256, CAST(loss_chars AS BIGINT) AS loss_chars,
 """
 
 
+_LICENSES = ", ".join(f"('{name}', {i}, '{text}')" for name, texts in license_scan.TEMPLATES.items() for i, text in enumerate(texts))
+_CUE = license_scan.CUE
+ORACLE_SQL["op8_license_scan"] = rf"""
+WITH f AS (SELECT doc_id, text, coalesce(source, '') AS src, coalesce(lang, '') AS lang, len({_WORDS}) AS n FROM documents),
+p AS (SELECT doc_id, text, CASE WHEN n <= 20 THEN src ELSE src || '/' || lang END AS dir, n <= 60 AS lic FROM f),
+l AS (SELECT doc_id, unnest(range(len(ls))) AS notice, unnest(ls) AS t FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS ls FROM p WHERE regexp_matches(text, '{_CUE}'))),
+u AS (SELECT doc_id, notice, unnest(regexp_extract_all(lower(t), '{license_scan.TERM}')) AS term FROM l WHERE regexp_matches(t, '{_CUE}')),
+nn AS (SELECT count(*) AS nn FROM (SELECT DISTINCT doc_id, notice FROM u)),
+df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT * FROM u) GROUP BY term),
+uw AS (SELECT doc_id, notice, term, (1 + ln(tf)) * (ln((1.0 + nn) / (1 + df)) + 1) AS w FROM (SELECT doc_id, notice, term, count(*) AS tf FROM u GROUP BY ALL) JOIN df USING (term), nn),
+t(license, part, text) AS (VALUES {_LICENSES}),
+tw AS (SELECT license, part, term, (1 + ln(tf)) * (ln((1.0 + nn) / (1 + coalesce(df, 0))) + 1) AS w FROM (SELECT license, part, term, count(*) AS tf FROM (SELECT license, part, unnest(regexp_extract_all(lower(text), '{license_scan.TERM}')) AS term FROM t) GROUP BY ALL) LEFT JOIN df USING (term), nn),
+tn AS (SELECT license, part, sqrt(sum(w * w)) AS tn FROM tw GROUP BY ALL), un AS (SELECT doc_id, notice, sqrt(sum(w * w)) AS un FROM uw GROUP BY ALL),
+s AS (SELECT doc_id, notice, license, max(round(dot / (un * tn), 6)) AS score FROM (SELECT doc_id, notice, license, part, sum(uw.w * tw.w) AS dot FROM uw JOIN tw USING (term) GROUP BY ALL) JOIN tn USING (license, part) JOIN un USING (doc_id, notice) GROUP BY ALL),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS r FROM s WHERE score >= 0.6) WHERE r = 1),
+g AS (SELECT dir, arg_min(license, (-score, license)) AS gl, max(score) AS gs, count(DISTINCT license) AS n_licenses FROM p JOIN b USING (doc_id) WHERE lic GROUP BY dir),
+a AS (SELECT dir, unnest([dir, string_split(dir, '/')[1], '']) AS from_dir, unnest([0, 1, 2]) AS distance FROM (SELECT DISTINCT dir FROM p)),
+i AS (SELECT * FROM (SELECT a.dir, from_dir, gl, gs, n_licenses, row_number() OVER (PARTITION BY a.dir ORDER BY distance) AS r FROM a JOIN g ON g.dir = from_dir) WHERE r = 1)
+SELECT p.doc_id, p.dir || '/' || p.doc_id AS path, coalesce(license, gl) AS license, CASE WHEN license IS NOT NULL THEN 'own' WHEN gl IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis,
+  coalesce(score, gs) AS score, CASE WHEN license IS NULL THEN from_dir END AS from_dir, CASE WHEN license IS NULL THEN n_licenses END AS n_licenses
+FROM p LEFT JOIN b USING (doc_id) LEFT JOIN i ON p.dir = i.dir
+"""
+
+ORACLE_SQL["op6_temperature_mixing"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(source, '') AS src, coalesce(text, '') AS text, CAST(len({_WORDS}) AS BIGINT) AS n, md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS m FROM documents),
+t AS (SELECT src, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS tokens FROM d GROUP BY src),
+l AS (SELECT list(tokens / all_tokens) AS s, any_value(all_tokens) AS b, count(*) AS k FROM (SELECT tokens, CAST(sum(tokens) OVER () AS DOUBLE) AS all_tokens FROM t WHERE tokens > 0)),
+h AS (SELECT 0 AS step, 0.0::DOUBLE AS good, 1.0::DOUBLE AS bad FROM l UNION ALL
+  SELECT step + 1, CASE WHEN ok THEN mid ELSE good END, CASE WHEN ok THEN bad ELSE mid END FROM (
+    SELECT step, good, bad, mid, ln(z) - mid * list_sum(list_transform(s, lambda x: exp(mid * ln(x)) * ln(x))) / z >= 0.97 * ln(k) AS ok FROM (
+      SELECT *, (good + bad) / 2 AS mid, list_sum(list_transform(s, lambda x: exp((good + bad) / 2 * ln(x)))) AS z FROM h, l) WHERE step < 45)),
+r AS (SELECT 0 AS step, 1.0::DOUBLE AS good, 0.0::DOUBLE AS bad FROM l UNION ALL
+  SELECT step + 1, CASE WHEN ok THEN mid ELSE good END, CASE WHEN ok THEN bad ELSE mid END FROM (
+    SELECT step, good, bad, mid, list_max(list_transform(s, lambda x: exp(mid * ln(x)) / x)) / z <= 4.0 AS ok FROM (
+      SELECT *, (good + bad) / 2 AS mid, list_sum(list_transform(s, lambda x: exp((good + bad) / 2 * ln(x)))) AS z FROM r, l) WHERE step < 45)),
+e AS (SELECT greatest(CASE WHEN -list_sum(list_transform(s, lambda x: x * ln(x))) >= 0.97 * ln(k) OR k = 1 THEN 1.0 ELSE (SELECT good FROM h ORDER BY step DESC LIMIT 1) END,
+  CASE WHEN list_max(list_transform(s, lambda x: 1.0 / x)) / k <= 4.0 THEN 0.0 ELSE (SELECT good FROM r ORDER BY step DESC LIMIT 1) END) AS a FROM l),
+w AS (SELECT src, n_docs, tokens, p / sum(p) OVER () AS w FROM (SELECT *, exp(a * ln(tokens / b)) AS p FROM t, l, e WHERE tokens > 0)),
+q AS (SELECT src, n_docs, tokens, CAST(floor(greatest(round(w * b, 3), 0)) AS BIGINT) AS q FROM w, l),
+pl AS (SELECT src, n_docs, q // tokens AS f, q % tokens AS rest FROM q UNION ALL SELECT src, n_docs, 1, 0 FROM t WHERE tokens = 0),
+x AS (SELECT d.*, f, rest, substring(m, 1, CAST(greatest(0, ceil(ln(n_docs / 512.0) / ln(16.0) - 1e-9)) AS INT)) AS blk FROM d JOIN pl USING (src)),
+bl AS (SELECT src, blk, sum(n) AS bt, any_value(f) AS f, any_value(rest) AS rest FROM x GROUP BY ALL),
+be AS (SELECT * FROM (SELECT src, blk, bt, f, rest, unnest(range(f + 1)) AS epoch FROM bl) WHERE epoch < f OR rest > 0),
+bo AS (SELECT src, blk, epoch, row_number() OVER w - 1 AS block_rank, sum(bt) OVER w - bt AS before FROM be WINDOW w AS (PARTITION BY src, epoch ORDER BY md5('mix-1|' || src || '|' || epoch || '|' || blk), blk)),
+o AS (SELECT x.*, epoch, block_rank, row_number() OVER w - 1 AS slot, before + sum(n) OVER (w ROWS UNBOUNDED PRECEDING) - n AS start FROM x JOIN bo USING (src, blk)
+  WINDOW w AS (PARTITION BY src, blk, epoch ORDER BY md5('mix-1|' || epoch || '|' || m), m, n, md5(text)))
+SELECT doc_id, source, epoch, block_rank, slot FROM o WHERE epoch < f OR start < rest
+"""
+
+
 def _esc(col: str) -> str:
     out = f"replace({col}, chr(92), chr(92) || chr(92))"
     for c in chat_prefix.CONTROL:
