@@ -9,8 +9,8 @@ drops accidental templates.
 
 Defined results: null and blank texts have no windows; an item shorter than a
 window is one window of its own length; items of placeholders only are not
-searched; repeated doc_ids are judged by row content and reported once per
-(doc_id, item_id); empty tables give an empty result.  Extra columns are not
+searched; documents without an id are not searched and stay; repeated doc_ids
+are judged by row content and reported once per (doc_id, item_id); empty tables give an empty result.  Extra columns are not
 read.
 """
 
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast
+from .common import bounded_broadcast, cut
 
 #: Units replaced after a number (fixed values).
 UNITS = ("cent", "cents", "cm", "day", "days", "degrees", "dollar", "dollars", "euro", "euros", "feet", "foot", "g", "gram", "grams", "hour", "hours", "inch", "inches", "kg", "km", "litre", "litres", "m", "meter", "meters", "mile", "miles", "minute", "minutes", "ml", "mm", "month", "months", "percent", "pound", "pounds", "second", "seconds", "ton", "tons", "week", "weeks", "yard", "yards", "year", "years")
@@ -81,40 +81,46 @@ def _hashed(df: DataFrame, k: int, name: str) -> DataFrame:
     return rows.withColumns({"_h": F.xxhash64(*words), "_literal": literal}).drop("_x")
 
 
+def window_hits(docs: DataFrame, items: DataFrame, settings: Templates) -> DataFrame:
+    """doc_id, _k, item_id, item_at, doc_at: equal template windows.  items: item_id, words, k."""
+    s, found = settings, None
+    lengths = [r[0] for r in items.select("k").distinct().orderBy("k").collect()]  # at most `window` values
+    for k in lengths:
+        item_rows = _hashed(items.where(F.col("k") == k).select("item_id", _windows(F.col("words"), k).alias("_win")), k, "item_at")
+        item_rows = item_rows.where(F.col("_literal") >= min(s.literal, k)).select("item_id", "item_at", "_h")
+        item_side, _ = bounded_broadcast(item_rows, s.broadcast_rows)  # beyond that size the join shuffles by hash
+        doc_rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("_k"), joined_numbers(F.col("text")).alias("_base"))
+        doc_rows = doc_rows.withColumn("_words", template_words(F.col("_base"))).select("doc_id", "_k", _windows(F.col("_words"), k).alias("_win"))
+        hit = _hashed(doc_rows, k, "doc_at").join(item_side, "_h").select("doc_id", "_k", "item_id", "item_at", "doc_at", F.lit(k).alias("k"))
+        found = hit if found is None else found.unionByName(hit)
+    empty = "doc_id bigint, _k bigint, item_id bigint, item_at int, doc_at int, k int"
+    return docs.sparkSession.createDataFrame([], empty) if found is None else found
+
+
 def matches(docs: DataFrame, items: DataFrame, settings: Templates = Templates()) -> DataFrame:
     """doc_id, item_id, n_hits (item windows found), n_windows, n_slots, n_agree, leaked."""
     s = settings
-    base = items.where("item_id is not null and text is not null").select("item_id", joined_numbers(F.col("text")).alias("_base"))
-    base = base.withColumn("_words", template_words(F.col("_base")))
-    sized = base.withColumn("_k", F.least(F.size("_words"), F.lit(s.window))).where("_base rlike '[\\\\p{L}\\\\p{N}]'")
-    lengths = [r[0] for r in sized.select("_k").distinct().orderBy("_k").collect()]  # at most `window` values
-    found = None
-    for k in lengths:
-        item_rows = sized.where(F.col("_k") == k).select("item_id", "_base", _windows(F.col("_words"), k).alias("_win"))
-        need = min(s.literal, k)
-        item_rows = _hashed(item_rows, k, "_at").where(F.col("_literal") >= need).select("item_id", F.col("_at").alias("item_at"), "_h", F.slice(raw_words(F.col("_base")), F.col("_at") + 1, k).alias("item_raw"))
-        # distinct template hashes find the windows; what they stand for is joined later, to the hits only
-        item_side, _ = bounded_broadcast(item_rows, s.broadcast_rows)
-        doc_rows = docs.where("text is not null").select("doc_id", joined_numbers(F.col("text")).alias("_base"))
-        doc_rows = doc_rows.withColumn("_words", template_words(F.col("_base"))).select("doc_id", "_base", _windows(F.col("_words"), k).alias("_win"))
-        doc_rows = _hashed(doc_rows, k, "doc_at")
-        hit = doc_rows.join(item_side, "_h").select("doc_id", "item_id", "item_at", "item_raw", F.slice(raw_words(F.col("_base")), F.col("doc_at") + 1, k).alias("doc_raw"))
-        found = hit if found is None else found.unionByName(hit)
-    schema = "doc_id bigint, item_id bigint, n_hits bigint, n_windows bigint, n_slots bigint, n_agree bigint, leaked boolean"
-    if found is None:
-        return docs.sparkSession.createDataFrame([], schema)
-    sizes = sized.withColumn("_win", F.size("_words") - F.col("_k") + 1)
-    # windows with enough literal words per item, and the slots (item word -> document word) where they differ or may
-    pairs = F.filter(F.zip_with("item_raw", "doc_raw", lambda a, b: F.struct(F.lower(a).alias("a"), F.lower(b).alias("b"))), lambda x: x.getField("a").isNotNull())
-    found = found.select("doc_id", "item_id", "item_at", pairs.alias("_p"))
-    votes = found.select("doc_id", "item_id", F.explode("_p").alias("_p")).groupBy("doc_id", "item_id", "_p.a", "_p.b").agg(F.count("*").alias("_n"))
-    votes = votes.groupBy("doc_id", "item_id", "a").agg(F.max("_n").alias("_top"), F.sum("_n").alias("_n"))
-    votes = votes.groupBy("doc_id", "item_id").agg(F.sum("_n").alias("n_slots"), F.sum("_top").alias("n_agree"))
-    hits = found.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("n_hits"))
-    small, _ = bounded_broadcast(sizes.groupBy("item_id").agg(F.max("_win").cast("long").alias("n_windows")), s.broadcast_rows)
-    out = hits.join(votes, ["doc_id", "item_id"]).join(small, "item_id")
-    enough = F.col("n_hits") >= F.least(F.lit(s.hits).cast("long"), F.col("n_windows"))
-    return out.select("doc_id", "item_id", "n_hits", "n_windows", "n_slots", "n_agree", (enough & (F.col("n_agree") >= s.agreement * F.col("n_slots"))).alias("leaked"))
+    base = items.where("item_id is not null and text rlike '[\\\\p{L}\\\\p{N}]'").select("item_id", joined_numbers(F.col("text")).alias("base"))
+    base = base.withColumn("words", template_words(F.col("base")))
+    base = base.withColumn("k", F.least(F.size("words"), F.lit(s.window)))
+    hits = cut(window_hits(docs, base, s))
+    sizes = base.groupBy("item_id").agg(F.max(F.size("words") - F.col("k") + 1).cast("long").alias("n_windows"))
+    enough = hits.groupBy("doc_id", "_k", "item_id").agg(F.countDistinct("item_at").alias("n_hits")).join(sizes, "item_id")
+    enough = cut(enough.where(F.col("n_hits") >= F.least(F.lit(s.hits).cast("long"), F.col("n_windows"))))
+    # only now the words behind the placeholders, of the documents found, once per document
+    wanted, _ = bounded_broadcast(enough.select("doc_id", "_k").distinct(), s.broadcast_rows)
+    raw = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("_k"), "text").join(wanted, ["doc_id", "_k"], "left_semi").dropDuplicates(["doc_id", "_k"])
+    raw = raw.select("doc_id", "_k", raw_words(joined_numbers(F.col("text"))).alias("_raw"))
+    item_raw = base.select("item_id", raw_words(F.col("base")).alias("_item"))
+    pairs = hits.join(enough.select("doc_id", "_k", "item_id"), ["doc_id", "_k", "item_id"], "left_semi").join(raw, ["doc_id", "_k"]).join(item_raw, "item_id")
+    pairs = pairs.select("doc_id", "_k", "item_id", F.slice("_item", F.col("item_at") + 1, F.col("k")).alias("_a"), F.slice("_raw", F.col("doc_at") + 1, F.col("k")).alias("_b"))
+    votes = pairs.select("doc_id", "_k", "item_id", F.explode_outer(F.arrays_zip("_a", "_b")).alias("_p"))
+    votes = votes.groupBy("doc_id", "_k", "item_id", F.lower("_p._a").alias("a"), F.lower("_p._b").alias("b")).agg(F.count("*").alias("_n"))
+    votes = votes.groupBy("doc_id", "_k", "item_id", "a").agg(F.max("_n").alias("_top"), F.sum("_n").alias("_n"))
+    votes = votes.groupBy("doc_id", "_k", "item_id").agg(F.sum("_n").alias("n_slots"), F.sum("_top").alias("n_agree"))
+    out = enough.join(votes, ["doc_id", "_k", "item_id"]).withColumn("leaked", F.col("n_agree") >= s.agreement * F.col("n_slots"))
+    best = F.max_by(F.struct("n_hits", "n_windows", "n_slots", "n_agree", "leaked"), F.struct("leaked", "n_hits", "n_agree", "_k")).alias("x")
+    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.*")
 
 
 def clean(docs: DataFrame, items: DataFrame, settings: Templates = Templates()) -> DataFrame:
