@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lemmaweave.llm import decontam, mixing, probminhash, quality_ledger, resharding
-from lemmaweave.llm.common import reach_workers, read_table, stored
+from lemmaweave.llm.common import read_table, stored
+from lemmaweave.session import reach_workers
 
 POLICY = "v1"
 #: Every document that is left appears at least once, none more than twice.

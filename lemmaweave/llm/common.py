@@ -8,20 +8,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import reach_workers
+
 #: ASCII white space that separates words, for trimming and as a regex class.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def reach_workers(spark: SparkSession) -> None:
-    """Put this checkout on the path of local Python workers; a cluster ships the package with --py-files."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,6 +48,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files behind the table now
     return spark.read.schema(df.schema).parquet(path)
 
 

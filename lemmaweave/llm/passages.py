@@ -9,10 +9,11 @@ grams and only windows of an equal gram can be equal.  The steps:
 2. texts with recurring grams are stored once; around each recurring anchor lies
    a segment: all windows that picked it.  Occurrences refer to segments by a
    128-bit hash, and equal segments of a task collapse to the first;
-3. an engine decides which segments stand alone in their gram (their windows
-   occur only together) and which are ambiguous; windows of ambiguous segments
-   are resolved one by one, by an aggregation on 128-bit window hashes, which
-   combines before the shuffle;
+3. segments that stand alone in their gram hold windows that occur only together:
+   the first occurrence settles all.  The segments of other grams meet in one
+   task, which finds the first occurrence of each window; those of a hot gram are
+   left to an aggregation on 128-bit window hashes, which combines before the
+   shuffle, so no task holds a hot gram;
 4. each occurrence compares itself with the first of its windows.
 
 Nothing here gathers a gram's or a passage's occurrences in one task.
@@ -142,25 +143,61 @@ def item_hash(segment: bytes) -> tuple[int, int]:
     return (x >> 64) - 2**63, (x & (2**64 - 1)) - 2**63
 
 
-def window_hashes(symbols: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(hashing.signed(hashing.Runs(symbols, which).at(np.arange(n := len(symbols) - window + 1), np.arange(window, window + n))) for which in (0, 1))
+def item_rows(keys: np.ndarray, off: np.ndarray, n: np.ndarray, did: np.ndarray, place: np.ndarray, hashes: list[np.ndarray] | None = None) -> pa.RecordBatch:
+    cols = [pa.array(x) for x in (keys[:, 0], keys[:, 1], off.astype(np.int32), n.astype(np.int32), did, place)]
+    cols += [pa.array(x) for x in hashes] if hashes else [pa.nulls(len(off), pa.int64())] * 2
+    return pa.RecordBatch.from_arrays(cols, ["ih1", "ih2", "off", "n", "fd", "fp", "wh1", "wh2"])
+
+
+def window_rows(keys: np.ndarray, did: np.ndarray, lo: np.ndarray, symbols: np.ndarray, at: np.ndarray, window: int, settle: bool) -> pa.RecordBatch:
+    """ITEM rows of segments at symbols[at[i]:at[i+1]].
+
+    settle: the batch holds all segments of its grams, so first occurrences are found here and
+    neighbouring windows with neighbouring first occurrences become one row.
+    """
+    n = np.maximum(np.diff(at) - window + 1, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    start = at[:-1][row] + off
+    hashes = [hashing.signed(hashing.Runs(symbols, which).at(start, start + window)) for which in (0, 1)]
+    fd, fp = did[row], lo[row] + off
+    if not settle:
+        return item_rows(keys[row], off, np.ones(len(row), np.int64), fd, fp, hashes)
+    order = np.lexsort((fp, fd, hashes[1], hashes[0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(hashes[0][order]) != 0) | (np.diff(hashes[1][order]) != 0)
+    least = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    fd[order], fp[order] = fd[least], fp[least]
+    new = np.ones(len(row), bool)
+    new[1:] = (np.diff(row) != 0) | (np.diff(fd) != 0) | (np.diff(fp - off) != 0)
+    first = np.flatnonzero(new)
+    return item_rows(keys[row[first]], off[first], np.diff(np.append(first, len(row))), fd[first], fp[first])
 
 
 def resolved(items: DataFrame, occurrences: DataFrame, earlier: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
     """did, tk, ranges: runs of removed windows (first, last) of each text.
 
-    items: ITEM rows; off -1 is a segment that stands alone in its gram, with its first occurrence,
-    other rows are single windows with the first occurrence of their segment.
+    items: ITEM rows; without window hashes a run of n windows from off whose first occurrences are
+    fp, fp + 1, ... in fd; with them a single window and the first occurrence of its segment.
     """
-    windows = items.where("off >= 0")
+    windows = items.where("wh1 is not null")
     least = windows.groupBy("wh1", "wh2").agg(F.min(F.struct("fd", "fp")).alias("m"))
     singles = windows.join(least, ["wh1", "wh2"]).select("ih1", "ih2", F.struct("off", F.lit(1).alias("n"), F.col("m.fd").alias("fd"), F.col("m.fp").alias("fp")).alias("v"))
-    whole = items.where("off < 0").select("ih1", "ih2", F.struct(F.lit(0).alias("off"), "n", "fd", "fp").alias("v"))
+    whole = items.where("wh1 is null").select("ih1", "ih2", F.struct("off", "n", "fd", "fp").alias("v"))
     verdicts = singles.unionByName(whole).groupBy("ih1", "ih2").agg(F.collect_list("v").alias("v"))
     rows = occurrences.join(verdicts, ["ih1", "ih2"])
-    gone = F.filter("v", lambda v: earlier(v["fd"], v["fp"], F.col("did"), F.col("lo") + v["off"]))
-    gone = F.transform(gone, lambda v: F.struct((F.col("lo") + v["off"]).alias("a"), (F.col("lo") + v["off"] + v["n"] - 1).alias("b")))
-    return rows.select("did", "tk", gone.alias("g")).where(F.size("g") > 0).groupBy("did", "tk").agg(F.flatten(F.collect_list("g")).alias("ranges"))
+    span = lambda lo, v: F.struct((lo + v["off"]).alias("a"), (lo + v["off"] + v["n"] - 1).alias("b"))
+    gone = F.transform("v", lambda v: F.transform(F.filter("los", lambda lo: earlier(v["fd"], v["fp"], F.col("did"), lo + v["off"])), lambda lo: span(lo, v)))
+    return rows.select("did", "tk", F.flatten(gone).alias("g")).where(F.size("g") > 0).groupBy("did", "tk").agg(F.flatten(F.collect_list("g")).alias("ranges"))
+
+
+def by_item(rows: list[tuple]) -> dict[tuple, list[int]]:
+    """Occurrences (did, tk, lo, ...rest) with equal text and item as one row with all its places: a text of one
+    repeated word is a few rows, not one per window."""
+    out: dict[tuple, list[int]] = {}
+    for did, tk, lo, *rest in rows:
+        out.setdefault((did, tk, *rest), []).append(lo)
+    return out
 
 
 def covered(ranges: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:

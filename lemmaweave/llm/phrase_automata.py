@@ -57,8 +57,8 @@ def located(texts: list[str], phrases: list[str]) -> Iterator[tuple[int, int, in
 
 
 def occurrences(texts: DataFrame, unit: Words) -> DataFrame:
-    """kind o: one row per occurrence; kind s: one row per task and distinct segment."""
-    schema = "kind string, did bigint, tk bigint, lo bigint, n int, h bigint, ih1 bigint, ih2 bigint, segment string"
+    """kind o: one row per text and segment, with all its places; kind s: one row per task and distinct segment."""
+    schema = "kind string, did bigint, tk bigint, lo bigint, n int, h bigint, ih1 bigint, ih2 bigint, segment string, los array<bigint>"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments: dict[tuple[int, int], list] = {}
@@ -82,50 +82,65 @@ def occurrences(texts: DataFrame, unit: Words) -> DataFrame:
                     segment = " ".join(words[a : b + unit.window])
                     key = passages.item_hash(segment.encode())
                     place = (int(did[lo + t]), int(a - at[t]))
-                    out.append((place[0], int(tk[lo + t]), place[1], int(b - a + 1), int(g), *key))
+                    out.append((place[0], int(tk[lo + t]), place[1], *key))
                     known = segments.get(key)
                     if known is None:
                         segments[key] = [place, int(b - a + 1), int(g), segment]
                     elif place < known[0]:
                         known[0] = place
-                yield _batch(["o"] * len(out), *([list(c) for c in zip(*out, strict=True)] or [[]] * 7), [None] * len(out))
+                found, none = passages.by_item(out), [None] * len(out)
+                none = none[: len(found)]
+                d, k, x, y = ([key[i] for key in found] for i in range(4))
+                yield _batch(["o"] * len(found), d, k, none, none, none, x, y, none, list(found.values()))
         items = list(segments.items())
         for i in range(0, len(items), 4096):
             part = items[i : i + 4096]
-            yield _batch(["s"] * len(part), [v[0][0] for _, v in part], [None] * len(part), [v[0][1] for _, v in part], [v[1] for _, v in part], [v[2] for _, v in part], [k[0] for k, _ in part], [k[1] for k, _ in part], [v[3] for _, v in part])
+            yield _batch(["s"] * len(part), [v[0][0] for _, v in part], [None] * len(part), [v[0][1] for _, v in part], [v[1] for _, v in part], [v[2] for _, v in part], [k[0] for k, _ in part], [k[1] for k, _ in part], [v[3] for _, v in part], [None] * len(part))
 
     return texts.mapInArrow(rows, schema)
 
 
-def _batch(kind: list, did: list, tk: list, lo: list, n: list, h: list, ih1: list, ih2: list, segment: list) -> pa.RecordBatch:
+def _batch(kind: list, did: list, tk: list, lo: list, n: list, h: list, ih1: list, ih2: list, segment: list, los: list) -> pa.RecordBatch:
     big = lambda x: pa.array(x, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), big(did), big(tk), big(lo), pa.array(n, pa.int32()), big(h), big(ih1), big(ih2), pa.array(segment, pa.string())], ["kind", "did", "tk", "lo", "n", "h", "ih1", "ih2", "segment"])
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), big(did), big(tk), big(lo), pa.array(n, pa.int32()), big(h), big(ih1), big(ih2), pa.array(segment, pa.string()), pa.array(los, pa.list_(pa.int64()))], ["kind", "did", "tk", "lo", "n", "h", "ih1", "ih2", "segment", "los"])
 
 
-def items(segments: DataFrame, unit: Words) -> DataFrame:
-    """passages.ITEM rows: whole segments alone in their gram, the windows of the others."""
-    several = segments.groupBy("h").agg((F.min("ih1") != F.max("ih1")).alias("several"))
-    # one row per segment is enough: the first; the text travels to windows only for ambiguous ones
-    least = segments.groupBy("ih1", "ih2").agg(F.min(F.struct("did", "lo")).alias("m"), F.max("n").alias("n"), F.max("h").alias("h"))
-    least = least.join(several, "h").select("ih1", "ih2", "n", "several", F.col("m.did").alias("fd"), F.col("m.lo").alias("fp"))
-    alone = least.where("not several").select("ih1", "ih2", F.lit(-1).alias("off"), "n", "fd", "fp", F.lit(None).cast("long").alias("wh1"), F.lit(None).cast("long").alias("wh2"))
-    # the text of the first occurrence: (segment, did, lo) is one row
-    mixed = segments.join(least.where("several").select("ih1", "ih2", F.col("fd").alias("did"), F.col("fp").alias("lo")), ["ih1", "ih2", "did", "lo"])
+#: segments of one gram that one task may gather; the windows of a hotter gram go to an aggregation instead
+HOT = 4096
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = hashing.texts(batch.column("segment"))
-            for lo, hi in hashing.pieces(offsets):
-                h, _, _, at = hashing.word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                n = np.maximum(np.diff(at) - unit.window + 1, 0)
-                row = np.repeat(np.arange(hi - lo), n)
-                off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                start = at[:-1][row] + off
-                hashes = [hashing.signed(hashing.Runs(h, which).at(start, start + unit.window)) for which in (0, 1)]
-                col = lambda name: batch.column(name).to_numpy()[lo + row]  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(col("ih1")), pa.array(col("ih2")), pa.array(off.astype(np.int32)), pa.array(np.ones(len(row), np.int32)), pa.array(col("did")), pa.array(col("lo") + off), pa.array(hashes[0]), pa.array(hashes[1])], ["ih1", "ih2", "off", "n", "fd", "fp", "wh1", "wh2"])
 
-    return alone.unionByName(mixed.select("ih1", "ih2", "did", "lo", "segment").mapInArrow(windows, passages.ITEM))
+def items(segments: DataFrame, unit: Words, hot: int = HOT) -> DataFrame:
+    """passages.ITEM rows: whole segments alone in their gram, runs of windows of the others."""
+    grams = segments.groupBy("h").agg((F.min("ih1") != F.max("ih1")).alias("several"), F.count("*").alias("rows"))
+    least = segments.groupBy("ih1", "ih2").agg(F.min(F.struct("did", "lo")).alias("m"), F.max("n").alias("n"), F.max("h").alias("h"))
+    least = least.join(grams, "h").select("h", "ih1", "ih2", "n", "several", "rows", F.col("m.did").alias("did"), F.col("m.lo").alias("lo"))
+    none = F.lit(None).cast("long")
+    alone = least.where("not several").select("ih1", "ih2", F.lit(0).alias("off"), "n", F.col("did").alias("fd"), F.col("lo").alias("fp"), none.alias("wh1"), none.alias("wh2"))
+    # the text travels only for segments of several: (segment, did, lo) is one row
+    mixed = segments.select("ih1", "ih2", "did", "lo", "segment").join(least.where("several").select("h", "ih1", "ih2", "did", "lo", "rows"), ["ih1", "ih2", "did", "lo"])
+
+    def windows(settle: bool):  # noqa: ANN202
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            for batch in batches:
+                if settle:
+                    held.append(batch)
+                else:
+                    yield out(batch)
+            if held:
+                yield out(pa.Table.from_batches(held).combine_chunks())
+
+        def out(part) -> pa.RecordBatch:  # noqa: ANN001
+            h, _, _, at = hashing.word_hashes(*hashing.texts(part.column("segment")))
+            keys = np.column_stack([part.column(c).to_numpy() for c in ("ih1", "ih2")])
+            return passages.window_rows(keys, part.column("did").to_numpy().copy(), part.column("lo").to_numpy(), h, at, unit.window, settle)
+
+        return rows
+
+    columns = ["ih1", "ih2", "did", "lo", "segment"]
+    cold = mixed.where(F.col("rows") <= hot).repartition(passages.parts_of(segments), "h").select(columns).mapInArrow(windows(True), passages.ITEM)
+    warm = mixed.where(F.col("rows") > hot).select(columns).mapInArrow(windows(False), passages.ITEM)
+    return alone.unionByName(cold).unionByName(warm)
 
 
 def removed_words(docs: DataFrame, window: int = 50, gram: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -134,7 +149,7 @@ def removed_words(docs: DataFrame, window: int = 50, gram: int = 8) -> tuple[Dat
     texts = passages.involved(passages.keyed(docs), unit)
     found = stored(occurrences(texts, unit), "passages-found")
     rows = stored(items(found.where("kind = 's'"), unit), "passages-items")
-    places = found.where("kind = 'o'").select("did", "tk", "lo", "ih1", "ih2")
+    places = found.where("kind = 'o'").select("did", "tk", "los", "ih1", "ih2")
     return texts, passages.resolved(rows, places, lambda fd, fp, did, lo: fd < did)
 
 

@@ -155,8 +155,8 @@ def merged(runs: list[Run]) -> Iterator[tuple[int, bytes, int, int, int]]:
 
 
 def sorted_runs(texts: DataFrame, unit: Bytes) -> DataFrame:
-    """kind o: occurrences with the front of their suffix; kind r: pieces of each task's sorted run."""
-    schema = "kind string, did bigint, tk bigint, lo bigint, n int, ih1 bigint, ih2 bigint, front bigint, run array<binary>"
+    """kind o: texts and items with all places and the front of the suffix; kind r: pieces of each task's sorted run."""
+    schema = "kind string, did bigint, tk bigint, los array<bigint>, ih1 bigint, ih2 bigint, front bigint, run array<binary>"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first_of: dict[tuple[bytes, int], tuple[int, int]] = {}
@@ -174,20 +174,21 @@ def sorted_runs(texts: DataFrame, unit: Bytes) -> DataFrame:
                     old = first_of.get((item, left))
                     if old is None or place < old:
                         first_of[item, left] = place
-                    out.append((place[0], int(tk[lo + t]), place[1], b - a + 1, *passages.item_hash(raw[a : b + unit.window]), int.from_bytes(item[:8], "big") - 2**63))
-                cols = [list(c) for c in zip(*out, strict=True)] or [[]] * 7
-                yield _batch(["o"] * len(out), *cols, [None] * len(out))
+                    out.append((place[0], int(tk[lo + t]), place[1], *passages.item_hash(raw[a : b + unit.window]), int.from_bytes(item[:8], "big") - 2**63))
+                found = passages.by_item(out)
+                d, k, x, y, front = ([key[i] for key in found] for i in range(5))
+                yield _batch(["o"] * len(found), d, k, list(found.values()), x, y, front, [None] * len(found))
         order = sorted((item, left, *place) for (item, left), place in first_of.items())
         for i in range(0, len(order), 4096):
             run = front_coded(order[i : i + 4096])
-            yield _batch(["r"], [None], [None], [None], [None], [None], [None], [None], [list(run.packed())])
+            yield _batch(["r"], [None], [None], [None], [None], [None], [None], [list(run.packed())])
 
     return texts.mapInArrow(rows, schema)
 
 
-def _batch(kind: list, did: list, tk: list, lo: list, n: list, ih1: list, ih2: list, front: list, run: list) -> pa.RecordBatch:
+def _batch(kind: list, did: list, tk: list, los: list, ih1: list, ih2: list, front: list, run: list) -> pa.RecordBatch:
     big = lambda x: pa.array(x, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), big(did), big(tk), big(lo), pa.array(n, pa.int32()), big(ih1), big(ih2), big(front), pa.array(run, pa.list_(pa.binary()))], ["kind", "did", "tk", "lo", "n", "ih1", "ih2", "front", "run"])
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), big(did), big(tk), pa.array(los, pa.list_(pa.int64())), big(ih1), big(ih2), big(front), pa.array(run, pa.list_(pa.binary()))], ["kind", "did", "tk", "los", "ih1", "ih2", "front", "run"])
 
 
 def splitters(found: DataFrame, shards: int) -> np.ndarray:
@@ -221,25 +222,16 @@ def exchanged(found: DataFrame, cuts: np.ndarray) -> DataFrame:
     return found.where("kind = 'r'").select("run").mapInArrow(rows, "shard int, several boolean, run array<binary>")
 
 
-def _item_rows(group: list[tuple[bytes, int, int, int]], unit: Bytes, windows: bool) -> pa.RecordBatch:
-    """ITEM rows: one for each item, or one for each of its windows."""
+def _item_rows(group: list[tuple[bytes, int, int, int]], unit: Bytes, kind: str) -> pa.RecordBatch:
+    """ITEM rows of items that stand alone, of whole groups to settle here, or of single windows."""
     texts = [item[len(item) - left :] + item[: len(item) - left] for item, left, _, _ in group]
     keys = np.array([passages.item_hash(t) for t in texts], np.int64).reshape(-1, 2)
     size = np.array([len(t) for t in texts])
     did, lo = (np.array([g[i] for g in group], np.int64) for i in (2, 3))
-    n = size - unit.window + 1
-    if not windows:
-        none = pa.nulls(len(group), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(np.full(len(group), -1, np.int32)), pa.array(n.astype(np.int32)), pa.array(did), pa.array(lo), none, none], _ITEM)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    row = np.repeat(np.arange(len(group)), n)
-    off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    start = np.repeat(np.cumsum(size) - size, n) + off
-    hashes = [hashing.signed(hashing.Runs(data, which).at(start, start + unit.window)) for which in (0, 1)]
-    return pa.RecordBatch.from_arrays([pa.array(keys[row, 0]), pa.array(keys[row, 1]), pa.array(off.astype(np.int32)), pa.array(np.ones(len(row), np.int32)), pa.array(did[row]), pa.array(lo[row] + off), pa.array(hashes[0]), pa.array(hashes[1])], _ITEM)
-
-
-_ITEM = ["ih1", "ih2", "off", "n", "fd", "fp", "wh1", "wh2"]
+    if kind == "alone":
+        return passages.item_rows(keys, np.zeros(len(group), np.int64), size - unit.window + 1, did, lo)
+    at = np.concatenate(([0], np.cumsum(size)))
+    return passages.window_rows(keys, did, lo, np.frombuffer(b"".join(texts), np.uint8), at, unit.window, kind == "settle")
 
 
 def merged_items(runs: DataFrame, unit: Bytes) -> DataFrame:
@@ -250,32 +242,30 @@ def merged_items(runs: DataFrame, unit: Bytes) -> DataFrame:
         for batch in batches:
             for shard, several, cells in zip(batch.column("shard").to_pylist(), batch.column("several").to_pylist(), batch.column("run"), strict=True):
                 shards.setdefault((shard, several), []).append(Run.unpacked(cells.as_py()))
-        alone: list = []
-        mixed: list = []
+        waiting: dict[str, list] = {"alone": [], "settle": [], "windows": []}
+
+        def put(kind: str, rows: list) -> Iterator[pa.RecordBatch]:
+            waiting[kind] += rows
+            if len(waiting[kind]) > 2048:
+                yield _item_rows(waiting[kind], unit, kind)
+                waiting[kind] = []
+
         for (_, several), runs in shards.items():
             group: list = []
             for shared, item, left, did, lo in merged(runs):
-                if group and shared < unit.gram:  # another gram begins
-                    (mixed if several or len(group) > 1 else alone).extend(group)
+                if shared < unit.gram:  # another gram begins
+                    yield from put("windows" if several else "settle" if len(group) > 1 else "alone", group)
                     group = []
                 last = group[-1] if group else None
                 if last and shared == len(item) == len(last[0]) and left == last[1]:
                     continue  # equal, and later: the tree puts the earlier first
                 group.append((item, left, did, lo))
-                if several and len(group) > 1:
-                    mixed.append(group.pop(0))
-                if len(mixed) > 2048:
-                    yield _item_rows(mixed, unit, True)
-                    mixed = []
-            if group:
-                (mixed if several or len(group) > 1 else alone).extend(group)
-            if len(alone) > 2048:
-                yield _item_rows(alone, unit, False)
-                alone = []
-        if alone:
-            yield _item_rows(alone, unit, False)
-        if mixed:
-            yield _item_rows(mixed, unit, True)
+                if several and len(group) > 1:  # a hot gram is not gathered
+                    yield from put("windows", [group.pop(0)])
+            yield from put("windows" if several else "settle" if len(group) > 1 else "alone", group)
+        for kind, rows in waiting.items():
+            if rows:
+                yield _item_rows(rows, unit, kind)
 
     return runs.repartition(passages.parts_of(runs), "shard").mapInArrow(rows, passages.ITEM)
 
@@ -286,7 +276,7 @@ def removed_bytes(docs: DataFrame, window: int = 100, gram: int = 40) -> tuple[D
     texts = passages.involved(passages.keyed(docs), unit)
     found = stored(sorted_runs(texts, unit), "passages-runs")
     items = stored(merged_items(exchanged(found, splitters(found, passages.parts_of(docs))), unit), "passages-items")
-    places = found.where("kind = 'o'").select("did", "tk", "lo", "ih1", "ih2")
+    places = found.where("kind = 'o'").select("did", "tk", "los", "ih1", "ih2")
     return texts, passages.resolved(items, places, lambda fd, fp, did, lo: (fd < did) | ((fd == did) & (fp < lo)))
 
 
