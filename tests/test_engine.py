@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lemmaweave.functions import identity, tex
 from lemmaweave.operators import extract, graph, relational, state
-from lemmaweave.plans import catalog
+from lemmaweave.plans import extraction as catalog
 from lemmaweave.sources import store
 
 MAIN = r"""\documentclass{article}

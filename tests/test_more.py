@@ -70,3 +70,46 @@ def test_reports(spark):
     out = report.reading_report(docs, "local:p")
     assert "t: dependency\\_first" in out.replace("dependency_first", "dependency\\_first") and "no (unresolved)" in out and "citation k (missing_bib_entry)" in out
     assert docs.select(F.size("proofs")).first()[0] == 2
+
+
+def test_archives_are_bounded():
+    import gzip
+    import io
+    import tarfile
+
+    from lemmaweave.sources import archive
+
+    def tar(*names: str) -> bytes:
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w:gz") as t:
+            for n in names:
+                info = tarfile.TarInfo(n)
+                body = b"\\documentclass{a}\\begin{document}\\end{document}"
+                info.size = len(body)
+                t.addfile(info, io.BytesIO(body))
+        return out.getvalue()
+
+    files = archive.unpack(tar("x/a.tex", "main.tex"))
+    assert sorted(files) == ["main.tex", "x/a.tex"] and archive.main_file(files) == "main.tex"
+    with pytest.raises(archive.Unsafe):
+        archive.unpack(tar("../a.tex"))
+    with pytest.raises(archive.Unsafe):
+        archive.unpack(tar("a.tex", "b.tex"), members=1)
+    assert list(archive.unpack(gzip.compress(b"\\documentclass{a}"))) == ["main.tex"]
+    with pytest.raises(ValueError):
+        archive.main_file(archive.unpack(tar("a.tex", "b.tex")))
+
+
+def test_provider_answers(spark):
+    import json
+
+    from lemmaweave.sources import providers
+
+    item = {"DOI": "10.1/X", "title": ["T"], "author": [{"given": "A", "family": "B"}], "issued": {"date-parts": [[1999, 1]]}, "published-online": {"date-parts": [[2000]]}}
+    rows = [("b", "crossref", 200, json.dumps({"message": {"items": [item]}})), ("c", "crossref", 429, None), ("d", "crossref", 200, "{"), ("e", "crossref", 200, json.dumps({"message": {"items": []}}))]
+    got = {r.blocked_id: r for r in providers.crossref(spark.createDataFrame(rows, "blocked_id string, provider string, status int, body string")).collect()}
+    assert (got["b"].title, got["b"].authors, got["b"].year, got["b"].doi) == ("T", ["A B"], "2000", "10.1/x")
+    assert [got[k].outcome for k in "bcde"] == ["ok", "rate_limited", "invalid_response", "empty"]
+    work = {"doi": "https://doi.org/10.1/Y", "title": "W", "authorships": [{"author": {"display_name": "C D"}}], "publication_year": 2001, "is_retracted": True, "locations": [{"landing_page_url": "https://arxiv.org/abs/2001.01234v1"}]}
+    one = providers.openalex(spark.createDataFrame([("b", "openalex", 200, json.dumps({"results": [work]}))], "blocked_id string, provider string, status int, body string")).first()
+    assert (one.doi, one.arxiv_id, one.year, one.is_retracted) == ("10.1/y", "2001.01234v1", "2001", True)
