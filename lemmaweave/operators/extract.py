@@ -7,6 +7,7 @@ ambiguous and none stays unresolved, as rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,7 +26,8 @@ DOCUMENT = f"paper_id string, error string, title string, statements array<{STAT
 
 def _entry(e: dict, path: str) -> dict:
     f = e["fields"]
-    tries = [f.get("eprint") if f.get("archiveprefix", "").lower() == "arxiv" else None, f.get("arxiv"), f.get("url"), f.get("note")]
+    in_note = re.search(r"(?i)\barxiv:\s*([a-z0-9./-]*[a-z0-9])", f.get("note", ""))
+    tries = [f.get("eprint") if f.get("archiveprefix", "").lower() == "arxiv" else None, f.get("arxiv"), f.get("url"), in_note[1] if in_note else None]
     name, version = next(((a, v) for a, v in map(identity.arxiv, tries) if a), (None, None))
     doi = identity.identifier(f["doi"], "doi") if f.get("doi") else {}
     year = f.get("year", "")
@@ -38,6 +40,10 @@ def read_project(paper_id: str, main: str, files: dict[str, str]) -> dict:
     none: list = []
     try:
         merged = tex.merge(files, main)
+        inline = tex.inline_bibliography(merged.text)
+        listed = [(path, e) for path, content in sorted(files.items()) if path.endswith(".bib") for e in tex.bibtex(content)]
+        if {e["key"].casefold() for e in inline} & {e["key"].casefold() for _, e in listed}:
+            raise ValueError("a bibliography key in two sources")
     except (ValueError, FileNotFoundError) as problem:
         return {"paper_id": paper_id, "error": f"{type(problem).__name__}: {problem}", "title": None, "statements": none, "proofs": none, "citations": none, "entries": none}
     text, scan = merged.text, tex.mask(merged.text)
@@ -50,7 +56,7 @@ def read_project(paper_id: str, main: str, files: dict[str, str]) -> dict:
         "paper_id": paper_id, "error": None, "title": title, "proofs": proofs,
         "statements": [{k: getattr(s, k) for k in ("local_id", "kind", "display_kind", "normalized_kind", "label", "visible_number", "title", "content", "refs", "position")} | {"source_file": home(s.position)} for s in found],
         "citations": [{"command": c, "key": k, "position": a, "source_file": home(a)} for c, k, a, _ in tex.keys(scan, tex.CITATIONS)],
-        "entries": [_entry(e, path) for path, content in sorted(files.items()) if path.endswith(".bib") for e in tex.bibtex(content)],
+        "entries": [_entry(e, path) for path, e in listed] + [_entry(e, home(e["start"])) for e in inline],
     }
 
 
@@ -88,6 +94,23 @@ def proof_mentions(docs: DataFrame) -> DataFrame:
     return _resolved(rows, docs.select("paper_id", F.inline("statements")))
 
 
+def roadmap_mentions(docs: DataFrame) -> DataFrame:
+    """paper_id, proof, kind, ref_label (a number), target, resolution_status of results that a proof announces to prove."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(p, n, k, v) for p, n, t in zip(batch["paper_id"], batch["number"], batch["text"], strict=True) for k, v, _ in tex.roadmap(tex.mask(t))]
+            yield pd.DataFrame(out, columns=["paper_id", "proof", "kind", "ref_label"])
+
+    said = docs.select("paper_id", F.inline("proofs")).select("paper_id", "number", "text").mapInPandas(rows, "paper_id string, proof bigint, kind string, ref_label string")
+    key = lambda kind, number: F.concat_ws("\x1f", "paper_id", kind, F.lower(number))
+    known = docs.select("paper_id", F.inline("statements"))
+    # one unknown number of a kind makes all numbers of that kind useless
+    unknown = known.where("visible_number is null").select("paper_id", "normalized_kind").distinct()
+    named = known.where("visible_number is not null").join(unknown, ["paper_id", "normalized_kind"], "left_anti").select(key("normalized_kind", "visible_number").alias("_key"), "local_id")
+    return tristate(said.withColumn("_key", key("kind", "ref_label")), "_key", named, "local_id").drop("_key")
+
+
 def citation_records(docs: DataFrame, papers: DataFrame | None = None) -> DataFrame:
     """paper_id, key, command, position, arxiv_id, doi, resolution_status, target_paper_id.
 

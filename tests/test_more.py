@@ -113,3 +113,27 @@ def test_provider_answers(spark):
     work = {"doi": "https://doi.org/10.1/Y", "title": "W", "authorships": [{"author": {"display_name": "C D"}}], "publication_year": 2001, "is_retracted": True, "locations": [{"landing_page_url": "https://arxiv.org/abs/2001.01234v1"}]}
     one = providers.openalex(spark.createDataFrame([("b", "openalex", 200, json.dumps({"results": [work]}))], "blocked_id string, provider string, status int, body string")).first()
     assert (one.doi, one.arxiv_id, one.year, one.is_retracted) == ("10.1/y", "2001.01234v1", "2001", True)
+
+
+def test_proof_entries(spark):
+    from lemmaweave.operators import correspondence
+
+    rows = [("a", "theorem", "1", "Theorem 1 (= Theorem 4). x"), ("b", "theorem", "4", "Theorem 4. y"), ("c", "lemma", "2", "Lemma 2 (= Lemma 3) z"), ("d", "lemma", "3", "Lemma 3. (= Lemma 2)"), ("e", "claim", "7", "Claim 7 (= Claim 9)"), ("f", "claim", "8", "plain")]
+    rows += [(f"h{i}", "corollary", str(i), f"Corollary {i} (= Corollary {i + 1})") for i in range(10, 20)]
+    st = spark.createDataFrame([("p", *r) for r in rows], "paper_id string, local_id string, kind string, visible_number string, statement string")
+    proofs = spark.createDataFrame([("p", "b"), ("p", None)], "paper_id string, owner string")
+    got = {r.local_id: (r.status, r.proof_of) for r in correspondence.proof_entries(st, proofs).collect()}
+    assert got["a"] == ("corresponding_proof", "b") and got["b"] == ("direct", "b") and got["f"] == ("not_found", None)
+    assert got["c"][0] == got["d"][0] == "correspondence_cycle" and got["e"][0] == "missing_correspondence_target"
+    assert got["h10"][0] == "correspondence_hop_limit" and got["h19"][0] == "missing_correspondence_target"
+
+
+def test_roadmaps_and_inline_bibliographies(spark):
+    from lemmaweave.functions import tex
+
+    assert [x[:2] for x in tex.roadmap("Now it remains to prove Lemmas 1.2 and 3. Lemma 4. We next prove Corollaries A, B;")] == [("lemma", "1.2"), ("lemma", "3"), ("corollary", "A"), ("corollary", "B")]
+    text = r"\begin{lemma}x\end{lemma}\begin{proof}We prove Lemma 1 and Lemma 2.\end{proof}\begin{thebibliography}{9}\bibitem[K]{k} A, arXiv:2001.01234v2. \bibitem{l} doi: 10.1/ab.\end{thebibliography}\cite{k}"
+    docs = extract.documents(spark.createDataFrame([("p", "m.tex", {"m.tex": text})], "paper_id string, main string, files map<string,string>"))
+    assert [(r.ref_label, r.target, r.resolution_status) for r in extract.roadmap_mentions(docs).orderBy("ref_label").collect()] == [("1", "lemma:1", "resolved_unique"), ("2", None, "unresolved")]
+    assert [(e.key, e.arxiv_id) for e in docs.first().entries] == [("k", "2001.01234"), ("l", None)]
+    assert extract.citation_records(docs).first().resolution_status == "resolved_candidate"
