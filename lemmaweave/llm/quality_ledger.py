@@ -22,7 +22,7 @@ SYMBOLS = r"[#*$%&|<>]"
 RULES: tuple[tuple[str, str], ...] = (
     ("few_words", "n_words < 50"),
     ("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
-    ("symbol_heavy", "n_symbols > n_words"),
+    ("symbol_heavy", "10 * n_symbols > 3 * n_words"),
     ("duplicate_lines", "n_dup_lines >= 3 and 100 * n_dup_lines > 50 * n_lines"),
     ("word_length", "word_chars < 2 * n_words or word_chars > 20 * n_words"),
     ("shouting", "n_upper > 50 and 100 * n_upper > 60 * word_chars"),

@@ -122,7 +122,7 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(l
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
   coalesce(n_lines, 0) AS n_lines, length(t) - length(regexp_replace(t, '\p{{Lu}}+', '', 'g')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_exclaim
   FROM d LEFT JOIN n USING (rid) LEFT JOIN l USING (rid)),
-f AS (SELECT *, CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END + CASE WHEN n_symbols > n_words THEN 4 ELSE 0 END
+f AS (SELECT *, CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END
   + CASE WHEN n_dup_lines >= 3 AND 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 16 ELSE 0 END
   + CASE WHEN n_upper > 50 AND 100 * n_upper > 60 * word_chars THEN 32 ELSE 0 END + CASE WHEN n_exclaim > n_words THEN 64 ELSE 0 END AS BIGINT) AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, (failed & 47) = 0 AS kept, failed FROM f
