@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_array
+from .common import bounded_broadcast, cut, word_array
 
 DEPTH, ROUNDS = 5, 9  # bisection levels decided by one job, and jobs
 
@@ -37,6 +37,8 @@ class Mix:
     budget: int | None = None
     block_docs: int = 512
     seed: str = "mix-1"
+    #: up to so many sources the table of quotas is broadcast, beyond it is joined by key
+    broadcast_sources: int = 100_000
 
 
 def source_key() -> Column:
@@ -113,12 +115,15 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), keep: tuple[str, ...] = ()) -> Data
     (source, epoch, block_rank, slot) orders the emission of each source.
     """
     carried = [c for c in keep if c not in ("doc_id", "source", "n_tokens")]
-    slim = with_tokens(docs.select("doc_id", "source", "text", *[c for c in carried if c != "text"]))
-    plan = cut(quotas(cut(source_totals(slim)), mix))
+    # of the text only its length and hash go on, unless it is to be kept
+    slim = with_tokens(docs.select("doc_id", "source", "text", *[c for c in carried if c != "text"])).withColumn("_tie", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    slim = slim.select("doc_id", "source", "n_tokens", "_tie", *carried)
+    plan = cut(quotas(cut(source_totals(with_tokens(docs.select("source", "text")))), mix))
     digits = F.greatest(F.lit(0), F.ceil(F.log(F.col("n_docs") / float(mix.block_docs)) / F.log(F.lit(16.0)) - 1e-9)).cast("int")
     plan = plan.withColumn("_d", digits)
     mark = F.md5(F.concat_ws("|", F.lit(mix.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    # the table of sources is joined by key; a hot source is split by adaptive execution
+    # a broadcast join leaves the rows of a hot source where they are; blocks spread them afterwards
+    plan, _ = bounded_broadcast(plan, mix.broadcast_sources)
     rows = slim.withColumn("src", source_key()).withColumn("_m", mark).join(plan, "src")
     rows = rows.withColumn("_block", F.substring("_m", F.lit(1), F.col("_d")))
     # blocks: (source, epoch, block) with their tokens
@@ -126,7 +131,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), keep: tuple[str, ...] = ()) -> Data
     blocks = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full")))).where("epoch < full or rest > 0")
     turn = Window.partitionBy("src", "epoch").orderBy(F.md5(F.concat_ws("|", F.lit(mix.seed), "src", "epoch", "_block").cast("binary")), "_block")
     blocks = blocks.select("src", "_block", "epoch", (F.row_number().over(turn) - 1).cast("long").alias("block_rank"), (F.sum("_bt").over(turn) - F.col("_bt")).alias("_before"))
-    inside = Window.partitionBy("src", "_block", "epoch").orderBy(F.md5(F.concat_ws("|", F.lit(mix.seed), "epoch", "_m").cast("binary")), "_m", "n_tokens", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    inside = Window.partitionBy("src", "_block", "epoch").orderBy(F.md5(F.concat_ws("|", F.lit(mix.seed), "epoch", "_m").cast("binary")), "_m", "n_tokens", "_tie")
     out = rows.join(blocks, ["src", "_block"])
     out = out.withColumns({"slot": (F.row_number().over(inside) - 1).cast("long"), "_start": F.col("_before") + F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")})
     out = out.where("epoch < full or _start < rest")
