@@ -31,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -187,15 +187,20 @@ def block_links(members: DataFrame, settings: NearDup) -> DataFrame:
     sized = members.groupBy("comp", "label").agg(F.count("*").alias("n"))
     whole = sized.groupBy("comp").agg(F.max_by("label", F.struct("n", "label")).alias("big"), F.sum("n").alias("_all"), F.max("n").alias("_most")).where("_all > _most")
     rows = members.join(whole, "comp")
-    blocks = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(n / settings.block).cast("long"))
-
-    def gathered(df: DataFrame, block, name: str) -> DataFrame:  # noqa: ANN001
-        return df.withColumn("_b", block).groupBy("comp", "_b").agg(F.collect_list(F.struct("id", "label", "set")).alias(name)).drop("_b")
-
-    queries = gathered(rows.where("label <> big"), blocks(1, F.col("_all") - F.col("_most")), "q")
-    against = gathered(rows, blocks(2, F.col("_all")), "m")
-    tasks = queries.join(against, "comp").select("q", "m")
-    parts = members.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = lambda n: F.ceil(n / settings.block).cast("long")
+
+    def gathered(df: DataFrame, seed: int, n: Column, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("id", F.lit(seed)), count(n))
+        # dealt by group and block: the blocks of a large group lie in different tasks
+        df = df.withColumn("_b", block).repartition(parts, "comp", "_b")
+        return df.groupBy("comp", "_b").agg(F.collect_list(F.struct("id", "label", "set")).alias(name), F.first(count(F.col("_all"))).alias("_blocks"))
+
+    queries = gathered(rows.where("label <> big"), 1, F.col("_all") - F.col("_most"), "q")
+    against = gathered(rows, 2, F.col("_all"), "m")
+    # each query block names the member blocks it meets, so that the join is dealt by both
+    meets = queries.select("comp", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_b"))
+    tasks = meets.join(against.select("comp", "_b", "m"), ["comp", "_b"]).select("q", "m")
     similarity = settings.similarity
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +212,7 @@ def block_links(members: DataFrame, settings: NearDup) -> DataFrame:
                 found = _block_links(block(batch.column("q")[i].as_py()), block(batch.column("m")[i].as_py()), similarity)
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
-    return tasks.repartition(int(parts)).mapInArrow(links, "a bigint, b bigint")
+    return tasks.repartition(parts).mapInArrow(links, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
