@@ -43,15 +43,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back."""
+def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write a table to the shared folder, in folders by a column if named, and read it back."""
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite").option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files behind the table now
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame, column: str, value: str) -> None:
+    """Delete the folders of one value of a table stored by that column, when nothing reads them any more."""
+    jvm = table.sparkSession.sparkContext._jvm
+    for folder in {os.path.dirname(f) for f in table.where(F.col(column) == value).inputFiles()}:
+        if folder.endswith(f"/{column}={value}"):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """Hint a broadcast only if a count proves the side small; callers join by key either way."""
     small = df.limit(max_rows + 1).count() <= max_rows

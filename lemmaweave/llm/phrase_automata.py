@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing, passages
-from .common import stored, word_array
+from .common import discard, stored, word_array
 
 
 class Words(passages.Unit):
@@ -56,6 +56,10 @@ def located(texts: list[str], phrases: list[str]) -> Iterator[tuple[int, int, in
             yield number, word - 1, phrase
 
 
+#: distinct segments that a task holds at once
+HELD = 100_000
+
+
 def occurrences(texts: DataFrame, unit: Words) -> DataFrame:
     """kind o: one row per text and segment, with all its places; kind s: one row per task and distinct segment."""
     schema = "kind string, did bigint, tk bigint, lo bigint, n int, h bigint, ih1 bigint, ih2 bigint, segment string, los array<bigint>"
@@ -92,6 +96,12 @@ def occurrences(texts: DataFrame, unit: Words) -> DataFrame:
                 none = none[: len(found)]
                 d, k, x, y = ([key[i] for key in found] for i in range(4))
                 yield _batch(["o"] * len(found), d, k, none, none, none, x, y, none, list(found.values()))
+                if len(segments) > HELD:  # a task's memory is bounded; equal segments collapse again later
+                    yield from segment_rows(segments)
+                    segments = {}
+        yield from segment_rows(segments)
+
+    def segment_rows(segments: dict) -> Iterator[pa.RecordBatch]:
         items = list(segments.items())
         for i in range(0, len(items), 4096):
             part = items[i : i + 4096]
@@ -147,8 +157,9 @@ def removed_words(docs: DataFrame, window: int = 50, gram: int = 8) -> tuple[Dat
     """(texts that take part, removal ranges did, tk, ranges of window starts)."""
     unit = Words(window, gram)
     texts = passages.involved(passages.keyed(docs), unit)
-    found = stored(occurrences(texts, unit), "passages-found")
+    found = stored(occurrences(texts, unit), "passages-found", by="kind")
     rows = stored(items(found.where("kind = 's'"), unit), "passages-items")
+    discard(found, "kind", "s")
     places = found.where("kind = 'o'").select("did", "tk", "los", "ih1", "ih2")
     return texts, passages.resolved(rows, places, lambda fd, fp, did, lo: fd < did)
 

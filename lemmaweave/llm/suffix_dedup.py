@@ -29,7 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing, passages
-from .common import stored
+from .common import discard, stored
+
+#: suffixes that a task sorts at once
+RUN = 100_000
 
 
 class Bytes(passages.Unit):
@@ -178,6 +181,12 @@ def sorted_runs(texts: DataFrame, unit: Bytes) -> DataFrame:
                 found = passages.by_item(out)
                 d, k, x, y, front = ([key[i] for key in found] for i in range(5))
                 yield _batch(["o"] * len(found), d, k, list(found.values()), x, y, front, [None] * len(found))
+                if len(first_of) > RUN:  # a run is bounded, so a task's memory is
+                    yield from run_rows(first_of)
+                    first_of = {}
+        yield from run_rows(first_of)
+
+    def run_rows(first_of: dict) -> Iterator[pa.RecordBatch]:
         order = sorted((item, left, *place) for (item, left), place in first_of.items())
         for i in range(0, len(order), 4096):
             run = front_coded(order[i : i + 4096])
@@ -274,8 +283,9 @@ def removed_bytes(docs: DataFrame, window: int = 100, gram: int = 40) -> tuple[D
     """(texts that take part, ranges did, tk, ranges of window starts)."""
     unit = Bytes(window, gram)
     texts = passages.involved(passages.keyed(docs), unit)
-    found = stored(sorted_runs(texts, unit), "passages-runs")
+    found = stored(sorted_runs(texts, unit), "passages-runs", by="kind")
     items = stored(merged_items(exchanged(found, splitters(found, passages.parts_of(docs))), unit), "passages-items")
+    discard(found, "kind", "r")
     places = found.where("kind = 'o'").select("did", "tk", "los", "ih1", "ih2")
     return texts, passages.resolved(items, places, lambda fd, fp, did, lo: (fd < did) | ((fd == did) & (fp < lo)))
 
