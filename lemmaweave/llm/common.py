@@ -38,9 +38,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint, which survives lost executors."""
+    """Cut lineage through a reliable checkpoint, which survives lost executors.
+
+    Shuffle files and checkpoints that nothing refers to any more are deleted now, not when the
+    driver next collects its garbage.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return done
 
 
 def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Notices by licence (fixed values).
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
@@ -57,10 +59,12 @@ def _weights(rows: DataFrame, key: list[str], df: DataFrame, n: Column) -> DataF
 def scores(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """file, notice, license, score for every notice and template that share a term."""
     spark = files.sparkSession
-    units = notices(files).select("file", "notice", F.explode_outer(terms(F.col("text"))).alias("term")).where("term is not null")
+    # the terms of notices, a small part of the texts, which are read once
+    units = cut(notices(files).select("file", "notice", F.explode_outer(terms(F.col("text"))).alias("term")).where("term is not null"))
     df = units.distinct().groupBy("term").agg(F.count("*").alias("df"))
     total = units.select("file", "notice").distinct().agg(F.count("*").alias("_n"))
-    df = df.crossJoin(F.broadcast(total))  # one row
+    df = cut(df.crossJoin(F.broadcast(total)))  # one row
+    total = df.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("_n"))
     own = [(name, i, text) for name, texts in sorted(templates.items()) for i, text in enumerate(texts)]
     wanted = spark.createDataFrame(own, "license string, part int, text string").select("license", "part", F.explode(terms(F.col("text"))).alias("term"))
     wanted = _weights(wanted.crossJoin(F.broadcast(total)), ["license", "part", "_n"], df.drop("_n"), F.col("_n")).drop("_n")
@@ -69,7 +73,7 @@ def scores(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES)
     norm = units.groupBy("file", "notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = units.join(wanted, "term").groupBy("file", "notice", "license", "part").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"), F.first("t_norm").alias("t_norm"))
     cosine = F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6)
-    return dots.join(norm, ["file", "notice"]).groupBy("file", "notice", "license").agg(F.max(cosine).alias("score"))
+    return cut(dots.join(norm, ["file", "notice"]).groupBy("file", "notice", "license").agg(F.max(cosine).alias("score")))
 
 
 def own_licenses(files: DataFrame, threshold: float = 0.6, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
