@@ -2,10 +2,13 @@
 
 Words of documents and items become templates: numbers, names (capitalised
 words) and units after a number turn into typed placeholders, the rest is
-lower-cased.  Windows of eight template words are hash-joined; for each
-(document, item) the slots behind the placeholders must map each value of the
-item to one value of the document, which catches re-parameterised questions and
-drops accidental templates.
+lower-cased.  Windows of eight template words are hash-joined; the slots behind
+the placeholders must map each value of the item to one value of the document,
+which catches re-parameterised questions and drops accidental templates.  Each
+alignment of item and document, each chain of neighbouring windows and the
+document as a whole are judged by themselves, and one that agrees is enough: a
+second variant elsewhere in the text hides nothing.  Windows that are equal word
+for word and cover most of the item leak whatever the slots say.
 
 Defined results: null and blank texts have no windows; an item shorter than a
 window is one window of its own length; items of placeholders only are not
@@ -18,7 +21,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, cut
@@ -40,6 +43,8 @@ class Templates:
     literal: int = 5
     #: share of (slot value -> value) observations that must agree
     agreement: float = 1.0
+    #: share of an item's windows that leak if they are equal word for word, whatever the slots say
+    verbatim: float = 0.75
     broadcast_rows: int = 200_000
 
 
@@ -48,12 +53,12 @@ def joined_numbers(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _PRIVATE, " "), r"(?<=\p{Nd})[.,](?=\p{Nd})", "")
 
 
-def raw_words(base: Column) -> Column:
-    return F.split(F.btrim(F.regexp_replace(base, _TOKENS, " ")), " ")
+def folded_words(base: Column) -> Column:
+    return F.split(F.btrim(F.lower(F.regexp_replace(base, _TOKENS, " "))), " ")
 
 
 def template_words(base: Column) -> Column:
-    """As many words as raw_words gives, placeholders in place of values."""
+    """As many words as folded_words gives, placeholders in place of values."""
     t = F.regexp_replace(base, r"(?<![\p{L}\p{N}])\p{Lu}[\p{Ll}]+(?![\p{L}\p{N}])", NAME)
     t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])\p{Nd}+(?![\p{L}\p{N}])", NUMBER)
     t = F.regexp_replace(t, f"(?<={NUMBER})([^\\p{{L}}\\p{{N}}{NUMBER}{NAME}]{{1,3}})(?:{'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}])", f"$1{UNIT}")
@@ -97,29 +102,64 @@ def window_hits(docs: DataFrame, items: DataFrame, settings: Templates) -> DataF
     return docs.sparkSession.createDataFrame([], empty) if found is None else found
 
 
+def aligned(hits: DataFrame, docs: DataFrame, items: DataFrame, settings: Templates) -> DataFrame:
+    """doc_id, _k, item_id, item_at, doc_at, k, pairs, verbatim: all equal windows of the alignments (doc_at - item_at) that
+    have a hit.  pairs: of each word of the window whether the item has a slot there, and the words of item and document."""
+    s = settings
+    shifts = hits.select("doc_id", "_k", "item_id", "k", (F.col("doc_at") - F.col("item_at")).alias("_shift")).distinct()
+    # only now the words behind the placeholders, of the documents found, once per document
+    wanted, _ = bounded_broadcast(hits.select("doc_id", "_k").distinct(), s.broadcast_rows)
+    texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("_k"), "text").join(wanted, ["doc_id", "_k"], "left_semi").dropDuplicates(["doc_id", "_k"])
+    base = joined_numbers(F.col("text"))
+    texts = texts.select("doc_id", "_k", template_words(base).alias("_words"), folded_words(base).alias("_raw"))
+    rows = shifts.join(texts, ["doc_id", "_k"]).join(items.select("item_id", "words", "raw"), "item_id")
+    there = lambda i: i + F.col("_shift")
+    pair = lambda i: F.struct(F.get("words", i).isin(NUMBER, NAME, UNIT).alias("slot"), F.get("raw", i).alias("a"), F.get("_raw", there(i)).alias("b"))
+    same = lambda i: F.when(F.get("words", i) == F.get("_words", there(i)), "1").otherwise("0")
+    positions = F.sequence(F.lit(0), F.size("words") - 1)
+    rows = rows.select("doc_id", "_k", "item_id", "k", "_shift", F.transform(positions, pair).alias("_pairs"), F.array_join(F.transform(positions, same), "").alias("_same"))
+    starts = F.filter(F.sequence(F.lit(0), F.length("_same") - F.col("k")), lambda i: F.substring("_same", i + 1, F.col("k")) == F.repeat(F.lit("1"), F.col("k")))
+    rows = rows.select("*", F.explode_outer(starts).alias("item_at")).where("item_at is not null")
+    rows = rows.select("doc_id", "_k", "item_id", "k", "item_at", (F.col("item_at") + F.col("_shift")).alias("doc_at"), F.slice("_pairs", F.col("item_at") + 1, F.col("k")).alias("pairs"))
+    return rows.withColumn("verbatim", F.forall("pairs", lambda p: p["a"] == p["b"]))
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """rows once for each group in which they are judged: their alignment, their chain of neighbouring windows (which may
+    drift by a window's length, as a longer name moves what follows), and all of the document."""
+    key = ["doc_id", "_k", "item_id"]
+    whole, ordered = Window.partitionBy(*key), Window.partitionBy(*key).orderBy("doc_at", "item_at")
+    shift = F.col("doc_at") - F.col("item_at")
+    rows = rows.withColumns({"_shift": shift, "_one": F.min(shift).over(whole) == F.max(shift).over(whole)})
+    follows = (F.col("item_at") > F.lag("item_at").over(ordered)) & (F.abs(F.col("_shift") - F.lag("_shift").over(ordered)) <= F.col("k"))
+    rows = rows.withColumn("_chain", F.sum(F.when(follows, 0).otherwise(1)).over(ordered).cast("int"))
+    group = lambda kind, number: F.struct(F.lit(kind).alias("kind"), number.cast("int").alias("number"))
+    alone, zero = group("alignment", F.col("_shift")), F.lit(0)
+    groups = F.when(F.col("_one"), F.array(alone)).otherwise(F.array(alone, group("chain", F.col("_chain")), group("document", zero)))
+    return rows.withColumn("_group", F.explode_outer(groups)).drop("_shift", "_one", "_chain")
+
+
 def matches(docs: DataFrame, items: DataFrame, settings: Templates = Templates()) -> DataFrame:
-    """doc_id, item_id, n_hits (item windows found), n_windows, n_slots, n_agree, leaked."""
+    """doc_id, item_id, n_hits (item windows found), n_windows, n_slots, n_agree, leaked: of the group of hits that says most."""
     s = settings
     base = items.where("item_id is not null and text rlike '[\\\\p{L}\\\\p{N}]'").select("item_id", joined_numbers(F.col("text")).alias("base"))
-    base = base.withColumn("words", template_words(F.col("base")))
+    base = base.select("item_id", template_words(F.col("base")).alias("words"), folded_words(F.col("base")).alias("raw"))
     base = base.withColumn("k", F.least(F.size("words"), F.lit(s.window)))
     hits = cut(window_hits(docs, base, s))
     sizes = base.groupBy("item_id").agg(F.max(F.size("words") - F.col("k") + 1).cast("long").alias("n_windows"))
+    need = F.least(F.lit(s.hits).cast("long"), F.col("n_windows"))
     enough = hits.groupBy("doc_id", "_k", "item_id").agg(F.countDistinct("item_at").alias("n_hits")).join(sizes, "item_id")
-    enough = cut(enough.where(F.col("n_hits") >= F.least(F.lit(s.hits).cast("long"), F.col("n_windows"))))
-    # only now the words behind the placeholders, of the documents found, once per document
-    wanted, _ = bounded_broadcast(enough.select("doc_id", "_k").distinct(), s.broadcast_rows)
-    raw = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("_k"), "text").join(wanted, ["doc_id", "_k"], "left_semi").dropDuplicates(["doc_id", "_k"])
-    raw = raw.select("doc_id", "_k", raw_words(joined_numbers(F.col("text"))).alias("_raw"))
-    item_raw = base.select("item_id", raw_words(F.col("base")).alias("_item"))
-    pairs = hits.join(enough.select("doc_id", "_k", "item_id"), ["doc_id", "_k", "item_id"], "left_semi").join(raw, ["doc_id", "_k"]).join(item_raw, "item_id")
-    pairs = pairs.select("doc_id", "_k", "item_id", F.slice("_item", F.col("item_at") + 1, F.col("k")).alias("_a"), F.slice("_raw", F.col("doc_at") + 1, F.col("k")).alias("_b"))
-    votes = pairs.select("doc_id", "_k", "item_id", F.explode_outer(F.arrays_zip("_a", "_b")).alias("_p"))
-    votes = votes.groupBy("doc_id", "_k", "item_id", F.lower("_p._a").alias("a"), F.lower("_p._b").alias("b")).agg(F.count("*").alias("_n"))
-    votes = votes.groupBy("doc_id", "_k", "item_id", "a").agg(F.max("_n").alias("_top"), F.sum("_n").alias("_n"))
-    votes = votes.groupBy("doc_id", "_k", "item_id").agg(F.sum("_n").alias("n_slots"), F.sum("_top").alias("n_agree"))
-    out = enough.join(votes, ["doc_id", "_k", "item_id"]).withColumn("leaked", F.col("n_agree") >= s.agreement * F.col("n_slots"))
-    best = F.max_by(F.struct("n_hits", "n_windows", "n_slots", "n_agree", "leaked"), F.struct("leaked", "n_hits", "n_agree", "_k")).alias("x")
+    enough = cut(enough.where(F.col("n_hits") >= need).select("doc_id", "_k", "item_id"))
+    rows = grouped(aligned(hits.join(enough, ["doc_id", "_k", "item_id"], "left_semi"), docs, base, s))
+    key = ["doc_id", "_k", "item_id", "_group"]
+    counts = rows.groupBy(*key).agg(F.countDistinct("item_at").alias("n_hits"), F.countDistinct(F.when(F.col("verbatim"), F.col("item_at"))).alias("_verbatim"))
+    votes = rows.select(*key, F.explode_outer("pairs").alias("_p")).groupBy(*key, "_p.slot", "_p.a", "_p.b").agg(F.count("*").alias("_n"))
+    votes = votes.groupBy(*key, "slot", "a").agg(F.max("_n").alias("_top"), F.sum("_n").alias("_n"))
+    votes = votes.groupBy(*key).agg(F.sum("_n").alias("n_slots"), F.sum("_top").alias("n_agree"))
+    out = counts.join(sizes, "item_id").where(F.col("n_hits") >= need).join(votes, key)
+    same = (F.col("_verbatim") >= need) & (F.col("_verbatim") >= s.verbatim * F.col("n_windows"))
+    out = out.withColumn("leaked", same | (F.col("n_agree") >= s.agreement * F.col("n_slots")))
+    best = F.max_by(F.struct("n_hits", "n_windows", "n_slots", "n_agree", "leaked"), F.struct("leaked", "n_hits", "n_agree", -F.col("n_slots"), "_k")).alias("x")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.*")
 
 

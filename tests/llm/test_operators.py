@@ -325,6 +325,22 @@ def test_decontamination(spark):
     assert decontam.matches(docs.limit(0), items).count() == 0 and decontam.matches(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_judges_each_copy(spark):
+    question = "On one fine day Alice went out and bought 12 red apples and 30 green pears at the small market, then Alice gave 5 kg of apples to her brother before noon"
+    other = question.replace("Alice", "Maria").replace("12", "17")
+    third = question.replace("Alice", "Peter").replace("12", "19")
+    longer = lambda q: q.replace("apples and", "juicy apples and").replace("then", "and then")
+    window = "and bought 99 red apples and 31 green pears"
+    said = "That morning the old man said that he had seen 14 ships leave the harbour and that none of them came back"
+    long = "Tom saw birds over a wide field near our river. " + " ".join(f"w{i}x" for i in range(60)) + " and Tom went home"
+    rows = [(1, f"{question}. And again. {other}"), (2, f"{other} {third}"), (3, f"{question} and so on " + "far away " * 40 + window), (4, f"{longer(other)}. {'word ' * 30} {longer(third)}"),
+            (5, said.replace("That morning", "This morning")), (6, long.replace("and Tom", "and Tim")), (7, question.replace("then Alice", "then Maria"))]
+    docs = spark.createDataFrame([(*r, None, None, 0, 0, "") for r in rows], SCHEMA)
+    items = spark.createDataFrame([(1, question), (2, said), (3, long)], "item_id int, text string")
+    got = {(r.doc_id, r.item_id): r.leaked for r in decontam.matches(docs, items).collect()}
+    assert got == {(1, 1): True, (2, 1): True, (3, 1): True, (4, 1): True, (5, 2): True, (6, 3): True, (7, 1): False}
+
+
 def test_licenses(spark):
     rows = [("a", "p/LICENSE", "Released under the MIT License.", True), ("b", "p/q/x.txt", "plain", False), ("c", "p/q/y.txt", "Text.\nLicensed under the Apache License, Version 2.0. More", False), ("d", "z.txt", None, False), ("e", None, "", False),
             ("f", "p/q/r/s/t.txt", "copyright of nobody known", False), ("g", "p/q/LICENSE", "Licensed under CC BY-NC 4.0.", True), ("h", "pq/x", "plain", False)]
