@@ -10,9 +10,14 @@ document as a whole are judged by themselves, and one that agrees is enough: a
 second variant elsewhere in the text hides nothing.  Windows that are equal word
 for word and cover most of the item leak whatever the slots say.
 
+Beside the templates the same join finds windows by their words, with case
+folded: copies in another case, and items so rich in values that few of their
+templates are searched.  Around a window that was found, all windows of the
+alignment count whose words are equal or stand for values of one type.
+
 Defined results: null and blank texts have no windows; an item shorter than a
-window is one window of its own length; items of placeholders only are not
-searched; documents without an id are not searched and stay; repeated doc_ids
+window is one window of its own length; an item without a window of enough
+literal words is found by its words, not with other values in all its windows; documents without an id are not searched and stay; repeated doc_ids
 are judged by row content and reported once per (doc_id, item_id); empty tables give an empty result.  Extra columns are not
 read.
 """
@@ -39,7 +44,7 @@ class Templates:
     window: int = 8
     #: windows of an item that must be found (all of it if it has fewer): 13 words in a row
     hits: int = 6
-    #: words of a window that must not be placeholders
+    #: words of a window that must not be placeholders, for its template to be searched
     literal: int = 5
     #: share of (slot value -> value) observations that must agree
     agreement: float = 1.0
@@ -66,36 +71,41 @@ def template_words(base: Column) -> Column:
 
 
 def _fields(k: int) -> list[str]:
-    return [f"w{i}" for i in range(k)]
+    return [f"w{i}" for i in range(k)] + [f"r{i}" for i in range(k)]
 
 
-def _windows(words: Column, k: int) -> Column:
-    """array<struct<w0..wk-1>>: k shifted slices zipped, the incomplete end cut off."""
+def _windows(words: Column, raw: Column, k: int) -> Column:
+    """array<struct<w0..wk-1,r0..rk-1>>: k shifted slices of each zipped, the incomplete end cut off."""
     n = F.size(words)
-    zipped = F.arrays_zip(*[F.slice(words, F.lit(i + 1), F.greatest(n - i, F.lit(0))) for i in range(k)])
+    zipped = F.arrays_zip(*[F.slice(x, F.lit(i + 1), F.greatest(n - i, F.lit(0))) for x in (words, raw) for i in range(k)])
     named = f"array<struct<{','.join(f'{f}:string' for f in _fields(k))}>>"
     return F.slice(zipped, F.lit(1), F.greatest(n - k + 1, F.lit(0))).cast(named)
 
 
-def _hashed(df: DataFrame, k: int, name: str) -> DataFrame:
-    """One row per window with its position, 64-bit hash and number of literal words."""
-    words = [F.col(f"_x.{f}") for f in _fields(k)]
-    literal = sum((F.when(w.isin(NUMBER, NAME, UNIT), 0).otherwise(1) for w in words), F.lit(0))
+def _hashed(df: DataFrame, k: int, name: str, literal: int = 0) -> DataFrame:
+    """One row per window with its position and 64-bit hash: of its template, and of its words if they differ.
+
+    Templates of fewer literal words are left out.  A word never equals a placeholder, so one column serves both.
+    """
+    words, raw = ([F.col(f"_x.{f}") for f in part] for part in (_fields(k)[:k], _fields(k)[k:]))
+    literals = sum((F.when(w.isin(NUMBER, NAME, UNIT), 0).otherwise(1) for w in words), F.lit(0))
     # the outer form, since for the inner one the optimizer repeats the whole expression in a filter on its size
     rows = df.select("*", F.posexplode_outer(F.col("_win")).alias(name, "_x")).drop("_win").where("_x is not null")
-    return rows.withColumns({"_h": F.xxhash64(*words), "_literal": literal}).drop("_x")
+    rows = rows.withColumns({"_t": F.xxhash64(*words), "_r": F.xxhash64(*raw), "_some": literals >= literal}).drop("_x")
+    both = F.when((F.col("_t") == F.col("_r")) | ~F.col("_some"), F.array("_r")).otherwise(F.array("_t", "_r"))
+    return rows.withColumn("_h", F.explode_outer(both)).drop("_t", "_r", "_some")
 
 
 def window_hits(docs: DataFrame, items: DataFrame, settings: Templates) -> DataFrame:
-    """doc_id, _k, item_id, item_at, doc_at: equal template windows.  items: item_id, words, k."""
+    """doc_id, _k, item_id, item_at, doc_at: windows with equal templates or words.  items: item_id, words, raw, k."""
     s, found = settings, None
     lengths = [r[0] for r in items.select("k").distinct().orderBy("k").collect()]  # at most `window` values
     for k in lengths:
-        item_rows = _hashed(items.where(F.col("k") == k).select("item_id", _windows(F.col("words"), k).alias("_win")), k, "item_at")
-        item_rows = item_rows.where(F.col("_literal") >= min(s.literal, k)).select("item_id", "item_at", "_h")
-        item_side, _ = bounded_broadcast(item_rows, s.broadcast_rows)  # beyond that size the join shuffles by hash
+        of_k = items.where(F.col("k") == k).select("item_id", _windows(F.col("words"), F.col("raw"), k).alias("_win"))
+        item_side, _ = bounded_broadcast(_hashed(of_k, k, "item_at", min(s.literal, k)), s.broadcast_rows)  # beyond that size the join shuffles by hash
         doc_rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("_k"), joined_numbers(F.col("text")).alias("_base"))
-        doc_rows = doc_rows.withColumn("_words", template_words(F.col("_base"))).select("doc_id", "_k", _windows(F.col("_words"), k).alias("_win"))
+        doc_rows = doc_rows.withColumns({"_words": template_words(F.col("_base")), "_raw": folded_words(F.col("_base"))})
+        doc_rows = doc_rows.select("doc_id", "_k", _windows(F.col("_words"), F.col("_raw"), k).alias("_win"))
         hit = _hashed(doc_rows, k, "doc_at").join(item_side, "_h").select("doc_id", "_k", "item_id", "item_at", "doc_at", F.lit(k).alias("k"))
         found = hit if found is None else found.unionByName(hit)
     empty = "doc_id bigint, _k bigint, item_id bigint, item_at int, doc_at int, k int"
@@ -103,8 +113,9 @@ def window_hits(docs: DataFrame, items: DataFrame, settings: Templates) -> DataF
 
 
 def aligned(hits: DataFrame, docs: DataFrame, items: DataFrame, settings: Templates) -> DataFrame:
-    """doc_id, _k, item_id, item_at, doc_at, k, pairs, verbatim: all equal windows of the alignments (doc_at - item_at) that
-    have a hit.  pairs: of each word of the window whether the item has a slot there, and the words of item and document."""
+    """doc_id, _k, item_id, item_at, doc_at, k, pairs, verbatim, searched: all equal windows of the alignments (doc_at - item_at) that
+    have a hit.  pairs: of each word of the window whether the item has a slot there, the words of item and document, and whether
+    their templates are equal.  searched: equal templates of enough literal words."""
     s = settings
     shifts = hits.select("doc_id", "_k", "item_id", "k", (F.col("doc_at") - F.col("item_at")).alias("_shift")).distinct()
     # only now the words behind the placeholders, of the documents found, once per document
@@ -114,29 +125,33 @@ def aligned(hits: DataFrame, docs: DataFrame, items: DataFrame, settings: Templa
     texts = texts.select("doc_id", "_k", template_words(base).alias("_words"), folded_words(base).alias("_raw"))
     rows = shifts.join(texts, ["doc_id", "_k"]).join(items.select("item_id", "words", "raw"), "item_id")
     there = lambda i: i + F.col("_shift")
-    pair = lambda i: F.struct(F.get("words", i).isin(NUMBER, NAME, UNIT).alias("slot"), F.get("raw", i).alias("a"), F.get("_raw", there(i)).alias("b"))
-    same = lambda i: F.when(F.get("words", i) == F.get("_words", there(i)), "1").otherwise("0")
+    pair = lambda i: F.struct(F.get("words", i).isin(NUMBER, NAME, UNIT).alias("slot"), F.get("raw", i).alias("a"), F.get("_raw", there(i)).alias("b"), (F.get("words", i) == F.get("_words", there(i))).alias("t"))
+    same = lambda i: F.when((F.get("words", i) == F.get("_words", there(i))) | (F.get("raw", i) == F.get("_raw", there(i))), "1").otherwise("0")
     positions = F.sequence(F.lit(0), F.size("words") - 1)
     rows = rows.select("doc_id", "_k", "item_id", "k", "_shift", F.transform(positions, pair).alias("_pairs"), F.array_join(F.transform(positions, same), "").alias("_same"))
     starts = F.filter(F.sequence(F.lit(0), F.length("_same") - F.col("k")), lambda i: F.substring("_same", i + 1, F.col("k")) == F.repeat(F.lit("1"), F.col("k")))
     rows = rows.select("*", F.explode_outer(starts).alias("item_at")).where("item_at is not null")
     rows = rows.select("doc_id", "_k", "item_id", "k", "item_at", (F.col("item_at") + F.col("_shift")).alias("doc_at"), F.slice("_pairs", F.col("item_at") + 1, F.col("k")).alias("pairs"))
-    return rows.withColumn("verbatim", F.forall("pairs", lambda p: p["a"] == p["b"]))
+    searched = F.forall("pairs", lambda p: p["t"]) & (F.size(F.filter("pairs", lambda p: ~p["slot"])) >= F.least(F.lit(s.literal), F.col("k")))
+    return rows.withColumns({"verbatim": F.forall("pairs", lambda p: p["a"] == p["b"]), "searched": searched})
 
 
 def grouped(rows: DataFrame) -> DataFrame:
     """rows once for each group in which they are judged: their alignment, their chain of neighbouring windows (which may
-    drift by a window's length, as a longer name moves what follows), and all of the document."""
+    drift by a window's length, as a longer name moves what follows), and all of the document; and once more with the searched
+    templates alone, so that a window of few literal words takes nothing away."""
     key = ["doc_id", "_k", "item_id"]
     whole, ordered = Window.partitionBy(*key), Window.partitionBy(*key).orderBy("doc_at", "item_at")
     shift = F.col("doc_at") - F.col("item_at")
-    rows = rows.withColumns({"_shift": shift, "_one": F.min(shift).over(whole) == F.max(shift).over(whole)})
+    rows = rows.withColumns({"_shift": shift, "_one": F.min(shift).over(whole) == F.max(shift).over(whole), "_all": F.every("searched").over(whole)})
     follows = (F.col("item_at") > F.lag("item_at").over(ordered)) & (F.abs(F.col("_shift") - F.lag("_shift").over(ordered)) <= F.col("k"))
     rows = rows.withColumn("_chain", F.sum(F.when(follows, 0).otherwise(1)).over(ordered).cast("int"))
     group = lambda kind, number: F.struct(F.lit(kind).alias("kind"), number.cast("int").alias("number"))
     alone, zero = group("alignment", F.col("_shift")), F.lit(0)
     groups = F.when(F.col("_one"), F.array(alone)).otherwise(F.array(alone, group("chain", F.col("_chain")), group("document", zero)))
-    return rows.withColumn("_group", F.explode_outer(groups)).drop("_shift", "_one", "_chain")
+    strict = F.transform(groups, lambda g: F.struct(F.concat(g["kind"], F.lit(" templates")).alias("kind"), g["number"].alias("number")))
+    groups = F.when(F.col("searched") & ~F.col("_all"), F.concat(groups, strict)).otherwise(groups)
+    return rows.withColumn("_group", F.explode_outer(groups)).drop("_shift", "_one", "_chain", "_all")
 
 
 def matches(docs: DataFrame, items: DataFrame, settings: Templates = Templates()) -> DataFrame:
@@ -146,10 +161,14 @@ def matches(docs: DataFrame, items: DataFrame, settings: Templates = Templates()
     base = base.select("item_id", template_words(F.col("base")).alias("words"), folded_words(F.col("base")).alias("raw"))
     base = base.withColumn("k", F.least(F.size("words"), F.lit(s.window)))
     hits = cut(window_hits(docs, base, s))
-    sizes = base.groupBy("item_id").agg(F.max(F.size("words") - F.col("k") + 1).cast("long").alias("n_windows"))
+    windows = F.size("words") - F.col("k") + 1
+    literals = lambda i: F.size(F.filter(F.slice("words", i + 1, F.col("k")), lambda w: ~w.isin(NUMBER, NAME, UNIT)))
+    few = F.size(F.filter(F.sequence(F.lit(0), windows - 1), lambda i: literals(i) < F.least(F.lit(s.literal), F.col("k"))))
+    sizes = base.groupBy("item_id").agg(F.max(windows).cast("long").alias("n_windows"), F.max(few).alias("_few"))
     need = F.least(F.lit(s.hits).cast("long"), F.col("n_windows"))
     enough = hits.groupBy("doc_id", "_k", "item_id").agg(F.countDistinct("item_at").alias("n_hits")).join(sizes, "item_id")
-    enough = cut(enough.where(F.col("n_hits") >= need).select("doc_id", "_k", "item_id"))
+    # templates with few literal words are not searched, but compared where another window of the item was found
+    enough = cut(enough.where(F.col("n_hits") + F.col("_few") >= need).select("doc_id", "_k", "item_id"))
     rows = grouped(aligned(hits.join(enough, ["doc_id", "_k", "item_id"], "left_semi"), docs, base, s))
     key = ["doc_id", "_k", "item_id", "_group"]
     counts = rows.groupBy(*key).agg(F.countDistinct("item_at").alias("n_hits"), F.countDistinct(F.when(F.col("verbatim"), F.col("item_at"))).alias("_verbatim"))

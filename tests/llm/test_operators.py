@@ -341,6 +341,21 @@ def test_decontamination_judges_each_copy(spark):
     assert got == {(1, 1): True, (2, 1): True, (3, 1): True, (4, 1): True, (5, 2): True, (6, 3): True, (7, 1): False}
 
 
+def test_decontamination_of_items_rich_in_values(spark):
+    texts = ["What is the capital of France?", "Who wrote Romeo and Juliet?", "What is 12 plus 35?", "Natalia sold 48 clips in April and 24 in May. How many altogether?",
+             "On one fine day Alice went out and bought 12 red apples and 30 green pears at the small market",
+             "Tom Sawyer met Huck Finn and Becky Thatcher near Hannibal in 1844, then the four of them went down to the river before noon"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id int, text string")
+    around = lambda t: f"some words here, {t} and other words there"
+    cases = [str, str.lower, str.upper, str.title]
+    rows = [(10 * i + j, around(case(t))) for i, t in enumerate(texts) for j, case in enumerate(cases)]
+    other = texts[5].replace("Huck Finn", "Joe Harper").replace("1844", "1851")
+    rows += [(100, around(other)), (101, "What is the price of 12 plus nothing. Who wrote that and why?"), (102, "Nobody sold clips in the month of May. How many altogether then?")]
+    docs = spark.createDataFrame([(*r, None, None, 0, 0, "") for r in rows], SCHEMA)
+    got = {(r.doc_id, r.item_id) for r in decontam.matches(docs, items).where("leaked").collect()}
+    assert got == {(10 * i + j, i) for i in range(6) for j in range(4)} | {(100, 5)}
+
+
 def test_licenses(spark):
     rows = [("a", "p/LICENSE", "Released under the MIT License.", True), ("b", "p/q/x.txt", "plain", False), ("c", "p/q/y.txt", "Text.\nLicensed under the Apache License, Version 2.0. More", False), ("d", "z.txt", None, False), ("e", None, "", False),
             ("f", "p/q/r/s/t.txt", "copyright of nobody known", False), ("g", "p/q/LICENSE", "Licensed under CC BY-NC 4.0.", True), ("h", "pq/x", "plain", False)]
