@@ -312,6 +312,15 @@ def test_resharding(spark):
     assert resharding.resharded(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_by_sets_whatever_the_counts(spark):
+    rng = random.Random(11)
+    body, line = sentences(rng, 300), "all of this was sent from a phone on the way"
+    other = sentences(rng, 300)
+    rows = [(1, f"{body} {line}"), (2, f"{body} {' '.join([line] * 40)}"), (3, f"{other} {' '.join([line] * 25)}"), (4, f"{other} {' '.join([line] * 400)}"), (5, sentences(rng, 300))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.class_id for r in probminhash.classes(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
 def test_decontamination(spark):
     question = "On one fine day Alice went out and bought 12 red apples and 30 green pears at the small market, then Alice gave 5 kg of apples to her brother before noon"
     other = question.replace("Alice", "Maria").replace("12", "17").replace("30", "4,500").replace("5 kg", "9 pounds")
