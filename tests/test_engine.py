@@ -137,3 +137,12 @@ def test_catalogue_against_sql(spark, name):
     want = con.execute(catalog.ORACLE_SQL[name])
     at = [[d[0] for d in want.description].index(c) for c in columns]
     assert sorted(repr([r[c] for c in columns]) for r in df.collect()) == sorted(repr([r[i] for i in at]) for r in want.fetchall())
+
+
+def test_mention_containment_at_any_place(spark, tmp_path):
+    item = "a passage of more than twenty-four characters"
+    rows = [(1, f'"{item}"'), (2, f"({item})"), (3, f"\t{item}"), (4, f"pre{item}post"), (5, "a short one and more on its line"), (6, "nothing"), (7, None), (8, f"two\nlines {item}")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, "short one"), (3, None), (4, "two\nlines")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(tuple(r) for r in catalog.QUERIES["mention_containment"](spark, str(tmp_path)).collect())
+    assert got == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 2), (8, 1), (8, 4)]
