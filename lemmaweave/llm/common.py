@@ -28,9 +28,11 @@ def word_array(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; one under /tmp only where none is set, as in tests."""
+    """The folder all executors share.  Only a session on one machine may go without: it takes one under /tmp."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
         folder = "file:///tmp/checkpoints/lemmaweave"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -59,16 +61,49 @@ def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(table: DataFrame, column: str, value: str) -> None:
     """Delete the folders of one value of a table stored by that column, when nothing reads them any more."""
-    jvm = table.sparkSession.sparkContext._jvm
     for folder in {os.path.dirname(f) for f in table.where(F.col(column) == value).inputFiles()}:
         if folder.endswith(f"/{column}={value}"):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(table.sparkSession, folder)
+
+
+def forget(table: DataFrame) -> None:
+    """Delete a table of stored() when nothing reads it any more."""
+    shared = shared_folder(table.sparkSession)
+    for folder in {os.path.dirname(f) for f in table.inputFiles()}:
+        if shared.split(":")[-1].strip("/") in folder:
+            _delete(table.sparkSession, folder)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """Hint a broadcast only if a count proves the side small; callers join by key either way."""
     small = df.limit(max_rows + 1).count() <= max_rows
     return (F.broadcast(df) if small else df), small
+
+
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], by: list[str], how: str = "left", counts: DataFrame | None = None, share: int = 1000) -> DataFrame:
+    """Join rows to a side with one row per key, so that no task gets all the rows of a hot key.
+
+    Keys that hold more than 1/share of the rows are fewer than share, which proves their part of the
+    side small: it is broadcast, and the rows of these keys are dealt by a hash of `by` instead.  All
+    others meet by key, and each of them has less than 1/share of the rows.  counts: keys and _n, if known.
+    """
+    counts = cut(rows.groupBy(*keys).agg(F.count("*").alias("_n"))) if counts is None else counts
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    hot = counts.where(F.col("_n") > max(total / share, 1)).select(*keys)
+    columns = [c for c in side.columns if c not in keys]
+    whole = F.struct(*[F.col(c) for c in columns]) if columns else F.lit(True)
+    warm = side.join(F.broadcast(hot), keys, "left_semi").select(*keys, whole.alias("_warm"))
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left").join(F.broadcast(warm), keys, "left")
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(1 << 30)) + 1).otherwise(F.lit(0))
+    out = marked.withColumn("_salt", salt).join(side.select(*keys, F.lit(0).cast("long").alias("_salt"), whole.alias("_cold")), [*keys, "_salt"], "left")
+    out = out.withColumn("_side", F.coalesce("_warm", "_cold")).drop("_hot", "_salt", "_warm", "_cold")
+    if how == "inner":
+        out = out.where(F.col("_side").isNotNull())
+    return out.select(*[c for c in rows.columns], *[F.col("_side").getField(c).alias(c) for c in columns])

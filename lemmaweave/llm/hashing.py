@@ -17,6 +17,8 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 CHUNK = 1 << 20
+#: symbols that are hashed at once; longer texts go by blocks
+BLOCK = 1 << 22
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -32,18 +34,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse; callers hash in blocks, so the tables never exceed a block."""
     up, down = _POWERS.get(which, (np.empty(0, np.uint64),) * 2)
     if len(up) < n:
         base = int(_BASES[which]) | 1
         inverse = pow(base, -1, 1 << 64)
-        size = max(n, 2 * CHUNK)
+        size = max(n, CHUNK + 1)
 
         def run(b: int) -> np.ndarray:
             x = np.full(size, b, np.uint64)
             x[0] = 1
             return np.multiply.accumulate(x)
 
-        up, down = _POWERS[which] = run(base), run(inverse)
+        up, down = run(base), run(inverse)
+        if size <= 2 * BLOCK:
+            _POWERS[which] = up, down
     return up, down
 
 
@@ -100,10 +105,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0, block: int | None = None) -> np.ndarray:
+    """Hashes of the runs data[start:end], for ascending starts and ends, by blocks of the data."""
+    out, at, block = np.empty(len(starts), np.uint64), 0, block or BLOCK
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + block, side="right")))
+        base = starts[at]
+        out[at:to] = Runs(data[base : ends[to - 1]], which).at(starts[at:to] - base, ends[at:to] - base)
+        at = to
+    return out
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, at = words(data, offsets)
-    h = Runs(data).at(starts, ends) ^ (ends - starts).astype(np.uint64) if len(starts) else np.empty(0, np.uint64)
-    return h, starts, ends, at
+    return span_hashes(data, starts, ends, which) ^ (ends - starts).astype(np.uint64), starts, ends, at
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -117,39 +132,57 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], front[w - 1 : n])
 
 
-def anchors(symbols: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
-    """Content-defined anchors of all windows of `window` symbols inside one text.
+_PLACE = np.uint64(24)  # bits for the positions of a chunk; the same in every chunk, so that choices agree
+_PLACES = (np.uint64(1) << _PLACE) - np.uint64(1)
+NONE = np.uint64(2**64 - 1)
 
-    Each window picks the k-gram in it with the least hash, the leftmost of equals;
-    equal windows pick alike.  Returns per anchor: text, position, first and last
-    window that pick it, and the k-gram's hash.  Windows of an anchor are neighbours.
+
+def ranked(grams: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    """Grams by hash, then position: the least of a window is its anchor."""
+    return (mix(grams) >> _PLACE << _PLACE) | positions.astype(np.uint64)
+
+
+def picks(rank: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
+    """Runs of neighbouring windows inside one text with the same least gram.
+
+    rank has one entry per position of a gram, NONE where there is no gram to pick.
+    Returns per run: text, position of the gram, first and last window.
     """
-    n = len(symbols)
-    empty = (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),)
-    if n < window:
-        return empty
-    bits = np.uint64(24)  # positions of a chunk; the same in every chunk, so that choices agree
-    if n >> 24:
-        raise ValueError("a chunk has too many symbols")
-    grams = Runs(symbols).sliding(k)
-    packed = (mix(grams) >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
-    chosen = (sliding_min(packed, window - k + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    inside = np.zeros(n + 1, np.int64)
+    n = len(rank) + k - 1
+    empty = (np.empty(0, np.int64),) * 4
     starts, ends = offsets[:-1], offsets[1:]
     long = ends - starts >= window
-    if not long.any():
+    if n < window or not long.any():
         return empty
+    if n >> int(_PLACE):
+        raise ValueError("a chunk has too many symbols")
+    least = sliding_min(rank, window - k + 1)
+    inside = np.zeros(n + 1, np.int64)
     np.add.at(inside, starts[long], 1)
     np.add.at(inside, ends[long] - window + 1, -1)
-    valid = np.flatnonzero(np.cumsum(inside)[: len(chosen)] > 0)
-    pick = chosen[valid]
+    valid = np.flatnonzero((np.cumsum(inside)[: len(least)] > 0) & (least != NONE))
+    if not len(valid):
+        return empty
+    pick = (least[valid] & _PLACES).astype(np.int64)
+    text = np.searchsorted(offsets, valid, side="right") - 1
     new = np.ones(len(valid), bool)
-    new[1:] = (valid[1:] != valid[:-1] + 1) | (pick[1:] != pick[:-1])
-    # neighbouring texts: a text's first window starts a run even where the one before ends next to it
-    new[np.searchsorted(valid, starts[long])] = True
+    new[1:] = (valid[1:] != valid[:-1] + 1) | (pick[1:] != pick[:-1]) | (text[1:] != text[:-1])
     at = np.flatnonzero(new)
-    lo, hi = valid[at], valid[np.append(at[1:], len(valid)) - 1]
-    return np.searchsorted(offsets, lo, side="right") - 1, pick[at], lo, hi, grams[pick[at]]
+    return text[at], pick[at], valid[at], valid[np.append(at[1:], len(valid)) - 1]
+
+
+def anchors(symbols: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
+    """Content-defined anchors of all windows of `window` symbols inside one text.
+
+    Each window picks the k-gram in it with the least hash, the leftmost of equals;
+    equal windows pick alike.  Returns per anchor: text, position, first and last
+    window that pick it, and the k-gram's hash.  Windows of an anchor are neighbours.
+    """
+    if len(symbols) < window:
+        return (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),)
+    grams = Runs(symbols).sliding(k)
+    text, q, first, last = picks(ranked(grams, np.arange(len(grams))), offsets, window, k)
+    return text, q, first, last, grams[q]
 
 
 def signed(x: np.ndarray) -> np.ndarray:

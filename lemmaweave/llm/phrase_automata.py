@@ -1,15 +1,25 @@
 """Removing repeated word passages with sharded Aho-Corasick automata.
 
 A window of 50 words is removed where the same words also start in a document
-with a smaller doc_id.  Passages.py finds grams of eight words that recur.  Each
-shard of documents compiles the phrases confirmed for it into an Aho-Corasick
-automaton and streams its texts through it; the hits, exact strings, locate
-every occurrence, around which the windows are compared.
+with a smaller doc_id.  The steps:
+
+1. passages.py proposes phrases of eight words that recur, by hash, at anchors
+   that every window picks by its content;
+2. a phrase is confirmed if at least two different texts hold the same words;
+3. the different texts are dealt into shards of a bounded size, and each shard
+   gets the confirmed phrases of its texts.  It compiles them into Aho-Corasick
+   automata of a bounded number of phrases and streams all its texts through
+   them.  The hits, exact strings, are all that is known of the texts from here
+   on: every window takes the hit in it whose phrase has the least hash;
+4. windows around the same phrase are compared (passages.py).
+
+A text without a proposed phrase is in no shard, as no automaton could hit it.
 
 Defined results: a null text has no words; words keep their case and marks;
 fewer than 50 words: nothing is removed; a null doc_id is later than all others;
-repeated doc_ids do not remove each other's words, as none is smaller; an empty
-table gives an empty table.  Extra columns are not read.
+a doc_id of 2**63 - 1 counts, and returns, as null; repeated doc_ids do not
+remove each other's words, as none is smaller; an empty table gives an empty
+table.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing, passages
-from .common import discard, stored, word_array
+from .common import cut, discard, forget, spread_join, stored, word_array
 
 
 class Words(passages.Unit):
     def __init__(self, window: int = 50, gram: int = 8):
-        self.window, self.gram = window, gram
+        self.window, self.gram, self.within = window, gram, False
 
     def symbols(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         return hashing.word_hashes(data, offsets)
@@ -44,70 +54,136 @@ def automaton(phrases: list[str]) -> ahocorasick.Automaton:
     return found
 
 
-def located(texts: list[str], phrases: list[str]) -> Iterator[tuple[int, int, int]]:
-    """(text, word number, phrase) of every occurrence in texts whose words are joined by one space."""
-    found = automaton(phrases)
-    for number, text in enumerate(texts):
-        line, at, word = f" {text} ", 0, 0
-        for end, (phrase, length) in sorted(found.iter(line), key=lambda x: x[0] - x[1][1]) if phrases else ():
-            start = end - length  # the first character of the phrase's first word
-            word += line.count(" ", at, start) if start > at else 0
-            at = max(at, start)
-            yield number, word - 1, phrase
+def located(texts: list[list[str]], phrases: list[str], most: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word number, phrase) of every occurrence.  An automaton holds at most so many phrases; all texts stream past each."""
+    lines = [f" {' '.join(words)} " for words in texts]
+    starts = [1 + np.concatenate(([0], np.cumsum([len(w) + 1 for w in words])))[:-1] for words in texts]
+    found: list[np.ndarray] = [np.empty((0, 3), np.int64)]
+    for lo in range(0, len(phrases), most):
+        shard = automaton(phrases[lo : lo + most])
+        for number, line in enumerate(lines):
+            hits = np.array([(end - length, phrase + lo) for end, (phrase, length) in shard.iter(line)], np.int64).reshape(-1, 2)
+            word = np.searchsorted(starts[number], hits[:, 0])
+            found.append(np.column_stack((np.full(len(hits), number), word, hits[:, 1])))
+    return tuple(np.concatenate(found).T)
 
 
-#: distinct segments that a task holds at once
+#: distinct phrases or segments that a task holds at once
 HELD = 100_000
+#: bytes of texts in a shard; it follows that its phrases are bounded, too
+SHARD = 2 << 20
+
+
+def confirmed_phrases(texts: DataFrame, unit: Words) -> DataFrame:
+    """h, phrase: proposed phrases whose words at least two different texts hold."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, list[int]] = {}  # phrase -> hash, texts, the last of them
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v[0] for v in seen.values()], pa.int64()), pa.array(list(seen), pa.string()), pa.array([v[1] for v in seen.values()], pa.int64())], ["h", "phrase", "n"])
 
-def occurrences(texts: DataFrame, unit: Words) -> DataFrame:
+        number = 0
+        for batch in batches:
+            grams = batch.column("grams")
+            for lo, hi, data, starts, ends, at, (text, q, _, _, h) in passages.anchored(batch, unit):
+                raw, keep = data.tobytes(), np.zeros(len(h), bool)
+                ends_of = np.searchsorted(text, np.arange(hi - lo + 1))
+                for i, (a, b) in enumerate(zip(ends_of[:-1], ends_of[1:], strict=True)):
+                    keep[a:b] = np.isin(h[a:b], np.asarray(grams[lo + i].values).view(np.uint64))
+                for t, p, g in zip(text[keep].tolist(), q[keep].tolist(), hashing.signed(h[keep]).tolist(), strict=True):
+                    phrase = b" ".join(raw[s:e] for s, e in zip(starts[p : p + unit.gram], ends[p : p + unit.gram], strict=True)).decode()
+                    known = seen.setdefault(phrase, [g, 0, -1])
+                    if known[2] != number + lo + t:
+                        known[1:] = known[1] + 1, number + lo + t
+                if len(seen) > HELD:
+                    yield out()
+                    seen.clear()
+            number += batch.num_rows
+        yield out()
+
+    counts = texts.mapInArrow(rows, "h bigint, phrase string, n bigint")
+    return counts.groupBy("h", "phrase").agg(F.sum("n").alias("n")).where("n > 1").select("h", "phrase")
+
+
+def sharded(texts: DataFrame, phrases: DataFrame, unit: Words) -> DataFrame:
+    """shard, kind (p before t), and of a phrase h, phrase, of a text did, tk, text; the rows of a shard follow each other."""
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    texts = texts.withColumn("shard", F.pmod("tk", F.lit(max(1, -(-size // SHARD)))))
+    # a phrase costs one row a shard, however many texts hold it
+    wanted = texts.select("shard", F.explode("grams").alias("h")).distinct().join(phrases, "h")
+    none = F.lit(None).cast("long")
+    rows = wanted.select("shard", F.lit("p").alias("kind"), "h", F.col("phrase").alias("text"), none.alias("did"), none.alias("tk"))
+    rows = rows.unionByName(texts.select("shard", F.lit("t").alias("kind"), none.alias("h"), "text", "did", "tk"))
+    return rows.repartition(passages.parts_of(texts), "shard").sortWithinPartitions("shard", "kind")
+
+
+def occurrences(shards: DataFrame, unit: Words) -> DataFrame:
     """kind o: one row per text and segment, with all its places; kind s: one row per task and distinct segment."""
     schema = "kind string, did bigint, tk bigint, lo bigint, n int, h bigint, ih1 bigint, ih2 bigint, segment string, los array<bigint>"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments: dict[tuple[int, int], list] = {}
+        shard, phrases, hashes = None, [], []
         for batch in batches:
-            did, tk, grams = batch.column("did").to_numpy(), batch.column("tk").to_numpy(), batch.column("grams")
-            for lo, hi, data, starts, ends, at, (text, q, first, last, h) in passages.anchored(batch, unit):
-                raw = data.tobytes()
-                keep = np.zeros(len(h), bool)
-                cut = np.searchsorted(text, np.arange(hi - lo + 1))
-                for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-                    keep[a:b] = np.isin(h[a:b], np.asarray(grams[lo + i].values).view(np.uint64))
-                words = [raw[s:e].decode() for s, e in zip(starts, ends, strict=True)]
-                # the confirmed phrases of this shard, and where an automaton finds them
-                phrases = sorted({" ".join(words[x : x + unit.gram]) for x in q[keep]})
-                whole = [" ".join(words[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                hits = {(int(at[t]) + w) for t, w, _ in located(whole, phrases)}
-                out: list[tuple] = []
-                for t, p, a, b, g in zip(text, q, first, last, hashing.signed(h), strict=True):
-                    if int(p) not in hits:
-                        continue
-                    segment = " ".join(words[a : b + unit.window])
-                    key = passages.item_hash(segment.encode())
-                    place = (int(did[lo + t]), int(a - at[t]))
-                    out.append((place[0], int(tk[lo + t]), place[1], *key))
-                    known = segments.get(key)
-                    if known is None:
-                        segments[key] = [place, int(b - a + 1), int(g), segment]
-                    elif place < known[0]:
-                        known[0] = place
-                found, none = passages.by_item(out), [None] * len(out)
-                none = none[: len(found)]
-                d, k, x, y = ([key[i] for key in found] for i in range(4))
-                yield _batch(["o"] * len(found), d, k, none, none, none, x, y, none, list(found.values()))
-                if len(segments) > HELD:  # a task's memory is bounded; equal segments collapse again later
-                    yield from segment_rows(segments)
-                    segments = {}
+            shards, kinds = batch.column("shard").to_numpy(), np.array(batch.column("kind").to_pylist())
+            edge = np.flatnonzero(np.append(True, (shards[1:] != shards[:-1]) | (kinds[1:] != kinds[:-1]))) if len(shards) else []
+            for a, b in zip(edge, [*edge[1:], len(shards)], strict=True):
+                part = batch.slice(a, b - a)
+                if shards[a] != shard:
+                    shard, phrases, hashes = shards[a], [], []
+                if kinds[a] == "p":
+                    phrases += part.column("text").to_pylist()
+                    hashes += part.column("h").to_pylist()
+                    continue
+                data, offsets = hashing.texts(part.column("text"))
+                did, tk = part.column("did").to_numpy(), part.column("tk").to_numpy()
+                for lo, hi in hashing.pieces(offsets, 2 * SHARD):
+                    out = found_segments(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], phrases, np.array(hashes, np.int64).view(np.uint64), did[lo:hi], tk[lo:hi], segments)
+                    found, none = passages.by_item(out), [None] * len(out)
+                    none = none[: len(found)]
+                    d, k, x, y = ([key[i] for key in found] for i in range(4))
+                    yield _batch(["o"] * len(found), d, k, none, none, none, x, y, none, list(found.values()))
+                    if len(segments) > HELD:  # a task's memory is bounded; equal segments collapse again later
+                        yield from segment_rows(segments)
+                        segments = {}
         yield from segment_rows(segments)
 
+    def found_segments(data, offsets, phrases, hashes, did, tk, segments: dict) -> list[tuple]:  # noqa: ANN001
+        """Runs the texts through the automata; fills segments and gives (did, tk, first window, segment)."""
+        starts, ends, at = hashing.words(data, offsets)
+        raw = data.tobytes()
+        words = [raw[s:e].decode() for s, e in zip(starts, ends, strict=True)]
+        text, word, phrase = located([words[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], phrases)
+        place = at[text] + word
+        out: list[tuple] = []
+        single = len(at) == 2
+        for base in range(0, max(1, len(words) - unit.window + 1), hashing.BLOCK if single else max(1, len(words))):
+            size = min(hashing.BLOCK + unit.window - 1, len(words) - base) if single else len(words)
+            rank = np.full(max(0, size - unit.gram + 1), hashing.NONE, np.uint64)
+            here = (place >= base) & (place < base + len(rank))
+            rank[place[here] - base] = hashing.ranked(hashes[phrase[here]], place[here] - base)
+            named = np.zeros(len(rank), np.int64)
+            named[place[here] - base] = phrase[here]
+            for t, p, a, b in zip(*(x.tolist() for x in hashing.picks(rank, np.array([0, size]) if single else at, unit.window, unit.gram)), strict=True):
+                segment = " ".join(words[base + a : base + b + unit.window])
+                key = passages.item_hash(segment.encode())
+                first = (int(did[t]), int(base + a - at[t]))
+                out.append((first[0], int(tk[t]), first[1], *key))
+                known = segments.get(key)
+                if known is None:
+                    segments[key] = [first, b - a + 1, int(hashing.signed(hashes[named[p : p + 1]])[0]), segment]
+                elif first < known[0]:
+                    known[0] = first
+        return out
+
     def segment_rows(segments: dict) -> Iterator[pa.RecordBatch]:
         items = list(segments.items())
         for i in range(0, len(items), 4096):
             part = items[i : i + 4096]
             yield _batch(["s"] * len(part), [v[0][0] for _, v in part], [None] * len(part), [v[0][1] for _, v in part], [v[1] for _, v in part], [v[2] for _, v in part], [k[0] for k, _ in part], [k[1] for k, _ in part], [v[3] for _, v in part], [None] * len(part))
 
-    return texts.mapInArrow(rows, schema)
+    return shards.select("shard", "kind", "h", "text", "did", "tk").mapInArrow(rows, schema)
 
 
 def _batch(kind: list, did: list, tk: list, lo: list, n: list, h: list, ih1: list, ih2: list, segment: list, los: list) -> pa.RecordBatch:
@@ -121,9 +197,9 @@ HOT = 4096
 
 def items(segments: DataFrame, unit: Words, hot: int = HOT) -> DataFrame:
     """passages.ITEM rows: whole segments alone in their gram, runs of windows of the others."""
-    grams = segments.groupBy("h").agg((F.min("ih1") != F.max("ih1")).alias("several"), F.count("*").alias("rows"))
+    grams = cut(segments.groupBy("h").agg((F.min("ih1") != F.max("ih1")).alias("several"), F.count("*").alias("rows")))
     least = segments.groupBy("ih1", "ih2").agg(F.min(F.struct("did", "lo")).alias("m"), F.max("n").alias("n"), F.max("h").alias("h"))
-    least = least.join(grams, "h").select("h", "ih1", "ih2", "n", "several", "rows", F.col("m.did").alias("did"), F.col("m.lo").alias("lo"))
+    least = cut(spread_join(least, grams, ["h"], ["ih1", "ih2"], "inner", grams.select("h", F.col("rows").alias("_n"))).select("h", "ih1", "ih2", "n", "several", "rows", F.col("m.did").alias("did"), F.col("m.lo").alias("lo")))
     none = F.lit(None).cast("long")
     alone = least.where("not several").select("ih1", "ih2", F.lit(0).alias("off"), "n", F.col("did").alias("fd"), F.col("lo").alias("fp"), none.alias("wh1"), none.alias("wh2"))
     # the text travels only for segments of several: (segment, did, lo) is one row
@@ -141,7 +217,9 @@ def items(segments: DataFrame, unit: Words, hot: int = HOT) -> DataFrame:
                 yield out(pa.Table.from_batches(held).combine_chunks())
 
         def out(part) -> pa.RecordBatch:  # noqa: ANN001
-            h, _, _, at = hashing.word_hashes(*hashing.texts(part.column("segment")))
+            data, offsets = hashing.texts(part.column("segment"))
+            one, starts, ends, at = hashing.word_hashes(data, offsets)
+            h = one, hashing.span_hashes(data, starts, ends, 1)
             keys = np.column_stack([part.column(c).to_numpy() for c in ("ih1", "ih2")])
             return passages.window_rows(keys, part.column("did").to_numpy().copy(), part.column("lo").to_numpy(), h, at, unit.window, settle)
 
@@ -153,20 +231,24 @@ def items(segments: DataFrame, unit: Words, hot: int = HOT) -> DataFrame:
     return alone.unionByName(cold).unionByName(warm)
 
 
-def removed_words(docs: DataFrame, window: int = 50, gram: int = 8) -> tuple[DataFrame, DataFrame]:
+def removed_words(docs: DataFrame, firsts: DataFrame, window: int = 50, gram: int = 8) -> tuple[DataFrame, DataFrame]:
     """(texts that take part, removal ranges did, tk, ranges of window starts)."""
     unit = Words(window, gram)
-    texts = passages.involved(passages.keyed(docs), unit)
-    found = stored(occurrences(texts, unit), "passages-found", by="kind")
+    texts = passages.involved(docs, firsts, unit)
+    phrases = cut(confirmed_phrases(texts, unit))
+    found = stored(occurrences(sharded(texts, phrases, unit), unit), "passages-found", by="kind")
     rows = stored(items(found.where("kind = 's'"), unit), "passages-items")
     discard(found, "kind", "s")
     places = found.where("kind = 'o'").select("did", "tk", "los", "ih1", "ih2")
-    return texts, passages.resolved(rows, places, lambda fd, fp, did, lo: fd < did)
+    ranges = cut(passages.resolved(rows, places, lambda fd, fp, did, lo: fd < did))
+    for table in (rows, found):
+        forget(table)
+    return texts, ranges
 
 
-def cleaned(docs: DataFrame, window: int = 50, gram: int = 8) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text (words joined by one space), kept_sha256; kept_text is null where nothing was removed."""
-    texts, ranges = removed_words(docs, window, gram)
+def changed_texts(docs: DataFrame, firsts: DataFrame, window: int = 50, gram: int = 8, keep: bool = True) -> DataFrame:
+    """did, tk, n_removed, kept_text, kept_sha256 of the different texts that lose words, the first row of each."""
+    texts, ranges = removed_words(docs, firsts, window, gram)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,9 +265,28 @@ def cleaned(docs: DataFrame, window: int = 50, gram: int = 8) -> DataFrame:
                 digest.append(hashlib.sha256(line).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("tk"), pa.array(n, pa.int64()), pa.array(kept, pa.string()), pa.array(digest, pa.string())], ["did", "tk", "n_removed", "kept_text", "kept_sha256"])
 
-    changed = ranges.join(texts.select("did", "tk", "text").dropDuplicates(["did", "tk"]), ["did", "tk"]).select("did", "tk", "text", "ranges")
-    changed = changed.mapInArrow(rows, "did bigint, tk bigint, n_removed bigint, kept_text string, kept_sha256 string")
+    changed = ranges.join(texts.select("did", "tk", "text"), ["did", "tk"]).select("did", "tk", "text", "ranges")
+    out = changed.mapInArrow(rows, "did bigint, tk bigint, n_removed bigint, kept_text string, kept_sha256 string")
+    out = cut(out if keep else out.drop("kept_text"))
+    forget(texts)
+    return out
+
+
+def digests(docs: DataFrame, firsts: DataFrame, changed: DataFrame, window: int = 50) -> DataFrame:
+    """did, tk, n_words, n_removed, kept_sha256 of every row."""
     words = word_array(F.col("text"))
-    plain = passages.keyed(docs).select("did", "tk", words.alias("_w")).select("did", "tk", F.size("_w").cast("long").alias("n_words"), F.sha2(F.array_join("_w", " ").cast("binary"), 256).alias("_sha"))
-    out = plain.join(changed, ["did", "tk"], "left")
-    return out.select(F.nullif(F.col("did"), F.lit(passages.LAST)).alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), "kept_text", F.coalesce("kept_sha256", "_sha").alias("kept_sha256"))
+    rows = passages.by_text(docs, firsts, changed.select("did", "tk", "n_removed", "kept_sha256"), [F.size(words).cast("long").alias("n_words"), F.sha2(F.array_join(words, " ").cast("binary"), 256).alias("_sha")])
+    copy = (F.col("did") > F.col("first")) & (F.col("n_words") >= window)  # an earlier row has the same text
+    gone = F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
+    return rows.select("did", "tk", "n_words", gone.alias("n_removed"), F.when(copy, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("kept_sha256", "_sha")).alias("kept_sha256"))
+
+
+def cleaned(docs: DataFrame, window: int = 50, gram: int = 8, texts: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, if wanted, kept_text (words joined by one space; null where nothing was removed)."""
+    firsts = passages.first_texts(docs)
+    changed = changed_texts(docs, firsts, window, gram, keep=texts)
+    out = digests(docs, firsts, changed, window)
+    if texts:
+        out = out.join(changed.select("did", "tk", "kept_text"), ["did", "tk"], "left")
+        out = out.withColumn("kept_text", F.when((F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_words")), "").otherwise(F.col("kept_text")))
+    return out.withColumn("doc_id", F.nullif(F.col("did"), F.lit(passages.LAST))).select("doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * texts)

@@ -28,7 +28,7 @@ def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrase_automata.cleaned(table(spark, sf_dir, "documents")).drop("kept_text")
+    return phrase_automata.cleaned(table(spark, sf_dir, "documents"), texts=False)
 
 
 def op5_chat_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.cleaned(table(spark, sf_dir, "documents")).drop("spans", "kept")
+    return suffix_dedup.cleaned(table(spark, sf_dir, "documents"), texts=False)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

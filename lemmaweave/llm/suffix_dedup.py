@@ -13,7 +13,7 @@ prefix of neighbours in the merged order tells equal suffixes and suffixes of an
 equal gram.
 
 Defined results: a null text is empty; matches stay inside one document; a null
-doc_id is later than all others; among rows of one doc_id the start decides;
+doc_id (or one of 2**63 - 1, which returns as null) is later than all others; among rows of one doc_id the start decides;
 an empty table gives an empty table.  Extra columns are not read.
 """
 
@@ -29,15 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing, passages
-from .common import discard, stored
+from .common import cut, discard, forget, stored
 
 #: suffixes that a task sorts at once
 RUN = 100_000
+#: bytes of suffixes in a shard, which one task merges at a time
+SHARD = 8 << 20
 
 
 class Bytes(passages.Unit):
     def __init__(self, window: int = 100, gram: int = 40):
-        self.window, self.gram = window, gram
+        self.window, self.gram, self.within = window, gram, True
 
     def symbols(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, None, None, np.ndarray]:
         return data, None, None, offsets
@@ -200,11 +202,17 @@ def _batch(kind: list, did: list, tk: list, los: list, ih1: list, ih2: list, fro
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), big(did), big(tk), pa.array(los, pa.list_(pa.int64())), big(ih1), big(ih2), big(front), pa.array(run, pa.list_(pa.binary()))], ["kind", "did", "tk", "los", "ih1", "ih2", "front", "run"])
 
 
+def shards_of(found: DataFrame, unit: Bytes) -> int:
+    """As many shards as keep each to about SHARD bytes, but no fewer than partitions."""
+    rows = found.where("kind = 'o'").count()
+    return max(passages.parts_of(found), -(-rows * (unit.window + unit.gram) // SHARD))
+
+
 def splitters(found: DataFrame, shards: int) -> np.ndarray:
     """Quantiles of the first eight bytes of the suffixes: at most shards - 1 numbers."""
     if shards < 2:
         return np.empty(0, np.int64)
-    cuts = found.where("kind = 'o'").agg(F.percentile_approx("front", [i / shards for i in range(1, shards)], 1000)).first()[0]
+    cuts = found.where("kind = 'o'").agg(F.percentile_approx("front", [i / shards for i in range(1, shards)], max(1000, 4 * shards))).first()[0]
     return np.array(sorted(cuts or []), np.int64)
 
 
@@ -240,17 +248,13 @@ def _item_rows(group: list[tuple[bytes, int, int, int]], unit: Bytes, kind: str)
     if kind == "alone":
         return passages.item_rows(keys, np.zeros(len(group), np.int64), size - unit.window + 1, did, lo)
     at = np.concatenate(([0], np.cumsum(size)))
-    return passages.window_rows(keys, did, lo, np.frombuffer(b"".join(texts), np.uint8), at, unit.window, kind == "settle")
+    return passages.window_rows(keys, did, lo, (np.frombuffer(b"".join(texts), np.uint8),) * 2, at, unit.window, kind == "settle")
 
 
-def merged_items(runs: DataFrame, unit: Bytes) -> DataFrame:
-    """passages.ITEM rows from merging the runs of each shard."""
+def merged_items(runs: DataFrame, unit: Bytes, shards: int) -> DataFrame:
+    """passages.ITEM rows from merging the runs of each shard; a task holds one shard at a time."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards: dict[tuple[int, bool], list[Run]] = {}
-        for batch in batches:
-            for shard, several, cells in zip(batch.column("shard").to_pylist(), batch.column("several").to_pylist(), batch.column("run"), strict=True):
-                shards.setdefault((shard, several), []).append(Run.unpacked(cells.as_py()))
         waiting: dict[str, list] = {"alone": [], "settle": [], "windows": []}
 
         def put(kind: str, rows: list) -> Iterator[pa.RecordBatch]:
@@ -259,7 +263,7 @@ def merged_items(runs: DataFrame, unit: Bytes) -> DataFrame:
                 yield _item_rows(waiting[kind], unit, kind)
                 waiting[kind] = []
 
-        for (_, several), runs in shards.items():
+        def merge(runs: list[Run], several: bool) -> Iterator[pa.RecordBatch]:
             group: list = []
             for shared, item, left, did, lo in merged(runs):
                 if shared < unit.gram:  # another gram begins
@@ -272,27 +276,43 @@ def merged_items(runs: DataFrame, unit: Bytes) -> DataFrame:
                 if several and len(group) > 1:  # a hot gram is not gathered
                     yield from put("windows", [group.pop(0)])
             yield from put("windows" if several else "settle" if len(group) > 1 else "alone", group)
+
+        held: list[Run] = []
+        key = None
+        for batch in batches:  # ordered by shard
+            for shard, several, cells in zip(batch.column("shard").to_pylist(), batch.column("several").to_pylist(), batch.column("run"), strict=True):
+                if (shard, several) != key:
+                    if held:
+                        yield from merge(held, key[1])
+                    held, key = [], (shard, several)
+                held.append(Run.unpacked(cells.as_py()))
+        if held:
+            yield from merge(held, key[1])
         for kind, rows in waiting.items():
             if rows:
                 yield _item_rows(rows, unit, kind)
 
-    return runs.repartition(passages.parts_of(runs), "shard").mapInArrow(rows, passages.ITEM)
+    return runs.repartition(shards, "shard").sortWithinPartitions("shard", "several").mapInArrow(rows, passages.ITEM)
 
 
-def removed_bytes(docs: DataFrame, window: int = 100, gram: int = 40) -> tuple[DataFrame, DataFrame]:
+def removed_bytes(docs: DataFrame, firsts: DataFrame, window: int = 100, gram: int = 40) -> tuple[DataFrame, DataFrame]:
     """(texts that take part, ranges did, tk, ranges of window starts)."""
     unit = Bytes(window, gram)
-    texts = passages.involved(passages.keyed(docs), unit)
+    texts = passages.involved(docs, firsts, unit)
     found = stored(sorted_runs(texts, unit), "passages-runs", by="kind")
-    items = stored(merged_items(exchanged(found, splitters(found, passages.parts_of(docs))), unit), "passages-items")
+    shards = shards_of(found, unit)
+    items = stored(merged_items(exchanged(found, splitters(found, shards)), unit, shards), "passages-items")
     discard(found, "kind", "r")
     places = found.where("kind = 'o'").select("did", "tk", "los", "ih1", "ih2")
-    return texts, passages.resolved(items, places, lambda fd, fp, did, lo: (fd < did) | ((fd == did) & (fp < lo)))
+    ranges = cut(passages.resolved(items, places, lambda fd, fp, did, lo: (fd < did) | ((fd == did) & (fp < lo))))
+    for table in (items, found):
+        forget(table)
+    return texts, ranges
 
 
-def cleaned(docs: DataFrame, window: int = 100, gram: int = 40) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, spans (start, end), kept (bytes), kept_sha256; spans and kept are null where nothing was removed."""
-    texts, ranges = removed_bytes(docs, window, gram)
+def changed_texts(docs: DataFrame, firsts: DataFrame, window: int = 100, gram: int = 40, keep: bool = True) -> DataFrame:
+    """did, tk, n_removed, spans, kept, kept_sha256 of the different texts that lose bytes, the first row of each."""
+    texts, ranges = removed_bytes(docs, firsts, window, gram)
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,12 +327,35 @@ def cleaned(docs: DataFrame, window: int = 100, gram: int = 40) -> DataFrame:
             gone = [sum(r["end"] - r["start"] for r in s) for s in spans]
             yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("tk"), pa.array(gone, pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())], ["did", "tk", "n_removed", "spans", "kept", "kept_sha256"])
 
-    changed = ranges.join(texts.select("did", "tk", "text").dropDuplicates(["did", "tk"]), ["did", "tk"]).select("did", "tk", "text", "ranges")
-    changed = changed.mapInArrow(rows, "did bigint, tk bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary, kept_sha256 string")
+    changed = ranges.join(texts.select("did", "tk", "text"), ["did", "tk"]).select("did", "tk", "text", "ranges")
+    out = changed.mapInArrow(rows, "did bigint, tk bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary, kept_sha256 string")
+    out = cut(out if keep else out.drop("kept"))
+    forget(texts)
+    return out
+
+
+def digests(docs: DataFrame, firsts: DataFrame, changed: DataFrame, window: int = 100) -> DataFrame:
+    """did, tk, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     raw = F.col("text").cast("binary")
-    plain = passages.keyed(docs).select("did", "tk", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("_sha"))
-    out = plain.join(changed, ["did", "tk"], "left")
-    return out.select(
-        F.nullif(F.col("did"), F.lit(passages.LAST)).alias("doc_id"), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-        F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), "spans", "kept", F.coalesce("kept_sha256", "_sha").alias("kept_sha256"),
+    own = changed.select("did", "tk", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    rows = passages.by_text(docs, firsts, own, [F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("_sha")])
+    copy = (F.col("did") > F.col("first")) & (F.col("n_bytes") >= window)  # an earlier row has the same text
+    zero = F.lit(0).cast("long")
+    return rows.select(
+        "did", "tk", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
+        F.when(copy, zero + 1).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
+        F.when(copy, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("kept_sha256", "_sha")).alias("kept_sha256"),
     )
+
+
+def cleaned(docs: DataFrame, window: int = 100, gram: int = 40, texts: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, spans (start, end) and kept (bytes), null where nothing was removed."""
+    firsts = passages.first_texts(docs)
+    changed = changed_texts(docs, firsts, window, gram, keep=texts)
+    out = digests(docs, firsts, changed, window)
+    if texts:
+        out = out.join(changed.select("did", "tk", "spans", "kept"), ["did", "tk"], "left")
+        whole = (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_bytes"))
+        span = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+        out = out.withColumns({"spans": F.when(whole, span).otherwise(F.col("spans")), "kept": F.when(whole, F.lit(b"")).otherwise(F.col("kept"))})
+    return out.withColumn("doc_id", F.nullif(F.col("did"), F.lit(passages.LAST))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["spans", "kept"] * texts)
