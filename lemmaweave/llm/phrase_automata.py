@@ -192,7 +192,7 @@ def _batch(kind: list, did: list, tk: list, lo: list, n: list, h: list, ih1: lis
 
 
 #: segments of one gram that one task may gather; the windows of a hotter gram go to an aggregation instead
-HOT = 4096
+HOT = 512
 
 
 def items(segments: DataFrame, unit: Words, hot: int = HOT) -> DataFrame:

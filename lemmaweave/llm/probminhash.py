@@ -8,17 +8,22 @@ the latest register, so long texts cost little more than one arrival per
 element.  The share of equal registers estimates the probability Jaccard
 similarity.  A text with a repeated shingle has a second sketch with weight 1 for
 each, whose registers estimate the Jaccard similarity of the sets.  Registers are
-banded; documents that share a band of either sketch are candidates, and every
-link is confirmed on the shingle sets themselves.
+banded; texts that share a band of either sketch are candidates, and every link
+is confirmed on the shingle sets themselves: the estimate of 256 registers has a
+standard error of 0.025 at 0.8, so it finds candidates and decides nothing.
+
+A text, not a row, is the unit: each different text is one node, whose number is
+fixed by a checkpoint, and doc_ids come back at the end.  So rows that repeat a
+doc_id with other texts, in any order, lose no link.
 
 Links are looked for in two steps, neither of which emits the pairs of a group.
-First every document is compared with the smallest one of each of its band
-groups.  Then, in each connected group of candidates that still holds several
-classes, the documents outside its largest class are compared with all of the
-group, block by block: a block of queries against a block of members is one row,
-and a sparse product counts the common shingles of all its pairs.  So no link
-among candidates is lost, and a group that collapses onto its centre costs one
-comparison per document.
+First every text is compared with the smallest one of each of its bands.  Then,
+in each band that still holds several classes, the texts outside its largest
+class are compared with all of the band, block by block: a block of queries
+against a block of members is one row, and a sparse product counts the common
+shingles of all its pairs.  Bands with the same members count once.  So no link
+among candidates is lost, texts that share no band are never compared, and a band
+that collapses onto its centre costs one comparison per text.
 
 Defined results: texts without a word are similar only if equal; a null text
 equals an empty one and null ids are not classed (class_id is null); equal texts
@@ -33,11 +38,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import cut
+from .common import cut, spread_join
 
 
 @dataclass(frozen=True)
@@ -45,18 +50,18 @@ class NearDup:
     shingle: int = 5
     registers: int = 256
     rows: int = 8  # registers in a band: 32 bands of the even sketch find a pair of set Jaccard 0.8 with probability 0.997, 0.85 with 0.9999
-    block: int = 128  # documents of one block of a group
+    block: int = 128  # texts of one block of a group
+    block_bytes: int = 1 << 21  # bytes of sets in one block, but for a longer one
     similarity: float = 0.8
 
 
 def shingles(symbols: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Text number and hash of each shingle; a text of fewer than k words is one shingle."""
     n = np.diff(at)
-    runs = hashing.Runs(symbols)
     counts = np.where(n >= k, n - k + 1, (n > 0).astype(np.int64))
     text = np.repeat(np.arange(len(n)), counts)
     first = np.repeat(at[:-1] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(len(text))
-    return text, runs.at(first, np.minimum(first + k, at[1:][text]))
+    return text, hashing.span_hashes(symbols, first, np.minimum(first + k, at[1:][text]))
 
 
 def weighted(text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,7 +135,7 @@ def sketched(docs: DataFrame, settings: NearDup) -> DataFrame:
     return docs.select("doc_id", text_key().alias("_k"), "text").mapInArrow(rows, "doc_id bigint, _k string, bands array<bigint>")
 
 
-def shingle_sets(docs: DataFrame, settings: NearDup) -> DataFrame:
+def shingle_sets(texts: DataFrame, settings: NearDup) -> DataFrame:
     """id, set: the distinct shingle hashes of a text, sorted, as bytes."""
     k = settings.shingle
 
@@ -141,27 +146,28 @@ def shingle_sets(docs: DataFrame, settings: NearDup) -> DataFrame:
                 sets = [h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(sets, pa.binary())], ["id", "set"])
 
-    return docs.select("id", "text").mapInArrow(rows, "id bigint, set binary")
+    return texts.select("id", "text").mapInArrow(rows, "id bigint, set binary")
 
 
-def _jaccard(a: bytes, b: bytes) -> float:
+def _jaccard(a: bytes, b: bytes, similarity: float = 0.0) -> float:
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if len(x) * 10 < 7 * len(y) or len(y) * 10 < 7 * len(x):
-        return 0.0  # sizes alone exclude 0.8
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return 0.0  # even a subset would not reach it
     both = np.concatenate((x, y))
     both.sort()
     common = int((both[1:] == both[:-1]).sum())
-    return common / (len(x) + len(y) - common)
+    return common / max(1, len(x) + len(y) - common)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose shingle sets reach the similarity."""
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+    """Pairs (a, b) whose shingle sets reach the similarity.  A hot a, the centre of many, is dealt by b."""
+    both = spread_join(pairs, sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), ["a"], ["b"], "inner")
+    both = both.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sa, sb = batch.column("sa"), batch.column("sb")
-            good = [_jaccard(x.as_py(), y.as_py()) >= similarity for x, y in zip(sa, sb, strict=True)]
+            good = [_jaccard(x.as_py(), y.as_py(), similarity) >= similarity for x, y in zip(sa, sb, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.select("a", "b", "sa", "sb").mapInArrow(rows, "a bigint, b bigint")
@@ -194,21 +200,21 @@ def _block_links(left: tuple, right: tuple, similarity: float) -> list[tuple[int
 
 
 def block_links(members: DataFrame, settings: NearDup) -> DataFrame:
-    """Links across classes of members(id, comp, label, set) in the components that hold several."""
-    sized = members.groupBy("comp", "label").agg(F.count("*").alias("n"))
-    whole = sized.groupBy("comp").agg(F.max_by("label", F.struct("n", "label")).alias("big"), F.sum("n").alias("_all"), F.max("n").alias("_most")).where("_all > _most")
-    rows = members.join(whole, "comp")
+    """Links across classes of members(id, comp, label, set) in the groups comp that hold several."""
+    sized = members.groupBy("comp", "label").agg(F.count("*").alias("n"), F.sum(F.octet_length("set")).alias("z"))
+    whole = sized.groupBy("comp").agg(F.max_by("label", F.struct("n", "label")).alias("big"), F.sum("n").alias("_all"), F.sum("z").alias("_bytes"), F.max("n").alias("_most"), F.max_by("z", F.struct("n", "label")).alias("_rest")).where("_all > _most")
+    whole = whole.select("comp", "big", "_all", "_bytes", (F.col("_all") - F.col("_most")).alias("_few"), (F.col("_bytes") - F.col("_rest")).alias("_few_bytes"))
+    rows = cut(spread_join(members, whole, ["comp"], ["id"], "inner"))
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    count = lambda n: F.ceil(n / settings.block).cast("long")
+    count = lambda n, z: F.greatest(F.ceil(F.col(n) / settings.block), F.ceil(F.col(z) / settings.block_bytes)).cast("long")
 
-    def gathered(df: DataFrame, seed: int, n: Column, name: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("id", F.lit(seed)), count(n))
+    def gathered(df: DataFrame, seed: int, n: str, z: str, name: str) -> DataFrame:
         # dealt by group and block: the blocks of a large group lie in different tasks
-        df = df.withColumn("_b", block).repartition(parts, "comp", "_b")
-        return df.groupBy("comp", "_b").agg(F.collect_list(F.struct("id", "label", "set")).alias(name), F.first(count(F.col("_all"))).alias("_blocks"))
+        df = df.withColumn("_b", F.pmod(F.xxhash64("id", F.lit(seed)), count(n, z))).repartition(parts, "comp", "_b")
+        return df.groupBy("comp", "_b").agg(F.collect_list(F.struct("id", "label", "set")).alias(name), F.first(count("_all", "_bytes")).alias("_blocks"))
 
-    queries = gathered(rows.where("label <> big"), 1, F.col("_all") - F.col("_most"), "q")
-    against = gathered(rows, 2, F.col("_all"), "m")
+    queries = gathered(rows.where("label <> big"), 1, "_few", "_few_bytes", "q")
+    against = gathered(rows, 2, "_all", "_bytes", "m")
     # each query block names the member blocks it meets, so that the join is dealt by both
     meets = queries.select("comp", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_b"))
     tasks = meets.join(against.select("comp", "_b", "m"), ["comp", "_b"]).select("q", "m")
@@ -254,41 +260,59 @@ def text_key() -> F.Column:
 
 
 def links_between(bands: DataFrame, texts: DataFrame, settings: NearDup) -> DataFrame:
-    """Confirmed links (a, b) that span each class.  bands(id, band) has the distinct texts, texts(id, text) all."""
+    """Confirmed links (a, b) that span each class.  bands(id, band); texts(id, text), each once, at least those with bands."""
     # groups of one are dropped; a count by band combines before the shuffle
-    shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("_x")).where("n > 1").select("band")
-    bands = cut(bands.join(shared, "band"))
-    sets = cut(shingle_sets(texts.join(bands.select("id").distinct(), "id", "left_semi"), settings).dropDuplicates(["id"]))
-    centres = bands.groupBy("band").agg(F.min("id").alias("a"))
-    stars = cut(bands.join(centres, "band").where("a <> id").select("a", F.col("id").alias("b")).distinct())
+    shared = cut(bands.groupBy("band").agg(F.count("*").alias("_n"), F.min("id").alias("a")).where("_n > 1"))
+    sizes = shared.select("band", "_n")
+    bands = cut(spread_join(bands, shared.select("band", "a"), ["band"], ["id"], "inner", sizes))
+    sets = cut(shingle_sets(texts.join(bands.select("id").distinct(), "id", "left_semi"), settings))
+    stars = cut(bands.where("a <> id").select("a", F.col("id").alias("b")).distinct())
     links = cut(confirmed(stars, sets, settings.similarity))
-    groups = components(stars).select("id", F.col("root").alias("comp"))
-    members = groups.join(components(links), "id", "left").select("id", "comp", F.coalesce("root", "id").alias("label"))
-    return links.unionByName(cut(block_links(members.join(sets, "id"), settings)))
+    # what is left: bands of several classes, once for all bands of the same members
+    labels = cut(components(links))
+    marked = cut(bands.select("id", "band").join(labels, "id", "left").select("id", "band", F.coalesce("root", "id").alias("label")))
+    open_bands = marked.groupBy("band").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count("*").alias("_n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("_sum")).where("_lo <> _hi")
+    open_bands = cut(open_bands.groupBy("_n", "_sum").agg(F.min("band").alias("band")))
+    members = spread_join(marked, open_bands.select("band", F.lit(True).alias("_open")), ["band"], ["id"], "inner", open_bands.select("band", "_n"))
+    members = members.select("id", F.col("band").alias("comp"), "label").join(sets, "id")
+    return links.unionByName(cut(block_links(cut(members), settings)))
+
+
+def linked(docs: DataFrame, settings: NearDup) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows(doc_id, _k), nodes(_k, text_id, _n, id) of the different texts with an id, links(a, b) between nodes."""
+    rows = cut(sketched(docs, settings))
+    # one node for each different text; the checkpoint fixes its number
+    firsts = rows.where("doc_id is not null").groupBy("_k").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("_n"))
+    nodes = cut(firsts.withColumn("id", F.monotonically_increasing_id()))
+    named = nodes.select(F.col("text_id").alias("doc_id"), "_k", "id")
+    bands = rows.join(named, ["doc_id", "_k"]).select("id", F.explode("bands").alias("band")).distinct()
+    texts = docs.select("doc_id", text_key().alias("_k"), "text").join(named, ["doc_id", "_k"]).dropDuplicates(["doc_id", "_k"]).select("id", "text")
+    return rows.select("doc_id", "_k"), nodes, links_between(bands, texts, settings)
 
 
 def classes(docs: DataFrame, settings: NearDup = NearDup()) -> DataFrame:
     """doc_id, class_id, text_id (smallest doc_id with the equal text)."""
-    rows = cut(sketched(docs, settings))
-    keyed = rows.select("doc_id", "_k")
-    ids = cut(keyed.join(keyed.where("doc_id is not null").groupBy("_k").agg(F.min("doc_id").alias("text_id")), "_k", "left"))
-    # a text's own id is its smallest doc_id: the rows that carry it stand for the distinct texts
-    firsts = rows.join(ids.where("doc_id = text_id").distinct().select("doc_id", "_k"), ["doc_id", "_k"], "left_semi")
-    bands = firsts.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band")).distinct()
-    found = links_between(bands, docs.select(F.col("doc_id").alias("id"), "text"), settings)
-    # texts under one repeated doc_id belong together; no other row gives a tie
-    repeated = ids.where("doc_id is not null").groupBy("doc_id").agg(F.min("_k").alias("_lo"), F.max("_k").alias("_hi")).where("_lo <> _hi")
-    ties = ids.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("text_id").alias("b")).where("a <> b")
-    roots = components(found.unionByName(ties))
-    out = ids.join(roots.select(F.col("id").alias("text_id"), "root"), "text_id", "left")
-    named = F.col("doc_id").isNotNull()
-    return out.select("doc_id", F.when(named, F.coalesce("root", "text_id")).alias("class_id"), F.when(named, F.col("text_id")).alias("text_id"))
+    rows, nodes, found = linked(docs, settings)
+    ids = cut(spread_join(rows, nodes.select("_k", "id", "text_id"), ["_k"], ["doc_id"], "left", nodes.select("_k", "_n")))
+    # texts under one repeated doc_id belong together
+    repeated = ids.where("doc_id is not null").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("_hi")).where("a <> _hi")
+    ties = ids.join(repeated, "doc_id").select("a", F.col("id").alias("b")).where("a <> b")
+    roots = components(found.unionByName(ties)).join(nodes.select("id", "text_id"), "id")
+    least = cut(roots.groupBy("root").agg(F.min("text_id").alias("class_id"), F.count("*").alias("_n")))
+    roots = cut(spread_join(roots.select("root", "id"), least.select("root", "class_id"), ["root"], ["id"], "left", least.select("root", "_n")).select("id", "class_id"))
+    out = spread_join(ids, roots, ["id"], ["doc_id"], "left", nodes.select("id", "_n"))
+    owned = F.col("doc_id").isNotNull()
+    return out.select("doc_id", F.when(owned, F.coalesce("class_id", "text_id")).alias("class_id"), F.when(owned, F.col("text_id")).alias("text_id"))
 
 
 def deduplicated(docs: DataFrame, settings: NearDup = NearDup()) -> DataFrame:
-    """One document of each class: the row with the smallest doc_id, the first text of equal ids.  Rows without an id stay."""
-    keep = classes(docs, settings).where("class_id is not null").select(F.col("class_id").alias("doc_id")).distinct()
-    named = docs.join(keep, "doc_id", "left_semi")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce("text", F.lit(""))))
-    named = named.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-    return named.unionByName(docs.where("doc_id is null"))
+    """One document of each group of near copies stays: the one with the smallest doc_id, then text hash.
+
+    Rows without an id stay.  Texts that only share a doc_id are no copies of each other, so each stays
+    unless it is a copy of another text; of rows equal in doc_id and text one stays.
+    """
+    _, nodes, found = linked(docs, settings)
+    held = nodes.join(components(found), "id", "left").withColumn("_class", F.coalesce("root", "id"))
+    best = held.groupBy("_class").agg(F.min(F.struct("text_id", "_k")).alias("_x")).select(F.col("_x.text_id").alias("doc_id"), "_x._k")
+    kept = docs.withColumn("_k", text_key()).join(best, ["doc_id", "_k"], "left_semi").dropDuplicates(["doc_id", "_k"])
+    return kept.drop("_k").unionByName(docs.where("doc_id is null"))

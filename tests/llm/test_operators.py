@@ -175,8 +175,55 @@ def test_near_duplicates(docs, texts):
             small[root[i]] = min(small.get(root[i], d), d)
     got = {(r.doc_id, r.class_id) for r in probminhash.classes(docs).collect()}
     assert got == {(d, None if d is None else small[root[i]]) for i, (d, _) in enumerate(texts)}
-    kept = sorted(r.doc_id for r in probminhash.deduplicated(docs).where("doc_id is not null").collect())
-    assert kept == sorted(set(small.values()))
+    # what stays: the first text of each group of copies; that a doc_id repeats makes no copy
+    root = components(len(texts), [(a, b) for a, b in links if texts[a][0] != texts[b][0] or (texts[a][1] or "") == (texts[b][1] or "")])
+    best: dict[int, tuple] = {}
+    for i, (d, t) in enumerate(texts):
+        if d is not None:
+            key = (d, hashlib.md5((t or "").encode()).hexdigest())
+            best[root[i]] = min(best.get(root[i], key), key)
+    kept = sorted((r.doc_id, hashlib.md5((r.text or "").encode()).hexdigest()) for r in probminhash.deduplicated(docs).where("doc_id is not null").collect())
+    assert kept == sorted(best.values())
+
+
+def test_near_duplicates_of_every_text_of_a_repeated_id(spark):
+    """All texts under a repeated doc_id keep their links, in any row order."""
+    rng = random.Random(21)
+
+    def near(t: str) -> str:
+        w = t.split()
+        w[rng.randrange(len(w))] = "zz"
+        return " ".join(w)
+
+    a, b, c = (sentences(rng, 200) for _ in range(3))
+    rows = [(2, a), (2, b), (5, near(b)), (6, near(a)), (11, c), (15, c), (15, near(a)), (19, near(c)), (30, sentences(rng, 200))]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+        assert {(r.doc_id, r.class_id) for r in probminhash.classes(docs).collect()} == {(2, 2), (5, 2), (6, 2), (11, 2), (15, 2), (19, 2), (30, 30)}
+
+
+def test_near_duplicates_at_lower_similarity(spark):
+    """A text inside a longer one has the ratio of their sizes."""
+    rng = random.Random(22)
+    w = sentences(rng, 304).split()
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[:199])), (3, " ".join(w[:150]))], "doc_id bigint, text string")
+    low = probminhash.NearDup(rows=2, similarity=0.6)
+    assert {r.doc_id: r.class_id for r in probminhash.classes(docs, low).collect()} == {1: 1, 2: 1, 3: 1}
+    assert probminhash._jaccard(np.arange(130, dtype=np.uint64).tobytes(), np.arange(200, dtype=np.uint64).tobytes(), 0.6) == 0.65
+
+
+def test_long_texts_go_by_blocks(monkeypatch):
+    """A text longer than a block has the hashes it has in one piece."""
+    rng = np.random.default_rng(3)
+    data = rng.choice(np.frombuffer(b"abc  \n", np.uint8), 5000)
+    offsets = np.array([0, 1200, 5000])
+    whole = hashing.word_hashes(data, offsets)
+    sets = probminhash.shingles(whole[0], whole[3], 5)
+    monkeypatch.setattr(hashing, "BLOCK", 64)
+    parts = hashing.word_hashes(data, offsets)
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+    assert all((a == b).all() for a, b in zip(sets, probminhash.shingles(parts[0], parts[3], 5), strict=True))
 
 
 def test_block_links_find_every_class_pair():
