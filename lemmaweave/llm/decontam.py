@@ -3,8 +3,8 @@
 Words of documents and items become templates: numbers, names (capitalised
 words) and units after a number turn into typed placeholders, the rest is
 lower-cased.  Windows of eight template words are hash-joined; the slots behind
-the placeholders must map each value of the item to one value of the document,
-which catches re-parameterised questions and drops accidental templates.  Each
+the placeholders must map each value of the item to one value of the document and
+back, which catches re-parameterised questions and drops accidental templates.  Each
 alignment of item and document, each chain of neighbouring windows and the
 document as a whole are judged by themselves, and one that agrees is enough: a
 second variant elsewhere in the text hides nothing.  Windows that are equal word
@@ -74,42 +74,48 @@ def _fields(k: int) -> list[str]:
     return [f"w{i}" for i in range(k)] + [f"r{i}" for i in range(k)]
 
 
-def _windows(words: Column, raw: Column, k: int) -> Column:
-    """array<struct<w0..wk-1,r0..rk-1>>: k shifted slices of each zipped, the incomplete end cut off."""
+def _windows(words: Column, raw: Column, k: int, width: int) -> Column:
+    """array<struct<k,at,w0..,r0..>>: shifted slices of each zipped, the incomplete end cut off; null behind k words."""
     n = F.size(words)
-    zipped = F.arrays_zip(*[F.slice(x, F.lit(i + 1), F.greatest(n - i, F.lit(0))) for x in (words, raw) for i in range(k)])
-    named = f"array<struct<{','.join(f'{f}:string' for f in _fields(k))}>>"
+    none = F.array_repeat(F.lit(None).cast("string"), n)
+    zipped = [F.slice(x, F.lit(i + 1), F.greatest(n - i, F.lit(0))) if i < k else none for x in (words, raw) for i in range(width)]
+    numbers = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    zipped = F.arrays_zip(F.array_repeat(F.lit(k), n), numbers, *zipped)
+    named = f"array<struct<k:int,at:int,{','.join(f'{f}:string' for f in _fields(width))}>>"
     return F.slice(zipped, F.lit(1), F.greatest(n - k + 1, F.lit(0))).cast(named)
 
 
-def _hashed(df: DataFrame, k: int, name: str, literal: int = 0) -> DataFrame:
-    """One row per window with its position and 64-bit hash: of its template, and of its words if they differ.
+def _hashed(df: DataFrame, width: int, name: str, literal: int = 0) -> DataFrame:
+    """One row per window with k, its position and 64-bit hash: of its template, and of its words if they differ.
 
     Templates of fewer literal words are left out.  A word never equals a placeholder, so one column serves both.
     """
-    words, raw = ([F.col(f"_x.{f}") for f in part] for part in (_fields(k)[:k], _fields(k)[k:]))
-    literals = sum((F.when(w.isin(NUMBER, NAME, UNIT), 0).otherwise(1) for w in words), F.lit(0))
+    words, raw = ([F.col(f"_x.{f}") for f in part] for part in (_fields(width)[:width], _fields(width)[width:]))
+    literals = sum((F.when(w.isNull() | w.isin(NUMBER, NAME, UNIT), 0).otherwise(1) for w in words), F.lit(0))
     # the outer form, since for the inner one the optimizer repeats the whole expression in a filter on its size
-    rows = df.select("*", F.posexplode_outer(F.col("_win")).alias(name, "_x")).drop("_win").where("_x is not null")
-    rows = rows.withColumns({"_t": F.xxhash64(*words), "_r": F.xxhash64(*raw), "_some": literals >= literal}).drop("_x")
+    rows = df.select("*", F.explode_outer(F.col("_win")).alias("_x")).drop("_win").where("_x is not null")
+    rows = rows.withColumns({"_t": F.xxhash64("_x.k", *words), "_r": F.xxhash64("_x.k", *raw), "_some": literals >= F.least(F.lit(literal), F.col("_x.k")), "k": F.col("_x.k"), name: F.col("_x.at")}).drop("_x")
     both = F.when((F.col("_t") == F.col("_r")) | ~F.col("_some"), F.array("_r")).otherwise(F.array("_t", "_r"))
     return rows.withColumn("_h", F.explode_outer(both)).drop("_t", "_r", "_some")
 
 
 def window_hits(docs: DataFrame, items: DataFrame, settings: Templates) -> DataFrame:
-    """doc_id, _k, item_id, item_at, doc_at: windows with equal templates or words.  items: item_id, words, raw, k."""
-    s, found = settings, None
+    """doc_id, _k, item_id, item_at, doc_at, k: windows with equal templates or words.  items: item_id, words, raw, k.
+
+    The texts are read once, whatever the lengths of the items.
+    """
+    s = settings
     lengths = [r[0] for r in items.select("k").distinct().orderBy("k").collect()]  # at most `window` values
-    for k in lengths:
-        of_k = items.where(F.col("k") == k).select("item_id", _windows(F.col("words"), F.col("raw"), k).alias("_win"))
-        item_side, _ = bounded_broadcast(_hashed(of_k, k, "item_at", min(s.literal, k)), s.broadcast_rows)  # beyond that size the join shuffles by hash
-        doc_rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("_k"), joined_numbers(F.col("text")).alias("_base"))
-        doc_rows = doc_rows.withColumns({"_words": template_words(F.col("_base")), "_raw": folded_words(F.col("_base"))})
-        doc_rows = doc_rows.select("doc_id", "_k", _windows(F.col("_words"), F.col("_raw"), k).alias("_win"))
-        hit = _hashed(doc_rows, k, "doc_at").join(item_side, "_h").select("doc_id", "_k", "item_id", "item_at", "doc_at", F.lit(k).alias("k"))
-        found = hit if found is None else found.unionByName(hit)
-    empty = "doc_id bigint, _k bigint, item_id bigint, item_at int, doc_at int, k int"
-    return docs.sparkSession.createDataFrame([], empty) if found is None else found
+    if not lengths:
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, _k bigint, item_id bigint, item_at int, doc_at int, k int")
+    width = max(lengths)
+    windows = lambda words, raw, ks: F.flatten(F.array(*[_windows(F.col(words), F.col(raw), k, width) for k in ks]))
+    own = F.filter(windows("words", "raw", lengths), lambda x: x["k"] == F.col("k"))
+    item_side, _ = bounded_broadcast(cut(_hashed(items.select("item_id", own.alias("_win")), width, "item_at", s.literal)), s.broadcast_rows)  # beyond that size the join shuffles by hash
+    doc_rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("_k"), joined_numbers(F.col("text")).alias("_base"))
+    doc_rows = doc_rows.withColumns({"_words": template_words(F.col("_base")), "_raw": folded_words(F.col("_base"))})
+    doc_rows = doc_rows.select("doc_id", "_k", windows("_words", "_raw", lengths).alias("_win"))
+    return _hashed(doc_rows, width, "doc_at").join(item_side, ["_h", "k"]).select("doc_id", "_k", "item_id", "item_at", "doc_at", "k")
 
 
 def aligned(hits: DataFrame, docs: DataFrame, items: DataFrame, settings: Templates) -> DataFrame:
@@ -173,8 +179,11 @@ def matches(docs: DataFrame, items: DataFrame, settings: Templates = Templates()
     key = ["doc_id", "_k", "item_id", "_group"]
     counts = rows.groupBy(*key).agg(F.countDistinct("item_at").alias("n_hits"), F.countDistinct(F.when(F.col("verbatim"), F.col("item_at"))).alias("_verbatim"))
     votes = rows.select(*key, F.explode_outer("pairs").alias("_p")).groupBy(*key, "_p.slot", "_p.a", "_p.b").agg(F.count("*").alias("_n"))
-    votes = votes.groupBy(*key, "slot", "a").agg(F.max("_n").alias("_top"), F.sum("_n").alias("_n"))
-    votes = votes.groupBy(*key).agg(F.sum("_n").alias("n_slots"), F.sum("_top").alias("n_agree"))
+    # one value of the item is one value of the document, and the other way round
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("v")), F.struct(F.lit(1).alias("side"), F.col("b").alias("v")))
+    votes = votes.select(*key, "slot", "_n", F.explode(sides).alias("_v")).groupBy(*key, "slot", "_v.side", "_v.v").agg(F.max("_n").alias("_top"), F.sum("_n").alias("_n"))
+    votes = votes.groupBy(*key, "side").agg(F.sum("_n").alias("_n"), F.sum("_top").alias("_top"))
+    votes = votes.groupBy(*key).agg(F.max("_n").alias("n_slots"), F.min("_top").alias("n_agree"))
     out = counts.join(sizes, "item_id").where(F.col("n_hits") >= need).join(votes, key)
     same = (F.col("_verbatim") >= need) & (F.col("_verbatim") >= s.verbatim * F.col("n_windows"))
     out = out.withColumn("leaked", same | (F.col("n_agree") >= s.agreement * F.col("n_slots")))

@@ -1,84 +1,152 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance by directory.
 
-Files are (path, text).  Notices are the sentences or lines with a licence cue;
-the terms of all notices of the corpus give the document frequencies.  A notice
-goes to the template of greatest cosine, if that reaches a threshold.  A
-directory takes the licence of its licence files; a file without a notice of its
-own inherits from the nearest ancestor directory that has one, by joins on path
-prefixes.
-
-Defined results: null or blank texts have no notice; a null path has no
-directory and inherits nothing; ties go to the greater cosine, then the smaller
-template name; a directory whose licence files differ takes the best one and
-counts them in n_licenses; repeated rows are scanned each on their own; an empty
-table gives an empty table.  Extra columns are not read.
+Files are (path, text).  The units of a file are its lines, its sentences, its
+paragraphs (between lines without a letter or digit, as in comment headers) and,
+of a licence file, its whole text; each is compared with every template: short
+notices, header paragraphs as licences ask for them, the openings of full texts.
+Document frequencies are those of the templates; a term of no template has the
+weight of one seen nowhere, so foreign words lower the cosine.  The greatest
+cosine of a file names its licence, if it reaches a threshold.
+
+Most texts need no split: a unit that shares none of the heaviest terms of a
+template stays below the threshold whatever else it says (the rest of the
+template's norm is too small), and only texts with such a term are looked into.
+
+A directory takes the licence of its licence files; a file without a licence of
+its own inherits from the nearest ancestor directory that has one, by joins on
+path prefixes.
+
+Defined results: null or blank texts have no unit; a null path has no directory
+and inherits nothing; ties go to the greater cosine, then the smaller template
+name; a directory whose licence files differ takes the best one and counts them
+in n_licenses; rows that repeat a file key are scanned as one file and each gives
+a row; an empty table gives an empty table.  Extra columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+import re
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Notices by licence (fixed values).
+#: Notices, headers and openings by licence (fixed values).
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
-    "BSD-3-Clause": ("Use of this source code is governed by a BSD-style license", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "BSD 2-Clause License",
+    ),
+    "BSD-3-Clause": (
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",
+        "Use of this source code is governed by a BSD-style license",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "BSD 3-Clause License",
+    ),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2", "This program is free software; you can redistribute it under the terms of the GNU General Public License, version 2"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3", "This program is free software; you can redistribute it under the terms of the GNU General Public License, version 3"),
-    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3",),
-    "MIT": ("Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    ),
+    "GPL-3.0": (
+        "This work is licensed under the GNU General Public License, version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "ISC License",
+    ),
+    "LGPL-3.0": (
+        "This library is licensed under the GNU Lesser General Public License, version 3",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    ),
+    "MIT": (
+        "Released under the MIT License", "Licensed under the MIT License", "The MIT License (MIT)",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "Mozilla Public License Version 2.0",
+    ),
 }
-CUE = r"(?i)licen[sc]e|copyright|permission is hereby|redistribut|creative commons|spdx|public domain"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
+THRESHOLD = 0.6
+#: A sentence ends where a capital follows; a paragraph at a line without a letter or digit.
+SENTENCE_END, PARAGRAPH_END = r"([.!?])[ \t\r\n]+(\p{Lu})", r"\n[^\p{L}\p{N}\n]*\n"
 
 
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def notices(files: DataFrame) -> DataFrame:
-    """file, notice (number), text: lines and sentences with a cue.  The cue filters whole texts first."""
-    pieces = F.split(F.regexp_replace("text", r"([.!?])[ \t]+", "$1\n"), "\n")
-    hit = files.where(F.col("text").rlike(CUE)).select("file", pieces.alias("_p"))
-    return hit.select("file", F.posexplode_outer("_p").alias("notice", "text")).where(F.col("text").rlike(CUE))
-
-
-def _weights(rows: DataFrame, key: list[str], df: DataFrame, n: Column) -> DataFrame:
-    """key, term, w: log-scaled counts by inverse document frequency."""
-    counts = rows.groupBy(*key, "term").agg(F.count("*").alias("tf"))
-    idf = F.log((1 + n) / (1 + F.coalesce("df", F.lit(0)))) + 1
-    return counts.join(df, "term", "left").withColumn("w", (1 + F.log("tf")) * idf).select(*key, "term", "w")
-
-
-def scores(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
-    """file, notice, license, score for every notice and template that share a term."""
-    spark = files.sparkSession
-    # the terms of notices, a small part of the texts, which are read once
-    units = cut(notices(files).select("file", "notice", F.explode_outer(terms(F.col("text"))).alias("term")).where("term is not null"))
-    df = units.distinct().groupBy("term").agg(F.count("*").alias("df"))
-    total = units.select("file", "notice").distinct().agg(F.count("*").alias("_n"))
-    df = cut(df.crossJoin(F.broadcast(total)))  # one row
-    total = df.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("_n"))
-    own = [(name, i, text) for name, texts in sorted(templates.items()) for i, text in enumerate(texts)]
-    wanted = spark.createDataFrame(own, "license string, part int, text string").select("license", "part", F.explode(terms(F.col("text"))).alias("term"))
-    wanted = _weights(wanted.crossJoin(F.broadcast(total)), ["license", "part", "_n"], df.drop("_n"), F.col("_n")).drop("_n")
-    wanted = F.broadcast(wanted.withColumn("t_norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("license", "part")))).withColumnRenamed("w", "t_w"))  # the templates: a fixed number of rows
-    units = _weights(units, ["file", "notice"], df, F.col("_n"))
-    norm = units.groupBy("file", "notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = units.join(wanted, "term").groupBy("file", "notice", "license", "part").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"), F.first("t_norm").alias("t_norm"))
-    cosine = F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6)
-    return cut(dots.join(norm, ["file", "notice"]).groupBy("file", "notice", "license").agg(F.max(cosine).alias("score")))
-
-
-def own_licenses(files: DataFrame, threshold: float = 0.6, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
-    """file, license, score, n_notices (above the threshold), n_found (different licences)."""
-    best = scores(files, templates).groupBy("file", "notice").agg(F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license"))).alias("b"))
+class Model:
+    """TF-IDF of the templates: idf by term, unit vectors, and the terms of which a match needs one."""
+
+    def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD):
+        parts = [(name, i, Counter(re.findall(TERM, text.lower()))) for name, texts in sorted(templates.items()) for i, text in enumerate(texts)]
+        seen = Counter(term for _, _, counts in parts for term in counts)
+        self.foreign = math.log(1 + len(parts)) + 1
+        self.idf = {term: math.log((1 + len(parts)) / (1 + n)) + 1 for term, n in seen.items()}
+        self.vectors: list[tuple[str, int, str, float]] = []
+        needed = set()
+        for name, i, counts in parts:
+            weights = {term: (1 + math.log(n)) * self.idf[term] for term, n in counts.items()}
+            rest = whole = sum(w * w for w in weights.values())
+            self.vectors += [(name, i, term, w / math.sqrt(whole)) for term, w in weights.items()]
+            # by Cauchy and Schwarz, terms of this remaining norm alone can't reach the threshold
+            for term in sorted(weights, key=lambda t: (-weights[t], t)):
+                if rest < (threshold * threshold - 1e-6) * whole:
+                    break
+                needed.add(term)
+                rest -= weights[term] ** 2
+        self.needed = sorted(needed)
+        self.pattern = "|".join(re.escape(t) for t in self.needed)
+
+    def tables(self, spark) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+        """(term, idf) and (license, part, term, t_w): as many rows as the templates have terms."""
+        return spark.createDataFrame(sorted(self.idf.items()), "term string, idf double"), spark.createDataFrame(self.vectors, "license string, part int, term string, t_w double")
+
+
+def units(files: DataFrame, model: Model) -> DataFrame:
+    """file, unit (number), text of every unit that can match.  files: file, text, is_license."""
+    mark = "\x1e"
+    sentences = F.split(F.regexp_replace("text", SENTENCE_END, f"$1{mark}$2"), mark)
+    whole = F.when(F.col("is_license"), F.array("text")).otherwise(F.array().cast("array<string>"))
+    every = F.array_distinct(F.concat(sentences, F.split("text", "\n"), F.split("text", PARAGRAPH_END), whole))
+    hit = files.where(F.lower("text").rlike(model.pattern)).dropDuplicates(["file", "text", "is_license"])
+    rows = hit.select("file", F.monotonically_increasing_id().alias("_row"), F.explode_outer(every).alias("text"))
+    return rows.where(F.lower("text").rlike(model.pattern)).withColumn("unit", F.xxhash64("_row", "text")).drop("_row")
+
+
+def scores(files: DataFrame, model: Model) -> DataFrame:
+    """file, unit, license, score for every unit and template that share a term."""
+    idf, vectors = (F.broadcast(t) for t in model.tables(files.sparkSession))
+    counts = units(files, model).select("file", "unit", F.explode_outer(terms(F.col("text"))).alias("term")).where("term is not null").groupBy("file", "unit", "term").agg(F.count("*").alias("tf"))
+    rows = cut(counts.join(idf, "term", "left").select("file", "unit", "term", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(model.foreign))).alias("w")))
+    norm = rows.groupBy("file", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = rows.join(vectors, "term").groupBy("file", "unit", "license", "part").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
+    return dots.join(norm, ["file", "unit"]).groupBy("file", "unit", "license").agg(F.max(F.round(F.col("dot") / F.col("norm"), 6)).alias("score"))
+
+
+def own_licenses(files: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
+    """file, license, score, n_notices (units above the threshold), n_found (different licences that are best in a unit)."""
+    best = scores(files, Model(templates, threshold)).groupBy("file", "unit").agg(F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license"))).alias("b"))
     best = best.select("file", "b.license", "b.score").where(F.col("score") >= threshold)
     return best.groupBy("file").agg(
         F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license"))).alias("b"),
@@ -98,12 +166,12 @@ def ancestors(directory: Column) -> Column:
     return F.array_distinct(F.concat(up, F.array(F.lit(""))))
 
 
-def licensed(files: DataFrame, threshold: float = 0.6, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
+def licensed(files: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """path, file, license, basis (own, inherited, none), score, from_dir, n_licenses of that directory.
 
     files: file (a key), path, text, is_license (this file licenses its directory).
     """
-    found = own_licenses(files.select("file", "text"), threshold, templates)
+    found = own_licenses(files.select("file", "text", F.coalesce("is_license", F.lit(False)).alias("is_license")), threshold, templates)
     places = files.select("file", "path", "is_license", folder(F.col("path")).alias("dir"))
     rows = places.join(found, "file", "left")
     given = rows.where("is_license and license is not null and dir is not null").groupBy("dir").agg(

@@ -109,30 +109,43 @@ def quotas(totals: DataFrame, mix: Mix) -> DataFrame:
     return live.unionByName(totals.where("tokens = 0").select("src", "n_docs", "tokens", F.lit(0.0).alias("weight"), F.lit(1).cast("long").alias("full"), F.lit(0).cast("long").alias("rest")))
 
 
-def mixed(docs: DataFrame, mix: Mix = Mix(), keep: tuple[str, ...] = ()) -> DataFrame:
+def tokenised(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, n_tokens, _tie (a hash of the text) and the columns in keep."""
+    carried = [c for c in keep if c not in ("doc_id", "source", "n_tokens")]
+    rows = with_tokens(docs.select("doc_id", "source", "text", *[c for c in carried if c != "text"]))
+    return rows.withColumn("_tie", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).select("doc_id", "source", "n_tokens", "_tie", *carried)
+
+
+def mixed(docs: DataFrame, mix: Mix = Mix(), keep: tuple[str, ...] = (), slim: DataFrame | None = None) -> DataFrame:
     """doc_id, source, n_tokens, epoch, block_rank, slot and the columns in keep.
 
-    (source, epoch, block_rank, slot) orders the emission of each source.
+    (source, epoch, block_rank, slot) orders the emission of each source.  slim: tokenised(docs), if at hand.
     """
     carried = [c for c in keep if c not in ("doc_id", "source", "n_tokens")]
-    # of the text only its length and hash go on, unless it is to be kept
-    slim = with_tokens(docs.select("doc_id", "source", "text", *[c for c in carried if c != "text"])).withColumn("_tie", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    slim = slim.select("doc_id", "source", "n_tokens", "_tie", *carried)
-    plan = cut(quotas(cut(source_totals(with_tokens(docs.select("source", "text")))), mix))
+    # of the text only its length and hash go on, unless it is to be kept: totals, blocks and quotas read these rows
+    slim = cut(tokenised(docs)) if slim is None else slim
+    plan = cut(quotas(cut(source_totals(slim)), mix))
     digits = F.greatest(F.lit(0), F.ceil(F.log(F.col("n_docs") / float(mix.block_docs)) / F.log(F.lit(16.0)) - 1e-9)).cast("int")
-    plan = plan.withColumn("_d", digits)
-    mark = F.md5(F.concat_ws("|", F.lit(mix.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     # a broadcast join leaves the rows of a hot source where they are; blocks spread them afterwards
-    plan, _ = bounded_broadcast(plan, mix.broadcast_sources)
-    rows = slim.withColumn("src", source_key()).withColumn("_m", mark).join(plan, "src")
-    rows = rows.withColumn("_block", F.substring("_m", F.lit(1), F.col("_d")))
-    # blocks: (source, epoch, block) with their tokens
-    blocks = rows.groupBy("src", "_block").agg(F.sum("n_tokens").alias("_bt"), F.first("full").alias("full"), F.first("rest").alias("rest"))
+    plan, _ = bounded_broadcast(plan.withColumn("_d", digits), mix.broadcast_sources)
+    mark = F.md5(F.concat_ws("|", F.lit(mix.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+
+    def planned(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("src", source_key()).withColumn("_m", mark).join(plan, "src")
+        return rows.withColumn("_block", F.substring("_m", F.lit(1), F.col("_d")))
+
+    # blocks: (source, epoch, block) with their tokens, in the order of a hash; prefix sums run over fronts of the hash first
+    blocks = planned(slim).groupBy("src", "_block").agg(F.sum("n_tokens").alias("_bt"), F.first("full").alias("full"), F.first("rest").alias("rest"))
     blocks = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full")))).where("epoch < full or rest > 0")
-    turn = Window.partitionBy("src", "epoch").orderBy(F.md5(F.concat_ws("|", F.lit(mix.seed), "src", "epoch", "_block").cast("binary")), "_block")
-    blocks = blocks.select("src", "_block", "epoch", (F.row_number().over(turn) - 1).cast("long").alias("block_rank"), (F.sum("_bt").over(turn) - F.col("_bt")).alias("_before"))
+    blocks = cut(blocks.withColumn("_o", F.md5(F.concat_ws("|", F.lit(mix.seed), "src", "epoch", "_block").cast("binary"))).withColumn("_front", F.substring("_o", 1, 2)))
+    fronts = blocks.groupBy("src", "epoch", "_front").agg(F.count("*").alias("_n"), F.sum("_bt").alias("_t"))
+    over = Window.partitionBy("src", "epoch").orderBy("_front")
+    fronts = fronts.select("src", "epoch", "_front", (F.sum("_n").over(over) - F.col("_n")).alias("_n0"), (F.sum("_t").over(over) - F.col("_t")).alias("_t0"))
+    turn = Window.partitionBy("src", "epoch", "_front").orderBy("_o", "_block")
+    blocks = blocks.join(fronts, ["src", "epoch", "_front"])
+    blocks = blocks.select("src", "_block", "epoch", (F.col("_n0") + F.row_number().over(turn) - 1).cast("long").alias("block_rank"), (F.col("_t0") + F.sum("_bt").over(turn) - F.col("_bt")).alias("_before"))
     inside = Window.partitionBy("src", "_block", "epoch").orderBy(F.md5(F.concat_ws("|", F.lit(mix.seed), "epoch", "_m").cast("binary")), "_m", "n_tokens", "_tie")
-    out = rows.join(blocks, ["src", "_block"])
+    out = planned(tokenised(docs, tuple(carried)) if carried else slim).join(blocks, ["src", "_block"])
     out = out.withColumns({"slot": (F.row_number().over(inside) - 1).cast("long"), "_start": F.col("_before") + F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")})
     out = out.where("epoch < full or _start < rest")
     return out.select("doc_id", "source", "n_tokens", "epoch", "block_rank", "slot", *carried)

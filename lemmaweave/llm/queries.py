@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_prefix, decontam, license_scan, mixing, phrase_automata, probminhash, quality_ledger, resharding, suffix_dedup, url_reputation
+from .common import cut
 from .common import read_table as table
 
 
@@ -52,8 +53,9 @@ def op5_chat_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    budget = mixing.with_tokens(docs.select("text")).agg(F.sum("n_tokens")).first()[0] or 0
-    return mixing.mixed(docs, mixing.Mix(budget=budget)).select("doc_id", "source", "epoch", "block_rank", "slot")
+    slim = cut(mixing.tokenised(docs))
+    budget = slim.agg(F.sum("n_tokens")).first()[0] or 0
+    return mixing.mixed(docs, mixing.Mix(budget=budget), slim=slim).select("doc_id", "source", "epoch", "block_rank", "slot")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,10 +108,17 @@ dk AS (SELECT CASE WHEN rho IS NULL THEN 1000 ELSE greatest(2, least(1000, 1 / g
 dp AS (SELECT domain, (k * sm + bad) / (k + n) AS dm, k + n AS dw FROM d JOIN sp USING (suffix), dk),
 hk AS (SELECT CASE WHEN rho IS NULL THEN 1000 ELSE greatest(2, least(1000, 1 / greatest(rho, 1e-9) - 1)) END AS k FROM (SELECT (a - b) / nullif(c - b, 0) AS rho FROM (SELECT sum(n * (bad / n - dm) * (bad / n - dm)) AS a, sum(dm * (1 - dm)) AS b, sum(n * dm * (1 - dm)) AS c FROM h JOIN dp USING (domain) WHERE n > 1))),
 hp AS (SELECT host, (k * dm + bad) / (k + n) AS hm, k + n AS hw FROM h JOIN dp USING (domain), hk),
-v AS (SELECT host, m - 1.64 * sqrt(m * (1 - m) / (w + 1)) AS bound FROM (SELECT k3.host, coalesce(hm, dm, sm, m0) AS m, coalesce(hw, dw, sw, 10) AS w FROM k3 LEFT JOIN hp USING (host) LEFT JOIN dp USING (domain) LEFT JOIN sp USING (suffix), root)),
+q AS (SELECT host, m * w AS a, (1 - m) * w AS b, least(m0, 1 - 1e-9) AS t FROM (SELECT k3.host, coalesce(hm, dm, sm, m0) AS m, coalesce(hw, dw, sw, 10) AS w, m0 FROM k3 LEFT JOIN hp USING (host) LEFT JOIN dp USING (domain) LEFT JOIN sp USING (suffix), root)),
+q2 AS (SELECT *, ln(a / b) AS top, sqrt(1 / a + 1 / b) AS sd FROM q),
+q3 AS (SELECT *, top - 12.0::DOUBLE * sd AS lo, top + 12.0::DOUBLE * sd AS hi, a * top - (a + b) * ln(1 + exp(top)) AS peak FROM q2),
+q4 AS (SELECT *, least(greatest(ln(t / (1 - t)), lo), hi) AS c FROM q3),
+q5 AS (SELECT *, (c - lo) / 200 AS s1, (hi - c) / 200 AS s2 FROM q4),
+q6 AS (SELECT host, s1 * list_sum(list_transform(range(200), lambda i: exp(a * (lo + (i + 0.5::DOUBLE) * s1) - (a + b) * ln(1 + exp(lo + (i + 0.5::DOUBLE) * s1)) - peak))) + exp(a * lo - (a + b) * ln(1 + exp(lo)) - peak) / a AS below,
+  s2 * list_sum(list_transform(range(200), lambda i: exp(a * (c + (i + 0.5::DOUBLE) * s2) - (a + b) * ln(1 + exp(c + (i + 0.5::DOUBLE) * s2)) - peak))) + exp(a * hi - (a + b) * ln(1 + exp(hi)) - peak) / b AS above FROM q5),
+v AS (SELECT host, above / (above + below) AS worse FROM q6),
 r(rh, rp, rv) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 f AS (SELECT host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS rv FROM (SELECT DISTINCT host, path FROM p) JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY ALL)
-SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN v USING (host) LEFT JOIN f USING (host, path)
+SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN worse >= 0.95 THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN v USING (host) LEFT JOIN f USING (host, path)
 """
 
 ORACLE_SQL["op3_quality_ledger"] = rf"""
@@ -142,20 +151,22 @@ SELECT conv_id, n_turns, turns_sha256, CAST(loss_chars AS BIGINT) AS loss_chars,
 
 
 _LICENSES = ", ".join(f"('{name}', {i}, '{text}')" for name, texts in license_scan.TEMPLATES.items() for i, text in enumerate(texts))
-_CUE = license_scan.CUE
 ORACLE_SQL["op8_license_scan"] = rf"""
 WITH f AS (SELECT doc_id, text, coalesce(source, '') AS src, coalesce(lang, '') AS lang, len({_WORDS}) AS n FROM documents),
 p AS (SELECT doc_id, text, CASE WHEN n <= 20 THEN src ELSE src || '/' || lang END AS dir, n <= 60 AS lic FROM f),
-l AS (SELECT doc_id, unnest(range(len(ls))) AS notice, unnest(ls) AS t FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS ls FROM p WHERE regexp_matches(text, '{_CUE}'))),
-u AS (SELECT doc_id, notice, unnest(regexp_extract_all(lower(t), '{license_scan.TERM}')) AS term FROM l WHERE regexp_matches(t, '{_CUE}')),
-nn AS (SELECT count(*) AS nn FROM (SELECT DISTINCT doc_id, notice FROM u)),
-df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT * FROM u) GROUP BY term),
-uw AS (SELECT doc_id, notice, term, (1 + ln(tf)) * (ln((1.0 + nn) / (1 + df)) + 1) AS w FROM (SELECT doc_id, notice, term, count(*) AS tf FROM u GROUP BY ALL) JOIN df USING (term), nn),
+l AS (SELECT doc_id, unnest(list_distinct(string_split(regexp_replace(text, '{license_scan.SENTENCE_END}', '\1' || chr(30) || '\2', 'g'), chr(30)) || string_split(text, chr(10)) || regexp_split_to_array(text, '{license_scan.PARAGRAPH_END}') || CASE WHEN lic THEN [text] ELSE [] END)) AS u FROM p WHERE text IS NOT NULL),
+u AS (SELECT doc_id, u, unnest(regexp_extract_all(lower(u), '{license_scan.TERM}')) AS term FROM l),
+c AS (SELECT doc_id, u, term, count(*) AS tf FROM u GROUP BY ALL),
 t(license, part, text) AS (VALUES {_LICENSES}),
-tw AS (SELECT license, part, term, (1 + ln(tf)) * (ln((1.0 + nn) / (1 + coalesce(df, 0))) + 1) AS w FROM (SELECT license, part, term, count(*) AS tf FROM (SELECT license, part, unnest(regexp_extract_all(lower(text), '{license_scan.TERM}')) AS term FROM t) GROUP BY ALL) LEFT JOIN df USING (term), nn),
-tn AS (SELECT license, part, sqrt(sum(w * w)) AS tn FROM tw GROUP BY ALL), un AS (SELECT doc_id, notice, sqrt(sum(w * w)) AS un FROM uw GROUP BY ALL),
-s AS (SELECT doc_id, notice, license, max(round(dot / (un * tn), 6)) AS score FROM (SELECT doc_id, notice, license, part, sum(uw.w * tw.w) AS dot FROM uw JOIN tw USING (term) GROUP BY ALL) JOIN tn USING (license, part) JOIN un USING (doc_id, notice) GROUP BY ALL),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS r FROM s WHERE score >= 0.6) WHERE r = 1),
+tc AS (SELECT license, part, term, count(*) AS tf FROM (SELECT license, part, unnest(regexp_extract_all(lower(text), '{license_scan.TERM}')) AS term FROM t) GROUP BY ALL),
+nn AS (SELECT count(*) AS nn FROM t),
+idf AS (SELECT term, ln((1.0 + nn) / (1 + count(*))) + 1 AS idf FROM tc, nn GROUP BY term, nn),
+tw AS (SELECT license, part, term, (1 + ln(tf)) * idf AS w FROM tc JOIN idf USING (term)),
+tn AS (SELECT license, part, sqrt(sum(w * w)) AS tn FROM tw GROUP BY ALL),
+uw AS (SELECT doc_id, u, term, (1 + ln(tf)) * coalesce(idf, ln(1.0 + nn) + 1) AS w FROM c LEFT JOIN idf USING (term), nn),
+un AS (SELECT doc_id, u, sqrt(sum(w * w)) AS un FROM uw GROUP BY ALL),
+s AS (SELECT doc_id, u, license, max(round(dot / (un * tn), 6)) AS score FROM (SELECT doc_id, u, license, part, sum(uw.w * tw.w) AS dot FROM uw JOIN tw USING (term) GROUP BY ALL) JOIN tn USING (license, part) JOIN un USING (doc_id, u) GROUP BY ALL),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS r FROM s WHERE score >= {license_scan.THRESHOLD}) WHERE r = 1),
 g AS (SELECT dir, arg_min(license, (-score, license)) AS gl, max(score) AS gs, count(DISTINCT license) AS n_licenses FROM p JOIN b USING (doc_id) WHERE lic GROUP BY dir),
 a AS (SELECT dir, unnest([dir, string_split(dir, '/')[1], '']) AS from_dir, unnest([0, 1, 2]) AS distance FROM (SELECT DISTINCT dir FROM p)),
 i AS (SELECT * FROM (SELECT a.dir, from_dir, gl, gs, n_licenses, row_number() OVER (PARTITION BY a.dir ORDER BY distance) AS r FROM a JOIN g ON g.dir = from_dir) WHERE r = 1)

@@ -9,17 +9,24 @@ of equal texts larger than a fixed fraction of a shard are placed before the
 flow: their number is at most 1/fraction per shard.  Only a group that exceeds a
 shard by itself is divided.
 
+The plan is carried out by rewrite(): only shards that gain or lose rows are
+written, into a folder of a new version, and a manifest names the folder of every
+shard; a shard that lost all its rows is in no manifest.  Nothing is overwritten,
+so a run that fails leaves the old version as it was.
+
 Defined results: a null text has 0 bytes and checksum 0, and size 16 like an empty
 one; repeated rows are separate documents; an empty table gives an empty table;
-slots run from 0 without gaps in the order (block, text hash, doc_id).
+slots run from 0 without gaps in the order (block, text hash, doc_id); a column
+old_shard of the input counts only if it is named, another is not read.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -88,10 +95,11 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[in
     return {ij: supply[ij[0]] - arc[1] for ij, arc in arcs.items() if supply[ij[0]] - arc[1] > 0}
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and _t, a hash that equal texts share (128 bits)."""
+def sized(docs: DataFrame, old: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, _t (a hash that equal texts share, 128 bits), old_shard from the column named old, and keep."""
     raw = F.coalesce("text", F.lit("")).cast("binary")
-    return docs.select("doc_id", (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.md5(raw).alias("_t"), *[c for c in ("old_shard",) if c in docs.columns])
+    given = [F.col(old).cast("int").alias("old_shard")] if old else []
+    return docs.select("doc_id", (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.md5(raw).alias("_t"), *given, *keep)
 
 
 def _place_big(groups: list[tuple[str, int, int, int]], capacity: int, shards: int) -> tuple[dict[str, list[tuple[int, int]]], list[int]]:
@@ -112,6 +120,7 @@ def _place_big(groups: list[tuple[str, int, int, int]], capacity: int, shards: i
 def plan(rows: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """Adds old_shard, shard, moved, block to rows of sized()."""
     spark, n = rows.sparkSession, layout.shards
+    kept = [c for c in rows.columns if c not in ("doc_id", "size", "text_crc32", "_t", "old_shard")]
     if "old_shard" not in rows.columns:
         rows = rows.withColumn("old_shard", F.pmod(F.conv(F.substring("_t", 25, 8), 16, 10).cast("long"), F.lit(layout.old_shards)).cast("int"))
     rows = cut(rows)  # hashes and sizes only: texts are read once
@@ -160,7 +169,7 @@ def plan(rows: DataFrame, layout: Layout = Layout()) -> DataFrame:
     whole = large.where(F.size("_to") == 1).withColumn("shard", F.element_at("_to", 1)).drop("_from", "_to")
     split = _divided(large.where(F.size("_to") > 1))
     rest = rows.join(marks.select("old_shard", "_t"), ["old_shard", "_t"], "left_anti").join(small, ["old_shard", "_t"]).withColumnRenamed("_shard", "shard")
-    cols = ["doc_id", "size", "text_crc32", "_t", "old_shard", "block", "shard"]
+    cols = ["doc_id", "size", "text_crc32", "_t", "old_shard", "block", "shard", *kept]
     out = rest.select(cols).unionByName(whole.select(cols)).unionByName(split.select(cols))
     return out.withColumn("moved", F.col("shard") != F.col("old_shard"))
 
@@ -190,14 +199,53 @@ def with_slots(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_rank", rank).join(counts, key).withColumn("slot", F.col("_first") + F.col("_rank") - 1).drop("_first", "_rank", "_s")
 
 
-def resharded(docs: DataFrame, layout: Layout = Layout()) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, shard, moved, slot."""
-    return with_slots(plan(sized(docs), layout)).drop("block", "_t")
+def resharded(docs: DataFrame, layout: Layout = Layout(), old: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, old_shard, shard, moved, slot.  old: the column with the old shards, else a hash of the text."""
+    return with_slots(plan(sized(docs, old), layout)).drop("block", "_t")
+
+
+#: rows of one file of a shard
+FILE_ROWS = 50_000
 
 
-def rewrite_affected(placed: DataFrame, path: str) -> None:
-    """Write only the shards that gain or lose documents, one folder per shard.  placed: documents with old_shard and shard."""
-    moves = placed.where("shard <> old_shard")
-    touched = moves.select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
-    hit = placed.join(F.broadcast(touched), "shard", "left_semi")  # at most one row per shard
-    hit.repartition("shard").write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+def rewrite(docs: DataFrame, folder: str, layout: Layout = Layout(), old: str | None = None, manifest: DataFrame | None = None) -> DataFrame:
+    """Reshard docs, a table read from files, and write the shards that change under folder; gives the new manifest(shard, path).
+
+    manifest, old: the current version and the column with its shards; without them all shards are new.
+    """
+    spark = docs.sparkSession
+    place = ("_file", "_line")  # where a row lies; row numbers of a file never change
+    rows = docs.withColumns({"_file": F.col("_metadata.file_path"), "_line": F.col("_metadata.row_index")})
+    placed = cut(with_slots(plan(sized(rows, old, place), layout)).select(*place, "size", "text_crc32", "old_shard", "shard", "moved", "slot"))
+    shards = placed.select("shard").distinct()
+    touched = shards if manifest is None else placed.where("moved").select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
+    touched = F.broadcast(touched)  # at most one row per shard
+    new = rows.drop(*[c for c in ("size", "text_crc32", "shard", "slot", old) if c]).join(placed.join(touched, "shard", "left_semi"), list(place)).drop("old_shard", "moved", *place)
+    version = f"{folder.rstrip('/')}/version-{uuid.uuid4().hex}"
+    new.repartition("shard", F.expr(f"slot div {FILE_ROWS}")).write.partitionBy("shard").parquet(version)
+    here = F.concat(F.lit(version + "/shard="), F.col("shard").cast("string"))
+    out = shards.join(touched, "shard", "left_semi").select("shard", here.alias("path"))
+    if manifest is not None:
+        stay = manifest.join(shards, "shard", "left_semi").join(touched, "shard", "left_anti")
+        out = out.unionByName(stay.select("shard", "path"))
+    out.coalesce(1).write.parquet(f"{version}/_manifest")
+    return spark.read.schema("shard int, path string").parquet(f"{version}/_manifest")
+
+
+def read_shards(manifest: DataFrame, docs: DataFrame) -> DataFrame:
+    """All documents of a version with size, text_crc32, slot and shard; one path per shard, whose number is a parameter.
+
+    docs: what was resharded, whose columns a version without any shard has.
+    """
+    spark: SparkSession = manifest.sparkSession
+    by_version: dict[str, list[str]] = {}
+    for r in manifest.orderBy("shard").collect():
+        by_version.setdefault(r.path.rsplit("/", 1)[0], []).append(r.path)
+    out = None
+    for version, paths in by_version.items():
+        rows = spark.read.option("basePath", version).parquet(*paths)
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        kinds = {"size": "long", "text_crc32": "long", "slot": "long", "shard": "int"}
+        return docs.drop(*kinds).select("*", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()]).limit(0)
+    return out

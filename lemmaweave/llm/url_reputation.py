@@ -4,7 +4,9 @@ Labelled page outcomes are counted at three levels: host, registered domain
 and suffix.  Each level is a beta-binomial whose prior mean is the posterior
 mean of the level above and whose prior strength is fitted by moments over all
 groups of that level.  A url is blocked when the lower posterior bound of its
-host's bad rate exceeds a threshold.  Hand-written rules, where one fits, win.
+host's bad rate, a quantile of the Beta posterior, exceeds the bad rate of all
+labelled pages: that is, when the posterior holds with a given probability that
+the host is worse than that.  Hand-written rules, where one fits, win.
 
 Defined results: a null url, or one without ``://``, has empty host and path,
 fits no rule and takes the verdict of the root prior.  Repeated rows are judged
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread_join
 
 #: Two-label public suffixes known to the default settings (fixed values).
 TWO_LABEL_SUFFIXES = ("co.jp", "co.nz", "co.uk", "com.au", "com.br", "org.uk")
@@ -36,12 +38,16 @@ RULES = (
 
 @dataclass(frozen=True)
 class Reputation:
-    """Settings of the method: root prior (bad, good), bound width, block threshold, strength limits."""
+    """Settings of the method: root prior (bad, good), strength limits, and when to block.
+
+    A host is blocked if its bad rate exceeds ratio times the root rate with the given probability, so
+    the (1 - probability) quantile of its posterior is the bound.
+    """
 
     root_bad: float = 1.0
     root_good: float = 9.0
-    z: float = 1.64
-    threshold: float = 0.5
+    ratio: float = 1.0
+    probability: float = 0.95
     min_strength: float = 2.0
     max_strength: float = 1000.0
 
@@ -125,16 +131,37 @@ def host_reputation(outcomes: DataFrame, settings: Reputation = Reputation()) ->
     return {"root": root, "suffix": suffix_post, "domain": domain_post, "host": host_post}
 
 
-def lower_bound(mean: Column, weight: Column, z: float) -> Column:
-    return mean - z * F.sqrt(mean * (1 - mean) / (weight + 1))
+#: points of a midpoint sum, and its reach in standard deviations of the log odds
+POINTS, REACH = 200, 12.0
+
+
+def worse_than(mean: Column, weight: Column, rate: Column) -> Column:
+    """Probability that a Beta posterior of that mean and weight lies above the rate.
+
+    On log odds u the density is exp(a u) / (1 + exp(u)) ** (a + b), one smooth hill: two midpoint
+    sums, left and right of the rate, and the exponential tails beyond their reach.
+    """
+    a, b = mean * weight, (1 - mean) * weight
+    sd, top = F.sqrt(1 / a + 1 / b), F.log(a / b)
+    lo, hi = top - REACH * sd, top + REACH * sd
+    cut_at = F.least(F.greatest(F.log(rate / (1 - rate)), lo), hi)
+    height = lambda u: a * u - (a + b) * F.log1p(F.exp(u))
+    peak = height(top)
+
+    def part(start: Column, end: Column) -> Column:
+        step = (end - start) / POINTS
+        return step * F.aggregate(F.sequence(F.lit(0), F.lit(POINTS - 1)), F.lit(0.0), lambda total, i: total + F.exp(height(start + (i + 0.5) * step) - peak))
+
+    below = part(lo, cut_at) + F.exp(height(lo) - peak) / a
+    above = part(cut_at, hi) + F.exp(height(hi) - peak) / b
+    return above / (above + below)
 
 
 def url_verdicts(pages: DataFrame, outcomes: DataFrame, rules=RULES, settings: Reputation = Reputation(), key: str = "page_id") -> DataFrame:
-    """page_id, host, path, rule, verdict and bad-rate bound of every url.
+    """page_id, host, path, rule, verdict and worse (the probability that the host is worse than the root rate) of every url.
 
     Verdicts are decided once per distinct host that has labels (or whose domain
-    or suffix has) and joined back by host; a hot host's pages are on the
-    streamed side of the join, where adaptive execution may split them.
+    or suffix has) and joined back by host; the pages of a hot host are dealt.
     """
     s = settings
     posts = host_reputation(outcomes, s)
@@ -147,18 +174,16 @@ def url_verdicts(pages: DataFrame, outcomes: DataFrame, rules=RULES, settings: R
         .join(posts["suffix"].select("suffix", "suffix_mean", "suffix_weight"), "suffix", "left")
         .crossJoin(F.broadcast(posts["root"]))
     )
-    bound = lower_bound(
-        F.coalesce("host_mean", "domain_mean", "suffix_mean", "root_mean"),
-        F.coalesce("host_weight", "domain_weight", "suffix_weight", F.lit(s.root_bad + s.root_good)),
-        s.z,
-    )
-    hosts = hosts.select("host", bound.alias("bad_bound"))
+    mean = F.coalesce("host_mean", "domain_mean", "suffix_mean", "root_mean")
+    weight = F.coalesce("host_weight", "domain_weight", "suffix_weight", F.lit(s.root_bad + s.root_good))
+    hosts = hosts.select("host", mean.alias("_m"), weight.alias("_w"), F.least(s.ratio * F.col("root_mean"), F.lit(1 - 1e-9)).alias("_rate"))
+    hosts = hosts.select("host", worse_than(F.col("_m"), F.col("_w"), F.col("_rate")).alias("worse"))
     fit = rule_verdict(F.col("host"), F.col("path"), rules)
-    method = F.when(F.col("bad_bound") > s.threshold, F.lit("block")).otherwise(F.lit("allow"))
+    method = F.when(F.col("worse") >= s.probability, F.lit("block")).otherwise(F.lit("allow"))
     return (
-        judged.join(hosts, "host", "left")
+        spread_join(judged, hosts, ["host"], [key, "path"])
         .withColumn("_fit", fit)
-        .select(key, "host", "path", F.col("_fit.rule").alias("rule"), F.coalesce("_fit.verdict", method).alias("verdict"), "bad_bound")
+        .select(key, "host", "path", F.col("_fit.rule").alias("rule"), F.coalesce("_fit.verdict", method).alias("verdict"), "worse")
     )
 
 

@@ -278,6 +278,31 @@ def test_urls(spark):
     assert url_reputation.url_verdicts(pages.limit(0), outcomes.limit(0)).count() == 0
 
 
+def test_reputation_is_shrunk_at_every_level(spark):
+    """Hosts without labels follow their domain, then their suffix; a few good pages do not free a host of a bad domain."""
+    outcomes = [("a.bad.com", 1)] * 50 + [("b.bad.com", 1)] * 45 + [("a.good.com", 0)] * 200 + [("b.good.com", 0)] * 150 + [("x.one.evil", 1)] * 40 + [("y.two.evil", 1)] * 40 + [("c.good.com", 1)] + [("n.fine.org", 0)] * 100 + [("o.fair.org", 0)] * 90
+    frame = spark.createDataFrame(outcomes + [(None, 1), ("x.org", None)] + [("c.bad.com", 0)], "host string, bad int")
+    hosts = ["a.bad.com", "c.bad.com", "new.bad.com", "a.good.com", "c.good.com", "new.good.com", "new.new.evil", "new.new.org", "new.new.com", "n.unknown"]
+    pages = spark.createDataFrame([(i, f"https://{h}/x", "clash", 1) for i, h in enumerate(hosts)] * 2, "page_id bigint, url string, bad string, worse int")
+    rows = url_reputation.url_verdicts(pages, frame, rules=()).collect()
+    assert len(rows) == 2 * len(hosts)
+    got = {r.host: r.verdict for r in rows}
+    assert {h for h, v in got.items() if v == "block"} == {"a.bad.com", "c.bad.com", "new.bad.com", "new.new.evil"}
+
+
+def test_posterior_probability(spark):
+    """Against a fine sum over the density itself."""
+    cases = [(0.1, 10.0, 0.1), (0.02, 2.0, 0.1), (0.5, 1000.0, 0.52), (0.9, 30.0, 0.5), (0.3, 5e6, 0.3005)]
+    frame = spark.createDataFrame(cases, "m double, w double, r double")
+    got = [x[0] for x in frame.select(url_reputation.worse_than(F.col("m"), F.col("w"), F.col("r"))).collect()]
+    for (m, w, r), p in zip(cases, got, strict=True):
+        a, b = m * w, (1 - m) * w
+        u = np.linspace(np.log(a / b) - 40 * np.sqrt(1 / a + 1 / b) - 40 / a, np.log(a / b) + 40 * np.sqrt(1 / a + 1 / b) + 40 / b, 2_000_001)
+        f = a * u - (a + b) * np.logaddexp(0, u)
+        f = np.exp(f - f.max())
+        assert abs(f[u > np.log(r / (1 - r))].sum() / f.sum() - p) < 2e-3
+
+
 def test_chat_prefix(spark):
     rows = [(1, 0, "user", "a\\<|turn|>b"), (1, 1, "assistant", "</s>[INST] é\n"), (1, 2, "user", None), (1, 3, "assistant", ""), (1, 4, "user", "tail <|close|>"),
             (2, 0, None, "x"), (2, 0, None, "x"), (None, 0, "assistant", "only"), (3, None, "assistant", "\\")]
@@ -359,6 +384,59 @@ def test_resharding(spark):
     assert resharding.resharded(docs.limit(0)).count() == 0
 
 
+def test_resharding_reads_a_layout_only_if_named(spark):
+    rng = random.Random(6)
+    rows = [(None if i % 7 == 0 else i, sentences(rng, 30), i % 5) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, old_shard int")
+    layout = resharding.Layout(shards=5, old_shards=5)
+    one, two = resharding.resharded(docs, layout).collect(), resharding.resharded(docs.drop("old_shard"), layout).collect()
+    key = lambda r: (r.text_crc32, r.shard, r.slot)
+    assert sorted(map(key, one)) == sorted(map(key, two))
+    named = resharding.resharded(docs, layout, old="old_shard").collect()
+    assert Counter(r.old_shard for r in named) == Counter(r[2] for r in rows) and len(named) == 300
+
+
+def test_rewrite_moves_few_bytes_and_loses_no_row(spark, tmp_path):
+    """A first version, then more shards, fewer shards and a change of one shard: each row once, only changed shards written."""
+    rng = random.Random(9)
+    rows = [(i if i % 9 else None, sentences(rng, rng.randint(1, 60)), "x") for i in range(400)] + [(7, None, None), (7, None, None)]
+    path = str(tmp_path / "in")
+    spark.createDataFrame(rows, "doc_id bigint, text string, size string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    want = Counter((r[0], r[1]) for r in rows)
+
+    def look(manifest, n: int) -> Counter:
+        back = resharding.read_shards(manifest, docs)
+        got = back.collect()
+        assert Counter((r.doc_id, r.text) for r in got) == want and {r.shard for r in got} <= set(range(n))
+        size = Counter()
+        for r in got:
+            assert r.size == len((r.text or "").encode()) + 16
+            size[r.shard] += r.size
+        assert len(size) == n and max(size.values()) < 1.1 * sum(size.values()) / n
+        return size
+
+    manifest = resharding.rewrite(docs, str(tmp_path / "out"), resharding.Layout(shards=8, old_shards=6))
+    sizes = look(manifest, 8)
+    for n in (11, 5):
+        now = resharding.read_shards(manifest, docs).withColumnRenamed("shard", "home")
+        moved = sum(r.size for r in resharding.resharded(now, resharding.Layout(shards=n), old="home").where("moved").collect())
+        # no plan moves fewer bytes than what the shards hold beyond the new capacity; groups of equal texts cost a little
+        least = sum(b if s >= n else max(0, b - sum(sizes.values()) / n) for s, b in sizes.items())
+        assert moved <= least + 0.03 * sum(sizes.values())
+        manifest = resharding.rewrite(now, str(tmp_path / "out"), resharding.Layout(shards=n), old="home", manifest=manifest)
+        sizes = look(manifest, n)
+    again = resharding.read_shards(manifest, docs).withColumnRenamed("shard", "home")
+    same = resharding.rewrite(again, str(tmp_path / "out"), resharding.Layout(shards=5), old="home", manifest=manifest)
+    before, after = ({r.shard: r.path for r in m.collect()} for m in (manifest, same))
+    placed = resharding.resharded(again, resharding.Layout(shards=5), old="home").where("moved").collect()
+    touched = {s for r in placed for s in (r.shard, r.old_shard)}
+    assert {s for s in before if before[s] != after[s]} == touched
+    look(same, 5)
+    void = resharding.rewrite(docs.limit(0), str(tmp_path / "void"))
+    assert resharding.read_shards(void, docs).count() == 0
+
+
 def test_near_duplicates_by_sets_whatever_the_counts(spark):
     rng = random.Random(11)
     body, line = sentences(rng, 300), "all of this was sent from a phone on the way"
@@ -422,6 +500,81 @@ def test_licenses(spark):
     assert license_scan.licensed(files.limit(0)).count() == 0
 
 
+HEADERS = {
+    "Apache-2.0": """#!/usr/bin/env python
+# Copyright 2021 The Project Authors.
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+import os""",
+    "BSD-3-Clause": """// Copyright (c) 2014 Some Body. All rights reserved.
+// Use of this source code is governed by a BSD-style license that can be
+// found in the LICENSE file.
+
+package main""",
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+
+int main;""",
+    "GPL-3.0": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,""",
+    "ISC": """ * Copyright (c) 2004 Some One
+ *
+ * Permission to use, copy, modify, and distribute this software for any
+ * purpose with or without fee is hereby granted, provided that the above
+ * copyright notice and this permission notice appear in all copies.
+ *
+ * THE SOFTWARE IS PROVIDED""",
+    "MIT": """MIT License
+
+Copyright (c) 2020 A Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights""",
+}
+
+
+def test_wrapped_license_headers(spark):
+    rows = [(name, f"src/{name}.x", text, False, "clash") for name, text in HEADERS.items()] + [("MIT", "src/again.x", HEADERS["MIT"], False, "clash"), ("long", "src/l.x", "words of no use here. " * 40_000 + "\n\n" + HEADERS["GPL-3.0"], False, "clash")]
+    rows += [("prose", "src/p.x", "The license of a pilot has a version in blue, and the terms of use are on the back of it. Nothing is granted.", None, "clash")]
+    files = spark.createDataFrame(rows, "file string, path string, text string, is_license boolean, license string")
+    got = Counter((r.file, r.license) for r in license_scan.licensed(files).collect())
+    want = Counter({(name, name): 1 for name in HEADERS})
+    want["MIT", "MIT"] = 2
+    assert got == want + Counter({("long", "GPL-3.0"): 1, ("prose", None): 1})
+
+
+def test_license_filter_loses_no_match(spark):
+    """The terms of which a match needs one, against the cosine of random mixes of template words."""
+    import math
+    import re
+
+    rng, model = random.Random(8), license_scan.Model()
+    by_part: dict = {}
+    for name, part, term, w in model.vectors:
+        by_part.setdefault((name, part), {})[term] = w
+    texts = [t for x in license_scan.TEMPLATES.values() for t in x]
+    for _ in range(3000):
+        words = re.findall(license_scan.TERM, rng.choice(texts).lower())
+        words = [w for w in words if rng.random() < rng.choice((0.3, 0.8))] + ["foreign"] * rng.randint(0, 2)
+        own = {t: (1 + math.log(n)) * model.idf.get(t, model.foreign) for t, n in Counter(words).items()}
+        norm = math.sqrt(sum(w * w for w in own.values())) or 1
+        best = max(sum(own.get(t, 0) * w for t, w in v.items()) / norm for v in by_part.values())
+        assert best < license_scan.THRESHOLD or re.search(model.pattern, " ".join(words))
+
+
 def test_empty_tables(empty):
     assert phrase_automata.cleaned(empty).count() == 0
     assert suffix_dedup.cleaned(empty).count() == 0
