@@ -87,6 +87,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 THRESHOLD = 0.6
+#: Words of any prose.  They only order the search for the filter below, and change no result.
+COMMON = frozenset("a all an and any are as at be by can do for from if in is it its may must not of on one or see that the this to under use used was with without work you your".split())
 #: A sentence ends where a capital follows; a paragraph at a line without a letter or digit.
 SENTENCE_END, PARAGRAPH_END = r"([.!?])[ \t\r\n]+(\p{Lu})", r"\n[^\p{L}\p{N}\n]*\n"
 
@@ -107,16 +109,20 @@ class Model:
         needed = set()
         for name, i, counts in parts:
             weights = {term: (1 + math.log(n)) * self.idf[term] for term, n in counts.items()}
-            rest = whole = sum(w * w for w in weights.values())
+            whole = sum(w * w for w in weights.values())
             self.vectors += [(name, i, term, w / math.sqrt(whole)) for term, w in weights.items()]
-            # by Cauchy and Schwarz, terms of this remaining norm alone can't reach the threshold
-            for term in sorted(weights, key=lambda t: (-weights[t], t)):
-                if rest < (threshold * threshold - 1e-6) * whole:
-                    break
-                needed.add(term)
-                rest -= weights[term] ** 2
+            # by Cauchy and Schwarz, terms of a small part of the norm alone can't reach the threshold: as many
+            # common words as fit are such a part, then the lightest terms
+            rest = 0.0
+            for term in sorted(weights, key=lambda t: (t not in COMMON, weights[t], t)):
+                if rest + weights[term] ** 2 < (threshold * threshold - 1e-6) * whole:
+                    rest += weights[term] ** 2
+                else:
+                    needed.add(term)
         self.needed = sorted(needed)
-        self.pattern = "|".join(re.escape(t) for t in self.needed)
+        # a term begins and ends where no letter or digit stands
+        fronts = [(front, [t[1:] for t in self.needed if t[0] == front]) for front in sorted({t[0] for t in self.needed})]
+        self.pattern = f"(?<![a-z0-9])(?:{'|'.join(front + '(?:' + '|'.join(map(re.escape, rest)) + ')' for front, rest in fronts)})(?![a-z0-9])"
 
     def tables(self, spark) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
         """(term, idf) and (license, part, term, t_w): as many rows as the templates have terms."""
