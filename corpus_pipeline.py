@@ -1,12 +1,20 @@
-"""From raw documents to sharded training data, in stages that each read what the one before has written."""
+"""From raw documents to sharded training data, in stages that each read what the one before has written.
+
+Defined results: a null text has no words and goes in the first stage; rows without a doc_id take part in
+everything but near-duplicates and decontamination, which leave them in; an empty table gives an empty
+table; columns beyond doc_id, text and source are carried and never read, whatever their names, but for
+size, text_crc32, shard and slot, which the last stage sets.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lemmaweave.llm import decontam, mixing, probminhash, quality_ledger, resharding
-from lemmaweave.llm.common import read_table, stored
+from lemmaweave.llm.common import read_table, shared_folder, stored
 from lemmaweave.session import reach_workers
 
 POLICY = "v1"
@@ -40,8 +48,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each row goes: doc_id, size, text_crc32, old_shard, shard, moved, slot."""
-    return resharding.resharded(docs.select("doc_id", "text"), LAYOUT)
+    """The documents as read back from their shards, with size, text_crc32, slot and shard.  docs: a table in files."""
+    folder = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    return resharding.read_shards(resharding.rewrite(docs, folder, LAYOUT), docs)
 
 
 STAGES = [
