@@ -204,8 +204,8 @@ def resharded(docs: DataFrame, layout: Layout = Layout(), old: str | None = None
     return with_slots(plan(sized(docs, old), layout)).drop("block", "_t")
 
 
-#: rows of one file of a shard
-FILE_ROWS = 50_000
+#: rows of a shard that stay together when shards are written
+FILE_ROWS = 4096
 
 
 def rewrite(docs: DataFrame, folder: str, layout: Layout = Layout(), old: str | None = None, manifest: DataFrame | None = None) -> DataFrame:
@@ -222,7 +222,7 @@ def rewrite(docs: DataFrame, folder: str, layout: Layout = Layout(), old: str |
     touched = F.broadcast(touched)  # at most one row per shard
     new = rows.drop(*[c for c in ("size", "text_crc32", "shard", "slot", old) if c]).join(placed.join(touched, "shard", "left_semi"), list(place)).drop("old_shard", "moved", *place)
     version = f"{folder.rstrip('/')}/version-{uuid.uuid4().hex}"
-    new.repartition("shard", F.expr(f"slot div {FILE_ROWS}")).write.partitionBy("shard").parquet(version)
+    new.repartition("shard", F.expr(f"slot div {FILE_ROWS}")).write.partitionBy("shard").option("compression", "zstd").parquet(version)
     here = F.concat(F.lit(version + "/shard="), F.col("shard").cast("string"))
     out = shards.join(touched, "shard", "left_semi").select("shard", here.alias("path"))
     if manifest is not None:
