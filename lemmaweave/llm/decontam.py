@@ -75,13 +75,13 @@ def _fields(k: int) -> list[str]:
 
 
 def _windows(words: Column, raw: Column, k: int, width: int) -> Column:
-    """array<struct<k,at,w0..,r0..>>: shifted slices of each zipped, the incomplete end cut off; null behind k words."""
+    """array<struct<k,at,w0..,r0..>>: shifted slices of the words' hashes zipped, the incomplete end cut off; null behind k words."""
     n = F.size(words)
-    none = F.array_repeat(F.lit(None).cast("string"), n)
+    none = F.array_repeat(F.lit(None).cast("long"), n)
     zipped = [F.slice(x, F.lit(i + 1), F.greatest(n - i, F.lit(0))) if i < k else none for x in (words, raw) for i in range(width)]
     numbers = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     zipped = F.arrays_zip(F.array_repeat(F.lit(k), n), numbers, *zipped)
-    named = f"array<struct<k:int,at:int,{','.join(f'{f}:string' for f in _fields(width))}>>"
+    named = f"array<struct<k:int,at:int,{','.join(f'{f}:bigint' for f in _fields(width))}>>"
     return F.slice(zipped, F.lit(1), F.greatest(n - k + 1, F.lit(0))).cast(named)
 
 
@@ -91,7 +91,8 @@ def _hashed(df: DataFrame, width: int, name: str, literal: int = 0) -> DataFrame
     Templates of fewer literal words are left out.  A word never equals a placeholder, so one column serves both.
     """
     words, raw = ([F.col(f"_x.{f}") for f in part] for part in (_fields(width)[:width], _fields(width)[width:]))
-    literals = sum((F.when(w.isNull() | w.isin(NUMBER, NAME, UNIT), 0).otherwise(1) for w in words), F.lit(0))
+    values = [F.xxhash64(F.lit(x)) for x in (NUMBER, NAME, UNIT)]
+    literals = sum((F.when(w.isNull() | w.isin(*values), 0).otherwise(1) for w in words), F.lit(0))
     # the outer form, since for the inner one the optimizer repeats the whole expression in a filter on its size
     rows = df.select("*", F.explode_outer(F.col("_win")).alias("_x")).drop("_win").where("_x is not null")
     rows = rows.withColumns({"_t": F.xxhash64("_x.k", *words), "_r": F.xxhash64("_x.k", *raw), "_some": literals >= F.least(F.lit(literal), F.col("_x.k")), "k": F.col("_x.k"), name: F.col("_x.at")}).drop("_x")
@@ -109,12 +110,14 @@ def window_hits(docs: DataFrame, items: DataFrame, settings: Templates) -> DataF
     if not lengths:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, _k bigint, item_id bigint, item_at int, doc_at int, k int")
     width = max(lengths)
-    windows = lambda words, raw, ks: F.flatten(F.array(*[_windows(F.col(words), F.col(raw), k, width) for k in ks]))
-    own = F.filter(windows("words", "raw", lengths), lambda x: x["k"] == F.col("k"))
-    item_side, _ = bounded_broadcast(cut(_hashed(items.select("item_id", own.alias("_win")), width, "item_at", s.literal)), s.broadcast_rows)  # beyond that size the join shuffles by hash
+    windows = F.flatten(F.array(*[_windows(F.col("_words"), F.col("_raw"), k, width) for k in lengths]))
+    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    own = F.filter(windows, lambda x: x["k"] == F.col("k"))
+    item_rows = items.select("item_id", "k", hashed("words").alias("_words"), hashed("raw").alias("_raw"))
+    item_side, _ = bounded_broadcast(cut(_hashed(item_rows.select("item_id", own.alias("_win")), width, "item_at", s.literal)), s.broadcast_rows)  # beyond that size the join shuffles by hash
     doc_rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("_k"), joined_numbers(F.col("text")).alias("_base"))
-    doc_rows = doc_rows.withColumns({"_words": template_words(F.col("_base")), "_raw": folded_words(F.col("_base"))})
-    doc_rows = doc_rows.select("doc_id", "_k", windows("_words", "_raw", lengths).alias("_win"))
+    doc_rows = doc_rows.withColumns({"_words": hashed(template_words(F.col("_base"))), "_raw": hashed(folded_words(F.col("_base")))})
+    doc_rows = doc_rows.select("doc_id", "_k", windows.alias("_win"))
     return _hashed(doc_rows, width, "doc_at").join(item_side, ["_h", "k"]).select("doc_id", "_k", "item_id", "item_at", "doc_at", "k")
 
 
