@@ -13,6 +13,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 #: Largest allowed budgets (fixed values).
 CEILING = {"depth": 10, "papers": 100, "edges": 10_000}
 
@@ -64,7 +66,7 @@ def step(run: Run, citations: DataFrame, importable: DataFrame) -> Run:
     left = run.policy.edges - run.edges.count()
     if new_edges.count() > left:
         return replace(run, state="paused", reason="edge_budget")
-    edges = _kept(run.edges.unionByName(new_edges))
+    edges = checkpointed(run.edges.unionByName(new_edges))
     seen = new_edges.select(F.col("dst").alias("paper_id")).distinct().join(run.nodes, "paper_id", "left_anti")
     known = importable.select("paper_id", F.lit(True).alias("_ok")).distinct()
     room = run.policy.papers - run.nodes.where("depth > 0 and state <> 'boundary'").count()
@@ -73,7 +75,7 @@ def step(run: Run, citations: DataFrame, importable: DataFrame) -> Run:
     new = found.join(taken.select("paper_id", F.lit(True).alias("_take")), "paper_id", "left").select("paper_id", "depth", F.when(F.col("_take"), "ready").otherwise("boundary").alias("state"))
     done = run.nodes.join(front.select("paper_id", F.lit(True).alias("_d")), "paper_id", "left").select("paper_id", "depth", F.when(F.col("_d"), "visited").otherwise(F.col("state")).alias("state"))
     short = found.where("_in").count() > max(0, room)
-    return replace(run, nodes=_kept(done.unionByName(new)), edges=edges, state="running", reason="paper_budget" if short else run.reason)
+    return replace(run, nodes=checkpointed(done.unionByName(new)), edges=edges, state="running", reason="paper_budget" if short else run.reason)
 
 
 def advance(run: Run, citations: DataFrame, importable: DataFrame, max_steps: int = 10) -> Run:
@@ -88,10 +90,3 @@ def advance(run: Run, citations: DataFrame, importable: DataFrame, max_steps: in
 
 def summary(run: Run) -> DataFrame:
     return run.nodes.groupBy("state").agg(F.count("*").alias("n"))
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/lemmaweave")
-    return df.checkpoint()

@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from ..functions import identity, tex
 from .relational import tristate
 
-STATEMENT = "struct<local_id:string,kind:string,display_kind:string,normalized_kind:string,label:string,visible_number:string,title:string,content:string,refs:array<string>,position:bigint,source_file:string>"
-PROOF = "struct<number:bigint,text:string,position:bigint,owner:string,basis:string,confidence:double,refs:array<string>,cites:array<string>>"
-CITATION = "struct<command:string,key:string,position:bigint,source_file:string>"
+STATEMENT = "struct<local_id:string,kind:string,display_kind:string,normalized_kind:string,label:string,visible_number:string,title:string,content:string,refs:array<string>,position:bigint,source_file:string,end_position:bigint>"
+PROOF = "struct<number:bigint,text:string,position:bigint,owner:string,basis:string,confidence:double,refs:array<string>,cites:array<string>,end_position:bigint>"
+CITATION = "struct<command:string,key:string,position:bigint,source_file:string,end_position:bigint>"
+SEGMENT = "struct<path:string,start:bigint,end:bigint,at:bigint>"
 ENTRY = "struct<key:string,type:string,title:string,authors:array<string>,year:int,arxiv_id:string,arxiv_version:string,doi:string,bib_file:string>"
-DOCUMENT = f"paper_id string, error string, title string, statements array<{STATEMENT}>, proofs array<{PROOF}>, citations array<{CITATION}>, entries array<{ENTRY}>"
+DOCUMENT = f"paper_id string, error string, title string, statements array<{STATEMENT}>, proofs array<{PROOF}>, citations array<{CITATION}>, entries array<{ENTRY}>, segments array<{SEGMENT}>"
 
 
 def _entry(e: dict, path: str) -> dict:
@@ -45,17 +46,18 @@ def read_project(paper_id: str, main: str, files: dict[str, str]) -> dict:
         if {e["key"].casefold() for e in inline} & {e["key"].casefold() for _, e in listed}:
             raise ValueError("a bibliography key in two sources")
     except (ValueError, FileNotFoundError) as problem:
-        return {"paper_id": paper_id, "error": f"{type(problem).__name__}: {problem}", "title": None, "statements": none, "proofs": none, "citations": none, "entries": none}
+        return {"paper_id": paper_id, "error": f"{type(problem).__name__}: {problem}", "title": None, "statements": none, "proofs": none, "citations": none, "entries": none, "segments": none}
     text, scan = merged.text, tex.mask(merged.text)
     home = lambda at: next((p for p, a, b, _ in merged.parts if a <= at < b), None)
     found = tex.statements(text)
     title = next((g[0].strip() for _, _, _, e in tex.commands(scan, ("title",)) if (g := tex.group(text, e))), None)
     proofs = [{"number": p.number, "text": p.text, "position": p.position, "owner": p.owner, "basis": p.basis, "confidence": p.confidence, "refs": tex.references(p.text),
-               "cites": [k for _, k, _, _ in tex.keys(tex.mask(p.text), tex.CITATIONS)]} for p in tex.proofs(text, found)]
+               "cites": [k for _, k, _, _ in tex.keys(tex.mask(p.text), tex.CITATIONS)], "end_position": p.end} for p in tex.proofs(text, found)]
     return {
         "paper_id": paper_id, "error": None, "title": title, "proofs": proofs,
-        "statements": [{k: getattr(s, k) for k in ("local_id", "kind", "display_kind", "normalized_kind", "label", "visible_number", "title", "content", "refs", "position")} | {"source_file": home(s.position)} for s in found],
-        "citations": [{"command": c, "key": k, "position": a, "source_file": home(a)} for c, k, a, _ in tex.keys(scan, tex.CITATIONS)],
+        "statements": [{k: getattr(s, k) for k in ("local_id", "kind", "display_kind", "normalized_kind", "label", "visible_number", "title", "content", "refs", "position")} | {"source_file": home(s.position), "end_position": s.end} for s in found],
+        "citations": [{"command": c, "key": k, "position": a, "source_file": home(a), "end_position": b} for c, k, a, b in tex.keys(scan, tex.CITATIONS)],
+        "segments": [{"path": path, "start": a, "end": b, "at": at} for path, a, b, at in merged.parts],
         "entries": [_entry(e, path) for path, e in listed] + [_entry(e, home(e["start"])) for e in inline],
     }
 
@@ -66,7 +68,7 @@ def documents(projects: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             read = [read_project(p, m, dict(f)) for p, m, f in zip(batch["paper_id"], batch["main"], batch["files"], strict=True)]
-            yield pd.DataFrame(read, columns=["paper_id", "error", "title", "statements", "proofs", "citations", "entries"])
+            yield pd.DataFrame(read, columns=["paper_id", "error", "title", "statements", "proofs", "citations", "entries", "segments"])
 
     return projects.select("paper_id", "main", "files").mapInPandas(rows, DOCUMENT)
 

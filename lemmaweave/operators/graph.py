@@ -11,13 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder all executors share."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/lemmaweave")
-    return df.checkpoint()
+from ..session import checkpointed
 
 
 def reach_in_tree(parents: DataFrame, starts: DataFrame) -> DataFrame:
@@ -27,23 +21,24 @@ def reach_in_tree(parents: DataFrame, starts: DataFrame) -> DataFrame:
     """
     hop = parents.select("src", "dst", F.lit(1).cast("long").alias("depth"))
     found = starts.join(hop, "src")
-    jump = hop
+    jump, known = hop, -1
     while True:
         far = jump.select(F.col("src").alias("dst"), F.col("dst").alias("_far"), F.col("depth").alias("_d"))
         more = found.join(far, "dst").select("src", F.col("_far").alias("dst"), (F.col("depth") + F.col("_d")).alias("depth"))
-        grown = _cut(found.unionByName(more).distinct())
-        if more.isEmpty():
+        grown = checkpointed(found.unionByName(more).distinct())
+        size = grown.count()
+        if size == known:
             return found
-        found = grown
-        jump = _cut(jump.join(far, "dst").select("src", F.col("_far").alias("dst"), (F.col("depth") + F.col("_d")).alias("depth")))
+        found, known = grown, size
+        jump = checkpointed(jump.join(far, "dst").select("src", F.col("_far").alias("dst"), (F.col("depth") + F.col("_d")).alias("depth")))
 
 
 def depths(roots: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
     """node, depth: least number of edges from a root, up to a limit.  Only the frontier is joined."""
-    seen = _cut(roots.select("node", F.lit(0).cast("long").alias("depth")).distinct())
+    seen = checkpointed(roots.select("node", F.lit(0).cast("long").alias("depth")).distinct())
     frontier = seen
     for depth in range(1, limit + 1):
-        frontier = _cut(frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        frontier = checkpointed(frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -52,13 +47,13 @@ def depths(roots: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """id, root: the smallest id reachable over links(u, v).  Labels spread and jump to their label's label."""
-    both = _cut(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    both = checkpointed(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     label = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("root"))
     while True:
         near = both.join(label.select(F.col("u").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("r"))
         new = label.join(near, "u").select("u", F.least("root", "r").alias("root"))
         jump = new.select(F.col("u").alias("root"), F.col("root").alias("r2"))
-        new = _cut(new.join(jump, "root").select("u", F.col("r2").alias("root")))
+        new = checkpointed(new.join(jump, "root").select("u", F.col("r2").alias("root")))
         if new.join(label.withColumnRenamed("root", "old"), "u").where("root <> old").isEmpty():
             return new.select(F.col("u").alias("id"), "root")
         label = new
@@ -143,7 +138,7 @@ def on_cycles(edges: DataFrame) -> DataFrame:
     def per_paper(rows: pd.DataFrame) -> pd.DataFrame:
         adjacency = _adjacency(rows)
         hit = [n for g in strong_groups(adjacency) for n in g if len(g) > 1 or n in adjacency.get(n, [])]
-        return pd.DataFrame({"paper_id": rows["paper_id"].iloc[0], "node": hit})
+        return pd.DataFrame([(rows["paper_id"].iloc[0], n) for n in hit], columns=["paper_id", "node"], dtype="object")
 
     return edges.groupBy("paper_id").applyInPandas(per_paper, "paper_id string, node string")
 

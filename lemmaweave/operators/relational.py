@@ -62,3 +62,54 @@ def around(df: DataFrame, keys: Sequence[str], order: Sequence, anchor: Column,
 
 def unresolved(refs: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
     return refs.join(targets, on, "left_anti")
+
+
+def listed(links: DataFrame, key: str, position: str, sep: str = ",") -> DataFrame:
+    """Positions of the links of each key, in order, as one text."""
+    return links.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(position)).cast("array<string>"), sep).alias(f"{position}s"))
+
+
+def first_child(parents: DataFrame, children: DataFrame, key: str, order: Sequence, columns: dict[str, str]) -> DataFrame:
+    """Parents with the named columns of their first child, null where there is none."""
+    first = first_wins(children, [key], order).select(key, *[F.col(c).alias(n) for c, n in columns.items()])
+    return parents.join(first, key, "left")
+
+
+def groups(rows: DataFrame, key: str, member: str) -> DataFrame:
+    """key, group_id (a hash of the key), n, members: what shares a key, as one item to decide on."""
+    members = F.array_join(F.array_sort(F.collect_set(F.col(member).cast("string"))), ",")
+    return rows.groupBy(key).agg(F.count("*").alias("n"), members.alias("members")).withColumn("group_id", F.sha2(F.col(key).cast("string"), 256))
+
+
+def chosen_version(rows: DataFrame, work: str, version: str) -> DataFrame:
+    """work, chosen (the last version as text), conflicting (there are several), n."""
+    return rows.groupBy(work).agg(F.max(version).alias("chosen"), (F.countDistinct(version) > 1).alias("conflicting"), F.count("*").alias("n"))
+
+
+def distinct_count(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rows.agg(F.countDistinct(*keys).alias("n"))
+
+
+def first_texts(rows: DataFrame, key: str, text: str, order: str, k: int = 5, width: int = 160, sep: str = "|") -> DataFrame:
+    """key, texts: the first k different texts of each key, cut to a width."""
+    once = rows.groupBy(key, text).agg(F.min(order).alias("_f"))
+    best = top_k(once, [key], ["_f"], k).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_f", text))).alias("_s"))
+    return best.select(key, F.array_join(F.transform("_s", lambda x: F.substring(x[text], 1, width)), sep).alias("texts"))
+
+
+def following(rows: DataFrame, key: str, order: str, steps: int, name: str) -> DataFrame:
+    """Each row with the order value that lies some steps ahead, null at the end."""
+    return rows.withColumn(name, F.lead(order, steps).over(Window.partitionBy(key).orderBy(order)))
+
+
+def owner_before(rows: DataFrame, key: str, order: str, is_owner: Column, name: str) -> DataFrame:
+    """Each row with the order value of the last owner before it."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(name, F.last(F.when(is_owner, F.col(order)), ignorenulls=True).over(w))
+
+
+def chain(rows: DataFrame, steps: Sequence[tuple[DataFrame, str, str]]) -> DataFrame:
+    """rows joined to a chain of parents: (table, child key, parent key) from the nearest to the farthest."""
+    for table, child, parent in steps:
+        rows = rows.join(table, rows[child] == table[parent])
+    return rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STATUSES = ("blocked", "in_progress", "skipped", "todo", "understood")
+STATUSES = ("blocked", "in_progress", "queued", "reviewed", "skipped", "todo", "understood")
 
 
 def checkpoints(log: DataFrame) -> DataFrame:

@@ -129,14 +129,14 @@ def inner_results_papers(t: Tables) -> DataFrame:
 
 @query("SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS positions FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey")
 def link_positions(t: Tables) -> DataFrame:
-    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_orderkey")
-    return rows.agg(F.array_join(F.sort_array(F.collect_list("l_linenumber")).cast("array<string>"), ",").alias("positions"))
+    rows = relational.chain(t.lineitem, [(t.orders, "l_orderkey", "o_orderkey")]).select("l_orderkey", F.col("l_linenumber").alias("position"))
+    return relational.listed(rows, "l_orderkey", "position")
 
 
 @query("SELECT a.conv_id, a.role AS first_role, b.role AS next_role FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = 1 WHERE a.turn = 0")
 def first_child_left(t: Tables) -> DataFrame:
     c = t.conversations
-    return c.where("turn = 0").select("conv_id", F.col("role").alias("first_role")).join(c.where("turn = 1").select("conv_id", F.col("role").alias("next_role")), "conv_id", "left")
+    return relational.first_child(c.where("turn = 0").select("conv_id", F.col("role").alias("first_role")), c.where("turn = 1"), "conv_id", ["turn"], {"role": "next_role"})
 
 
 @query("""SELECT c_custkey, count(DISTINCT o_orderkey) AS n_orders, count(l_orderkey) AS n_lines, count(*) FILTER (l_returnflag = 'R') AS n_returned
@@ -160,27 +160,24 @@ def status_counts(t: Tables) -> DataFrame:
 
 @query(f"WITH {_HREFS} SELECT key, sha256(key) AS group_id, count(*) AS n, string_agg(DISTINCT CAST(page_id AS VARCHAR), ',' ORDER BY CAST(page_id AS VARCHAR)) AS members FROM h GROUP BY key")
 def blocker_groups(t: Tables) -> DataFrame:
-    g = hrefs(t.pages).groupBy("key").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.col("page_id").cast("string"))), ",").alias("members"))
-    return g.select("key", F.sha2("key", 256).alias("group_id"), "n", "members")
+    return relational.groups(hrefs(t.pages), "key", "page_id").select("key", "group_id", "n", "members")
 
 
 @query("SELECT md5(text) AS work, max(source) AS chosen, count(DISTINCT source) > 1 AS conflicting, count(*) AS n FROM documents GROUP BY md5(text)")
 def version_conflicts(t: Tables) -> DataFrame:
     """The chosen version is the last in text order."""
-    return t.documents.groupBy(F.md5(F.col("text").cast("binary")).alias("work")).agg(F.max("source").alias("chosen"), (F.countDistinct("source") > 1).alias("conflicting"), F.count("*").alias("n"))
+    return relational.chosen_version(t.documents.select(F.md5(F.col("text").cast("binary")).alias("work"), "source"), "work", "source")
 
 
 @query("SELECT count(DISTINCT (user_id, event_type)) AS n FROM events")
 def distinct_evidence(t: Tables) -> DataFrame:
-    return t.events.agg(F.countDistinct("user_id", "event_type").alias("n"))
+    return relational.distinct_count(t.events, ["user_id", "event_type"])
 
 
 @query("""SELECT conv_id, string_agg(substring(text, 1, 160), '|' ORDER BY f) AS texts FROM
 (SELECT conv_id, text, min(turn) AS f, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn)) AS r FROM conversations GROUP BY conv_id, text) WHERE r <= 5 GROUP BY conv_id""")
 def first_k_texts(t: Tables) -> DataFrame:
-    c = t.conversations.groupBy("conv_id", "text").agg(F.min("turn").alias("f"))
-    c = relational.top_k(c, ["conv_id"], ["f"], 5).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("f", "text"))).alias("s"))
-    return c.select("conv_id", F.array_join(F.transform("s", lambda x: F.substring(x["text"], 1, 160)), "|").alias("texts"))
+    return relational.first_texts(t.conversations, "conv_id", "text", "turn")
 
 
 @query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM events GROUP BY user_id, event_type")
@@ -210,7 +207,7 @@ def source_slice(t: Tables) -> DataFrame:
 
 @query("SELECT conv_id, turn, lead(turn, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn FROM conversations")
 def read_blocks_next(t: Tables) -> DataFrame:
-    return t.conversations.select("conv_id", "turn", F.lead("turn", 2).over(Window.partitionBy("conv_id").orderBy("turn")).alias("next_turn"))
+    return relational.following(t.conversations.select("conv_id", "turn"), "conv_id", "turn", 2, "next_turn")
 
 
 @query("""SELECT conv_id, turn, sec AS section, CAST(row_number() OVER (PARTITION BY conv_id, sec ORDER BY turn) AS BIGINT) AS number FROM
@@ -240,8 +237,8 @@ def topk_candidates(t: Tables) -> DataFrame:
 
 @query("SELECT * FROM (SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS owner FROM conversations) WHERE role = 'assistant'")
 def adjacent_owner(t: Tables) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return t.conversations.select("conv_id", "turn", "role", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("owner")).where("role = 'assistant'")
+    rows = t.conversations.select("conv_id", "turn", "role")
+    return relational.owner_before(rows, "conv_id", "turn", F.col("role") == "user", "owner").where("role = 'assistant'")
 
 
 @query("SELECT DISTINCT l_partkey AS k FROM lineitem EXCEPT SELECT p_partkey FROM part WHERE p_size < 25")
@@ -269,24 +266,24 @@ def where_used(t: Tables) -> DataFrame:
     return t.lineitem.groupBy(F.col("l_suppkey").alias("target")).agg(F.countDistinct("l_partkey").alias("n_users"))
 
 
-@query("""WITH RECURSIVE r AS (SELECT p_partkey AS src, (p_partkey - 1) // 2 AS dst, 1 AS depth FROM part WHERE p_partkey > 1 AND p_partkey % 50 = 0
+@query("""WITH RECURSIVE r AS (SELECT p_partkey AS src, (p_partkey - 1) // 2 AS dst, 1 AS depth FROM part WHERE p_partkey > 1
 UNION ALL SELECT src, (dst - 1) // 2, depth + 1 FROM r WHERE dst > 1) SELECT src, dst, CAST(depth AS BIGINT) AS depth FROM r WHERE dst > 0""")
 def recursive_reachability(t: Tables) -> DataFrame:
     """All ancestors in a heap-shaped tree, by doubling the reach of every edge: log(depth) joins."""
     parents = t.part.where("p_partkey > 1").select(F.col("p_partkey").alias("src"), F.expr("(p_partkey - 1) div 2").alias("dst")).where("dst > 0")
-    return graph.reach_in_tree(parents, t.part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("src")))
+    return graph.reach_in_tree(parents, t.part.select(F.col("p_partkey").alias("src")))
 
 
-@query("""WITH RECURSIVE n AS (SELECT k, (7 * k + 3) % 64 AS d FROM (SELECT unnest(range(64)) AS k)), r AS (SELECT k, d FROM n UNION SELECT r.k, n.d FROM r JOIN n ON r.d = n.k) SELECT k AS node FROM r WHERE k = d""")
+@query("""WITH RECURSIVE n AS (SELECT n_nationkey AS k, (7 * n_nationkey + 3) % 25 AS d FROM nation), r AS (SELECT k, d FROM n UNION SELECT r.k, n.d FROM r JOIN n ON r.d = n.k) SELECT CAST(k AS BIGINT) AS node FROM r WHERE k = d""")
 def cycle_members(t: Tables) -> DataFrame:
-    nodes = t.spark.range(64).select(F.col("id").alias("src"), ((F.col("id") * 7 + 3) % 64).alias("dst"))
-    return graph.on_cycles(nodes.withColumn("paper_id", F.lit("p"))).select(F.col("node").cast("long").alias("node"))
+    nodes = t.nation.select(F.lit("p").alias("paper_id"), F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("dst"))
+    return graph.on_cycles(nodes).select(F.col("node").cast("long").alias("node"))
 
 
 @query("SELECT l_orderkey, c_name, n_name, r_name, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
 def evidence_trace(t: Tables) -> DataFrame:
-    out = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n")).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    out = out.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    out = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    out = relational.chain(out, [(t.orders, "l_orderkey", "o_orderkey"), (t.customer, "o_custkey", "c_custkey"), (t.nation, "c_nationkey", "n_nationkey"), (t.region, "n_regionkey", "r_regionkey")])
     return out.select("l_orderkey", "c_name", "n_name", "r_name", "n")
 
 
@@ -319,11 +316,11 @@ def crawl_depth(t: Tables) -> DataFrame:
     return graph.depths(t.region.select(F.concat(F.lit("r"), "r_regionkey").alias("node")), edges, 10)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT a.key AS u, b.key AS v FROM (SELECT user_id % 40 AS key, event_type || (user_id // 7) AS x FROM events) a JOIN (SELECT user_id % 40 AS key, event_type || (user_id // 7) AS x FROM events) b ON a.x = b.x),
+@query("""WITH RECURSIVE k AS (SELECT DISTINCT user_id AS id, event_type || (user_id // 7) AS x FROM events), e AS (SELECT DISTINCT a.id AS u, b.id AS v FROM k a JOIN k b ON a.x = b.x),
 r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u) SELECT u AS id, min(v) AS root FROM r GROUP BY u""")
 def connected_components(t: Tables) -> DataFrame:
-    """Records that share an identifier, grouped through any chain of identifiers."""
-    rows = t.events.select((F.col("user_id") % 40).alias("id"), F.concat("event_type", F.expr("cast(user_id div 7 as string)")).alias("x")).distinct()
+    """Users that share an identifier, grouped through any chain of identifiers."""
+    rows = t.events.select(F.col("user_id").alias("id"), F.concat("event_type", F.expr("cast(user_id div 7 as string)")).alias("x")).distinct()
     hub = rows.groupBy("x").agg(F.min("id").alias("v"))
     return graph.components(rows.join(hub, "x").select(F.col("id").alias("u"), "v"))
 

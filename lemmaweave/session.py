@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def reach_workers(spark: SparkSession) -> None:
@@ -24,3 +24,14 @@ def build_session(name: str = "lemmaweave", master: str | None = None, **conf: s
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage by a reliable checkpoint in the folder all executors share; only one machine may go without one."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or "file:///tmp/checkpoints/lemmaweave")
+    return df.checkpoint()
