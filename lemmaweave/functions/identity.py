@@ -28,34 +28,45 @@ def arxiv(text: str | None) -> tuple[str | None, str | None]:
     return (m[1].lower(), m[2].lower() if m[2] else None) if m else (None, None)
 
 
+def _address(text: str) -> tuple[str, str, list[str]]:
+    """(host, path, warnings) of a web address; empty for other texts."""
+    if "://" not in text[:9] or not text.lower().startswith("http"):
+        return "", "", []
+    at = urlsplit(text)
+    extra = any((at.username, at.password, at.query, at.fragment))
+    return at.netloc.lower(), at.path, ["identifier_url_components"] if extra else []
+
+
+def _doi(text: str, _: str | None) -> tuple[str | None, str | None, list[str]]:
+    host, path, _ = _address(text)
+    if host:
+        text = unquote(path[1:]) if host in DOI_HOSTS else ""
+    front, slash, name = re.sub(r"(?i)^doi:\s*", "", text).casefold().partition("/")
+    registrant = front.removeprefix("10.")
+    if not slash or registrant == front or not (registrant.isdigit() and 4 <= len(registrant) <= 9) or not name or set(name) & DOI_NEVER or any(c.isspace() for c in name):
+        return None, None, []
+    doubtful = name[-1] in ".,;:" or name.count("(") != name.count(")")
+    return f"{front}/{name}", None, ["ambiguous_identifier_punctuation"] if doubtful else []
+
+
+def _arxiv(text: str, version: str | None) -> tuple[str | None, str | None, list[str]]:
+    name, own = arxiv(text)
+    if name is None or (version and not re.fullmatch(r"v[1-9]\d*", version)):
+        return None, None, []
+    return name, own or version, ["version_conflict"] if version and own and own != version else []
+
+
+#: Hosts of DOI addresses and characters that no DOI has (fixed values).
+DOI_HOSTS, DOI_NEVER = ("doi.org", "dx.doi.org"), set('<>"{}')
+PARSERS = {"arxiv": _arxiv, "doi": _doi}
+
+
 def identifier(value: str | None, kind: str, version: str | None = None) -> dict:
-    """canonical, identity, version, valid, exact_eligible and warnings of a DOI or arXiv identifier."""
-    out: dict = {"kind": kind, "raw": value, "canonical": None, "identity": None, "version": None, "valid": False, "exact_eligible": False, "warnings": []}
-    text, warnings = (value or "").strip(), set()
-    while len(text) > 1 and _PAIRS.get(text[0]) == text[-1]:
+    """canonical, identity, version, valid, exact_eligible and warnings of a DOI or arXiv identifier (keys and words: fixed values)."""
+    text = (value or "").strip()
+    while len(text) > 1 and text[-1] == _PAIRS.get(text[0]):
         text = text[1:-1].strip()
-    if text.lower().startswith(("http://", "https://")):
-        at = urlsplit(text)
-        if at.username or at.password or at.query or at.fragment:
-            warnings.add("identifier_url_components")
-        if kind == "doi":
-            text = unquote(at.path.lstrip("/")) if at.netloc.lower() in ("doi.org", "dx.doi.org") else ""
-    if kind == "doi":
-        text = re.sub(r"(?i)^doi:\s*", "", text).casefold()
-        if re.fullmatch(r'10\.\d{4,9}/[^\s<>"{}]+', text):
-            if text[-1] in ".,;:" or text.count("(") != text.count(")"):
-                warnings.add("ambiguous_identifier_punctuation")
-            out |= {"canonical": text, "identity": f"doi:{text}", "valid": True}
-        else:
-            warnings.add("invalid_identifier")
-    else:
-        name, own = arxiv(text)
-        if name is None or (version and not re.fullmatch(r"v[1-9]\d*", version)):
-            warnings.add("invalid_identifier")
-        else:
-            if version and own and version != own:
-                warnings.add("version_conflict")
-            out |= {"canonical": name, "identity": f"arxiv:{name}", "version": own or version, "valid": True}
-    out["warnings"] = sorted(warnings)
-    out["exact_eligible"] = out["valid"] and not warnings
-    return out
+    canonical, own, doubts = PARSERS[kind](text, version)
+    warnings = sorted({*_address(text)[2], *doubts, *([] if canonical else ["invalid_identifier"])})
+    return {"kind": kind, "raw": value, "canonical": canonical, "identity": canonical and f"{kind}:{canonical}", "version": own, "valid": canonical is not None,
+            "exact_eligible": canonical is not None and not warnings, "warnings": warnings}

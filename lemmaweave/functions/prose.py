@@ -10,47 +10,10 @@ from __future__ import annotations
 import re
 
 from . import tex
+from .names import named
 
-#: Kinds of results that prose names (fixed values).
-KINDS = ("theorem", "lemma", "proposition", "corollary", "definition", "claim", "conjecture", "example", "remark")
 #: Displayed mathematics (fixed values).
 MATH = ("align", "alignat", "displaymath", "eqnarray", "equation", "gather", "math", "multline")
-_WORD = re.compile(r"[A-Za-z]+")
-_NUMBER = re.compile(r"[A-Za-z]?\d+(?:\.\d+)*|[A-Z](?![A-Za-z0-9])")
-
-
-def kind_of(word: str) -> str | None:
-    """The kind a word names, in singular or plural."""
-    w = word.lower()
-    for kind in KINDS:
-        if w in (kind, kind + "s") or (kind == "corollary" and w == "corollaries"):
-            return kind
-    return None
-
-
-def _numbers(text: str, at: int) -> tuple[list[tuple[str, int, int]], int]:
-    """Numbers of a list with commas and 'and', from at."""
-    out: list[tuple[str, int, int]] = []
-    while (m := _NUMBER.match(text, at)) is not None and not text[m.end() : m.end() + 1].isalpha():
-        out.append((m[0], m.start(), m.end()))
-        joint = re.compile(r"\s*(?:,\s*and\b|,|and\b)\s*").match(text, m.end())
-        if joint is None:
-            return out, m.end()
-        at = joint.end()
-    return out, out[-1][2] if out else at
-
-
-def named(text: str) -> list[dict]:
-    """Results named by kind and number: kind, number, start, end, raw."""
-    out = []
-    for w in _WORD.finditer(text):
-        kind = kind_of(w[0])
-        gap = re.compile(r"[\s~]+").match(text, w.end())
-        if kind is None or gap is None or text[w.start() - 1 : w.start()] == "\\":
-            continue
-        for number, start, end in _numbers(text, gap.end())[0]:
-            out.append({"kind": kind, "number": number, "start": w.start(), "end": end, "raw": text[w.start() : w.end()] + " " + number, "place": start})
-    return out
 
 
 def math_ranges(text: str) -> list[tuple[int, int]]:

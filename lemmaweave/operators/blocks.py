@@ -72,11 +72,24 @@ def statements(blocks: DataFrame, gap: float = 36.0, most: int = 7, longest: int
     return rows.groupBy("paper_id").applyInPandas(per_paper, "paper_id string, local_id string, kind string, visible_number string, statement string, positions array<int>")
 
 
+#: Kinds that a proof's heading names (fixed values), and arXiv identifiers as words.
+GOAL_KINDS = ("theorem", "lemma", "proposition", "corollary", "claim")
+ARXIV = r"^(?:[0-9]{4}[.][0-9]{4,5}|[a-z][a-z0-9.-]*/[0-9]{7})(?:v[1-9][0-9]*)?$"
+
+
 def proofs(blocks: DataFrame, found: DataFrame) -> DataFrame:
     """paper_id, position, text (first line), owner, basis: a named single goal with one match, else the block right behind a statement."""
     rows = in_order(blocks).where("not back").withColumn("line", F.trim(F.split(F.ltrim("text"), "\n").getItem(0))).where(F.col("line").rlike(PROOF))
-    goal = r"(?i)^Proof\s+of\s+(?:(Theorem|Lemma|Proposition|Corollary|Claim)\s+)?([A-Za-z]?\d+(?:\.\d+)*)\s*(?:\([^)]*\)\s*)?(?:[.:](?!\s*(?:and|or)\b)|$)"
-    rows = rows.select("paper_id", "position", "line", F.lower(F.regexp_extract("line", goal, 1)).alias("g_kind"), F.lower(F.regexp_extract("line", goal, 2)).alias("g_number"), F.col("line").rlike(r"(?i)^Proof\s*(?:[.:]|$)").alias("unnamed"))
+    rows = rows.withColumn("_w", F.split(F.regexp_replace("line", r"(?i)^proof\s+of\s+", ""), r"\s+")).withColumn("_of", F.col("line").rlike(r"(?i)^proof\s+of\s"))
+    # the goal is one kind word, if any, and one number; the line ends there, or a stop or a bracket follows
+    first = F.lower(F.get("_w", F.lit(0)))
+    rows = rows.withColumn("_kind", F.when(first.isin(*GOAL_KINDS), first).otherwise("")).withColumn("_at", F.when(F.col("_kind") == "", 0).otherwise(1))
+    token = F.get("_w", F.col("_at"))
+    rest = F.array_join(F.slice("_w", F.col("_at") + 2, F.size("_w")), " ")
+    bare = F.regexp_replace(token, r"[.:]$", "")
+    closed = F.when(rest == "", True).when(rest.startswith("("), rest.rlike(r"^\([^)]*\)(?:[.:]|$)")).otherwise(token.rlike(r"[.:]$") & ~F.lower(F.split(rest, " ").getItem(0)).isin("and", "or"))
+    single = F.col("_of") & bare.rlike(r"^[A-Za-z]?\d+(\.\d+)*$") & closed
+    rows = rows.select("paper_id", "position", "line", F.when(single, F.col("_kind")).otherwise("").alias("g_kind"), F.when(single, F.lower(bare)).otherwise("").alias("g_number"), F.col("line").rlike(r"(?i)^proof\s*(?:[.:]|$)").alias("unnamed"))
     names = found.select(F.col("paper_id").alias("p"), "local_id", F.col("kind").alias("k"), F.lower("visible_number").alias("n"), F.array_max("positions").alias("end"))
     named = rows.where("g_number <> ''").join(names, (F.col("paper_id") == F.col("p")) & (F.col("g_number") == F.col("n")) & ((F.col("g_kind") == "") | (F.col("g_kind") == F.col("k"))))
     named = named.groupBy("paper_id", "position").agg(F.count("*").alias("c"), F.min("local_id").alias("named")).where("c = 1").drop("c")
@@ -91,9 +104,15 @@ def bibliography(blocks: DataFrame) -> DataFrame:
     """paper_id, label, raw_text, arxiv_id, doi, url of bracketed entries behind the heading."""
     lines = in_order(blocks).where("back").select("paper_id", "position", F.posexplode_outer(F.split("text", r"\n(?=\s*\[[^\]\n]+\])")).alias("part", "entry"))
     raw = scalar.collapsed(F.col("entry"))
-    arxiv = F.regexp_extract(raw, r"(?i)(?<![A-Za-z0-9./:-])(?:arXiv:)?(\d{4}\.\d{4,5}(?:v[1-9]\d*)?|[A-Za-z][A-Za-z0-9.-]*/\d{7}(?:v[1-9]\d*)?)(?![A-Za-z0-9/-])", 1)
+    # identifiers are words of their own: brackets, quotes and stops around them fall off
+    words = F.transform(F.split(raw, r"[\s\[\](){}<>\",;]+"), lambda w: F.regexp_replace(w, r"[.:]+$", ""))
+    names = F.transform(words, lambda w: F.regexp_replace(F.lower(w), "^arxiv:", ""))
+    arxiv = F.get(F.filter(names, lambda w: w.rlike(ARXIV)), F.lit(0))
     tidy = lambda c: F.nullif(F.regexp_replace(c, r"[.,;)]+$", ""), F.lit(""))
+    whole = F.split(raw, " ")
+    web = F.get(F.filter(whole, lambda w: w.rlike("^https?://.")), F.lit(0))
+    doi = F.get(F.filter(whole, lambda w: w.rlike("(?i)^(doi:|https://doi[.]org/).")), F.lit(0))
+    doi = F.regexp_replace(doi, "(?i)^(doi:|https://doi[.]org/)", "")
     return lines.where(raw.rlike(r"^\[[^\]]+\]\s*\S")).select(
         "paper_id", "position", "part", F.regexp_extract(raw, r"^\[([^\]]+)\]", 1).alias("label"), raw.alias("raw_text"),
-        F.nullif(F.lower(F.regexp_replace(arxiv, r"v[1-9]\d*$", "")), F.lit("")).alias("arxiv_id"),
-        tidy(F.regexp_extract(raw, r"(?i)(?:doi:|https://doi\.org/)(\S+)", 1)).alias("doi"), tidy(F.regexp_extract(raw, r"(https?://\S+)", 1)).alias("url"))
+        F.regexp_replace(arxiv, "v[1-9][0-9]*$", "").alias("arxiv_id"), tidy(doi).alias("doi"), tidy(web).alias("url"))
