@@ -37,6 +37,13 @@ class Workspace:
         store.replace_papers(docs, f"{self.folder}/documents")
         docs.unpersist()
 
+    def add_evidence(self, docs: DataFrame) -> None:
+        """Replace papers by evidence documents that were extracted elsewhere; bad ones change nothing."""
+        docs = docs.select(*extract.documents(self.spark.createDataFrame([], "paper_id string, main string, files map<string,string>")).columns).persist()
+        store.check_evidence(docs)
+        store.replace_papers(docs, f"{self.folder}/documents")
+        docs.unpersist()
+
     def add_files(self, paper_id: str, files: dict[str, str], main: str | None = None) -> None:
         row = (paper_id, archive.main_file(files, main), files)
         self.add_projects(self.spark.createDataFrame([row], "paper_id string, main string, files map<string,string>"))

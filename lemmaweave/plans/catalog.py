@@ -23,11 +23,17 @@ ORACLE_SQL: dict[str, str] = {}
 class Tables:
     """Tables of one folder by attribute."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, **own: DataFrame):
         reach_workers(spark)
-        self.spark, self._folder = spark, folder
+        self.spark, self._folder, self._own = spark, folder, own
+
+    def replaced(self, **own: DataFrame) -> Tables:
+        """The same folder with other tables under some names."""
+        return Tables(self.spark, self._folder, **own)
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name in self._own:
+            return self._own[name]
         return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
 
 

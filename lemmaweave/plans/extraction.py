@@ -6,6 +6,8 @@ expressions; what must come back is then known, and SQL can say it.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +17,19 @@ from .catalog import ORACLE_SQL, QUERIES, Tables, query
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 
+#: ids that share a paper
+BLOCK = 2000
+
+
+def in_blocks(sql: str) -> str:
+    """SQL over documents whose source names the paper that projects() puts them in."""
+    return re.sub(r"\bdocuments\b", f"(SELECT * REPLACE (source || '-' || (doc_id // {BLOCK}) AS source) FROM documents)", sql)
+
+
 def projects(t: Tables) -> DataFrame:
-    """A paper per source: its documents as theorems in order, each with a proof, and a bibliography of languages."""
+    """A paper per source and block of ids, so that papers stay small: its documents as theorems in order, each with a
+    proof, and a bibliography of languages."""
+    t = t.replaced(documents=t.documents.withColumn("source", F.concat("source", F.lit("-"), F.expr(f"cast(doc_id div {BLOCK} as string)"))))
     n = F.col("doc_id").cast("string")
     before = (F.col("doc_id") - 20).cast("string")
     body = F.concat(F.lit("% \\begin{thm} no \\end{thm}\n\\begin{thm}["), F.coalesce("lang", F.lit("")), F.lit("]\\label{t:"), n, F.lit("} Size "), F.col("n_chars").cast("string"), F.lit(", \\ref{t:"), before,
@@ -143,3 +156,6 @@ def focus_filter(t: Tables) -> DataFrame:
 def first_page(t: Tables) -> DataFrame:
     rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).where("r_regionkey in (1, 3)")
     return relational.page(rows, ["n_nationkey"], 5).select("n_name", "r_name")
+
+
+ORACLE_SQL.update({name: in_blocks(sql) for name, sql in ORACLE_SQL.items() if name.startswith("tex_")})

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import crosspaper, expansion, extract, mentions, search, sessions, spans
 from .catalog import ORACLE_SQL, QUERIES, Tables, query
-from .extraction import projects
+from .extraction import in_blocks, projects
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -243,3 +243,6 @@ def unique_containers(t: Tables) -> DataFrame:
 @query(r"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w NOT IN ('a', 'an', 'and', 'by', 'in', 'of', 'on', 'the')), ' ') AS words, CASE WHEN length(s) > 160 THEN rtrim(substring(s, 1, 157)) || '...' ELSE s END AS preview FROM (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS s FROM documents)")
 def title_words_and_preview(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", scalar.title_words(F.col("text")).alias("words"), scalar.preview(F.col("text")).alias("preview"))
+
+
+ORACLE_SQL.update({name: in_blocks(sql) for name, sql in ORACLE_SQL.items() if name.startswith("tex_") and "REPLACE (" not in sql})

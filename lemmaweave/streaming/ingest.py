@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import extract
-from ..sources.store import replace_papers
+from ..sources.store import latest, replace_papers
 
 
 def ingest(projects: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Extract each arriving project and replace its partitions; a replayed batch writes the same rows."""
+    """Extract each arriving project and replace its partitions; a replayed batch writes the same rows.
+
+    The table documents comes first and holds all of a paper in one row; results and citations follow from
+    it.  A run that fails in between leaves its batch unfinished, and the replay writes all three again.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
-        docs = extract.documents(batch.dropDuplicates(["paper_id"])).persist()
-        replace_papers(extract.results(docs), f"{out}/results")
-        replace_papers(extract.citation_records(docs), f"{out}/citations")
+        docs = extract.documents(latest(batch)).persist()
+        for rows, name in ((docs, "documents"), (extract.results(docs), "results"), (extract.citation_records(docs), "citations")):
+            replace_papers(rows, f"{out}/{name}", docs)
         docs.unpersist()
 
     return projects.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -132,3 +132,26 @@ def test_expansion_control(spark):
 def test_labels(spark):
     row = spark.createDataFrame([(None, "lemma", "2", "id"), (None, "lemma", None, "id"), ("L", "lemma", "2", "id")], "a string, b string, c string, d string")
     assert [r[0] for r in row.select(scalar.display_label(*map(F.col, "abcd"))).collect()] == ["lemma 2", "id", "L"]
+
+
+def test_a_paper_that_comes_anew_keeps_nothing_old(spark, tmp_path):
+    import pytest
+
+    from lemmaweave.api import Workspace
+    from lemmaweave.sources import store
+
+    both = docs(spark).where("error is null").persist()
+    path = str(tmp_path / "results")
+    store.replace_papers(extract.results(both), path, both)
+    assert spark.read.parquet(path).count() == 2
+    bare = extract.documents(spark.createDataFrame([("local:p", "m.tex", {"m.tex": "nothing"})], "paper_id string, main string, files map<string,string>"))
+    store.replace_papers(extract.results(bare), path, bare)
+    assert spark.read.schema(extract.results(both).schema).parquet(path).count() == 0
+    twice = spark.createDataFrame([("local:p", "m.tex", {"m.tex": "old"}, 1), ("local:p", "m.tex", {"m.tex": "new"}, 2)], "paper_id string, main string, files map<string,string>, seq int")
+    assert [r.files["m.tex"] for r in store.latest(twice).collect()] == ["new"]
+    space = Workspace(spark, str(tmp_path / "w"))
+    both.select(F.to_json(F.struct("*")).alias("value")).write.text(str(tmp_path / "json"))
+    space.add_evidence(store.read_evidence(spark, str(tmp_path / "json"), extract.DOCUMENT))
+    assert {r.paper_id: r.n_results for r in space.list_papers().collect()} == {"local:p": 2, "arxiv:2001.00001": 0}
+    with pytest.raises(store.InvalidEvidence):
+        space.add_evidence(both.withColumn("paper_id", F.lit("p")))
