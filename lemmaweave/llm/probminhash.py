@@ -259,13 +259,16 @@ def text_key() -> F.Column:
     return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
 
 
-def links_between(bands: DataFrame, texts: DataFrame, settings: NearDup) -> DataFrame:
-    """Confirmed links (a, b) that span each class.  bands(id, band); texts(id, text), each once, at least those with bands."""
+def links_between(bands: DataFrame, docs: DataFrame, named: DataFrame, settings: NearDup) -> DataFrame:
+    """Confirmed links (a, b) that span each class.  bands(id, band); named(id, doc_id, _k): the rows of docs that stand for the ids."""
     # groups of one are dropped; a count by band combines before the shuffle
     shared = cut(bands.groupBy("band").agg(F.count("*").alias("_n"), F.min("id").alias("a")).where("_n > 1"))
     sizes = shared.select("band", "_n")
     bands = cut(spread_join(bands, shared.select("band", "a"), ["band"], ["id"], "inner", sizes))
-    sets = cut(shingle_sets(texts.join(bands.select("id").distinct(), "id", "left_semi"), settings))
+    # texts are shuffled once, and only against the ids that have a candidate
+    wanted = cut(named.join(bands.select("id").distinct(), "id", "left_semi"))
+    texts = docs.select("doc_id", text_key().alias("_k"), "text").join(wanted, ["doc_id", "_k"]).dropDuplicates(["doc_id", "_k"])
+    sets = cut(shingle_sets(texts, settings))
     stars = cut(bands.where("a <> id").select("a", F.col("id").alias("b")).distinct())
     links = cut(confirmed(stars, sets, settings.similarity))
     # what is left: bands of several classes, once for all bands of the same members
@@ -286,8 +289,7 @@ def linked(docs: DataFrame, settings: NearDup) -> tuple[DataFrame, DataFrame, Da
     nodes = cut(firsts.withColumn("id", F.monotonically_increasing_id()))
     named = nodes.select(F.col("text_id").alias("doc_id"), "_k", "id")
     bands = rows.join(named, ["doc_id", "_k"]).select("id", F.explode("bands").alias("band")).distinct()
-    texts = docs.select("doc_id", text_key().alias("_k"), "text").join(named, ["doc_id", "_k"]).dropDuplicates(["doc_id", "_k"]).select("id", "text")
-    return rows.select("doc_id", "_k"), nodes, links_between(bands, texts, settings)
+    return rows.select("doc_id", "_k"), nodes, links_between(bands, docs, named, settings)
 
 
 def classes(docs: DataFrame, settings: NearDup = NearDup()) -> DataFrame:
