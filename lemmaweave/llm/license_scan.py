@@ -4,13 +4,16 @@ Files are (path, text).  The units of a file are its lines, its sentences, its
 paragraphs (between lines without a letter or digit, as in comment headers) and,
 of a licence file, its whole text; each is compared with every template: short
 notices, header paragraphs as licences ask for them, the openings of full texts.
-Document frequencies are those of the templates; a term of no template has the
-weight of one seen nowhere, so foreign words lower the cosine.  The greatest
+Document frequencies are those of the templates, but that words of any prose weigh
+little; a term of no template has the weight of one seen nowhere, so foreign words
+lower the cosine.  The greatest
 cosine of a file names its licence, if it reaches a threshold.
 
 Most texts need no split: a unit that shares none of the heaviest terms of a
 template stays below the threshold whatever else it says (the rest of the
 template's norm is too small), and only texts with such a term are looked into.
+Of their units, those go on in which known terms are a large enough part of the
+norm: no cosine exceeds that part.
 
 A directory takes the licence of its licence files; a file without a licence of
 its own inherits from the nearest ancestor directory that has one, by joins on
@@ -87,7 +90,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 THRESHOLD = 0.6
-#: Words of any prose.  They only order the search for the filter below, and change no result.
+#: Words of any prose and what they weigh at most (fixed values): templates alone are too few to show that they are common.
+LIGHT = 0.5
 COMMON = frozenset("a all an and any are as at be by can do for from if in is it its may must not of on one or see that the this to under use used was with without work you your".split())
 #: A sentence ends where a capital follows; a paragraph at a line without a letter or digit.
 SENTENCE_END, PARAGRAPH_END = r"([.!?])[ \t\r\n]+(\p{Lu})", r"\n[^\p{L}\p{N}\n]*\n"
@@ -104,7 +108,7 @@ class Model:
         parts = [(name, i, Counter(re.findall(TERM, text.lower()))) for name, texts in sorted(templates.items()) for i, text in enumerate(texts)]
         seen = Counter(term for _, _, counts in parts for term in counts)
         self.foreign = math.log(1 + len(parts)) + 1
-        self.idf = {term: math.log((1 + len(parts)) / (1 + n)) + 1 for term, n in seen.items()}
+        self.idf = {term: min(math.log((1 + len(parts)) / (1 + n)) + 1, LIGHT if term in COMMON else math.inf) for term, n in seen.items()}
         self.vectors: list[tuple[str, int, str, float]] = []
         needed = set()
         for name, i, counts in parts:
@@ -129,21 +133,37 @@ class Model:
         return spark.createDataFrame(sorted(self.idf.items()), "term string, idf double"), spark.createDataFrame(self.vectors, "license string, part int, term string, t_w double")
 
 
-def units(files: DataFrame, model: Model) -> DataFrame:
-    """file, unit (number), text of every unit that can match.  files: file, text, is_license."""
+def known_part(words: Column, model: Model) -> Column:
+    """An upper bound of the cosine of a unit with any template: the part of its norm in known terms, if each of them
+    were every word and each foreign term stood once."""
+    # one literal each, split once by the optimizer: hundreds of literals would make the plan slow
+    names = F.split(F.lit(" ".join(sorted(model.idf))), " ")
+    squares = F.map_from_arrays(names, F.split(F.lit(" ".join(repr(model.idf[t] ** 2) for t in sorted(model.idf))), " ").cast("array<double>"))
+    different = F.array_distinct(words)
+    known = F.aggregate(F.array_intersect(different, names), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda t, v: F.struct((t["s"] + F.element_at(squares, v)).alias("s"), (t["n"] + 1).alias("n")),
+                        lambda t: t["s"] / F.greatest(F.size(different) - t["n"], F.lit(1e-9)))
+    # null, which is no match, where there is no known term
+    return F.sqrt(1 / (1 + F.try_divide(F.lit(model.foreign**2), F.pow(1 + F.log(F.size(words)), 2) * known)))
+
+
+def units(files: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """file, unit (number), words of every unit that can match.  files: file, text, is_license."""
     mark = "\x1e"
     sentences = F.split(F.regexp_replace("text", SENTENCE_END, f"$1{mark}$2"), mark)
     whole = F.when(F.col("is_license"), F.array("text")).otherwise(F.array().cast("array<string>"))
     every = F.array_distinct(F.concat(sentences, F.split("text", "\n"), F.split("text", PARAGRAPH_END), whole))
-    hit = files.where(F.lower("text").rlike(model.pattern)).dropDuplicates(["file", "text", "is_license"])
-    rows = hit.select("file", F.monotonically_increasing_id().alias("_row"), F.explode_outer(every).alias("text"))
-    return rows.where(F.lower("text").rlike(model.pattern)).withColumn("unit", F.xxhash64("_row", "text")).drop("_row")
+    hit = files.where(F.lower("text").rlike(model.pattern)).select("file", F.xxhash64("text", "is_license").alias("_row"), every.alias("_every"))
+    rows = hit.select("file", "_row", F.explode_outer("_every").alias("text")).withColumn("words", terms(F.col("text")))
+    # a step that filters can't be pushed through: the optimizer would evaluate all of it again for each use
+    stay = F.spark_partition_id() * F.lit(0.0)
+    rows = rows.withColumn("_part", known_part(F.col("words"), model) + stay).where(F.col("_part") >= threshold - 1e-6)
+    return rows.select("file", F.xxhash64("_row", "text").alias("unit"), "words").dropDuplicates(["file", "unit"])
 
 
-def scores(files: DataFrame, model: Model) -> DataFrame:
-    """file, unit, license, score for every unit and template that share a term."""
+def scores(files: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """file, unit, license, score for every template and unit that share a term and may reach the threshold."""
     idf, vectors = (F.broadcast(t) for t in model.tables(files.sparkSession))
-    counts = units(files, model).select("file", "unit", F.explode_outer(terms(F.col("text"))).alias("term")).where("term is not null").groupBy("file", "unit", "term").agg(F.count("*").alias("tf"))
+    counts = units(files, model, threshold).select("file", "unit", F.explode_outer("words").alias("term")).where("term is not null").groupBy("file", "unit", "term").agg(F.count("*").alias("tf"))
     rows = cut(counts.join(idf, "term", "left").select("file", "unit", "term", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(model.foreign))).alias("w")))
     norm = rows.groupBy("file", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = rows.join(vectors, "term").groupBy("file", "unit", "license", "part").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
@@ -152,7 +172,7 @@ def scores(files: DataFrame, model: Model) -> DataFrame:
 
 def own_licenses(files: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """file, license, score, n_notices (units above the threshold), n_found (different licences that are best in a unit)."""
-    best = scores(files, Model(templates, threshold)).groupBy("file", "unit").agg(F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license"))).alias("b"))
+    best = scores(files, Model(templates, threshold), threshold).groupBy("file", "unit").agg(F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license"))).alias("b"))
     best = best.select("file", "b.license", "b.score").where(F.col("score") >= threshold)
     return best.groupBy("file").agg(
         F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license"))).alias("b"),

@@ -151,6 +151,7 @@ SELECT conv_id, n_turns, turns_sha256, CAST(loss_chars AS BIGINT) AS loss_chars,
 
 
 _LICENSES = ", ".join(f"('{name}', {i}, '{text}')" for name, texts in license_scan.TEMPLATES.items() for i, text in enumerate(texts))
+_COMMON = ", ".join(f"'{w}'" for w in sorted(license_scan.COMMON))
 ORACLE_SQL["op8_license_scan"] = rf"""
 WITH f AS (SELECT doc_id, text, coalesce(source, '') AS src, coalesce(lang, '') AS lang, len({_WORDS}) AS n FROM documents),
 p AS (SELECT doc_id, text, CASE WHEN n <= 20 THEN src ELSE src || '/' || lang END AS dir, n <= 60 AS lic FROM f),
@@ -160,7 +161,7 @@ c AS (SELECT doc_id, u, term, count(*) AS tf FROM u GROUP BY ALL),
 t(license, part, text) AS (VALUES {_LICENSES}),
 tc AS (SELECT license, part, term, count(*) AS tf FROM (SELECT license, part, unnest(regexp_extract_all(lower(text), '{license_scan.TERM}')) AS term FROM t) GROUP BY ALL),
 nn AS (SELECT count(*) AS nn FROM t),
-idf AS (SELECT term, ln((1.0 + nn) / (1 + count(*))) + 1 AS idf FROM tc, nn GROUP BY term, nn),
+idf AS (SELECT term, CASE WHEN term IN ({_COMMON}) THEN least(i, {license_scan.LIGHT}) ELSE i END AS idf FROM (SELECT term, ln((1.0 + nn) / (1 + count(*))) + 1 AS i FROM tc, nn GROUP BY term, nn)),
 tw AS (SELECT license, part, term, (1 + ln(tf)) * idf AS w FROM tc JOIN idf USING (term)),
 tn AS (SELECT license, part, sqrt(sum(w * w)) AS tn FROM tw GROUP BY ALL),
 uw AS (SELECT doc_id, u, term, (1 + ln(tf)) * coalesce(idf, ln(1.0 + nn) + 1) AS w FROM c LEFT JOIN idf USING (term), nn),

@@ -565,7 +565,7 @@ def test_license_filter_loses_no_match(spark):
     by_part: dict = {}
     for name, part, term, w in model.vectors:
         by_part.setdefault((name, part), {})[term] = w
-    texts = [t for x in license_scan.TEMPLATES.values() for t in x]
+    texts, cases = [t for x in license_scan.TEMPLATES.values() for t in x], []
     for _ in range(3000):
         words = re.findall(license_scan.TERM, rng.choice(texts).lower())
         words = [w for w in words if rng.random() < rng.choice((0.3, 0.8))] + ["foreign"] * rng.randint(0, 2)
@@ -573,6 +573,9 @@ def test_license_filter_loses_no_match(spark):
         norm = math.sqrt(sum(w * w for w in own.values())) or 1
         best = max(sum(own.get(t, 0) * w for t, w in v.items()) / norm for v in by_part.values())
         assert best < license_scan.THRESHOLD or re.search(model.pattern, " ".join(words))
+        cases.append((words, best))
+    bound = [r[0] or 0.0 for r in spark.createDataFrame(cases, "w array<string>, b double").coalesce(1).select(license_scan.known_part(F.col("w"), model)).collect()]
+    assert all(b >= best - 1e-9 for b, (_, best) in zip(bound, cases, strict=True))
 
 
 def test_empty_tables(empty):
