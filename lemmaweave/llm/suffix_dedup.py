@@ -292,7 +292,8 @@ def merged_items(runs: DataFrame, unit: Bytes, shards: int) -> DataFrame:
             if rows:
                 yield _item_rows(rows, unit, kind)
 
-    return runs.repartition(shards, "shard").sortWithinPartitions("shard", "several").mapInArrow(rows, passages.ITEM)
+    # the number of a shard is that of its task: hashed, several would meet in one
+    return runs.repartitionById(shards, "shard").sortWithinPartitions("shard", "several").mapInArrow(rows, passages.ITEM)
 
 
 def removed_bytes(docs: DataFrame, firsts: DataFrame, window: int = 100, gram: int = 40) -> tuple[DataFrame, DataFrame]:
