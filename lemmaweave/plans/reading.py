@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import crosspaper, expansion, extract, mentions, search, sessions, spans
+from ..operators import crosspaper, expansion, extract, mentions, review, search, sessions, spans
 from .catalog import ORACLE_SQL, QUERIES, Tables, query
 from .extraction import in_blocks, projects
 
@@ -232,6 +232,16 @@ def evidence_lookup(t: Tables) -> DataFrame:
     return spans.lookup(tables, wanted).select("evidence_id", "type", "n")
 
 
+@query("""WITH e AS (SELECT l_suppkey AS g, l_partkey AS r, l_orderkey AS p, l_returnflag AS k, l_linestatus AS t, CAST(l_orderkey AS VARCHAR) || ':' || l_linenumber AS id FROM lineitem WHERE l_suppkey IS NOT NULL),
+n AS (SELECT g, count(DISTINCT r) AS r, count(DISTINCT p) AS p, string_agg(DISTINCT k, ', ' ORDER BY k) AS k FROM e GROUP BY g),
+f AS (SELECT g, string_agg(t, '; ' ORDER BY m) AS t FROM (SELECT g, t, min(id) AS m FROM e WHERE t IS NOT NULL GROUP BY ALL) GROUP BY g)
+SELECT g AS l_suppkey, 'Needed by ' || r || ' local result' || CASE WHEN r = 1 THEN '' ELSE 's' END || ' through ' || p || ' proof' || CASE WHEN p = 1 THEN '' ELSE 's' END || coalesce('; citation keys: ' || k, '') || coalesce('; cited result evidence: ' || t, '') AS evidence_summary FROM n LEFT JOIN f USING (g)""")
+def import_reviews(t: Tables) -> DataFrame:
+    """Suppliers as works to import, order lines as the evidence that needs them."""
+    e = t.lineitem.select(F.col("l_suppkey").alias("group_key"), F.lit("line").alias("kind"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"), F.lit("").alias("source"), F.col("l_partkey").alias("result_id"), F.col("l_orderkey").alias("proof_id"), F.col("l_returnflag").alias("citation_key"), F.col("l_linestatus").alias("raw_text"))
+    return review.import_reviews(e).select(F.col("group_key").alias("l_suppkey"), "evidence_summary")
+
+
 @query("SELECT conv_id, turn, CASE WHEN n = 1 THEN m END AS raw_id, n AS n_containers FROM (SELECT a.conv_id, a.turn, count(b.turn) AS n, min(b.turn) AS m FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn % 2 = 0 AND b.turn <= a.turn AND a.turn <= b.turn + 1 GROUP BY ALL)")
 def unique_containers(t: Tables) -> DataFrame:
     """Turns as fragments of raw blocks that hold two turns each."""
