@@ -102,7 +102,9 @@ def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], by: list[str]
     warm = side.join(F.broadcast(hot), keys, "left_semi").select(*keys, whole.alias("_warm"))
     marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left").join(F.broadcast(warm), keys, "left")
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(1 << 30)) + 1).otherwise(F.lit(0))
-    out = marked.withColumn("_salt", salt).join(side.select(*keys, F.lit(0).cast("long").alias("_salt"), whole.alias("_cold")), [*keys, "_salt"], "left")
+    # always 0, but not a literal: the optimizer would turn that into a filter and deal the rows by the keys alone
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1).cast("long")).alias("_salt")
+    out = marked.withColumn("_salt", salt).join(side.select(*keys, zero, whole.alias("_cold")), [*keys, "_salt"], "left")
     out = out.withColumn("_side", F.coalesce("_warm", "_cold")).drop("_hot", "_salt", "_warm", "_cold")
     if how == "inner":
         out = out.where(F.col("_side").isNotNull())

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lemmaweave.llm import chat_prefix, decontam, hashing, license_scan, mixing, passages, phrase_automata, probminhash, quality_ledger, queries, resharding, suffix_dedup, url_reputation
+from lemmaweave.llm.common import spread_join
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words int, size string"
 
@@ -133,6 +134,25 @@ def test_automaton_locates_whole_words():
     assert sorted(zip(*(x.tolist() for x in got), strict=True)) == [(0, 0, 0), (0, 1, 1), (0, 2, 0), (0, 3, 1), (1, 1, 0)]
 
 
+def test_hot_keys_are_dealt_over_tasks(spark):
+    rows = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 500).alias("k"))
+    side = rows.groupBy("k").agg(F.max("id").alias("top"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        for how in ("left", "inner"):
+            out = spread_join(rows, side, ["k"], ["id"], how)
+            per_task = out.select("id", "k", "top", F.spark_partition_id().alias("task")).collect()
+            most = Counter(r.task for r in per_task).most_common(1)[0][1]
+            assert most < 1000  # one task would have the 2000 rows of the hot key
+            assert sorted((r.id, r.top) for r in per_task) == sorted((r.id, r.top) for r in rows.join(side, "k").collect())
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_anchors_agree_between_equal_windows():
     rng = np.random.default_rng(1)
     part = rng.integers(97, 101, 400).astype(np.uint8)
