@@ -27,6 +27,12 @@ def word_array(text: Column) -> Column:
     return F.when(F.length(bare) > 0, F.split(bare, BLANK_RUN)).otherwise(F.array().cast("array<string>"))
 
 
+def finite_vector(vector: Column) -> Column:
+    """True for vectors that have components, and only finite ones."""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))
+    return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(fine, F.lit(False))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share.  Only a session on one machine may go without: it takes one under /tmp."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -90,22 +96,25 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
 def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], by: list[str], how: str = "left", counts: DataFrame | None = None, share: int = 1000) -> DataFrame:
     """Join rows to a side with one row per key, so that no task gets all the rows of a hot key.
 
-    Keys that hold more than 1/share of the rows are fewer than share, which proves their part of the
-    side small: it is broadcast, and the rows of these keys are dealt by a hash of `by` instead.  All
-    others meet by key, and each of them has less than 1/share of the rows.  counts: keys and _n, if known.
+    The rows of a key that holds more than 1/share of them are dealt by a hash of `by` over as many salts
+    as it holds such shares, and the side has a row for each salt.  There are fewer than share hot keys,
+    with fewer than 2 * share salts together, so only their names are broadcast, never the side, and the
+    side grows by fewer than 2 * share rows.  Rows with a null in a key match nothing and are dealt too.
+    counts: keys and _n, if known.
     """
     counts = cut(rows.groupBy(*keys).agg(F.count("*").alias("_n"))) if counts is None else counts
     total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    hot = counts.where(F.col("_n") > max(total / share, 1)).select(*keys)
+    each = max(total // share, 1)
+    ways = F.ceil(F.col("_n") / each).cast("long").alias("_ways")
+    hot = F.broadcast(counts.where((F.col("_n") > each) & (F.col("_n") > total / share)).select(*keys, ways))
     columns = [c for c in side.columns if c not in keys]
     whole = F.struct(*[F.col(c) for c in columns]) if columns else F.lit(True)
-    warm = side.join(F.broadcast(hot), keys, "left_semi").select(*keys, whole.alias("_warm"))
-    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left").join(F.broadcast(warm), keys, "left")
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(1 << 30)) + 1).otherwise(F.lit(0))
-    # always 0, but not a literal: the optimizer would turn that into a filter and deal the rows by the keys alone
-    zero = F.pmod(F.xxhash64(*keys), F.lit(1).cast("long")).alias("_salt")
-    out = marked.withColumn("_salt", salt).join(side.select(*keys, zero, whole.alias("_cold")), [*keys, "_salt"], "left")
-    out = out.withColumn("_side", F.coalesce("_warm", "_cold")).drop("_hot", "_salt", "_warm", "_cold")
-    if how == "inner":
-        out = out.where(F.col("_side").isNotNull())
+    spread = F.xxhash64(*by)
+    empty = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    salt = F.when(empty, -1 - F.pmod(spread, F.lit(share))).when(F.col("_ways").isNotNull(), F.pmod(spread, F.col("_ways"))).otherwise(0)
+    marked = rows.join(hot, keys, "left").withColumn("_salt", salt).drop("_ways")
+    # salts come from explode: a literal 0 would become a filter, and the rows would be dealt by the keys alone
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_ways", F.lit(1)) - 1)).alias("_salt")
+    many = side.select(*keys, whole.alias("_side")).join(hot, keys, "left").select(*keys, "_side", salts)
+    out = marked.join(many, [*keys, "_salt"], how)
     return out.select(*[c for c in rows.columns], *[F.col("_side").getField(c).alias(c) for c in columns])

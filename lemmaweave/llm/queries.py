@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_prefix, decontam, license_scan, mixing, phrase_automata, probminhash, quality_ledger, resharding, suffix_dedup, url_reputation
+from . import chat_prefix, decontam, lexical_search, license_scan, mixing, neighbour_graph, phrase_automata, probminhash, quality_ledger, resharding, suffix_dedup, url_reputation, vector_codes
 from .common import cut
 from .common import read_table as table
 
@@ -82,9 +82,23 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).where("leaked").drop("leaked")
 
 
+def op11_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(lexical_search.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = neighbour_graph.usable(table(spark, sf_dir, "embeddings"))
+    return neighbour_graph.search(neighbour_graph.build(vectors, k=10), vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = vector_codes.coded(table(spark, sf_dir, "embeddings"))
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebook_digest(books)).alias("codebooks_sha256"), "label")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_probminhash_dedup, op2_url_reputation, op3_quality_ledger, op4_phrase_automata, op5_chat_prefix, op6_temperature_mixing, op7_suffix_dedup, op8_license_scan, op9_flow_resharding, op10_template_decontamination)
+    for f in (op1_probminhash_dedup, op2_url_reputation, op3_quality_ledger, op4_phrase_automata, op5_chat_prefix, op6_temperature_mixing, op7_suffix_dedup, op8_license_scan, op9_flow_resharding, op10_template_decontamination, op11_block_max_search, op12_hnsw_search, op13_vector_codes)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -211,3 +225,38 @@ def _esc(col: str) -> str:
 
 
 ORACLE_SQL["op5_chat_prefix"] = ORACLE_SQL["op5_chat_prefix"].replace("{esc_role}", _esc("role")).replace("{esc_text}", _esc("text"))
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLE_SQL["op11_block_max_search"] = rf"""
+WITH d AS (SELECT * FROM (SELECT doc_id, row_number() OVER () AS rid, {_TERMS} AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) > 0),
+g AS (SELECT count(*) AS nn, CAST(sum(len(w)) AS BIGINT) AS l FROM d),
+t AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, g GROUP BY term, nn),
+m AS (SELECT doc_id, rid, 100 - 75 + ((75 * len(w) * nn) // l) AS m FROM d, g),
+q AS (SELECT iid, item_id, term, count(*) AS times FROM (SELECT row_number() OVER () AS iid, item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT iid, item_id, doc_id, rid, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN t USING (term) JOIN m USING (rid) GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id) AS INT) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
+def _codes_sql() -> str:
+    """Codebooks of two rounds, written out round by round."""
+    far = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+    steps = [
+        "f AS (SELECT *, row_number() OVER () AS rid FROM embeddings WHERE len(embedding) > 0 AND len(embedding) % 16 = 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding))",
+        "k AS (SELECT *, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM f WHERE len(embedding) = (SELECT len(embedding) FROM f ORDER BY vec_id NULLS LAST, embedding, label LIMIT 1))",
+        "p AS (SELECT rid, vec_id, label, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS x, embedding FROM k, (SELECT unnest(range(16)) AS part))",
+        "b0 AS (SELECT part, entry, x AS c FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY vec_id NULLS LAST, embedding, label) - 1 AS entry FROM p) WHERE entry < 64)",
+    ]
+    for turn in range(3):
+        steps.append(f"a{turn} AS (SELECT rid, part, any_value(x) AS x, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d FROM (SELECT rid, part, x, entry, CAST({far} AS BIGINT) AS d FROM p JOIN b{turn} USING (part)) GROUP BY rid, part)")
+        if turn < 2:
+            steps.append(f"m{turn} AS (SELECT part, entry, i, CAST(sum(y) AS BIGINT) AS s, count(*) AS n FROM (SELECT part, entry, unnest(x) AS y, unnest(range(1, len(x) + 1)) AS i FROM a{turn}) GROUP BY ALL)")
+            steps.append(f"n{turn} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM m{turn} GROUP BY ALL)")
+            steps.append(f"b{turn + 1} AS (SELECT part, entry, coalesce(n{turn}.c, b{turn}.c) AS c FROM b{turn} LEFT JOIN n{turn} USING (part, entry))")
+    steps.append("r AS (SELECT rid, string_agg(format('{:02x}', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY rid)")
+    steps.append("h AS (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(c) AS y, unnest(range(1, len(c) + 1)) AS i FROM b2))")
+    return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256, label FROM k JOIN r USING (rid), h"
+
+
+ORACLE_SQL["op13_vector_codes"] = _codes_sql()
