@@ -8,8 +8,9 @@ less the impacts - plus a price per block is least, over all cuts into blocks of
 `widest` postings; all lists of a shard are solved at once, position by position.
 
 A search adds up, for every document number, the highest impacts of the blocks that
-span it, times the terms' weights: the WAND test with block bounds, made for all numbers
-of a shard in one pass instead of one pivot at a time.  Documents are then scored in the
+span it, times the terms' weights - of a block with wide gaps only at its own documents,
+where a cursor would stand: the WAND test with block bounds, made for all numbers of a
+shard in one pass instead of one pivot at a time.  Documents are then scored in the
 order of their bounds, in steps that grow, reading only blocks that span one of them, and
 it ends when the next bound lies below the k-th best score.  So every document that is
 skipped is proven not to be among the best, and results are exact, ties included.
@@ -47,6 +48,8 @@ TERM_BYTES = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b
 LAST = (1 << 63) - 1
 #: documents scored in the first step; each step has four times as many
 STEP = 256
+#: a block that spans more than so many document numbers for each posting has wide gaps
+GAPS = 4
 #: terms of a shard that are written in one batch
 TERMS = 4096
 
@@ -244,8 +247,9 @@ class _Shard:
         docs = self.docs[postings]
         gains = self.impacts[postings] * np.repeat(factor, [self.posting[i + 1] - self.posting[i] for i, _ in present])
         # whole numbers far below 2^53, which float64 holds exactly
-        rise = np.bincount(first, tops, self.size + 1) - np.bincount(last + 1, tops, self.size + 1)
-        bound = np.cumsum(rise)[: self.size]
+        wide = last - first >= GAPS * length
+        rise = np.bincount(first[~wide], tops[~wide], self.size + 1) - np.bincount(last[~wide] + 1, tops[~wide], self.size + 1)
+        bound = np.cumsum(rise)[: self.size] + np.bincount(docs[np.repeat(wide, length)], np.repeat(tops[wide], length[wide]), self.size)
         order = np.argsort(-bound, kind="stable")
         order = order[: np.searchsorted(-bound[order], 0)]  # bounds above 0
         found, scores, least, at, step = *nobody, 1, 0, STEP
