@@ -7,8 +7,9 @@ the placeholders must map each value of the item to one value of the document an
 back, which catches re-parameterised questions and drops accidental templates.  Each
 alignment of item and document, each chain of neighbouring windows and the
 document as a whole are judged by themselves, and one that agrees is enough: a
-second variant elsewhere in the text hides nothing.  Windows that are equal word
-for word and cover most of the item leak whatever the slots say.
+second variant elsewhere in the text hides nothing.  As many windows that are equal
+word for word as a leak needs are a leak, whatever other windows say: slots are asked
+only of windows whose values differ.
 
 Beside the templates the same join finds windows by their words, with case
 folded: copies in another case, and items so rich in values that few of their
@@ -17,9 +18,11 @@ alignment count whose words are equal or stand for values of one type.
 
 Defined results: null and blank texts have no windows; an item shorter than a
 window is one window of its own length; an item without a window of enough
-literal words is found by its words, not with other values in all its windows; documents without an id are not searched and stay; repeated doc_ids
-are judged by row content and reported once per (doc_id, item_id); empty tables give an empty result.  Extra columns are not
-read.
+literal words is found by its words, not with other values in all its windows; repeated
+doc_ids are judged by row content and reported once per (doc_id, item_id), and a leak takes
+all rows of its doc_id; documents without an id are judged, and taken, by their text, and
+are reported together under null; empty tables give an empty result.  Extra columns are
+not read.
 """
 
 from __future__ import annotations
@@ -29,13 +32,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, cut
+from .common import bounded_broadcast, cut, spread_join
 
 #: Units replaced after a number (fixed values).
 UNITS = ("cent", "cents", "cm", "day", "days", "degrees", "dollar", "dollars", "euro", "euros", "feet", "foot", "g", "gram", "grams", "hour", "hours", "inch", "inches", "kg", "km", "litre", "litres", "m", "meter", "meters", "mile", "miles", "minute", "minutes", "ml", "mm", "month", "months", "percent", "pound", "pounds", "second", "seconds", "ton", "tons", "week", "weeks", "yard", "yards", "year", "years")
 #: Placeholders: three private-use characters that texts lose beforehand.
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 _PRIVATE = "[\ue000-\ue002]"
+#: stands for a null doc_id inside this module
+NO_ID = (1 << 63) - 1
 _TOKENS = r"[^\p{L}\p{N}\x{E000}-\x{E002}]+"
 
 
@@ -48,8 +53,6 @@ class Templates:
     literal: int = 5
     #: share of (slot value -> value) observations that must agree
     agreement: float = 1.0
-    #: share of an item's windows that leak if they are equal word for word, whatever the slots say
-    verbatim: float = 0.75
     broadcast_rows: int = 200_000
 
 
@@ -100,6 +103,11 @@ def _hashed(df: DataFrame, width: int, name: str, literal: int = 0) -> DataFrame
     return rows.withColumn("_h", F.explode_outer(both)).drop("_t", "_r", "_some")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, never null, _k, text of the rows that have a text."""
+    return docs.where("text is not null").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("_k"), "text")
+
+
 def window_hits(docs: DataFrame, items: DataFrame, settings: Templates) -> DataFrame:
     """doc_id, _k, item_id, item_at, doc_at, k: windows with equal templates or words.  items: item_id, words, raw, k.
 
@@ -114,11 +122,16 @@ def window_hits(docs: DataFrame, items: DataFrame, settings: Templates) -> DataF
     hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
     own = F.filter(windows, lambda x: x["k"] == F.col("k"))
     item_rows = items.select("item_id", "k", hashed("words").alias("_words"), hashed("raw").alias("_raw"))
-    item_side, _ = bounded_broadcast(cut(_hashed(item_rows.select("item_id", own.alias("_win")), width, "item_at", s.literal)), s.broadcast_rows)  # beyond that size the join shuffles by hash
-    doc_rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("_k"), joined_numbers(F.col("text")).alias("_base"))
+    item_side, small = bounded_broadcast(cut(_hashed(item_rows.select("item_id", own.alias("_win")), width, "item_at", s.literal)), s.broadcast_rows)
+    doc_rows = docs.select("doc_id", "_k", joined_numbers(F.col("text")).alias("_base"))
     doc_rows = doc_rows.withColumns({"_words": hashed(template_words(F.col("_base"))), "_raw": hashed(folded_words(F.col("_base")))})
     doc_rows = doc_rows.select("doc_id", "_k", windows.alias("_win"))
-    return _hashed(doc_rows, width, "doc_at").join(item_side, ["_h", "k"]).select("doc_id", "_k", "item_id", "item_at", "doc_at", "k")
+    rows = _hashed(doc_rows, width, "doc_at")
+    if small:
+        return rows.join(item_side, ["_h", "k"]).select("doc_id", "_k", "item_id", "item_at", "doc_at", "k")
+    places = item_side.groupBy("_h", "k").agg(F.collect_list(F.struct("item_id", "item_at")).alias("_places"))
+    found = spread_join(rows, places, ["_h", "k"], ["doc_id", "_k", "doc_at"], "inner")  # a window that all texts share is dealt
+    return found.select("doc_id", "_k", "doc_at", "k", F.inline("_places")).select("doc_id", "_k", "item_id", "item_at", "doc_at", "k")
 
 
 def aligned(hits: DataFrame, docs: DataFrame, items: DataFrame, settings: Templates) -> DataFrame:
@@ -129,7 +142,7 @@ def aligned(hits: DataFrame, docs: DataFrame, items: DataFrame, settings: Templa
     shifts = hits.select("doc_id", "_k", "item_id", "k", (F.col("doc_at") - F.col("item_at")).alias("_shift")).distinct()
     # only now the words behind the placeholders, of the documents found, once per document
     wanted, _ = bounded_broadcast(hits.select("doc_id", "_k").distinct(), s.broadcast_rows)
-    texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("_k"), "text").join(wanted, ["doc_id", "_k"], "left_semi").dropDuplicates(["doc_id", "_k"])
+    texts = docs.join(wanted, ["doc_id", "_k"], "left_semi").dropDuplicates(["doc_id", "_k"])
     base = joined_numbers(F.col("text"))
     texts = texts.select("doc_id", "_k", template_words(base).alias("_words"), folded_words(base).alias("_raw"))
     rows = shifts.join(texts, ["doc_id", "_k"]).join(items.select("item_id", "words", "raw"), "item_id")
@@ -163,8 +176,8 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_group", F.explode_outer(groups)).drop("_shift", "_one", "_chain", "_all")
 
 
-def matches(docs: DataFrame, items: DataFrame, settings: Templates = Templates()) -> DataFrame:
-    """doc_id, item_id, n_hits (item windows found), n_windows, n_slots, n_agree, leaked: of the group of hits that says most."""
+def judged(docs: DataFrame, items: DataFrame, settings: Templates = Templates()) -> DataFrame:
+    """doc_id, _k, item_id, x (n_hits, n_windows, n_slots, n_agree, leaked) of the group of hits that says most.  docs: of numbered()."""
     s = settings
     base = items.where("item_id is not null and text rlike '[\\\\p{L}\\\\p{N}]'").select("item_id", joined_numbers(F.col("text")).alias("base"))
     base = base.select("item_id", template_words(F.col("base")).alias("words"), folded_words(F.col("base")).alias("raw"))
@@ -181,20 +194,30 @@ def matches(docs: DataFrame, items: DataFrame, settings: Templates = Templates()
     rows = grouped(aligned(hits.join(enough, ["doc_id", "_k", "item_id"], "left_semi"), docs, base, s))
     key = ["doc_id", "_k", "item_id", "_group"]
     counts = rows.groupBy(*key).agg(F.countDistinct("item_at").alias("n_hits"), F.countDistinct(F.when(F.col("verbatim"), F.col("item_at"))).alias("_verbatim"))
-    votes = rows.select(*key, F.explode_outer("pairs").alias("_p")).groupBy(*key, "_p.slot", "_p.a", "_p.b").agg(F.count("*").alias("_n"))
+    votes = rows.where("not verbatim").select(*key, F.explode_outer("pairs").alias("_p")).groupBy(*key, "_p.slot", "_p.a", "_p.b").agg(F.count("*").alias("_n"))
     # one value of the item is one value of the document, and the other way round
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("v")), F.struct(F.lit(1).alias("side"), F.col("b").alias("v")))
     votes = votes.select(*key, "slot", "_n", F.explode(sides).alias("_v")).groupBy(*key, "slot", "_v.side", "_v.v").agg(F.max("_n").alias("_top"), F.sum("_n").alias("_n"))
     votes = votes.groupBy(*key, "side").agg(F.sum("_n").alias("_n"), F.sum("_top").alias("_top"))
     votes = votes.groupBy(*key).agg(F.max("_n").alias("n_slots"), F.min("_top").alias("n_agree"))
-    out = counts.join(sizes, "item_id").where(F.col("n_hits") >= need).join(votes, key)
-    same = (F.col("_verbatim") >= need) & (F.col("_verbatim") >= s.verbatim * F.col("n_windows"))
-    out = out.withColumn("leaked", same | (F.col("n_agree") >= s.agreement * F.col("n_slots")))
-    best = F.max_by(F.struct("n_hits", "n_windows", "n_slots", "n_agree", "leaked"), F.struct("leaked", "n_hits", "n_agree", -F.col("n_slots"), "_k")).alias("x")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.*")
+    # a group of windows that are all equal word for word has no votes
+    out = counts.join(sizes, "item_id").where(F.col("n_hits") >= need).join(votes, key, "left").fillna(0, ["n_slots", "n_agree"])
+    out = out.withColumn("leaked", (F.col("_verbatim") >= need) | (F.col("n_agree") >= s.agreement * F.col("n_slots")))
+    best = F.max_by(F.struct("n_hits", "n_windows", "n_slots", "n_agree", "leaked"), F.struct("leaked", "n_hits", "n_agree", -F.col("n_slots"), "_group")).alias("x")
+    return out.groupBy("doc_id", "_k", "item_id").agg(best)
+
+
+def matches(docs: DataFrame, items: DataFrame, settings: Templates = Templates()) -> DataFrame:
+    """doc_id, item_id, n_hits (item windows found), n_windows, n_slots, n_agree, leaked: of the text and group of hits that says most."""
+    best = F.max_by("x", F.struct("x.leaked", "x.n_hits", "x.n_agree", -F.col("x.n_slots"), "_k")).alias("x")
+    out = judged(numbered(docs), items, settings).groupBy("doc_id", "item_id").agg(best)
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "item_id", "x.*")
 
 
 def clean(docs: DataFrame, items: DataFrame, settings: Templates = Templates()) -> DataFrame:
-    """Documents that leak no item; documents without an id are kept."""
-    leaks = matches(docs, items, settings).where("leaked").select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti")
+    """Documents that leak no item."""
+    by_text = F.when(F.col("_d") == NO_ID, F.col("_k")).otherwise(0)
+    leaks = judged(numbered(docs), items, settings).where("x.leaked").select(F.col("doc_id").alias("_d"), "_k")
+    leaks = leaks.select("_d", by_text.alias("_t")).distinct()
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_d"), F.xxhash64("text").alias("_k"), F.struct(*docs.columns).alias("_row"))
+    return rows.select("*", by_text.alias("_t")).join(leaks, ["_d", "_t"], "left_anti").select("_row.*")

@@ -255,6 +255,10 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
+#: stands for a null doc_id where rows without one take part
+NO_ID = (1 << 63) - 1
+
+
 def text_key() -> F.Column:
     return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
 
@@ -310,11 +314,12 @@ def classes(docs: DataFrame, settings: NearDup = NearDup()) -> DataFrame:
 def deduplicated(docs: DataFrame, settings: NearDup = NearDup()) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id, then text hash.
 
-    Rows without an id stay.  Texts that only share a doc_id are no copies of each other, so each stays
-    unless it is a copy of another text; of rows equal in doc_id and text one stays.
+    A row without an id comes after all others, and stays if it is a copy of none.  Texts that only share a
+    doc_id are no copies of each other, so each stays unless it is a copy of another text; of rows equal in
+    doc_id and text one stays.
     """
+    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.struct(*docs.columns).alias("_row"))
     _, nodes, found = linked(docs, settings)
     held = nodes.join(components(found), "id", "left").withColumn("_class", F.coalesce("root", "id"))
     best = held.groupBy("_class").agg(F.min(F.struct("text_id", "_k")).alias("_x")).select(F.col("_x.text_id").alias("doc_id"), "_x._k")
-    kept = docs.withColumn("_k", text_key()).join(best, ["doc_id", "_k"], "left_semi").dropDuplicates(["doc_id", "_k"])
-    return kept.drop("_k").unionByName(docs.where("doc_id is null"))
+    return docs.withColumn("_k", text_key()).join(best, ["doc_id", "_k"], "left_semi").dropDuplicates(["doc_id", "_k"]).select("_row.*")
