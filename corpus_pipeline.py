@@ -1,7 +1,7 @@
 """From raw documents to sharded training data, in stages that each read what the one before has written.
 
 Defined results: a null text has no words and goes in the first stage; rows without a doc_id take part in
-everything but near-duplicates and decontamination, which leave them in; an empty table gives an empty
+everything, among copies after all others; an empty table gives an empty
 table; columns beyond doc_id, text and source are carried and never read, whatever their names, but for
 size, text_crc32, shard and slot, which the last stage sets.
 """
