@@ -1,7 +1,7 @@
 """A workspace of papers: named questions over evidence tables in one folder.
 
 Every question gives a DataFrame; single lookups raise KeyError for an unknown
-id.  Papers are partitions, replaced whole; reading state is an append-only log.
+id.  Papers are replaced whole, in one commit over all tables; reading state is an append-only log.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from .functions import scalar
 from .operators import extract, graph, relational, report, state
 from .session import reach_workers
 from .sources import archive, store
+from .sources.snapshots import Snapshots
 
 LOG = "session_id string, target_kind string, target_id string, status string, note string, at timestamp, seq bigint"
 QUEUE = "queue_id string, section int, ord int, target_kind string, target_id string"
@@ -24,8 +25,8 @@ QUEUE = "queue_id string, section int, ord int, target_kind string, target_id st
 class Workspace:
     def __init__(self, spark: SparkSession, folder: str):
         reach_workers(spark)
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.snapshots = Snapshots(spark, f"{self.folder}/papers")
 
     # papers
 
@@ -34,14 +35,14 @@ class Workspace:
         docs = extract.documents(projects).persist()
         store.check_unique(docs, ["paper_id"], "papers")
         store.check_unique(extract.results(docs), ["paper_id", "local_id"], "results")
-        store.replace_papers(docs, f"{self.folder}/documents")
+        self.snapshots.commit({"documents": docs}, docs)
         docs.unpersist()
 
     def add_evidence(self, docs: DataFrame) -> None:
         """Replace papers by evidence documents that were extracted elsewhere; bad ones change nothing."""
         docs = docs.select(*extract.documents(self.spark.createDataFrame([], "paper_id string, main string, files map<string,string>")).columns).persist()
         store.check_evidence(docs)
-        store.replace_papers(docs, f"{self.folder}/documents")
+        self.snapshots.commit({"documents": docs}, docs)
         docs.unpersist()
 
     def add_files(self, paper_id: str, files: dict[str, str], main: str | None = None) -> None:
@@ -57,7 +58,7 @@ class Workspace:
 
     @property
     def documents(self) -> DataFrame:
-        return self.spark.read.schema(extract.DOCUMENT).parquet(f"{self.folder}/documents")
+        return self.snapshots.read("documents", extract.DOCUMENT)
 
     def _paper(self, paper_id: str) -> DataFrame:
         one = self.documents.where(F.col("paper_id") == paper_id)

@@ -7,12 +7,15 @@ import unicodedata
 from urllib.parse import unquote, urlsplit
 
 _ARXIV = re.compile(r"(?i)(\d{4}\.\d{4,5}|[a-z][a-z0-9.-]*/\d{7})(v[1-9]\d*)?")
-_PAIRS = {"<": ">", "[": "]", '"': '"', "(": ")"}
+#: What an identifier may be wrapped in (fixed values).
+_WRAPPED = re.compile(r'<(.*)>|\[(.*)\]|"(.*)"|\((.*)\)', re.DOTALL)
+_BLANKS = re.compile(r"\s+")
 
 
 def folded(text: str | None) -> str:
     """Compatibility form, case folded, white space collapsed."""
-    return " ".join(unicodedata.normalize("NFKC", str(text or "")).casefold().split())
+    form = unicodedata.normalize("NFKC", text or "")
+    return _BLANKS.sub(" ", form.casefold()).strip()
 
 
 def arxiv(text: str | None) -> tuple[str | None, str | None]:
@@ -64,8 +67,8 @@ PARSERS = {"arxiv": _arxiv, "doi": _doi}
 def identifier(value: str | None, kind: str, version: str | None = None) -> dict:
     """canonical, identity, version, valid, exact_eligible and warnings of a DOI or arXiv identifier (keys and words: fixed values)."""
     text = (value or "").strip()
-    while len(text) > 1 and text[-1] == _PAIRS.get(text[0]):
-        text = text[1:-1].strip()
+    while wrapped := _WRAPPED.fullmatch(text):
+        text = wrapped[wrapped.lastindex].strip()
     canonical, own, doubts = PARSERS[kind](text, version)
     warnings = sorted({*_address(text)[2], *doubts, *([] if canonical else ["invalid_identifier"])})
     return {"kind": kind, "raw": value, "canonical": canonical, "identity": canonical and f"{kind}:{canonical}", "version": own, "valid": canonical is not None,

@@ -1,13 +1,12 @@
 """Evidence from page blocks of born-digital documents.
 
 blocks: paper_id, source_ref, page, block_index, x0, y0, x1, y1, text.  Reading
-order, headings and bibliography are column expressions; only the forward scan
-for a statement's continuation runs as a grouped pass per paper.
+order, headings, statements and bibliography are column expressions; a statement's
+continuation looks at a bounded window of the blocks behind its heading.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +16,8 @@ from ..functions import scalar
 KINDS = "Theorem|Lemma|Proposition|Corollary|Definition|Claim|Conjecture|Example|Remark"
 HEADING = rf"(?i)^({KINDS})\s+([A-Za-z]?(?:\d+(?:\.\d+)*|[A-Z])?)(.*)$"
 PROOF = r"(?i)^Proof(?:\s*[.:]|\s*$|\s+of\b)"
-CONTINUES = r"^(?:Then\b|Moreover\b|Furthermore\b|In particular\b|where\b|such that\b|\([0-9]+\))"
+#: Words that carry a statement on behind a full stop (fixed values).
+CONTINUE_WORDS = ("Then", "Moreover", "Furthermore", "In particular", "where", "such that")
 
 
 def in_order(blocks: DataFrame) -> DataFrame:
@@ -37,39 +37,62 @@ def _heading(flat: Column, text: Column) -> Column:
     return flat.rlike(HEADING) & (rest.rlike(r"^[.:(]") | alone)
 
 
+def _carries_on(flat: Column) -> Column:
+    """A word that continues, as a whole word, or a number in brackets."""
+    said = [flat.startswith(w) & ~F.substring(flat, len(w) + 1, 1).rlike(r"\w") for w in CONTINUE_WORDS]
+    number = F.substring_index(F.substring(flat, 2, 1_000_000), ")", 1)
+    out = flat.startswith("(") & flat.contains(")") & number.rlike("^[0-9]+$")
+    for one in said:
+        out = out | one
+    return out
+
+
+def _section(flat: Column) -> Column:
+    """A number of parts joined by dots, then a word with a capital."""
+    words = F.split(flat, " ")
+    parts = F.split(F.regexp_replace(F.get(words, F.lit(0)), "[.]$", ""), "[.]")
+    return F.forall(parts, lambda x: x.rlike("^[0-9]+$")) & F.coalesce(F.get(words, F.lit(1)).rlike("^[A-Z]"), F.lit(False))
+
+
+def _nothing_said(rest: Column) -> Column:
+    """Behind the number at most a title in brackets and one stop: the statement itself stands in the next block."""
+    rest = F.trim(rest)
+    behind = F.when(rest.startswith("("), F.when(rest.contains(")"), F.trim(F.substring(rest, F.locate(")", rest) + 1, F.length(rest))))).otherwise(rest)
+    return F.coalesce(behind.isin("", ".", ":"), F.lit(False))
+
+
 def statements(blocks: DataFrame, gap: float = 36.0, most: int = 7, longest: int = 12_000) -> DataFrame:
-    """paper_id, local_id, kind, visible_number, statement, positions."""
-    rows = in_order(blocks).where("not back").withColumns({
-        "is_head": _heading(F.col("flat"), F.col("text")), "is_stop": F.col("flat").rlike(PROOF) | F.col("flat").rlike(HEADING) | F.col("flat").rlike(r"^\d+(?:\.\d+)*\.?\s+[A-Z]"),
-        "goes_on": F.col("flat").rlike(CONTINUES), "kind": F.lower(F.regexp_extract("flat", HEADING, 1)), "number": F.nullif(F.regexp_extract("flat", HEADING, 2), F.lit("")),
-        "bare": F.regexp_extract("flat", HEADING, 3).rlike(r"^\s*(?:\([^)]*\)\s*)?[.:]?\s*$"),
-    })
-
-    def per_paper(part: pd.DataFrame) -> pd.DataFrame:
-        b = part.sort_values("position").reset_index(drop=True)
-        out, used = [], {}
-        for i in b.index[b["is_head"].to_numpy(dtype=bool)]:
-            taken, bare, size = [i], bool(b.at[i, "bare"]), len(b.at[i, "text"])
-            for j in range(i + 1, min(len(b), i + most + 1)):
-                last = taken[-1]
-                if b.at[j, "page"] > b.at[i, "page"] + 1:
-                    break
-                if b.at[j, "block_index"] == 0 and (b.at[j, "flat"].isupper() or b.at[j, "flat"] == str(b.at[j, "page"])):
-                    continue  # a running head
-                far = b.at[j, "page"] == b.at[last, "page"] and (b.at[j, "y0"] - b.at[last, "y1"] > gap or b.at[j, "x0"] > b.at[last, "x1"] or b.at[j, "x1"] < b.at[last, "x0"])
-                closed = not bare and b.at[last, "flat"].endswith((".", "!", "?")) and not b.at[j, "goes_on"]
-                size += len(b.at[j, "text"])
-                if b.at[j, "is_stop"] or far or closed or size > longest:
-                    break
-                taken.append(j)
-                bare = False
-            number = b.at[i, "number"] if isinstance(b.at[i, "number"], str) else None
-            base = f"pdf:{b.at[i, 'kind']}:{(number or str(len(out) + 1)).lower()}"
-            used[base] = used.get(base, 0) + 1
-            out.append((b.at[i, "paper_id"], base if used[base] == 1 else f"{base}:{used[base]}", b.at[i, "kind"], number, "\n".join(b.at[k, "flat"] for k in taken), [int(b.at[k, "position"]) for k in taken]))
-        return pd.DataFrame(out, columns=["paper_id", "local_id", "kind", "visible_number", "statement", "positions"])
-
-    return rows.groupBy("paper_id").applyInPandas(per_paper, "paper_id string, local_id string, kind string, visible_number string, statement string, positions array<int>")
+    """paper_id, local_id, kind, visible_number, statement, positions.
+
+    Every heading sees the blocks behind it as an array; running heads fall out, each block is held against the one
+    before, and the statement ends at the first that does not belong to it.
+    """
+    flat, number = F.col("flat"), F.regexp_extract("flat", HEADING, 2)
+    capitals = (F.upper(flat) == flat) & (F.lower(flat) != flat)
+    rows = in_order(blocks).where("not back").withColumn("b", F.struct(
+        "position", "page", "x0", "x1", "y0", "y1", "flat", F.length(F.coalesce("text", F.lit(""))).alias("n"),
+        ((F.col("block_index") == 0) & (capitals | (flat == F.col("page").cast("string")))).alias("running"),
+        (flat.rlike(PROOF) | flat.rlike(HEADING) | _section(flat)).alias("stops"), _carries_on(flat).alias("more"), flat.rlike(r"[.!?]$").alias("ended"),
+    ))
+    order = Window.partitionBy("paper_id").orderBy("position")
+    rows = rows.withColumn("behind", F.collect_list("b").over(order.rowsBetween(1, most))).where(_heading(flat, F.col("text")))
+    rows = rows.withColumns({"chain": F.concat(F.array("b"), F.filter("behind", lambda x: ~x["running"])), "bare": _nothing_said(F.regexp_extract("flat", HEADING, 3))})
+
+    def breaks(k: Column) -> Column:
+        last, now = F.get("chain", k - 1), F.get("chain", k)
+        away = (now["page"] == last["page"]) & ((now["y0"] - last["y1"] > gap) | (now["x0"] > last["x1"]) | (now["x1"] < last["x0"]))
+        closed = ~(F.col("bare") & (k == 1)) & last["ended"] & ~now["more"]
+        size = F.aggregate(F.slice("chain", F.lit(1), k + 1), F.lit(0), lambda total, x: total + x["n"])
+        return F.coalesce((now["page"] > F.col("b.page") + 1) | now["stops"] | away | closed | (size > longest), F.lit(False))
+
+    size = F.size("chain")
+    cut = F.when(size > 1, F.array_position(F.transform(F.sequence(F.lit(1), size - 1), breaks), True)).otherwise(0).cast("int")
+    taken = F.slice("chain", F.lit(1), F.when(cut > 0, cut).otherwise(size))
+    rows = rows.select("paper_id", "position", F.lower(F.regexp_extract("flat", HEADING, 1)).alias("kind"), F.nullif(number, F.lit("")).alias("visible_number"), taken.alias("taken"), F.row_number().over(order).alias("_at"))
+    rows = rows.withColumn("_base", F.concat(F.lit("pdf:"), "kind", F.lit(":"), F.lower(F.coalesce("visible_number", F.col("_at").cast("string")))))
+    again = F.row_number().over(Window.partitionBy("paper_id", "_base").orderBy("position"))
+    rows = rows.withColumn("local_id", F.when(again == 1, F.col("_base")).otherwise(F.concat("_base", F.lit(":"), again.cast("string"))))
+    return rows.select("paper_id", "local_id", "kind", "visible_number", F.array_join(F.transform("taken", lambda x: x["flat"]), "\n").alias("statement"), F.transform("taken", lambda x: x["position"]).alias("positions"))
 
 
 #: Kinds that a proof's heading names (fixed values), and arXiv identifiers as words.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from . import relational
 
 #: References discovered in one step, and seconds of a lease and between renewals (fixed values).
 PAGE, LEASE, RENEW = 25, 120, 10
@@ -46,16 +47,26 @@ def staleness(stored: DataFrame, now: DataFrame, key: str) -> DataFrame:
 
 
 def leases(log: DataFrame, seconds: int = LEASE) -> DataFrame:
-    """run_id, holder, token, expires of the newest grant.  log: run_id, holder, token, at of grants and renewals."""
+    """run_id, holder, token, expires of the lease that stands at the end of the log: run_id, holder, token, at of grants and renewals."""
     last = log.groupBy("run_id").agg(F.max(F.struct("token", "at", "holder")).alias("x"))
     return last.select("run_id", "x.holder", "x.token", (F.col("x.at") + F.expr(f"interval {seconds} seconds")).alias("expires"))
 
 
 def fenced(writes: DataFrame, log: DataFrame, seconds: int = LEASE) -> DataFrame:
-    """writes(run_id, token, at, ...) with accepted: by the holder of the newest lease, before it ends."""
-    held = leases(log, seconds).select("run_id", F.col("token").alias("_token"), "expires")
-    rows = writes.join(held, "run_id", "left")
-    return rows.withColumn("accepted", F.coalesce((F.col("token") == F.col("_token")) & (F.col("at") < F.col("expires")), F.lit(False))).drop("_token", "expires")
+    """writes(run_id, holder, token, at, ...) with accepted: made by the holder of the lease that stood at that time.
+
+    A grant has a higher token than those before, so it ends them from its time on; a renewal moves the end of its own
+    lease, and one with an older token moves nothing.  A lease ends `seconds` after its last grant or renewal, that
+    moment excluded.  Each write meets the greatest (token, at) up to its time.
+    """
+    lease = F.struct("token", "at", "holder")
+    given = log.select("run_id", "at", lease.alias("_lease"))
+    asked = writes.select("run_id", "at", F.struct(*writes.columns).alias("_write"))
+    rows = relational.running_max(given.unionByName(asked, allowMissingColumns=True), ["run_id"], "at", "_lease").where("_write is not null")
+    held, own = (lambda c: F.col(f"running.{c}")), (lambda c: F.col(f"_write.{c}"))
+    alive = own("at") < held("at") + F.expr(f"interval {seconds} seconds")
+    accepted = (own("token") == held("token")) & (own("holder") == held("holder")) & alive
+    return rows.select("_write.*", F.coalesce(accepted, F.lit(False)).alias("accepted"))
 
 
 def reconciled(attempts: DataFrame, markers: DataFrame, papers: DataFrame) -> DataFrame:

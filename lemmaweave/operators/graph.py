@@ -1,8 +1,9 @@
 """Graph operators: reach, depths, components, cycles and reading orders.
 
-Edges are rows.  Fixpoints run as joins by key with a checkpoint per round; what
-needs a fixed order inside one paper (depth-first orders, cycle witnesses) runs
-in one grouped-map pass per paper.
+Edges are rows.  Fixpoints run as joins by key with a checkpoint per round, also the
+strongly connected components and the reach of graphs that span papers; what needs a
+fixed order inside one paper (depth-first orders, cycle witnesses) runs in one
+grouped-map pass per paper.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from ..session import checkpointed
 def reach_in_tree(parents: DataFrame, starts: DataFrame) -> DataFrame:
     """src, dst, depth of all ancestors.  parents(src, dst) has one row a node.
 
-    The reach of every node doubles each round, so a chain of n nodes takes log n joins.
+    The reach of every node doubles each round, so a chain of n nodes takes log n joins.  Parents that lead
+    back to a node are an error: reach() takes such graphs.
     """
+    most = parents.count()
     hop = parents.select("src", "dst", F.lit(1).cast("long").alias("depth"))
     found = starts.join(hop, "src")
     jump, known = hop, -1
@@ -30,6 +33,8 @@ def reach_in_tree(parents: DataFrame, starts: DataFrame) -> DataFrame:
         if size == known:
             return found
         found, known = grown, size
+        if (found.agg(F.max("depth")).first()[0] or 0) > most:
+            raise ValueError("the parents form a cycle")
         jump = checkpointed(jump.join(far, "dst").select("src", F.col("_far").alias("dst"), (F.col("depth") + F.col("_d")).alias("depth")))
 
 
@@ -59,6 +64,132 @@ def components(links: DataFrame) -> DataFrame:
         label = new
 
 
+def _least_reached(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, low: the least rank of the nodes(id, rank) that edges(u, v) lead to from each, its own included.  rank: a struct with id.
+
+    A node takes the least label behind its edges and then the label of its label, so a path of n edges
+    needs about log n rounds where labels fall along it.
+    """
+    label = nodes.select("id", F.col("rank").alias("low"))
+    while True:
+        near = edges.join(label.select(F.col("id").alias("v"), "low"), "v").groupBy(F.col("u").alias("id")).agg(F.min("low").alias("_near"))
+        new = label.join(near, "id", "left").select("id", F.col("low").alias("_old"), F.least("low", "_near").alias("low"))
+        jump = new.select(F.col("id").alias("_at"), F.col("low").alias("_next"))
+        new = checkpointed(new.withColumn("_at", F.col("low.id")).join(jump, "_at").select("id", "_old", F.col("_next").alias("low")))
+        if new.where("low <> _old").isEmpty():
+            return new.select("id", "low")
+        label = new.drop("_old")
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).distinct()
+
+
+def _trimmed(edges: DataFrame, rounds: int) -> DataFrame:
+    """Without edges to nodes that nothing leaves, or from nodes that nothing enters: they lie on no cycle."""
+    edges = checkpointed(edges)
+    for _ in range(rounds):
+        leaving, entered = edges.select(F.col("u").alias("v")).distinct(), edges.select(F.col("v").alias("u")).distinct()
+        edges = checkpointed(edges.join(leaving, "v", "left_semi").join(entered, "u", "left_semi").select("u", "v"))
+    return edges
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, comp (smallest node of its strongly connected component) of all nodes of edges(src, dst).
+
+    Forward and backward colouring: nodes that lead to the same least node r have its colour; those of a colour
+    that r leads to as well are its component.  Least by a hash that is new in every round, so that r lies in a
+    large component as likely as its size.  What is left is trimmed and goes on with the edges inside one pair of
+    colours.  All steps are joins and aggregations by node over all graphs at once, so a component may span any
+    number of papers and tasks.
+    """
+    live = checkpointed(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("src is not null and dst is not null").distinct())
+    nodes, turn, parts = checkpointed(_ends(live)), 0, []
+    live = _trimmed(live.where("u <> v"), 2)
+    while not live.isEmpty():
+        turn += 1
+        ids = checkpointed(_ends(live).withColumn("rank", F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id")))
+        at = lambda labels, end, name: labels.select(F.col("id").alias(end), F.col("low").alias(name))
+        ahead = _least_reached(live, ids)
+        same = checkpointed(live.join(at(ahead, "u", "_a"), "u").join(at(ahead, "v", "_b"), "v").where("_a = _b").select("u", "v", F.col("_a").alias("colour")))
+        behind = _least_reached(same.select(F.col("v").alias("u"), F.col("u").alias("v")), ids)
+        found = ahead.join(behind.select("id", F.col("low").alias("_g")), "id").where("low = _g")
+        parts.append(checkpointed(found.select("id", F.col("low.id").alias("root"))))
+        rest = same.join(at(behind, "u", "_a"), "u").join(at(behind, "v", "_b"), "v").where("_a = _b and _a <> colour").select("u", "v")
+        live = _trimmed(rest, 2)
+    comps = nodes.select("id", F.col("id").alias("root")).limit(0)
+    for part in parts:
+        comps = comps.unionByName(part)
+    names = comps.groupBy("root").agg(F.min("id").alias("comp"))
+    return nodes.join(comps.join(names, "root").select("id", "comp"), "id", "left").select(F.col("id").alias("node"), F.coalesce("comp", "id").alias("comp"))
+
+
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
+    """node, comp of the nodes that lie on a cycle of edges(src, dst), a loop included."""
+    return cyclic_nodes_of(edges, checkpointed(strong_components(edges)))
+
+
+def cyclic_nodes_of(edges: DataFrame, comps: DataFrame) -> DataFrame:
+    """node, comp of cyclic nodes, with the components known."""
+    large = comps.groupBy("comp").agg(F.count("*").alias("_n")).where("_n > 1").select("comp")
+    loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
+    alone = comps.join(loops, "node", "left_semi").join(large, "comp", "left_anti").select("node", "comp")
+    return comps.join(large, "comp", "left_semi").select("node", "comp").unionByName(alone)
+
+
+def condensed(edges: DataFrame, comps: DataFrame) -> DataFrame:
+    """src, dst between different components: a graph without cycles."""
+    end = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"_{c}"))
+    both = edges.join(end("src"), "src").join(end("dst"), "dst").where("_src <> _dst")
+    return both.select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct()
+
+
+def closure(dag: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """src, dst: all nodes that each start(src), or every node, leads to over edges without cycles.
+
+    The reach of every edge doubles each round, so paths of n edges take log n rounds.
+    """
+    jump = checkpointed(dag.select("src", "dst").distinct())
+    found, known = (jump if starts is None else jump.join(starts.select("src").distinct(), "src", "left_semi")), -1
+    while True:
+        far = jump.select(F.col("src").alias("dst"), F.col("dst").alias("_far"))
+        grown = lambda pairs: checkpointed(pairs.unionByName(pairs.join(far, "dst").select("src", F.col("_far").alias("dst"))).distinct())
+        found, size = grown(found), known
+        known = found.count()
+        if known == size:
+            return found
+        jump = found if starts is None else grown(jump)
+
+
+def _reach_of_components(edges: DataFrame, starts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(node, comp of all nodes; src, dst of the components that lead to each other, a cyclic one to itself too)."""
+    edges = checkpointed(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    comps = checkpointed(strong_components(edges))
+    own = cyclic_nodes_of(edges, comps).select(F.col("comp").alias("src"), F.col("comp").alias("dst")).distinct()
+    if starts is None:
+        return comps, closure(condensed(edges, comps)).unionByName(own)
+    asked = comps.join(starts.select("node").distinct(), "node", "left_semi").select(F.col("comp").alias("src")).distinct()
+    return comps, closure(condensed(edges, comps), asked).unionByName(own.join(asked, "src", "left_semi"))
+
+
+def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """src, dst: every node that a start(node) leads to over edges(src, dst), itself only over a cycle.
+
+    Paths are followed between components, and their members joined last: a cycle costs no rounds.
+    """
+    comps, pairs = _reach_of_components(edges, starts)
+    first = starts.select("node").distinct().join(comps, "node").select(F.col("node").alias("start"), F.col("comp").alias("src"))
+    return first.join(pairs, "src").join(comps.select(F.col("comp").alias("dst"), "node"), "dst").select(F.col("start").alias("src"), F.col("node").alias("dst"))
+
+
+def reach_counts(edges: DataFrame) -> DataFrame:
+    """node, n_reached of all nodes: sums over components, the pairs of nodes are never made."""
+    comps, pairs = _reach_of_components(edges, None)
+    size = comps.groupBy("comp").agg(F.count("*").alias("_n"))
+    total = pairs.join(size.withColumnRenamed("comp", "dst"), "dst").groupBy("src").agg(F.sum("_n").alias("n_reached"))
+    return comps.join(total.withColumnRenamed("src", "comp"), "comp", "left").select("node", F.coalesce("n_reached", F.lit(0)).alias("n_reached"))
+
+
 def _adjacency(rows: pd.DataFrame) -> dict[str, list[str]]:
     if "ord" in rows:
         rows = rows.sort_values("ord", kind="stable")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def page(df: DataFrame, order: Sequence, limit: int, offset: int = 0) -> DataFrame:
     """Offset pagination on a total order; limits are 1 to 100."""
@@ -113,3 +115,40 @@ def chain(rows: DataFrame, steps: Sequence[tuple[DataFrame, str, str]]) -> DataF
     for table, child, parent in steps:
         rows = rows.join(table, rows[child] == table[parent])
     return rows
+
+
+def ranked(rows: DataFrame, key: str) -> DataFrame:
+    """Adds rank, from 1, in the order of a unique key: ranges are sorted each by itself and begin behind those before."""
+    dealt = checkpointed(rows.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return dealt.join(F.broadcast(before), "_part").withColumn("rank", own + F.col("_before")).drop("_part", "_before")
+
+
+def running_max(rows: DataFrame, keys: list[str], time: str, value: str, span: str = "hour") -> DataFrame:
+    """Adds running: the greatest non-null value of all rows of the keys up to this one's time, equal times included.
+
+    Spans of time are taken each by itself and begin with the greatest value before them, so a key with very many
+    rows is not sorted in one task.
+    """
+    rows = rows.withColumn("_bucket", F.coalesce(F.date_trunc(span, time).cast("string"), F.lit("")))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(time).rangeBetween(Window.unboundedPreceding, 0)
+    sums = rows.groupBy(*keys, "_bucket").agg(F.max(value).alias("_max"))
+    ahead = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*keys, "_bucket", F.max("_max").over(ahead).alias("_before"))
+    found = rows.withColumn("_inside", F.max(value).over(inside)).join(before, [*keys, "_bucket"], "left")
+    return found.withColumn("running", F.greatest("_before", "_inside")).drop("_bucket", "_before", "_inside")
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], width: int = 4096) -> DataFrame:
+    """Pairs of left(start, end) and right(seg_start, seg_end) with equal keys and a common stretch; ends are exclusive.
+
+    Both are cut into bins of a width and meet by keys and bin; a pair counts in the first bin they share.  So a long
+    source is dealt by its bins, and spans meet only what is near them.
+    """
+    bins = lambda lo, hi: F.sequence(F.floor(F.col(lo) / width), F.floor((F.greatest(F.col(hi) - 1, F.col(lo))) / width))
+    a = left.withColumn("_bin", F.explode(bins("start", "end")))
+    b = right.withColumn("_bin", F.explode(bins("seg_start", "seg_end")))
+    first = F.floor(F.greatest("start", "seg_start") / width)
+    return a.join(b, [*keys, "_bin"]).where((F.col("_bin") == first) & (F.greatest("start", "seg_start") < F.least("end", "seg_end"))).drop("_bin")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import relational
+
 SPAN = ("paper_id", "kind", "evidence_id", "start", "end")
 
 
@@ -29,10 +31,10 @@ def segments(docs: DataFrame) -> DataFrame:
 def fragments(spans: DataFrame, parts: DataFrame) -> DataFrame:
     """paper_id, kind, evidence_id, ord, path, file_start, file_end, coverage (complete or gap).
 
-    An interval-overlap join inside a paper; a span that its parts do not cover wholly is a gap, not a guess.
+    An interval join by bins of the merged text; a span that its parts do not cover wholly is a gap, not a guess.
     """
     lo, hi = F.greatest("start", "seg_start"), F.least("end", "seg_end")
-    rows = spans.join(parts, "paper_id").where(lo < hi).select(*SPAN, "path", (F.col("at") + lo - F.col("seg_start")).alias("file_start"), (F.col("at") + hi - F.col("seg_start")).alias("file_end"), lo.alias("_lo"))
+    rows = relational.overlapping(spans, parts, ["paper_id"]).select(*SPAN, "path", (F.col("at") + lo - F.col("seg_start")).alias("file_start"), (F.col("at") + hi - F.col("seg_start")).alias("file_end"), lo.alias("_lo"))
     whole = rows.groupBy(*SPAN).agg(F.sum(F.col("file_end") - F.col("file_start")).alias("_n"), F.array_sort(F.collect_list(F.struct("_lo", "path", "file_start", "file_end"))).alias("_f"))
     whole = spans.join(whole, list(SPAN), "left").withColumn("coverage", F.when(F.col("_n") == F.col("end") - F.col("start"), "complete").otherwise("gap"))
     return whole.select("paper_id", "kind", "evidence_id", "coverage", F.posexplode_outer("_f").alias("ord", "_p")).select("paper_id", "kind", "evidence_id", "ord", "_p.path", "_p.file_start", "_p.file_end", "coverage")

@@ -280,10 +280,26 @@ def recursive_reachability(t: Tables) -> DataFrame:
     return graph.reach_in_tree(parents, t.part.select(F.col("p_partkey").alias("src")))
 
 
-@query("""WITH RECURSIVE n AS (SELECT n_nationkey AS k, (7 * n_nationkey + 3) % 25 AS d FROM nation), r AS (SELECT k, d FROM n UNION SELECT r.k, n.d FROM r JOIN n ON r.d = n.k) SELECT CAST(k AS BIGINT) AS node FROM r WHERE k = d""")
+#: From the customer of an urgent order to that of the next one, in the order of keys: one walk that crosses itself.
+_WALK = "w AS (SELECT o_custkey AS src, lead(o_custkey) OVER (ORDER BY o_orderkey) AS dst FROM orders WHERE o_orderpriority = '1-URGENT'), e AS (SELECT DISTINCT src, dst FROM w WHERE dst IS NOT NULL AND (src + dst) % 3 > 0)"
+
+
+def urgent_walk(t: Tables) -> DataFrame:
+    """src, dst of a graph with cycles over all customers.  The next order is found by its rank, which range partitions give in parts."""
+    urgent = t.orders.where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
+    ranked = relational.ranked(urgent, "o_orderkey")
+    following = ranked.select((F.col("rank") - 1).alias("rank"), F.col("o_custkey").alias("dst"))
+    return ranked.join(following, "rank").select(F.col("o_custkey").alias("src"), "dst").where("(src + dst) % 3 > 0").distinct()
+
+
+@query(f"WITH RECURSIVE {_WALK}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT DISTINCT src AS node FROM r WHERE src = dst")
 def cycle_members(t: Tables) -> DataFrame:
-    nodes = t.nation.select(F.lit("p").alias("paper_id"), F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("dst"))
-    return graph.on_cycles(nodes).select(F.col("node").cast("long").alias("node"))
+    return graph.cyclic_nodes(urgent_walk(t)).select("node")
+
+
+@query(f"WITH RECURSIVE {_WALK}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), m AS (SELECT a.src AS node, least(a.src, min(a.dst)) AS comp FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src) SELECT node, coalesce(comp, node) AS comp FROM n LEFT JOIN m USING (node)")
+def strong_components(t: Tables) -> DataFrame:
+    return graph.strong_components(urgent_walk(t))
 
 
 @query("SELECT l_orderkey, c_name, n_name, r_name, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")

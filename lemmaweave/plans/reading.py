@@ -196,12 +196,24 @@ def stale_sources(t: Tables) -> DataFrame:
     return expansion.staleness(prints(lines), prints(now), "o_orderkey")
 
 
-@query("SELECT event_id, e.value = m.token AS accepted FROM events e JOIN (SELECT user_id, max(value) AS token FROM events GROUP BY user_id) m USING (user_id)")
+_LEASES = """n AS (SELECT event_id, user_id AS run_id, ts AS tm, value, event_type, CAST(sum(CASE WHEN value < 40 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS n FROM events),
+g AS (SELECT run_id, tm, CASE WHEN value < 40 THEN n ELSE n - event_id % 2 END AS token FROM n WHERE value < 40 OR event_type = 'error'),
+w AS (SELECT event_id, run_id, tm, CASE WHEN event_id % 5 = 0 THEN n + 1 WHEN event_id % 3 = 0 THEN n - 1 ELSE n END AS token, event_id % 7 = 0 AS other FROM n WHERE value >= 40)"""
+
+
+@query(f"WITH {_LEASES}, l AS (SELECT event_id, arg_max(g.token, (g.token, g.tm)) AS token, arg_max(g.tm, (g.token, g.tm)) AS tm FROM w JOIN g ON g.run_id = w.run_id AND g.tm <= w.tm GROUP BY event_id) SELECT event_id, coalesce(w.token = l.token AND NOT other AND w.tm < l.tm + INTERVAL 12 HOUR, false) AS accepted FROM w LEFT JOIN l USING (event_id)")
 def fenced_writes(t: Tables) -> DataFrame:
-    """Events as grants and as writes a second later: only those of the newest grant of their run go through."""
-    log = t.events.select(F.col("user_id").alias("run_id"), F.lit("h").alias("holder"), F.col("value").alias("token"), F.col("ts").alias("at"))
-    writes = t.events.select(F.col("user_id").alias("run_id"), "event_id", F.col("value").alias("token"), F.col("ts").alias("at"))
-    return expansion.fenced(writes, log).select("event_id", "accepted")
+    """Cheap events grant a run to one of two holders in turn, errors renew it or, too late, the lease before; the others write:
+    most under the lease of their time, some under the last or the next one, some as another holder."""
+    so_far = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    grant = F.col("value") < 40
+    rows = t.events.select("event_id", F.col("user_id").alias("run_id"), F.col("ts").alias("at"), grant.alias("grant"), "event_type", F.sum(grant.cast("long")).over(so_far).alias("n"))
+    holder = lambda token: F.concat(F.lit("h"), (token % 2).cast("string"))
+    token = F.when(F.col("grant"), F.col("n")).otherwise(F.col("n") - F.col("event_id") % 2)
+    log = rows.where("grant or event_type = 'error'").select("run_id", "at", token.alias("token"), holder(token).alias("holder"))
+    token = F.when(F.col("event_id") % 5 == 0, F.col("n") + 1).when(F.col("event_id") % 3 == 0, F.col("n") - 1).otherwise(F.col("n"))
+    writes = rows.where("not grant").select("event_id", "run_id", "at", token.alias("token"), F.when(F.col("event_id") % 7 == 0, "x").otherwise(holder(token)).alias("holder"))
+    return expansion.fenced(writes, log, seconds=12 * 3600).select("event_id", "accepted")
 
 
 @query("SELECT o_custkey AS run_id, o_orderkey AS attempt_id, CASE WHEN o_orderstatus <> 'F' THEN 'retry' WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) THEN 'committed' ELSE 'lost' END AS outcome FROM orders")

@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import extract
-from ..sources.store import latest, replace_papers
+from ..sources.snapshots import Snapshots
+from ..sources.store import latest
 
 
 def ingest(projects: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Extract each arriving project and replace its partitions; a replayed batch writes the same rows.
+    """Extract each arriving project and replace its papers in documents, results and citations, in one commit a batch.
 
-    The table documents comes first and holds all of a paper in one row; results and citations follow from
-    it.  A run that fails in between leaves its batch unfinished, and the replay writes all three again.
+    The tables are read through Snapshots(spark, out).  A run that fails in between has committed nothing; a batch that
+    is replayed after its commit is known by its label and changes nothing.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         docs = extract.documents(latest(batch)).persist()
-        for rows, name in ((docs, "documents"), (extract.results(docs), "results"), (extract.citation_records(docs), "citations")):
-            replace_papers(rows, f"{out}/{name}", docs)
+        tables = {"documents": docs, "results": extract.results(docs), "citations": extract.citation_records(docs)}
+        Snapshots(docs.sparkSession, out).commit(tables, docs, label=f"{checkpoint}#{number}")
         docs.unpersist()
 
     return projects.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

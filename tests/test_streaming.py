@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lemmaweave.sources.snapshots import Snapshots
 from lemmaweave.streaming import ingest
 
 SCHEMA = "paper_id string, main string, files map<string,string>"
@@ -19,9 +20,10 @@ def test_ingest(spark, tmp_path):
         ingest.ingest(stream, out, str(tmp_path / "state")).awaitTermination(120)
     arrive(2, text + text.replace("{l}", "{m}"))
     ingest.ingest(spark.readStream.schema(SCHEMA).parquet(source), out, str(tmp_path / "state")).awaitTermination(120)
-    rows = spark.read.parquet(f"{out}/results").groupBy("paper_id").agg(F.count("*").alias("n")).collect()
+    tables = Snapshots(spark, out)
+    rows = tables.read("results", "paper_id string, local_id string").groupBy("paper_id").agg(F.count("*").alias("n")).collect()
     assert {r.paper_id: r.n for r in rows} == {"local:1": 1, "local:2": 2}
-    assert spark.read.parquet(f"{out}/citations").count() == 3
+    assert tables.read("citations", "paper_id string").count() == 3 and tables.version() == 2
 
 
 def test_activity(spark):
