@@ -608,5 +608,19 @@ def test_empty_tables(empty):
     assert quality_ledger.ledger(empty).count() == 0
 
 
+#: Columns that the queries promise, in any order; more may follow.
+CONTRACT = {
+    "op2_url_reputation": "page_id host path rule verdict",
+    "op3_quality_ledger": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op5_chat_prefix": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
+    "op9_flow_resharding": "doc_id size text_crc32 law shard slot grown_shard",
+    "op11_block_max_search": "item_id rank doc_id score",
+    "op12_hnsw_search": "query_id rank vec_id score",
+    "op13_vector_codes": "vec_id code error label_error codebooks_sha256",
+}
+
+
 def test_queries_have_contract_columns(spark):
-    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
+    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
+    for name, columns in CONTRACT.items():
+        assert set(columns.split()) <= set(queries.QUERIES[name](spark, "/root/testdata/sf0.001").columns), name
