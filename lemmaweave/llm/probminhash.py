@@ -322,4 +322,5 @@ def deduplicated(docs: DataFrame, settings: NearDup = NearDup()) -> DataFrame:
     _, nodes, found = linked(docs, settings)
     held = nodes.join(components(found), "id", "left").withColumn("_class", F.coalesce("root", "id"))
     best = held.groupBy("_class").agg(F.min(F.struct("text_id", "_k")).alias("_x")).select(F.col("_x.text_id").alias("doc_id"), "_x._k")
-    return docs.withColumn("_k", text_key()).join(best, ["doc_id", "_k"], "left_semi").dropDuplicates(["doc_id", "_k"]).select("_row.*")
+    rows = docs.select("doc_id", text_key().alias("_k"), "_row")  # the text travels once, in its row
+    return rows.join(best, ["doc_id", "_k"], "left_semi").dropDuplicates(["doc_id", "_k"]).select("_row.*")
