@@ -7,6 +7,8 @@ ambiguous and none stays unresolved, as rows.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from collections.abc import Iterator
 
@@ -21,11 +23,12 @@ STATEMENT = "struct<local_id:string,kind:string,display_kind:string,normalized_k
 PROOF = "struct<number:bigint,text:string,position:bigint,owner:string,basis:string,confidence:double,refs:array<string>,cites:array<string>,end_position:bigint>"
 CITATION = "struct<command:string,key:string,position:bigint,source_file:string,end_position:bigint>"
 SEGMENT = "struct<path:string,start:bigint,end:bigint,at:bigint>"
-ENTRY = "struct<key:string,type:string,title:string,authors:array<string>,year:int,arxiv_id:string,arxiv_version:string,doi:string,bib_file:string>"
+ENTRY = "struct<key:string,type:string,title:string,authors:array<string>,year:int,arxiv_id:string,arxiv_version:string,doi:string,bib_file:string,bib_start:bigint,bib_end:bigint,method:string,fingerprint:string>"
 DOCUMENT = f"paper_id string, error string, title string, statements array<{STATEMENT}>, proofs array<{PROOF}>, citations array<{CITATION}>, entries array<{ENTRY}>, segments array<{SEGMENT}>"
 
 
-def _entry(e: dict, path: str) -> dict:
+def _entry(e: dict, path: str, start: int | None, end: int | None, method: str = "bibtex_entry") -> dict:
+    """An entry with its range in its own file; entries with equal fingerprints say the same."""
     f = e["fields"]
     in_note = re.search(r"(?i)\barxiv:\s*([a-z0-9./-]*[a-z0-9])", f.get("note", ""))
     tries = [f.get("eprint") if f.get("archiveprefix", "").lower() == "arxiv" else None, f.get("arxiv"), f.get("url"), in_note[1] if in_note else None]
@@ -33,7 +36,8 @@ def _entry(e: dict, path: str) -> dict:
     doi = identity.identifier(f["doi"], "doi") if f.get("doi") else {}
     year = f.get("year", "")
     return {"key": e["key"], "type": e["type"], "title": f.get("title"), "authors": [a.strip() for a in f.get("author", "").split(" and ") if a.strip()],
-            "year": int(year) if year.isdigit() and len(year) < 6 else None, "arxiv_id": name, "arxiv_version": version, "doi": doi.get("canonical"), "bib_file": path}
+            "year": int(year) if year.isdigit() and len(year) < 6 else None, "arxiv_id": name, "arxiv_version": version, "doi": doi.get("canonical"), "bib_file": path,
+            "bib_start": start, "bib_end": end, "method": method, "fingerprint": hashlib.sha256(json.dumps([e["type"], f], sort_keys=True).encode()).hexdigest()}
 
 
 def read_project(paper_id: str, main: str, files: dict[str, str]) -> dict:
@@ -50,6 +54,12 @@ def read_project(paper_id: str, main: str, files: dict[str, str]) -> dict:
     text, scan = merged.text, tex.mask(merged.text)
     home = lambda at: next((p for p, a, b, _ in merged.parts if a <= at < b), None)
     found = tex.statements(text)
+
+    def inline_entry(e: dict) -> dict:
+        path, a, b, at = next(((p, a, b, at) for p, a, b, at in merged.parts if a <= e["start"] < b), (None, 0, -1, 0))
+        whole = e["end"] <= b  # an entry over several files has no single range
+        return _entry(e, path, at + e["start"] - a if whole else None, at + e["end"] - a if whole else None, "latex_bibitem")
+
     title = next((g[0].strip() for _, _, _, e in tex.commands(scan, ("title",)) if (g := tex.group(text, e))), None)
     proofs = [{"number": p.number, "text": p.text, "position": p.position, "owner": p.owner, "basis": p.basis, "confidence": p.confidence, "refs": tex.references(p.text),
                "cites": [k for _, k, _, _ in tex.keys(tex.mask(p.text), tex.CITATIONS)], "end_position": p.end} for p in tex.proofs(text, found)]
@@ -58,7 +68,7 @@ def read_project(paper_id: str, main: str, files: dict[str, str]) -> dict:
         "statements": [{k: getattr(s, k) for k in ("local_id", "kind", "display_kind", "normalized_kind", "label", "visible_number", "title", "content", "refs", "position")} | {"source_file": home(s.position), "end_position": s.end} for s in found],
         "citations": [{"command": c, "key": k, "position": a, "source_file": home(a), "end_position": b} for c, k, a, b in tex.keys(scan, tex.CITATIONS)],
         "segments": [{"path": path, "start": a, "end": b, "at": at} for path, a, b, at in merged.parts],
-        "entries": [_entry(e, path) for path, e in listed] + [_entry(e, home(e["start"])) for e in inline],
+        "entries": [_entry(e, path, e["start"], e["end"]) for path, e in listed] + [inline_entry(e) for e in inline],
     }
 
 
@@ -116,12 +126,14 @@ def roadmap_mentions(docs: DataFrame) -> DataFrame:
 def citation_records(docs: DataFrame, papers: DataFrame | None = None) -> DataFrame:
     """paper_id, key, command, position, arxiv_id, doi, resolution_status, target_paper_id.
 
-    Targets are bound when read: a paper imported later resolves older citations.
+    Targets are bound when read: a paper imported later resolves older citations.  Entries of one key that say different
+    things bind nothing.
     """
     uses = docs.select("paper_id", F.inline("citations"))
-    entries = docs.select("paper_id", F.inline("entries")).groupBy("paper_id", "key").agg(F.min("arxiv_id").alias("arxiv_id"), F.min("doi").alias("doi"), F.count("*").alias("n_entries"))
+    entries = docs.select("paper_id", F.inline("entries")).groupBy("paper_id", "key").agg(F.min("arxiv_id").alias("arxiv_id"), F.min("doi").alias("doi"), F.count_distinct("fingerprint").alias("n_entries"))
+    entries = entries.withColumns({c: F.when(F.col("n_entries") == 1, F.col(c)) for c in ("arxiv_id", "doi")})
     out = uses.join(entries, ["paper_id", "key"], "left")
-    status = F.when(F.col("n_entries").isNull(), "missing_bib_entry").when(F.col("arxiv_id").isNotNull(), "resolved_candidate").otherwise("unsupported_identifier")
+    status = F.when(F.col("n_entries").isNull(), "missing_bib_entry").when(F.col("n_entries") > 1, "conflicting_bib_entries").when(F.col("arxiv_id").isNotNull(), "resolved_candidate").otherwise("unsupported_identifier")
     papers = (docs if papers is None else papers).select(F.col("paper_id").alias("target_paper_id")).distinct()
     out = out.withColumn("resolution_status", status).join(papers, F.concat(F.lit("arxiv:"), "arxiv_id") == F.col("target_paper_id"), "left")
     return out.select("paper_id", "key", "command", "position", "source_file", "arxiv_id", "doi", "resolution_status", "target_paper_id")

@@ -41,10 +41,9 @@ def fragments(spans: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def propagated(docs: DataFrame) -> DataFrame:
-    """paper_id, kind, evidence_id, via (the ids that lead to the span), start, end of all evidence.
+    """paper_id, kind, evidence_id, via (the ids that lead to the span), start, end of results, proofs, citations and mentions.
 
-    A mention has the span of its proof; a bibliography entry that of the first citation with its key;
-    a dependency edge that of the proof of its source; the rest their own.
+    A mention has the span of its proof, the rest their own.  Bibliography entries lie in their own files: bibliography().
     """
     own = own_spans(docs).withColumn("via", F.array("evidence_id"))
     proofs = docs.select("paper_id", F.inline("proofs")).withColumn("_proof", _id("proof", "number"))
@@ -52,19 +51,33 @@ def propagated(docs: DataFrame) -> DataFrame:
     said = proofs.select("paper_id", "_proof", "position", "end_position", "number", F.posexplode_outer("refs").alias("ord", "ref")).where("ref is not null")
     said = said.withColumn("evidence_id", _id("mention", "number", "ord")).withColumn("via", F.array("evidence_id", "_proof"))
     mentions = said.select(*place).withColumn("kind", F.lit("mention"))
-    cites = docs.select("paper_id", F.inline("citations")).withColumn("_cite", _id("citation", "position", "key"))
-    first = cites.groupBy("paper_id", F.lower("key").alias("_key")).agg(F.min_by(F.struct("_cite", "position", "end_position"), F.struct("position", "key")).alias("f"))
-    entries = docs.select("paper_id", F.inline("entries")).select("paper_id", "key").distinct().withColumn("_key", F.lower("key")).join(first, ["paper_id", "_key"], "left")
-    entries = entries.withColumn("evidence_id", _id("entry", "key")).withColumns({"via": F.array_compact(F.array(F.col("evidence_id"), F.col("f._cite"))), "position": F.col("f.position"), "end_position": F.col("f.end_position")})
-    entries = entries.select(*place).withColumn("kind", F.lit("entry"))
-    return own.unionByName(mentions).unionByName(entries)
+    return own.unionByName(mentions)
+
+
+def bibliography(docs: DataFrame) -> DataFrame:
+    """paper_id, key, evidence_id, path, file_start, file_end, method, status: each key's entry in its own source.
+
+    Keys meet in lower case.  Entries of several files that say the same count once, by the first file.  Only a located
+    entry has a range: repeated_key (twice in one file), conflicting_key (two contents) and gap (over several files) have
+    none, and stay as rows.
+    """
+    rows = docs.select("paper_id", F.inline("entries"))
+    first = F.min_by(F.struct("key", "bib_file", "bib_start", "bib_end", "method"), F.struct("bib_file", "bib_start"))
+    per = rows.groupBy("paper_id", F.lower("key").alias("_key")).agg(first.alias("e"), F.count("*").alias("n"), F.count_distinct("bib_file").alias("n_files"), F.count_distinct("fingerprint").alias("n_contents"))
+    status = F.when(F.col("n") > F.col("n_files"), "repeated_key").when(F.col("n_contents") > 1, "conflicting_key").when(F.col("e.bib_start").isNull(), "gap").otherwise("located")
+    per = per.select("paper_id", "e.*", status.alias("status"))
+    only = lambda c: F.when(F.col("status") == "located", F.col(c))
+    return per.select("paper_id", "key", _id("entry", "key").alias("evidence_id"), only("bib_file").alias("path"), only("bib_start").alias("file_start"), only("bib_end").alias("file_end"), "method", "status")
 
 
 def trail(docs: DataFrame) -> DataFrame:
     """Each evidence id with the ids on the way to its source and the file fragments there; none stays a row without a file."""
     spans = propagated(docs)
     where = fragments(spans.where("start is not null").select(*SPAN), segments(docs))
-    return spans.select("paper_id", "kind", "evidence_id", "via").join(where, ["paper_id", "kind", "evidence_id"], "left")
+    found = spans.select("paper_id", "kind", "evidence_id", "via").join(where, ["paper_id", "kind", "evidence_id"], "left")
+    coverage = F.when(F.col("status") == "located", "complete").otherwise(F.col("status"))
+    entries = bibliography(docs).withColumns({"kind": F.lit("entry"), "via": F.array("evidence_id"), "ord": F.when(F.col("path").isNotNull(), 0), "coverage": coverage})
+    return found.unionByName(entries.select(found.columns))
 
 
 def lookup(tables: dict[str, tuple[DataFrame, str]], wanted: DataFrame) -> DataFrame:

@@ -26,6 +26,10 @@ def in_blocks(sql: str) -> str:
     return re.sub(r"\bdocuments\b", f"(SELECT * REPLACE (source || '-' || (doc_id // {BLOCK}) AS source) FROM documents)", sql)
 
 
+#: The bibliography of every paper.
+BIBLIOGRAPHY = "@misc{en, title={E}, eprint={2001.00001v1}, archiveprefix={arXiv}}\n@misc{de, title={D}, doi={10.1000/D}}\n@misc{fr, url={https://arxiv.org/abs/math/0101001}}\n"
+
+
 def projects(t: Tables) -> DataFrame:
     """A paper per source and block of ids, so that papers stay small: its documents as theorems in order, each with a
     proof, and a bibliography of languages."""
@@ -36,7 +40,7 @@ def projects(t: Tables) -> DataFrame:
                     F.lit("}. \\end{thm}\n\\begin{proof} By \\ref{t:"), before, F.lit("} and \\cite[see]{"), F.coalesce("lang", F.lit("x")), F.lit(", none}. \\end{proof}\n"))
     rows = t.documents.where("source is not null").groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", body.alias("b")))), lambda x: x["b"]), "").alias("b"))
     main = F.concat(F.lit("\\newtheorem{thm}{Theorem}\n\\title{"), "source", F.lit("}\n\\input{body}\n"))
-    bib = F.lit("@misc{en, title={E}, eprint={2001.00001v1}, archiveprefix={arXiv}}\n@misc{de, title={D}, doi={10.1000/D}}\n@misc{fr, url={https://arxiv.org/abs/math/0101001}}\n")
+    bib = F.lit(BIBLIOGRAPHY)
     return rows.select(F.concat(F.lit("local:"), "source").alias("paper_id"), F.lit("main.tex").alias("main"), F.create_map(F.lit("main.tex"), main, F.lit("body.tex"), F.col("b"), F.lit("r.bib"), bib).alias("files"))
 
 

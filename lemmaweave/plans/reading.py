@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import crosspaper, expansion, extract, mentions, review, search, sessions, spans
 from .catalog import ORACLE_SQL, QUERIES, Tables, query
-from .extraction import in_blocks, projects
+from .extraction import BIBLIOGRAPHY, in_blocks, projects
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -38,11 +38,12 @@ def tex_mention_trail(t: Tables) -> DataFrame:
     return rows.select("evidence_id", F.element_at("via", -1).alias("last"), "path", "file_start", "file_end")
 
 
-@query(f"WITH {_PARTS}, f AS (SELECT source, key, min(number) AS number FROM (SELECT *, unnest([lang, 'none']) AS key FROM p) GROUP BY ALL) SELECT 'local:' || source || '::entry:' || key AS evidence_id, 2 AS n_via, 'body.tex' AS path FROM f WHERE key IN ('en', 'de', 'fr')")
+@query(f"""SELECT 'local:' || source || '::entry:' || regexp_extract(e, '\\{{(\\w+),', 1) AS evidence_id, 1 AS n_via, 'r.bib' AS path, strpos(b, e) - 1 AS file_start, strpos(b, e) - 1 + length(e) AS file_end
+FROM (SELECT source, b, unnest(string_split(rtrim(b, chr(10)), chr(10))) AS e FROM (SELECT DISTINCT source, '{BIBLIOGRAPHY}' AS b FROM documents WHERE source IS NOT NULL))""")
 def tex_entry_trail(t: Tables) -> DataFrame:
-    """A bibliography entry lies where it is first cited."""
+    """A bibliography entry lies in its own file."""
     rows = spans.trail(extract.documents(projects(t))).where("kind = 'entry' and path is not null")
-    return rows.select("evidence_id", F.size("via").alias("n_via"), "path")
+    return rows.select("evidence_id", F.size("via").alias("n_via"), "path", "file_start", "file_end")
 
 
 @query(f"WITH {_PARTS} SELECT 'local:' || source AS paper_id, number AS proof, key, key IN ('en', 'de', 'fr') AS known FROM (SELECT source, number, unnest([CASE WHEN lang = '' THEN 'x' ELSE lang END, 'none']) AS key FROM p)")

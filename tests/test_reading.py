@@ -35,8 +35,9 @@ def test_spans_cross_files_and_gaps_stay(spark):
     holes = spans.fragments(own, parts.where("path <> 'deep.tex'")).where("evidence_id = 'local:p::b'").collect()
     assert {r.coverage for r in holes} == {"gap"} and len(holes) == 2
     assert {r.coverage for r in spans.fragments(own, parts.limit(0)).collect()} == {"gap"}
-    way = {r.evidence_id: r.via for r in spans.trail(d).where("kind = 'entry'").collect()}
-    assert list(way) == ["local:p::entry:Known"] and len(way["local:p::entry:Known"]) == 2
+    way = spans.trail(d).where("kind = 'entry'").collect()
+    assert [(r.evidence_id, r.via, r.path, r.coverage) for r in way] == [("local:p::entry:Known", ["local:p::entry:Known"], "m.tex", "complete")]
+    assert MAIN[way[0].file_start : way[0].file_end].startswith("\\bibitem{Known}")
 
 
 def test_prose(spark):
