@@ -269,3 +269,25 @@ def title_words_and_preview(t: Tables) -> DataFrame:
 
 
 ORACLE_SQL.update({name: in_blocks(sql) for name, sql in ORACLE_SQL.items() if name.startswith("tex_") and "REPLACE (" not in sql})
+
+
+@query("SELECT 'c' || o_custkey AS run_id, least(count(*), 10) AS n_searches, greatest(count(*) - 10, 0) AS n_refused, CASE WHEN count(*) > 10 THEN 'paused' ELSE 'running' END AS state FROM orders GROUP BY o_custkey")
+def expansion_runs(t: Tables) -> DataFrame:
+    """A run per customer whose references are the orders, with a budget of ten edges: the stateful stream over a table of events."""
+    from ..streaming import expansion as runs
+
+    run, start = F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.timestamp_seconds(F.lit(1_700_000_000))
+    once = t.orders.select(run.alias("run_id")).distinct()
+    event = lambda rows, second, **columns: rows.withColumns({"at": start + F.expr(f"interval {second} seconds"), **columns})
+    limits = F.create_map(F.lit("edges"), F.lit(10))
+    found = t.orders.select(run.alias("run_id"), F.col("o_orderkey").cast("string").alias("key"))
+    events = t.orders.sparkSession.createDataFrame([], runs.EVENT)
+    for rows in (
+        event(once, 0, kind=F.lit("create"), event_id=F.lit("0"), papers=F.array("run_id"), limits=limits),
+        event(once, 1, kind=F.lit("advance"), event_id=F.lit("1"), steps=F.lit(100), seconds=F.lit(60)),
+        event(found, 2, kind=F.lit("found"), event_id=F.col("key"), paper_id=F.col("run_id")),
+        event(once, 3, kind=F.lit("page_end"), event_id=F.lit("3"), paper_id=F.col("run_id"), outcome=F.lit("done")),
+    ):
+        events = events.unionByName(rows, allowMissingColumns=True)
+    count = lambda name, action: F.count_if(F.col("action") == action).alias(name)
+    return runs.actions(events).groupBy("run_id").agg(count("n_searches", "search"), count("n_refused", "refused"), F.max_by("state", "n").alias("state"))
