@@ -61,23 +61,30 @@ def occurrences(text: Column, pattern: str) -> Column:
     return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), step, lambda done: done["out"])
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is computed and planned once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _cut(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
 def pieces(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of what lies between the matches."""
-    marks = occurrences(text, pattern)
-    starts = F.concat(F.array(F.lit(0)), F.transform(marks, lambda m: m["end"]))
-    ends = F.concat(F.transform(marks, lambda m: m["start"]), F.array(F.length(text)))
-    return F.zip_with(starts, ends, lambda a, b: _span(a, b, _cut(text, a, b)))
+    def between(marks: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(marks, lambda m: m["end"]))
+        ends = F.concat(F.transform(marks, lambda m: m["start"]), F.array(F.length(text)))
+        return F.zip_with(starts, ends, lambda a, b: _span(a, b, _cut(text, a, b)))
+
+    return _with(occurrences(text, pattern), between)
 
 
 def stripped(piece: Column, characters: str) -> Column:
     """The span without some characters at its ends."""
     left = piece["start"] + F.length(piece["value"]) - F.length(F.regexp_replace(piece["value"], f"^[{characters}]+", ""))
     value = F.regexp_replace(piece["value"], f"^[{characters}]+|[{characters}]+$", "")
-    return _span(left, left + F.length(value), value)
+    return _with(F.struct(left.alias("left"), value.alias("value")), lambda x: _span(x["left"], x["left"] + F.length(x["value"]), x["value"]))
 
 
 def blanked(text: Column, spans: Column) -> Column:
@@ -87,25 +94,26 @@ def blanked(text: Column, spans: Column) -> Column:
 
 def people(text: Column) -> Column:
     """Spans of authors in what stands before a title: names of two words or more; none where it is no plain list."""
+    def listed(whole: Column) -> Column:
+        names = F.transform(pieces(whole["value"], JOINTS), lambda p: stripped(p, r"\s,;"))
+        names = F.filter(names, lambda n: n["value"].rlike(r"\S\s+\S"))
+        names = F.transform(names, lambda n: _span(n["start"] + whole["start"], n["end"] + whole["start"], n["value"]))
+        return F.when(whole["value"].rlike(r'[\\{}:"]'), F.array().cast(f"array<{SPAN}>")).otherwise(names)
+
     bare = blanked(text, occurrences(text, YEAR_IN_BRACKETS))
-    whole = stripped(_span(F.lit(0), F.length(bare), bare), r"\s.,;:")
-    names = F.transform(pieces(whole["value"], JOINTS), lambda p: stripped(p, r"\s,;"))
-    names = F.filter(names, lambda n: n["value"].rlike(r"\S\s+\S"))
-    return F.when(whole["value"].rlike(r'[\\{}:"]'), F.array().cast(f"array<{SPAN}>")).otherwise(F.transform(names, lambda n: _span(n["start"] + whole["start"], n["end"] + whole["start"], n["value"])))
+    return _with(_with(bare, lambda t: stripped(_span(F.lit(0), F.length(t), t), r"\s.,;:")), listed)
 
 
 def _commands(text: Column) -> Column:
     """Titles in commands, each with its end where its brace closes; end is null where it never does."""
-    braces = occurrences(text, r"[{}]")
-
-    def closed(mark: Column) -> Column:
+    def closed(mark: Column, braces: Column) -> Column:
         opened = F.filter(braces, lambda b: b["start"] >= mark["end"] - 1)
         start = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("end"))
         depth = lambda d, b: d["depth"] + F.when(b["value"] == "{", 1).otherwise(-1)
         end = F.aggregate(opened, start, lambda d, b: F.when(d["end"].isNotNull(), d).otherwise(F.struct(depth(d, b).alias("depth"), F.when(depth(d, b) == 0, b["end"]).alias("end"))), lambda d: d["end"])
-        return _span(mark["start"], end, _cut(text, mark["end"], end - 1))
+        return _with(end, lambda e: _span(mark["start"], e, _cut(text, mark["end"], e - 1)))
 
-    return F.transform(occurrences(text, COMMAND), closed)
+    return _with(occurrences(text, r"[{}]"), lambda braces: F.transform(occurrences(text, COMMAND), lambda mark: closed(mark, braces)))
 
 
 def _ruled(spans: Column, rule: str, confidence: str = "explicit") -> Column:
