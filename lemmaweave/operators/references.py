@@ -37,10 +37,12 @@ IDENTIFIER = "struct<kind:string,raw:string,canonical:string,identity:string,ver
 
 def identified(value: Column, kind: Column, version: Column) -> Column:
     """The identifier as a struct of its parts; null for null."""
+    names = [part.split(":")[0] for part in IDENTIFIER[7:-1].split(",")]
+
     @F.pandas_udf(IDENTIFIER)
     def parsed(v: pd.Series, k: pd.Series, n: pd.Series) -> pd.DataFrame:
-        rows = [identity.identifier(a, b, c) if a is not None else {} for a, b, c in zip(v, k, n, strict=True)]
-        return pd.DataFrame(rows, columns=[part.split(":")[0] for part in IDENTIFIER[7:-1].split(",")])
+        rows = [identity.identifier(a, b, c) if a is not None else dict.fromkeys(names) for a, b, c in zip(v, k, n, strict=True)]
+        return pd.DataFrame(rows, columns=names, dtype=object)
 
     return F.when(value.isNotNull(), parsed(value, kind, version))
 

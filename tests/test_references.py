@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from lemmaweave.operators import references
+from lemmaweave.operators import assessment, references
 
 BLOCKED = "blocked_id string, ord int, kind string, evidence_id string, citation_key string, raw_text string"
 CASES = {
@@ -56,3 +56,49 @@ def test_spans_point_into_the_text(entries):
     assert sorted(r.value for r in rows if r.blocked_id == "two" and r.field == "title") == ["Maps", "Proofs"]
     assert {(r.rule, r.confidence) for r in rows if r.blocked_id == "sentences" and r.field == "title"} == {("delimited_title", "heuristic")}
     assert references.spans(references.parsed(entries.where("false"))).collect() == []
+
+
+RECORDS = "blocked_id string, provider string, title string, authors array<string>, year string, doi string, arxiv_id string, arxiv_version string, url string, is_retracted boolean"
+
+
+def test_assessment_as_rows(spark):
+    lee = ["Ann Lee", "Bo Chen"]
+    text = {"exact": 'A. Lee and B. Chen. "Maps". 1999. arXiv:2001.00001', "vouched": 'A. Lee and B. Chen. "Maps". 1999.', "tied": "10.1000/a 10.1000/b", "year": 'A. Lee and B. Chen. "Maps". 1998.', "version": "arXiv:2001.00001v2",
+            "two": 'A. Lee. "Maps". "Sets". 1999.', "near": 'A. Lee and B. Chen. "Maps of surfaces and knots". 1999.', "none": 'A. Lee and B. Chen. "Maps". 1999.', "down": 'A. Lee and B. Chen. "Maps". 1999.', "chain": 'A. Lee and B. Chen. "Maps". 1999.', "gone": "arXiv:2001.00001", "part": 'A. Lee and C. Wu. "Maps". 1999.'}
+    blocked = spark.createDataFrame([(n, 0, "bibliography_entry", f"e:{n}", "k", t) for n, t in text.items()], BLOCKED)
+    one = lambda name, provider, title="Maps", people=lee, year="1999", doi=None, arxiv=None, version=None, gone=None: (name, provider, title, people, year, doi, arxiv, version, None, gone)
+    rows = [one("exact", "x", arxiv="2001.00001v1"), one("exact", "x", arxiv="2001.00001v1"), one("vouched", "x", title="MAPS", arxiv="2001.00001"), one("vouched", "y", people=["Lee, A.", "Chen, B."], arxiv="2001.00001"),
+            one("tied", "x", doi="10.1000/a"), one("tied", "y", doi="10.1000/b"), one("year", "x", arxiv="2001.00001"), one("version", "x", arxiv="2001.00001v1"), one("two", "x"), one("near", "x", title="Maps of surfaces and knot"),
+            one("down", "x", doi="10.1000/c"), one("down", "x", title=None, people=None, year=None), one("chain", "x", doi="10.1000/d"), one("chain", "y", doi="10.1000/D", arxiv="2001.00002"), one("chain", "z", arxiv="2001.00002"), one("gone", "x", arxiv="2001.00001", gone=True), one("part", "x")]
+    answers = spark.createDataFrame([(n, p, "timeout" if n == "down" and p == "y" else "ok") for n in text for p in "xy"], "blocked_id string, provider string, outcome string")
+    parsed = references.parsed(blocked)
+    hints = references.hints(parsed, blocked)
+    facts = assessment.facts_of(hints, spark.createDataFrame(rows, RECORDS))
+    found = assessment.candidates(facts, answers).cache()
+    got = {}
+    for r in found.orderBy("position").collect():
+        got.setdefault(r.blocked_id, []).append(r)
+    level = {n: [(r.confidence, r.identity_status, r.score) for r in rs] for n, rs in got.items()}
+    assert level["exact"] == [("strong", "exact_identifier", 14.0)] and level["vouched"] == [("strong", "corroborated_metadata", 6.0)]
+    assert level["tied"] == [("ambiguous", "conflict", 8.0)] * 2 and level["year"] == [("ambiguous", "conflict", 5.0)] and level["near"] == [("plausible", "partial_match", 4.0)]
+    assert level["chain"] == [("strong", "corroborated_metadata", 6.0)] and got["chain"][0].providers == ["x", "y", "z"]
+    assert {n: rs[0].denied for n, rs in got.items()} == {"exact": None, "vouched": None, "chain": None, "tied": "ambiguous_candidates", "year": "ambiguous_candidates", "version": "ambiguous_candidates", "two": "ambiguous_candidates",
+                                                        "near": "insufficient_identity_evidence", "down": "insufficient_identity_evidence", "gone": "ambiguous_candidates", "part": "ambiguous_candidates"}
+    assert sorted(tuple(r) for r in assessment.selected(found).collect()) == [("chain", "2001.00002"), ("exact", "2001.00001v1"), ("vouched", "2001.00001")]
+    fields = {(r.blocked_id, r.field): r for r in assessment.fields(facts).collect()}
+    assert [fields["vouched", f].relation for f in ("title", "authors", "year")] == ["normalized_equivalent", "normalized_equivalent", "exact"]
+    assert (fields["part", "authors"].relation, fields["part", "authors"].n_matched, fields["year", "year"].relation, fields["near", "title"].relation) == ("partial_overlap", 1, "conflicting", "fuzzy")
+    assert fields["tied", "title"].relation == "missing_query" and fields["exact", "identifiers"].candidate_values == ["arxiv:2001.00001"]
+    against = {}
+    for r in assessment.conflicts(facts, references.spans(parsed)).collect():
+        against.setdefault(r.blocked_id, set()).add((r.code, r.field))
+        if r.blocked_id == "two":
+            assert (r.values, r.evidence) == (["Maps", "Sets"], ["e:two"])
+    assert against == {"tied": {("identifier_conflict", "identifiers")}, "year": {("metadata_conflict", "year")}, "version": {("version_conflict", "source_version")}, "two": {("metadata_conflict", "source_title")},
+                       "gone": {("retraction_or_withdrawal", "status")}, "part": {("metadata_conflict", "authors")}}
+    ends = {}
+    for r in assessment.boundaries(hints, found, answers).collect():
+        assert r.next_actions == list(assessment.ACTIONS[r.kind])
+        ends.setdefault(r.blocked_id, set()).add(r.kind)
+    assert ends["none"] == {"no_candidates"} and ends["down"] == {"partial_provider_failure", "no_importable_source"} and ends["version"] == {"ambiguous_candidates", "version_conflict"} and "exact" not in ends
+    assert assessment.candidates(assessment.facts_of(hints, spark.createDataFrame([], RECORDS)), answers).collect() == []
