@@ -152,3 +152,36 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], width: int =
     b = right.withColumn("_bin", F.explode(bins("seg_start", "seg_end")))
     first = F.floor(F.greatest("start", "seg_start") / width)
     return a.join(b, [*keys, "_bin"]).where((F.col("_bin") == first) & (F.greatest("start", "seg_start") < F.least("end", "seg_end"))).drop("_bin")
+
+
+#: Most pieces, and most characters, by which a needle is looked up before the exact test.
+PIECES, FRONT = 3, 24
+
+
+def containment(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """All pairs of rows of texts(text, ...) and needles(needle, ...) where the text contains the needle, repeated rows kept; nulls contain nothing.
+
+    What stands between blanks inside a needle stands between blanks in the text, too: a needle is looked up by the
+    hash of the longest run of three (or fewer) such pieces.  A needle without one is looked up by its first 24
+    characters at every position.  Only hashes of 8 bytes are exploded; texts join once, as whole rows, to their hits.
+    """
+    pieces = F.split("needle", " ")
+    inner = F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0)))
+    n = F.least(F.size(inner), F.lit(PIECES))
+    # arrays are bound by lambdas: as columns they could be split anew for every run
+    every = lambda some: F.transform(F.sequence(F.lit(1), F.size(some) - n + 1), lambda i: F.array_join(F.slice(some, i, n), " "))
+    runs = F.get(F.transform(F.array(inner), every), F.lit(0))
+    longest = F.array_max(F.transform(runs, lambda run: F.struct(F.length(run).alias("n"), run.alias("run"))))["run"]
+    asked = needles.where("needle is not null").withColumn("_n", n)
+    front = F.least(F.length("needle"), F.lit(FRONT))
+    asked = asked.withColumns({"_front": F.when(F.col("_n") == 0, front), "_key": F.xxhash64(F.when(F.col("_n") > 0, longest).otherwise(F.substring("needle", F.lit(1), front)))})
+    kinds = asked.select("_n", "_front").distinct().collect()  # at most 3 + 25 values
+    runs_of = lambda words, k: F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(k)), " ")))).otherwise(F.array().cast("array<bigint>"))
+    grams = lambda k: F.get(F.transform(F.array(F.split("text", " ")), lambda words: runs_of(words, k)), F.lit(0))
+    fronts = lambda k: F.transform(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
+    keys = [F.array_distinct(grams(r["_n"]) if r["_n"] else fronts(r["_front"])) for r in kinds]
+    rows = texts.where("text is not null").withColumn("_text", F.xxhash64("text"))
+    hits = rows.select("_text", F.explode(F.flatten(F.array(*keys)) if keys else F.array().cast("array<bigint>")).alias("_key"))
+    hits = hits.join(asked.select("_key", "needle").distinct(), "_key").select("_text", "needle").distinct()
+    found = rows.join(hits, "_text").where(F.instr("text", F.col("needle")) > 0).drop("_text", "text")
+    return found.join(asked.drop("_n", "_front", "_key"), "needle")

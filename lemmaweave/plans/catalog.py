@@ -105,16 +105,7 @@ def late_bound_target(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def mention_containment(t: Tables) -> DataFrame:
-    """Containment by an equi-join on the first 24 characters (all of a shorter item) at every position, then an exact test: no cross join."""
-    items = t.benchmark.where("text is not null").select("item_id", F.col("text").alias("needle"), F.least(F.length("text"), F.lit(24)).alias("n"))
-    items = items.withColumn("key", F.expr("substring(needle, 1, n)"))
-    lengths = [r[0] for r in items.select("n").distinct().collect()]  # at most 25 values
-    keys = [F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))) for n in lengths]
-    keys = F.flatten(F.array(*keys)) if keys else F.array().cast("array<string>")
-    found = t.documents.select("doc_id", F.xxhash64("text").alias("k"), F.explode_outer(keys).alias("key")).where("key is not null").join(items.select("item_id", "needle", "key"), "key")
-    found = found.select("doc_id", "k", "item_id", "needle").distinct()
-    texts = t.documents.select("doc_id", F.xxhash64("text").alias("k"), "text")
-    return found.join(texts, ["doc_id", "k"]).where(F.instr("text", F.col("needle")) > 0).select("doc_id", "item_id").distinct()
+    return relational.containment(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", F.col("text").alias("needle"))).select("doc_id", "item_id")
 
 
 @query("SELECT o_orderkey, o_orderpriority FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
