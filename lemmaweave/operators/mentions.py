@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import prose, tex
+from ..session import checkpointed
 from . import extract, graph
 from .relational import tristate
 
@@ -93,8 +94,12 @@ def classified(docs: DataFrame) -> DataFrame:
 
     Classes: known_local, known_citation, known_external, resolved_external, and unresolved_ local,
     citation and external; one inferred row names how the proof got its owner, one warning row says
-    that nothing was found.
+    that nothing was found.  The documents are parsed once: every branch reads a checkpoint of them.
     """
+    return _classified(checkpointed(docs))
+
+
+def _classified(docs: DataFrame) -> DataFrame:
     local = local_mentions(docs).select("paper_id", "owner", F.when(F.col("resolution_status") == "resolved_unique", "known_local").otherwise("unresolved_local").alias("class"), "target", "raw")
     cites = citation_mentions(docs).select("paper_id", "owner", F.when(F.col("resolution_status") == "resolved_unique", "known_citation").otherwise("unresolved_citation").alias("class"), F.coalesce("entry_key", "key").alias("target"), "raw")
     external = external_mentions(docs)
@@ -115,7 +120,8 @@ def completeness(docs: DataFrame) -> DataFrame:
 
     low: something is unresolved or cyclic; medium: only other papers are needed; high: neither.
     """
-    rows = classified(docs)
+    docs = checkpointed(docs)
+    rows = checkpointed(_classified(docs))
     per = rows.groupBy("paper_id").agg(
         F.count_if(F.col("class") == "known_local").alias("n_edges"), F.coalesce(F.sum(F.when(F.col("class").isin("known_external", "resolved_external"), F.col("n"))), F.lit(0)).alias("n_external"),
         F.coalesce(F.sum(F.when(F.col("class").startswith("unresolved"), F.col("n"))), F.lit(0)).alias("n_unresolved"))
@@ -131,8 +137,9 @@ def completeness(docs: DataFrame) -> DataFrame:
 
 def dependency_reading(docs: DataFrame) -> DataFrame:
     """paper_id, root, statement_refs, proof_local, path, external: what a result needs, kept apart by how it is known."""
+    docs = checkpointed(docs)
     refs = extract.statement_refs(docs).groupBy("paper_id", F.col("source").alias("root")).agg(F.array_sort(F.collect_set(F.struct(F.col("ref_label"), F.col("resolution_status")))).alias("statement_refs"))
-    rows = classified(docs)
+    rows = checkpointed(_classified(docs))
     proof = rows.where(F.col("class").isin("known_local", "unresolved_local")).groupBy("paper_id", F.col("owner").alias("root")).agg(F.array_sort(F.collect_set(F.struct("target", "class"))).alias("proof_local"))
     outside = rows.where(F.col("class").contains("external") | F.col("class").contains("citation")).groupBy("paper_id", F.col("owner").alias("root")).agg(F.array_sort(F.collect_set(F.struct("target", "class"))).alias("external"))
     path = graph.reading_paths(extract.dependency_edges(docs)).select("paper_id", "root", F.col("bottom_up").alias("path"), "order_status")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from . import relational
 
 SPAN = ("paper_id", "kind", "evidence_id", "start", "end")
@@ -72,6 +73,7 @@ def bibliography(docs: DataFrame) -> DataFrame:
 
 def trail(docs: DataFrame) -> DataFrame:
     """Each evidence id with the ids on the way to its source and the file fragments there; none stays a row without a file."""
+    docs = checkpointed(docs)  # parsed once, read by every branch
     spans = propagated(docs)
     where = fragments(spans.where("start is not null").select(*SPAN), segments(docs))
     found = spans.select("paper_id", "kind", "evidence_id", "via").join(where, ["paper_id", "kind", "evidence_id"], "left")
