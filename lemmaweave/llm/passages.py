@@ -13,9 +13,10 @@ grams and only windows of an equal gram can be equal.  The steps:
    128-bit hash, and equal segments of a task collapse to the first;
 3. segments that stand alone in their gram hold windows that occur only together:
    the first occurrence settles all.  The segments of other grams meet in one
-   task, which finds the first occurrence of each window; those of a hot gram are
-   left to an aggregation on 128-bit window hashes, which combines before the
-   shuffle, so no task holds a hot gram;
+   task, which finds the first occurrence of each window; no task holds a hot gram:
+   op7 leaves its windows to an aggregation on 128-bit window hashes, which combines
+   before the shuffle; op4 deals its segments over tasks, which find the first
+   occurrences among theirs, and an aggregation compares only what these leave open;
 4. each occurrence compares itself with the first of its windows.
 
 Nothing here gathers a gram's or a passage's occurrences in one task.
@@ -174,20 +175,34 @@ def item_rows(keys: np.ndarray, off: np.ndarray, n: np.ndarray, did: np.ndarray,
     return pa.RecordBatch.from_arrays(cols, ["ih1", "ih2", "off", "n", "fd", "fp", "wh1", "wh2"])
 
 
-def window_rows(keys: np.ndarray, did: np.ndarray, lo: np.ndarray, symbols: tuple[np.ndarray, np.ndarray], at: np.ndarray, window: int, settle: bool) -> pa.RecordBatch:
-    """ITEM rows of segments at symbols[..][at[i]:at[i+1]]; the symbols come as two independent hashes of each.
-
-    settle: the batch holds all segments of its grams, so first occurrences are found here and
-    neighbouring windows with neighbouring first occurrences become one row.
-    """
+def _windows(did: np.ndarray, lo: np.ndarray, symbols: tuple[np.ndarray, np.ndarray], at: np.ndarray, window: int) -> tuple:
+    """Segment, offset in it, place (did, lo + offset) and the two hashes of every window of the segments at symbols[..][at[i]:at[i+1]]."""
     n = np.maximum(np.diff(at) - window + 1, 0)
     row = np.repeat(np.arange(len(n)), n)
     off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     start = at[:-1][row] + off
-    hashes = [hashing.signed(hashing.Runs(symbols[which], which).at(start, start + window)) for which in (0, 1)]
-    fd, fp = did[row], lo[row] + off
-    if not settle:
-        return item_rows(keys[row], off, np.ones(len(row), np.int64), fd, fp, hashes)
+    return row, off, did[row], lo[row] + off, [hashing.signed(hashing.Runs(symbols[which], which).at(start, start + window)) for which in (0, 1)]
+
+
+def window_rows(keys: np.ndarray, did: np.ndarray, lo: np.ndarray, symbols: tuple[np.ndarray, np.ndarray], at: np.ndarray, window: int, settle: bool) -> pa.RecordBatch:
+    """ITEM rows of segments at symbols[..][at[i]:at[i+1]]; the symbols come as two independent hashes of each.
+
+    settle: the batch holds all segments of its grams, so first occurrences are found here.
+    """
+    if settle:
+        return settled_rows(keys, did, lo, symbols, at, window)[0]
+    row, off, fd, fp, hashes = _windows(did, lo, symbols, at, window)
+    return item_rows(keys[row], off, np.ones(len(row), np.int64), fd, fp, hashes)
+
+
+def settled_rows(keys: np.ndarray, did: np.ndarray, lo: np.ndarray, symbols: tuple[np.ndarray, np.ndarray], at: np.ndarray, window: int, more: np.ndarray | None = None) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """ITEM rows by the first occurrences in this batch: neighbouring windows with neighbouring first occurrences are one row.
+
+    more: segments whose gram has segments in other batches, too.  Their windows that no smaller did of this batch
+    holds come as single windows besides; the others are removed whatever other batches hold, if smaller dids remove.
+    """
+    row, off, own, fp, hashes = _windows(did, lo, symbols, at, window)
+    fd = own.copy()
     order = np.lexsort((fp, fd, hashes[1], hashes[0]))
     new = np.ones(len(order), bool)
     new[1:] = (np.diff(hashes[0][order]) != 0) | (np.diff(hashes[1][order]) != 0)
@@ -196,7 +211,9 @@ def window_rows(keys: np.ndarray, did: np.ndarray, lo: np.ndarray, symbols: tupl
     new = np.ones(len(row), bool)
     new[1:] = (np.diff(row) != 0) | (np.diff(fd) != 0) | (np.diff(fp - off) != 0)
     first = np.flatnonzero(new)
-    return item_rows(keys[row[first]], off[first], np.diff(np.append(first, len(row))), fd[first], fp[first])
+    left = np.flatnonzero(more[row] & (fd == own)) if more is not None else np.empty(0, np.int64)
+    runs = item_rows(keys[row[first]], off[first], np.diff(np.append(first, len(row))), fd[first], fp[first])
+    return runs, item_rows(keys[row[left]], off[left], np.ones(len(left), np.int64), fd[left], fp[left], [x[left] for x in hashes])
 
 
 def resolved(items: DataFrame, occurrences: DataFrame, earlier: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
@@ -208,10 +225,14 @@ def resolved(items: DataFrame, occurrences: DataFrame, earlier: Callable[[Column
     windows = items.where("wh1 is not null")
     least = cut(windows.groupBy("wh1", "wh2").agg(F.min(F.struct("fd", "fp")).alias("m"), F.count("*").alias("_n")))
     found = spread_join(windows, least.select("wh1", "wh2", "m"), ["wh1", "wh2"], ["ih1", "ih2", "off"], "inner", least.select("wh1", "wh2", "_n"))
-    singles = found.select("ih1", "ih2", F.struct("off", F.lit(1).alias("n"), F.col("m.fd").alias("fd"), F.col("m.fp").alias("fp")).alias("v"))
-    whole = items.where("wh1 is null").select("ih1", "ih2", F.struct("off", "n", "fd", "fp").alias("v"))
-    # a segment has as many verdicts as windows at most, a fixed number
-    verdicts = cut(singles.unionByName(whole).groupBy("ih1", "ih2").agg(F.collect_list("v").alias("v")))
+    singles = found.select("ih1", "ih2", "off", F.lit(1).alias("n"), F.col("m.fd").alias("fd"), F.col("m.fp").alias("fp"))
+    return removed(singles.unionByName(items.where("wh1 is null").select(*singles.columns)), occurrences, earlier)
+
+
+def removed(runs: DataFrame, occurrences: DataFrame, earlier: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
+    """did, tk, ranges: runs of removed windows of each text.  runs: ITEM rows without window hashes, any number of verdicts a window."""
+    # a segment has as many verdicts as windows, or twice as many, at most: a fixed number
+    verdicts = cut(runs.select("ih1", "ih2", F.struct("off", "n", "fd", "fp").alias("v")).groupBy("ih1", "ih2").agg(F.collect_list("v").alias("v")))
     rows = spread_join(occurrences, verdicts, ["ih1", "ih2"], ["did", "tk"], "inner")
     span = lambda lo, v: F.struct((lo + v["off"]).alias("a"), (lo + v["off"] + v["n"] - 1).alias("b"))
     gone = F.transform("v", lambda v: F.transform(F.filter("los", lambda lo: earlier(v["fd"], v["fp"], F.col("did"), lo + v["off"])), lambda lo: span(lo, v)))

@@ -191,44 +191,61 @@ def _batch(kind: list, did: list, tk: list, lo: list, n: list, h: list, ih1: lis
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), big(did), big(tk), big(lo), pa.array(n, pa.int32()), big(h), big(ih1), big(ih2), pa.array(segment, pa.string()), pa.array(los, pa.list_(pa.int64()))], ["kind", "did", "tk", "lo", "n", "h", "ih1", "ih2", "segment", "los"])
 
 
-#: segments of one gram that one task may gather; the windows of a hotter gram go to an aggregation instead
+#: segments of one gram that are dealt to one task; a hotter gram is dealt to several
 HOT = 512
+#: segments that a task settles at once
+SETTLED = 8192
 
 
 def items(segments: DataFrame, unit: Words, hot: int = HOT) -> DataFrame:
-    """passages.ITEM rows: whole segments alone in their gram, runs of windows of the others."""
+    """passages.ITEM rows: whole segments alone in their gram, runs of windows of the others by the first occurrence
+    that their task knows, and the windows of hot grams that no smaller document of their task holds."""
     grams = cut(segments.groupBy("h").agg((F.min("ih1") != F.max("ih1")).alias("several"), F.count("*").alias("rows")))
     least = segments.groupBy("ih1", "ih2").agg(F.min(F.struct("did", "lo")).alias("m"), F.max("n").alias("n"), F.max("h").alias("h"))
     least = cut(spread_join(least, grams, ["h"], ["ih1", "ih2"], "inner", grams.select("h", F.col("rows").alias("_n"))).select("h", "ih1", "ih2", "n", "several", "rows", F.col("m.did").alias("did"), F.col("m.lo").alias("lo")))
     none = F.lit(None).cast("long")
     alone = least.where("not several").select("ih1", "ih2", F.lit(0).alias("off"), "n", F.col("did").alias("fd"), F.col("lo").alias("fp"), none.alias("wh1"), none.alias("wh2"))
     # the text travels only for segments of several: (segment, did, lo) is one row
-    mixed = segments.select("ih1", "ih2", "did", "lo", "segment").join(least.where("several").select("h", "ih1", "ih2", "did", "lo", "rows"), ["ih1", "ih2", "did", "lo"])
-
-    def windows(settle: bool):  # noqa: ANN202
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[pa.RecordBatch] = []
-            for batch in batches:
-                if settle:
-                    held.append(batch)
-                else:
-                    yield out(batch)
-            if held:
-                yield out(pa.Table.from_batches(held).combine_chunks())
-
-        def out(part) -> pa.RecordBatch:  # noqa: ANN001
-            data, offsets = hashing.texts(part.column("segment"))
-            one, starts, ends, at = hashing.word_hashes(data, offsets)
-            h = one, hashing.span_hashes(data, starts, ends, 1)
-            keys = np.column_stack([part.column(c).to_numpy() for c in ("ih1", "ih2")])
-            return passages.window_rows(keys, part.column("did").to_numpy().copy(), part.column("lo").to_numpy(), h, at, unit.window, settle)
-
-        return rows
-
-    columns = ["ih1", "ih2", "did", "lo", "segment"]
-    cold = mixed.where(F.col("rows") <= hot).repartition(passages.parts_of(segments), "h").select(columns).mapInArrow(windows(True), passages.ITEM)
-    warm = mixed.where(F.col("rows") > hot).select(columns).mapInArrow(windows(False), passages.ITEM)
-    return alone.unionByName(cold).unionByName(warm)
+    ways = F.ceil(F.col("rows") / max(hot, 1)).cast("long")
+    wanted = least.where("several").select("h", "ih1", "ih2", "did", "lo", (ways > 1).alias("more"), F.pmod("ih1", ways).alias("way"))
+    mixed = segments.select("ih1", "ih2", "did", "lo", "segment").join(wanted, ["ih1", "ih2", "did", "lo"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:  # ordered by gram and way
+            held.append(batch)
+            if sum(b.num_rows for b in held) > SETTLED:
+                part = pa.Table.from_batches(held)
+                h, way = part.column("h").to_numpy(), part.column("way").to_numpy()
+                begun = int(np.flatnonzero((h != h[-1]) | (way != way[-1]))[-1]) + 1 if h[0] != h[-1] or way[0] != way[-1] else 0
+                if begun:  # the last gram may go on in the next batch
+                    yield from settled(part.slice(0, begun))
+                    held = part.slice(begun).to_batches()
+        if held:
+            yield from settled(pa.Table.from_batches(held))
+
+    def settled(part: pa.Table) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+        data, offsets = hashing.texts(part.column("segment"))
+        one, starts, ends, at = hashing.word_hashes(data, offsets)
+        h = one, hashing.span_hashes(data, starts, ends, 1)
+        did, lo, more = (part.column(c).to_numpy() for c in ("did", "lo", "more"))
+        return passages.settled_rows(np.column_stack([part.column(c).to_numpy() for c in ("ih1", "ih2")]), did, lo, h, at, unit.window, more)
+
+    dealt = mixed.repartition(passages.parts_of(segments), "h", "way").sortWithinPartitions("h", "way")
+    return alone.unionByName(dealt.mapInArrow(rows, passages.ITEM))
+
+
+def verdicts(rows: DataFrame) -> DataFrame:
+    """The ITEM rows without window hashes, and one for each open window that a document of another task holds earlier.
+
+    An open window comes once a task, and more often only if one document repeats it, so its group stays small
+    however many texts hold it; a window that is open in one task alone ends here, in no join.
+    """
+    places = F.collect_list(F.struct("ih1", "ih2", "off", "fd"))
+    windows = rows.where("wh1 is not null").groupBy("wh1", "wh2").agg(F.min(F.struct("fd", "fp")).alias("m"), places.alias("places"))
+    late = windows.select("m", F.explode(F.filter("places", lambda x: x["fd"] > F.col("m.fd"))).alias("x"))
+    late = late.select("x.ih1", "x.ih2", "x.off", F.lit(1).alias("n"), "m.fd", "m.fp")
+    return rows.where("wh1 is null").select(*late.columns).unionByName(late)
 
 
 def removed_words(docs: DataFrame, firsts: DataFrame, window: int = 50, gram: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -240,7 +257,7 @@ def removed_words(docs: DataFrame, firsts: DataFrame, window: int = 50, gram: in
     rows = stored(items(found.where("kind = 's'"), unit), "passages-items")
     discard(found, "kind", "s")
     places = found.where("kind = 'o'").select("did", "tk", "los", "ih1", "ih2")
-    ranges = cut(passages.resolved(rows, places, lambda fd, fp, did, lo: fd < did))
+    ranges = cut(passages.removed(verdicts(rows), places, lambda fd, fp, did, lo: fd < did))
     for table in (rows, found):
         forget(table)
     return texts, ranges
