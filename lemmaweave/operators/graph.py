@@ -64,6 +64,13 @@ def components(links: DataFrame) -> DataFrame:
         label = new
 
 
+def _unsized(table: DataFrame) -> DataFrame:
+    """A checkpointed table without its estimated size: a join's is the product of both sides, and round by round
+    that product came to have millions of digits, which the planner multiplied for minutes."""
+    spark = table.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(table._jdf.javaRDD(), table._jdf.schema()), spark)
+
+
 def _least_reached(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, low: the least rank of the nodes(id, rank) that edges(u, v) lead to from each, its own included.  rank: a struct with id.
 
@@ -75,7 +82,7 @@ def _least_reached(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         near = edges.join(label.select(F.col("id").alias("v"), "low"), "v").groupBy(F.col("u").alias("id")).agg(F.min("low").alias("_near"))
         new = label.join(near, "id", "left").select("id", F.col("low").alias("_old"), F.least("low", "_near").alias("low"))
         jump = new.select(F.col("id").alias("_at"), F.col("low").alias("_next"))
-        new = checkpointed(new.withColumn("_at", F.col("low.id")).join(jump, "_at").select("id", "_old", F.col("_next").alias("low")))
+        new = _unsized(checkpointed(new.withColumn("_at", F.col("low.id")).join(jump, "_at").select("id", "_old", F.col("_next").alias("low"))))
         if new.where("low <> _old").isEmpty():
             return new.select("id", "low")
         label = new.drop("_old")
