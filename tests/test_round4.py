@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from lemmaweave.operators import crawl
+from lemmaweave.streaming import expansion
 
 
 def test_targets_beyond_the_edge_budget_stay_as_boundary_rows(spark):
@@ -19,3 +22,24 @@ def test_targets_beyond_the_edge_budget_stay_as_boundary_rows(spark):
     whole = crawl.advance(crawl.start(papers.where("paper_id = 'r'"), crawl.Policy(depth=4)), edges, papers)
     assert done.state == whole.state == "completed" and done.edges.count() == whole.edges.count() == 7
     assert states(done) == states(whole) == below | {"c": (2, "visited"), "z": (3, "boundary")}
+
+
+def test_runs_of_a_table_need_no_state_store(spark):
+    fields = [c.split()[0] for c in expansion.EVENT.split(", ")]
+    sent = [{"kind": "create", "papers": ["p"], "limits": {"edges": 2}}, {"kind": "advance", "steps": 9}, *[{"kind": "found", "paper_id": "p", "key": k} for k in "abc"], {"kind": "page_end", "paper_id": "p", "outcome": "done"}]
+    rows = [{"run_id": r, "event_id": str(i), "at": datetime(2024, 1, 1) + timedelta(seconds=i)} | e for r in (None, "r", "s") for i, e in enumerate(sent)]
+    rows += [{"run_id": "late", "event_id": "0", "at": datetime(2024, 1, 1), "kind": "pause"}]
+    events = spark.createDataFrame([tuple(e.get(f) for f in fields) for e in reversed(rows)], expansion.EVENT)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # runs go over the ends of batches
+    try:
+        out = expansion.actions(events)
+        assert "TransformWithState" not in out._jdf.queryExecution().toString()
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    one = [("state", None, None), ("state", None, None), ("discover", "p", None), ("search", "p|a", None), ("search", "p|b", None), ("state", None, "edge_limit"), ("refused", "5", "not_discovering")]
+    for run in (None, "r", "s"):
+        own = sorted((r for r in got if r.run_id == run), key=lambda r: r.n)
+        assert [(r.action, r.item, r.reason) for r in own] == one and [r.n for r in own] == list(range(1, 8)) and own[-1].state == "paused"
+    assert [(r.n, r.action, r.reason) for r in got if r.run_id == "late"] == [(None, "refused", "unknown_run")] and len(got) == 22
