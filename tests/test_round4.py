@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from lemmaweave.operators import crawl
+from lemmaweave.operators import crawl, scholarly
 from lemmaweave.streaming import expansion
 
 
@@ -43,3 +43,22 @@ def test_runs_of_a_table_need_no_state_store(spark):
         own = sorted((r for r in got if r.run_id == run), key=lambda r: r.n)
         assert [(r.action, r.item, r.reason) for r in own] == one and [r.n for r in own] == list(range(1, 8)) and own[-1].state == "paused"
     assert [(r.n, r.action, r.reason) for r in got if r.run_id == "late"] == [(None, "refused", "unknown_run")] and len(got) == 22
+
+
+def test_references_are_ranked_in_one_pass(spark):
+    fields = "title string, authors array<string>, year string, doi string, arxiv_id string"
+    lee = ("Maps", ["Ann Lee"], "2001", None)
+    asked = spark.createDataFrame([(n, *lee, None) for n in ("a", "b", "none", None)], f"blocked_id string, {fields}")
+    rows = [(n, p, "ok", *lee, "2001.00001") for n in ("a", "b", None, "never asked") for p in ("x", "y", "z")] + [("b", "w", "timeout", None, None, None, None, None)]
+    records = spark.createDataFrame(rows, f"blocked_id string, provider string, outcome string, {fields}")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # references go over the ends of batches
+    try:
+        found = scholarly.candidates(asked, records)
+        assert "CoGroup" not in found._jdf.queryExecution().toString()
+        got = {r.blocked_id: r for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert {n: (r.position, r.confidence, r.score, r.n_records, r.eligible) for n, r in got.items()} == {"a": (1, "strong", 6.0, 3, True), "b": (1, "strong", 6.0, 3, False), None: (1, "strong", 6.0, 3, True)}
+    one = [{"provider": p} | dict(zip(("title", "authors", "year", "doi", "arxiv_id"), (*lee, "2001.00001"), strict=True)) for p in "xyz"]
+    assert got["a"].group_key == scholarly.key_of(sorted(map(scholarly.key_of, one)))
