@@ -76,6 +76,6 @@ def similarity(a: Column, b: Column) -> Column:
     """Share of matching blocks of two strings (twice the matches over both lengths)."""
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if u is None or v is None else SequenceMatcher(None, u, v).ratio() for u, v in zip(x, y, strict=True)], dtype="float64")
+        return pd.Series([None if u is None or v is None else 1.0 if u == v else SequenceMatcher(None, u, v).ratio() for u, v in zip(x, y, strict=True)], dtype="float64")
 
     return ratio(a, b)

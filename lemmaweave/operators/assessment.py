@@ -1,8 +1,10 @@
 """Assessment of scholarly records against the hints of a reference, as rows: what agrees, what conflicts, what is missing.
 
 A group is all records of a reference that exact identifiers join, through any chain; records without one belong
-together by equal title, authors and year.  Groups are components over all references at once, so no reference
-is put into one task; only names of people and the likeness of titles go through Arrow, row by row.
+together by equal title, authors and year.  References of at most MANY records are grouped one by one from sorted
+rows; those of more are components over all of them at once, so no such reference is put into one task.
+Names of people and the likeness of titles go through Arrow, row by row.  Joins are never planned as broadcasts:
+the sizes that the engine estimates behind small files are far below the rows that come.
 Scores order candidates and never authorise one.
 
 Defined results: records that say nothing are left out; repeated records count once; a reference without records has
@@ -11,7 +13,12 @@ no candidate and a boundary that says so; null values are missing, not different
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from itertools import groupby
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +36,17 @@ ACTIONS = {
     "ambiguous_candidates": ("review_candidates",), "no_importable_source": ("provide_local_pdf", "skip_reference"),
 }
 FIELDS = ("title", "authors", "year")
+#: Most records of a reference that one task groups (fixed value).
+MANY = 1000
 #: Columns of a record, in the order in which its key names them.
 RECORD = ("provider", "title", "authors", "year", "doi", "arxiv_id", "arxiv_version", "url", "is_retracted")
 
 
+def apart(side: DataFrame) -> DataFrame:
+    """A side of a join that is dealt by its keys, whatever size the engine guesses."""
+    return side.hint("merge")
+
+
 def folded(text: Column) -> Column:
     @F.pandas_udf("string")
     def fold(v: pd.Series) -> pd.Series:
@@ -67,18 +81,69 @@ def keyed(records: DataFrame) -> DataFrame:
     return rows.withColumn("ids", F.array_compact(F.array("_doi", "_arxiv"))).drop("_doi", "_arxiv")
 
 
+def _named(records: list[tuple[str, list[str]]]) -> list[str]:
+    """The name of the group of each record (key, marks): a hash of the keys of all its records."""
+    root: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for key, marks in records:
+        for mark in marks:
+            a, b = find(f"r:{key}"), find(mark)
+            root[max(a, b)] = min(a, b)
+    members: dict[str, set[str]] = {}
+    for key, _ in records:
+        members.setdefault(find(f"r:{key}"), set()).add(key)
+    names = {top: hashlib.sha256(",".join(sorted(keys)).encode()).hexdigest() for top, keys in members.items()}
+    return [names[find(f"r:{key}")] for key, _ in records]
+
+
+def _by_reference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by reference, whose last column holds marks: it gets the name of the row's group instead."""
+    def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        names: list[str] = []
+        for _, own in groupby(zip(*[rows[c].to_pylist() for c in ("blocked_id", "record_key", "group_key")], strict=True), key=lambda x: x[0]):
+            names += _named([(key, marks) for _, key, marks in own])
+        yield from rows.set_column(rows.num_columns - 1, "group_key", pa.array(names, pa.string())).to_batches()
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        names = batch["blocked_id"].to_pylist()
+        n = next((i for i in range(len(names), 0, -1) if names[i - 1] != names[-1]), 0)  # the last reference may go on
+        if n or (held and held[-1]["blocked_id"][-1].as_py() != names[-1]):
+            whole = [*held, batch.slice(0, n)]
+            held = []
+            yield from done(pa.Table.from_batches(whole))
+        held.append(batch.slice(n))
+    if held:
+        yield from done(pa.Table.from_batches(held))
+
+
 def grouped(rows: DataFrame) -> DataFrame:
     """The keyed records with group_key, a name for the records of the group that does not depend on their order."""
     exact = F.transform(F.filter("ids", lambda i: i["exact_eligible"]), lambda i: F.concat(F.lit("i:"), i["identity"]))
     meta = F.when(F.col("title").isNotNull() & F.col("authors").isNotNull() & F.col("year").isNotNull(), F.array(F.concat(F.lit("m:"), F.to_json(F.struct("f_title", F.transform("authors", lambda a: F.lower(scalar.collapsed(a))), "f_year")))))
     own = F.concat(F.lit("r:"), "record_key")
-    marks = F.when(F.size(exact) > 0, exact).otherwise(F.coalesce(meta, F.array(own)))
+    rows = rows.where("blocked_id is not null").withColumn("group_key", F.when(F.size(exact) > 0, exact).otherwise(F.coalesce(meta, F.array(own))))
+    large = checkpointed(rows.groupBy("blocked_id").agg(F.count("*").alias("_n")).where(F.col("_n") > MANY).select("blocked_id"))
+    hot = not large.isEmpty()
+    few = rows.join(apart(large), "blocked_id", "left_anti").select(*rows.columns) if hot else rows
+    found = few.repartition("blocked_id").sortWithinPartitions("blocked_id").mapInArrow(_by_reference, few.withColumn("group_key", F.lit("")).schema)
+    if not hot:
+        return found
+    many = rows.join(apart(large), "blocked_id", "left_semi")
     node = lambda mark: F.sha2(F.to_json(F.struct(F.col("blocked_id"), mark.alias("m"))), 256)
-    links = rows.select(node(own).alias("u"), F.explode(F.transform(marks, node)).alias("v"))
+    links = many.select(node(own).alias("u"), F.explode(F.transform("group_key", node)).alias("v"))
     roots = graph.components(links).select(F.col("id").alias("_id"), "root")
-    found = rows.withColumn("_id", node(own)).join(roots, "_id").drop("_id")
-    names = found.groupBy("blocked_id", "root").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("record_key")), ","), 256).alias("group_key"))
-    return found.join(names, ["blocked_id", "root"]).drop("root")
+    many = many.drop("group_key").withColumn("_id", node(own)).join(apart(roots), "_id").drop("_id")
+    names = many.groupBy("blocked_id", "root").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("record_key")), ","), 256).alias("group_key"))
+    return found.unionByName(many.join(apart(names), ["blocked_id", "root"]).drop("root"))
 
 
 def _facts(members: DataFrame, hints: DataFrame) -> DataFrame:
@@ -86,7 +151,7 @@ def _facts(members: DataFrame, hints: DataFrame) -> DataFrame:
     asked = hints.select("blocked_id", F.col("title_hint").alias("q_title"), _said(F.col("author_hints")).alias("q_authors"), F.col("year_hint").cast("string").alias("q_year"), F.col("identifier_hints").alias("q_ids"), F.col("warnings").alias("q_warnings"))
     asked = asked.withColumns({"qf_title": folded(F.col("q_title")), "qf_year": folded(F.col("q_year"))})
     group = Window.partitionBy("blocked_id", "group_key").orderBy("record_key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = members.withColumn("_first", F.first("authors", ignorenulls=True).over(group)).join(asked, "blocked_id", "left")
+    rows = members.withColumn("_first", F.first("authors", ignorenulls=True).over(group)).join(apart(asked), "blocked_id", "left")
     rows = rows.withColumns({"_paired": people_in_common(F.col("q_authors"), F.col("authors")), "_own": people_in_common(F.col("_first"), F.col("authors")),
                              "_ratio": F.when(F.col("qf_title") == F.col("f_title"), F.lit(1.0)).otherwise(scalar.similarity(F.col("qf_title"), F.col("f_title")))})
     same = lambda n, left: (F.col(n) == F.size("authors")) & (F.size(left) == F.size("authors"))
@@ -176,7 +241,7 @@ def conflicts(facts: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     if spans is None:
         return rows.select("blocked_id", "group_key", "code", "field", "values", "evidence")
     own = spans.groupBy("blocked_id", F.concat(F.lit("source_"), "field").alias("field")).agg(F.array_sort(F.collect_set("value")).alias("_values"), F.array_sort(F.collect_set("evidence_id")).alias("_texts"))
-    rows = rows.join(own, ["blocked_id", "field"], "left")
+    rows = rows.join(apart(own), ["blocked_id", "field"], "left")
     return rows.select("blocked_id", "group_key", "code", "field", F.coalesce("_values", "values").alias("values"), F.coalesce("_texts", "evidence").alias("evidence"))
 
 
@@ -206,7 +271,7 @@ def candidates(facts: DataFrame, answers: DataFrame) -> DataFrame:
     points = F.when(F.col("exact"), 8.0).otherwise(0.0) + F.when(F.col("e_title"), 4.0).when(alike, 2.0).otherwise(0.0) + F.col("e_authors").cast("double") + F.col("e_year").cast("double")
     rows = rows.withColumns({"_level": level, "score": points, "arxiv_id": pick("arxiv", "canonical"), "version": pick("arxiv", "version"), "doi": pick("doi", "canonical")})
     per = Window.partitionBy("blocked_id")
-    rows = rows.withColumns({"_strong": F.count_if(F.col("_level") == "strong").over(per), "_any": F.max("_against").over(per)}).join(health, "blocked_id", "left")
+    rows = rows.withColumns({"_strong": F.count_if(F.col("_level") == "strong").over(per), "_any": F.max("_against").over(per)}).join(apart(health), "blocked_id", "left")
     tied = (F.col("_level") == "strong") & (F.col("_strong") > 1)
     reasons = F.when(F.col("_against"), F.col("_codes")).otherwise(F.array("identity_status"))
     source = F.when(F.col("_against"), "review_required").when(F.col("arxiv_id").isNotNull(), "arxiv_importable").otherwise("metadata_only")

@@ -128,6 +128,7 @@ def parsed(blocked: DataFrame) -> DataFrame:
     blocked: blocked_id, ord, kind, evidence_id, raw_text.
     """
     rows = blocked.where(F.trim("raw_text") != "").select("blocked_id", "ord", "evidence_id", "raw_text", F.coalesce(F.col("kind") == "bibliography_entry", F.lit(False)).alias("entry"))
+    rows = rows.repartition("blocked_id", "ord", "evidence_id")  # a small file may hold very many texts
     text = F.col("_text")
     rows = rows.withColumn("_text", blanked(F.col("raw_text"), occurrences(F.col("raw_text"), LABEL)))
     rows = rows.withColumn("ids", occurrences(text, "(?i)" + "|".join(IDENTIFIERS)))
@@ -188,8 +189,9 @@ def hints(rows: DataFrame, blocked: DataFrame) -> DataFrame:
     off = lambda name: F.array_contains("warnings", name)
     none = F.array().cast("array<string>")
     per = per.select("blocked_id", F.when(~off(UNCERTAIN), F.col("_title")).alias("title_hint"), F.when(off(PEOPLE), none).otherwise(F.coalesce("_people", none)).alias("author_hints"), F.when(~off(YEARS), F.col("_year")).alias("year_hint"), "warnings")
-    ids = rows.select("blocked_id", F.explode("ids").alias("s")).select("blocked_id", _identifier_text(F.col("s.value")).alias("v")).distinct()
+    # outer: else the engine cuts all texts once more, before they are dealt, to see which have identifiers
+    ids = rows.select("blocked_id", F.explode_outer("ids").alias("s")).where("s is not null").select("blocked_id", _identifier_text(F.col("s.value")).alias("v")).distinct()
     ids = ids.withColumn("i", identified(F.col("v"), _kind(F.col("v")), F.lit(None).cast("string"))).groupBy("blocked_id").agg(F.array_sort(F.collect_set("i")).alias("identifier_hints"))
     texts = search.hints(blocked).select("blocked_id", "citation_keys", "citation_texts", "bibliography_text")
-    out = texts.join(per, "blocked_id", "left").join(ids, "blocked_id", "left")
+    out = texts.join(per.hint("merge"), "blocked_id", "left").join(ids.hint("merge"), "blocked_id", "left")  # the engine guesses their size too low
     return out.withColumns({"author_hints": F.coalesce("author_hints", none), "warnings": F.coalesce("warnings", none), "identifier_hints": F.coalesce("identifier_hints", F.array().cast(f"array<{IDENTIFIER}>"))})

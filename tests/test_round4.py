@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from datetime import datetime, timedelta
 
-from lemmaweave.operators import crawl, scholarly
+from lemmaweave.operators import assessment, crawl, scholarly
 from lemmaweave.streaming import expansion
 
 
@@ -62,3 +63,51 @@ def test_references_are_ranked_in_one_pass(spark):
     assert {n: (r.position, r.confidence, r.score, r.n_records, r.eligible) for n, r in got.items()} == {"a": (1, "strong", 6.0, 3, True), "b": (1, "strong", 6.0, 3, False), None: (1, "strong", 6.0, 3, True)}
     one = [{"provider": p} | dict(zip(("title", "authors", "year", "doi", "arxiv_id"), (*lee, "2001.00001"), strict=True)) for p in "xyz"]
     assert got["a"].group_key == scholarly.key_of(sorted(map(scholarly.key_of, one)))
+
+
+RECORDS = "blocked_id string, provider string, title string, authors array<string>, year string, doi string, arxiv_id string, arxiv_version string, url string, is_retracted boolean"
+
+
+def test_groups_of_large_and_small_references_are_alike(spark, monkeypatch):
+    one = lambda name, provider, doi=None, arxiv=None, title="Maps", year="1999": (name, provider, title, ["A. Lee"], year, doi, arxiv, None, None, None)
+    # a chain over doi and arXiv, two alike by title and year, one by itself, for references of different size
+    of = lambda name: [one(name, "x", "10.1000/a"), one(name, "y", "10.1000/A", "2001.00001"), one(name, "z", None, "2001.00001"), one(name, "x"), one(name, "y", title="MAPS"), one(name, "w", year=None)]
+    rows = [*of("b"), *of("a"), one("c", "x"), *of("d"), one(None, "x"), *[one("d", f"p{i}", "10.1000/a") for i in range(5)]]
+    keyed = assessment.keyed(spark.createDataFrame(rows, RECORDS)).cache()
+
+    def groups():
+        size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # references go over the ends of batches
+        try:
+            found = assessment.grouped(keyed)
+            return sorted((r.blocked_id, r.group_key, r.provider, r.title) for r in found.collect())
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+    calls = []
+    components = assessment.graph.components
+    monkeypatch.setattr(assessment.graph, "components", lambda links: calls.append(1) or components(links))
+    small = groups()
+    assert not calls and len(small) == 24
+    sizes = {}
+    for name, key, *_ in small:
+        sizes.setdefault(name, []).append(key)
+    assert {n: sorted(Counter(keys).values()) for n, keys in sizes.items()} == {"a": [1, 2, 3], "b": [1, 2, 3], "c": [1], "d": [1, 2, 8]}
+    for most in (6, 0):  # one reference, and all, as components
+        monkeypatch.setattr(assessment, "MANY", most)
+        assert groups() == small
+    assert len(calls) == 2
+
+
+def test_joins_of_references_are_not_planned_by_guessed_sizes(spark, tmp_path):
+    from lemmaweave.plans import references as plans
+    from lemmaweave.plans.catalog import Tables
+
+    spark.range(40).selectExpr("id as p_partkey", "'lace spring' as p_name", "cast(id % 50 as int) as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    assert int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()) >= 10 << 20
+    t = Tables(spark, str(tmp_path))
+    hints, facts = plans._assessed(t)
+    found = assessment.candidates(facts, plans.answers(t))
+    for name, frame in (("hints", hints), ("candidates", found)):
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString(), name
+        assert frame.count()
