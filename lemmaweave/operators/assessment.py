@@ -295,7 +295,7 @@ def boundaries(hints: DataFrame, found: DataFrame, answers: DataFrame) -> DataFr
     health = answers.groupBy("blocked_id").agg(F.count_if(~F.coalesce(F.col("outcome"), F.lit("")).isin(*ANSWERED)).alias("_failed"), F.count("*").alias("_asked"))
     strife = F.array_contains("reasons", "ambiguous_candidates") | (F.col("identity_status") == "conflict")
     per = found.groupBy("blocked_id").agg(F.count("*").alias("_n"), F.array_sort(F.collect_set(F.when(strife, F.col("group_key")))).alias("_between"))
-    whole = hints.select("blocked_id").distinct().join(health, "blocked_id", "left").join(per, "blocked_id", "left").fillna(0, ["_failed", "_asked", "_n"])
+    whole = hints.select("blocked_id").distinct().join(apart(health), "blocked_id", "left").join(apart(per), "blocked_id", "left").fillna(0, ["_failed", "_asked", "_n"])
     row = lambda kind, evidence: F.struct(kind.alias("kind"), evidence.alias("evidence"))
     kinds = [F.when(F.col("_failed") > 0, row(F.when(F.col("_failed") == F.col("_asked"), "provider_failure").otherwise("partial_provider_failure"), none)),
              F.when((F.col("_failed") == 0) & (F.col("_n") == 0), row(F.lit("no_candidates"), none)), F.when(F.size("_between") > 0, row(F.lit("ambiguous_candidates"), F.col("_between")))]

@@ -108,6 +108,6 @@ def test_joins_of_references_are_not_planned_by_guessed_sizes(spark, tmp_path):
     t = Tables(spark, str(tmp_path))
     hints, facts = plans._assessed(t)
     found = assessment.candidates(facts, plans.answers(t))
-    for name, frame in (("hints", hints), ("candidates", found)):
+    for name, frame in (("hints", hints), ("candidates", found), ("boundaries", assessment.boundaries(hints, found, plans.answers(t)))):
         assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString(), name
         assert frame.count()
