@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections import Counter
 from datetime import datetime, timedelta
 
-from lemmaweave.operators import assessment, crawl, scholarly
+from pyspark.sql import functions as F
+
+from lemmaweave.operators import assessment, crawl, references, scholarly
 from lemmaweave.streaming import expansion
 
 
@@ -111,3 +113,15 @@ def test_joins_of_references_are_not_planned_by_guessed_sizes(spark, tmp_path):
     for name, frame in (("hints", hints), ("candidates", found), ("boundaries", assessment.boundaries(hints, found, plans.answers(t)))):
         assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString(), name
         assert frame.count()
+
+
+def test_fields_compare_without_guessed_sizes(spark, tmp_path):
+    from lemmaweave.plans import references as plans
+    from lemmaweave.plans.catalog import Tables
+
+    spark.range(40).selectExpr("id as p_partkey", "'lace spring' as p_name", "cast(id % 50 as int) as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    t = Tables(spark, str(tmp_path))
+    rows = plans.entries(t)
+    facts = assessment._facts(assessment.grouped(assessment.keyed(plans.records(t))), references.hints(references.parsed(rows), rows))
+    assert "Broadcast" not in facts._jdf.queryExecution().executedPlan().toString()
+    assert {r.field: r.n for r in assessment.fields(facts).groupBy("field").agg(F.count("*").alias("n")).collect()} == {"title": 54, "authors": 54, "year": 54, "identifiers": 6}
